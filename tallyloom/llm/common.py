@@ -40,12 +40,22 @@ def held_out(modulus: int, remainder: int) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % modulus == remainder
 
 
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id and text of the ids, once each; ids is a bounded sample, so it is broadcast and only its texts move."""
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id", "left_semi")
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn_from: Column, per_class: int, max_bytes: int) -> list:
-    """At most per_class texts of each label, of at most max_bytes each, the first by a hash of the doc_id: the bounded sample that a classifier is fitted on."""
+    """label and text of at most per_class texts of each label, of at most max_bytes each, the first by a hash of the doc_id: the bounded sample that a classifier
+    is fitted on. It is chosen by ids and sizes alone; then its texts are fetched."""
     known = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1)).dropDuplicates(["doc_id"])
-    rows = docs.select("doc_id", "text").where(learn_from & (text_bytes() <= max_bytes)).join(known, "doc_id")
-    rows = rows.select("label", F.xxhash64("doc_id").alias("rank"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return [r for k in (0, 1) for r in rows.where(F.col("label") == k).orderBy("rank", "doc_id").limit(per_class).collect()]
+    rows = docs.where(learn_from).select("doc_id", text_bytes().alias("size")).groupBy("doc_id").agg(F.max("size").alias("size")).where(F.col("size") <= max_bytes).join(known, "doc_id")
+    rows = rows.select("doc_id", "label", F.xxhash64("doc_id").alias("rank"))
+    chosen = [(r["doc_id"], r["label"]) for k in (0, 1) for r in rows.where(F.col("label") == k).orderBy("rank", "doc_id").limit(per_class).collect()]
+    ids = docs.sparkSession.createDataFrame(chosen, rows.select("doc_id", "label").schema)
+    text = {r["doc_id"]: r["text"] for r in texts_of(docs, ids.select("doc_id")).collect()}
+    return [{"label": k, "text": text[i]} for i, k in chosen]
 
 
 def running_totals(df: DataFrame, groups: list[str], order: list[str], values: dict[str, str]) -> DataFrame:
