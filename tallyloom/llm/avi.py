@@ -7,7 +7,7 @@ index; the payload's length is in a comment of its INFO list, since the last fra
 
 Reading goes by the RIFF structure and idx1; frames of other baseline grey JPEG encoders, with any Huffman tables, are decoded too.
 
-Shots: a frame starts a new shot if the distance of its sample histogram (16 bins) to that of the frame before exceeds 0.1 and the mean plus two standard
+Shots: a frame starts a new shot if the distance of its sample histogram (16 bins) to that of the frame before exceeds 0.1 and the mean plus one and a half standard
 deviations of the distances up to 8 frames around. Each shot is a clip row with its times.
 
 Null and empty texts have a payload of 64 zeros. Equal texts have equal media. Repeated rows give equal rows; an empty table gives none. Other columns are ignored.
@@ -207,7 +207,7 @@ def shots(data: np.ndarray) -> np.ndarray:
     lo, hi = np.maximum(0, np.arange(n - 1) - REACH), np.minimum(n - 1, np.arange(n - 1) + REACH + 1)
     mean = (sums[hi] - sums[lo]) / (hi - lo)
     spread = np.sqrt(np.maximum(0, (squares[hi] - squares[lo]) / (hi - lo) - mean * mean))
-    return np.append(0, 1 + np.flatnonzero((jump > LEAST_JUMP) & (jump > mean + 2 * spread)))
+    return np.append(0, 1 + np.flatnonzero((jump > LEAST_JUMP) & (jump > mean + 1.5 * spread)))
 
 
 def clip_rows(media: bytes) -> list[tuple[int, float, float, int, float]]:
