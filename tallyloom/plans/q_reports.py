@@ -110,7 +110,7 @@ def a23_tag_scores(spark, d):
     return patterns.tag_scores(c, patterns.entity_relations(e, 1, None)).select("tag", F.round("score", 6).alias("score"))
 
 
-LEAK = " + ".join(f"len(list_filter(regexp_extract_all(text, {Q(p.replace(scrub.B, chr(92) + 'b').replace(scrub.E, chr(92) + 'b'))}), lambda x: NOT regexp_matches(lower(x), 'test|fake')))" for p, _ in scrub.SECRETS[1:])
+LEAK = " + ".join(f"len(list_filter(regexp_extract_all(text, {Q(p.replace(scrub.B, chr(92) + 'b').replace(scrub.E, chr(92) + 'b'))}), lambda x: NOT regexp_matches(lower(x), 'test|fake|\\[redacted')))" for p, _ in scrub.SECRETS[1:])
 
 
 @query(f"SELECT doc_id, CAST({LEAK} AS INTEGER) AS leaks FROM documents")

@@ -186,7 +186,7 @@ def domain_list(spark: SparkSession, path: str) -> DataFrame:
 
 def notes(spark: SparkSession, path: str) -> DataFrame:
     """file, front (the YAML block), tags, headings of markdown notes, read back whole."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(path)
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(path, wholetext=True)
     front = F.regexp_extract("value", r"(?s)^---\n(.*?)\n---", 1)
     return raw.select(F.col("_metadata.file_name").alias("file"), front.alias("front"), F.regexp_extract_all("value", F.lit(r"(?:^|\s)#([A-Za-z][\w/-]*)"), F.lit(1)).alias("tags"), F.regexp_extract_all("value", F.lit(r"(?m)^#{1,6} (.+)$"), F.lit(1)).alias("headings"))
 
