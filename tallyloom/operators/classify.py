@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules, urls
@@ -78,3 +78,16 @@ def by_model(raw: DataFrame, classifier: Callable[[list[str]], list[dict | None]
                 yield part
 
     return ruled.mapInPandas(work, ruled.schema)
+
+
+def decode(answer: Column) -> Column:
+    """A model's JSON answer as a struct: known activities and intents only, confidence within 0 and 1, short lists and summary; null if it isn't JSON."""
+    said = F.from_json(answer, "activityType string, topics array<string>, entities array<string>, intent string, confidence double, summary string")
+    known = [*dict.fromkeys([*rules.ACTIVITIES.values(), "debugging", "planning"])]
+    return F.when(
+        said.isNotNull() & said["activityType"].isNotNull(),
+        F.struct(
+            F.when(said["activityType"].isin(*known), said["activityType"]).otherwise("unknown").alias("activity_type"), F.slice(F.coalesce(said["topics"], F.array()), 1, 3).alias("topics"), F.slice(F.coalesce(said["entities"], F.array()), 1, 5).alias("entities"),
+            F.when(said["intent"].isin(*[x for _, x in rules.INTENTS], "explore"), said["intent"]).otherwise("explore").alias("intent"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(said["confidence"], F.lit(0.5)))).alias("confidence"), F.substring(said["summary"], 1, 120).alias("summary"),
+        ),
+    )

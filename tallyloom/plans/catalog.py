@@ -1,27 +1,10 @@
-"""Registered queries over the logical tables, each beside the SQL that must give the same rows."""
+"""All registered queries over the logical tables."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a function as the query of its name."""
-
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
-
-
-from . import q_rows, q_sets, q_time, q_reports  # noqa: E402, F401
+from . import q_reports, q_rows, q_sets, q_time  # noqa: F401
+from .registry import ORACLES, QUERIES
 
 FLAGSHIP = QUERIES["top_domains_per_category"]
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]

@@ -8,7 +8,7 @@ from ..functions import scrub, urls
 from ..operators import classify, patterns, reports
 from ..sources import driver_tables as t
 from . import q_sets, sql
-from .catalog import query
+from .registry import query
 
 Q = sql.text
 

@@ -8,7 +8,7 @@ from ..functions import rules, scrub, urls, words
 from ..operators import classify, patterns
 from ..sources import driver_tables as t
 from . import sql
-from .catalog import query
+from .registry import query
 
 Q = sql.text
 

@@ -8,7 +8,7 @@ from ..functions import urls, words
 from ..operators import dedup, engagement, etl, joins, reports
 from ..sources import driver_tables as t
 from . import sql
-from .catalog import query
+from .registry import query
 
 Q = sql.text
 #: Rules over the made-up hosts: each kind of match, the least priority first.

@@ -9,7 +9,7 @@ from ..functions import rules, urls, words
 from ..operators import clusters, joins, patterns, reports, state, temporal
 from ..sources import driver_tables as t
 from . import sql
-from .catalog import query
+from .registry import query
 
 Q = sql.text
 SPLIT = "CASE WHEN us - lag(us) OVER w > {gap} OR us // 86400000000 <> lag(us) OVER w // 86400000000 THEN 1 ELSE 0 END"
