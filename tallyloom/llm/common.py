@@ -30,6 +30,15 @@ def in_arrow(df: DataFrame, schema: str, work: Callable[[Iterator[pa.RecordBatch
     return df.mapInArrow(work, schema)
 
 
+#: Ids (longs) up to this many are broadcast, some 30 MB; more of them join by shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def sized(ids: DataFrame) -> DataFrame:
+    """A frame of ids, to be broadcast if a count shows that it is small enough."""
+    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+
+
 def text_bytes(column: str = "text") -> Column:
     """Bytes of the UTF-8 form, none for null."""
     return F.coalesce(F.octet_length(column), F.lit(0)).cast("long")

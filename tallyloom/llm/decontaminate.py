@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, sized
 
 #: Units of measure that become a placeholder behind a number.
 UNITS = ("kg", "g", "mg", "km", "m", "cm", "mm", "mi", "ft", "in", "lb", "oz", "l", "ml", "s", "ms", "min", "h", "hours", "hour", "minutes", "minute", "seconds", "days", "day", "years", "year", "euros", "euro", "dollars", "dollar", "usd", "eur", "percent", "miles", "meters", "metres", "km2", "m2", "kwh", "w", "kw", "v", "hz", "mb", "gb")
@@ -74,8 +74,8 @@ def passages(docs: DataFrame, benchmark: DataFrame, window: int = 8, least: int
     hits = have.join(F.broadcast(wanted) if small else wanted, ["size", "hash"])
     runs = hits.groupBy("doc_id", "item_id", "size", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.collect_set("item_at").alias("starts"))
     runs = durable(runs)
-    found = texts.join(runs.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "slots"])
-    found = found.select("doc_id", tokens(F.col("slots")).alias("d"))
+    found = docs.select("doc_id", "text").join(sized(runs.select("doc_id").distinct()), "doc_id", "left_semi").dropDuplicates()
+    found = found.select("doc_id", tokens(slotted(F.col("text"))).alias("d"))
     lined = runs.join(items.select("item_id", tokens(F.col("slots")).alias("i")).distinct(), "item_id").join(found, "doc_id")
     at = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + F.col("size") - 1))))
     pair = F.transform(at, lambda p: F.struct(F.get("i", p).alias("i"), F.get("d", p + F.col("shift")).alias("d")))
@@ -99,5 +99,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFr
 
 def clean(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:
     """The documents, with all their columns, that are not contaminated."""
-    bad = passages(docs, benchmark, **parameters).where("consistent").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    bad = durable(passages(docs, benchmark, **parameters).where("consistent").select("doc_id").distinct())
+    return docs.join(sized(bad), "doc_id", "left_anti").select(docs.columns)
