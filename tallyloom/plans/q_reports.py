@@ -163,3 +163,66 @@ def s18_text_structure(spark, d):
     return t.table(spark, d, "documents").select("doc_id", F.size(F.regexp_extract_all(x, F.lit("[A-Za-z0-9]+"), F.lit(0))).alias("n_words"), (F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))).alias("breaks"))
 
 
+
+
+@query(sql.over("classified", "SELECT x AS topic, CAST(sum(n) AS BIGINT) AS weight FROM (SELECT unnest(topics) AS x, n FROM classified JOIN (SELECT activity_type, hour, count(*) AS n FROM classified GROUP BY ALL) USING (activity_type, hour)) GROUP BY 1 ORDER BY weight DESC, topic LIMIT 12"))
+def a25_weighted_topics(spark, d):
+    e = t.classified(spark, d)
+    sizes = e.groupBy("activity_type", "hour").agg(F.count("*").alias("n"))
+    rows = e.join(sizes, ["activity_type", "hour"]).select(F.explode("topics").alias("topic"), "n")
+    return rows.groupBy("topic").agg(F.sum("n").alias("weight")).orderBy(F.desc("weight"), "topic").limit(12)
+
+
+@query("SELECT event_id, round(sum(CAST(round(value * 100) AS BIGINT)) OVER w / count(*) OVER w / 100, 4) AS mean FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")
+def a22_running_mean(spark, d):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
+    return t.table(spark, d, "events").select("event_id", F.round(F.sum(F.round(F.col("value") * 100).cast("long")).over(w) / F.count("*").over(w) / 100, 4).alias("mean"))
+
+
+PAIRS = """WITH x AS (SELECT user_id, day, list_sort(list_distinct(flatten(list(topics)))) AS ts FROM classified GROUP BY ALL), u AS (SELECT user_id, day, ts, unnest(ts) AS a FROM x),
+    p AS (SELECT a, b, count(*) AS shared FROM (SELECT a, unnest(ts) AS b FROM u) WHERE a < b GROUP BY ALL), s AS (SELECT *, shared / max(shared) OVER () AS strength FROM p)"""
+
+
+def day_pairs(spark, d):
+    from pyspark.sql import Window
+
+    days = t.classified(spark, d).groupBy("user_id", "day").agg(F.array_distinct(F.flatten(F.collect_set("topics"))).alias("topics"))
+    counts = patterns.pairs(days, [], "topics").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    return counts.withColumn("strength", F.col("shared") / F.max("shared").over(Window.partitionBy(F.lit(1))))
+
+
+@query(sql.over("classified", f"{PAIRS} SELECT a, b, shared, round(strength, 6) AS strength FROM s WHERE strength >= 0.5"))
+def f14_strong_pairs(spark, d):
+    return day_pairs(spark, d).where("strength >= 0.5").select("a", "b", "shared", F.round("strength", 6).alias("strength"))
+
+
+@query(sql.over("classified", f"""{PAIRS} SELECT 'connection' AS kind, concat(a, ' ↔ ', b) AS name FROM (SELECT * FROM s WHERE strength >= 0.5 ORDER BY strength DESC, a, b LIMIT 8)
+    UNION ALL SELECT 'new', x FROM (SELECT x, min(day) AS f FROM (SELECT unnest(topics) AS x, day FROM classified WHERE k % 5 = 0) GROUP BY 1) WHERE f > DATE '2024-01-01'
+    UNION ALL SELECT 'entity', x FROM (SELECT DISTINCT unnest(entities) AS x FROM classified) WHERE NOT contains('tool1 tool7', lower(x))"""))
+def a11_knowledge_delta(spark, d):
+    """What a day adds: strong connections, new topics, novel entities."""
+    e = t.classified(spark, d)
+    strong = day_pairs(spark, d).where("strength >= 0.5").orderBy(F.desc("strength"), "a", "b").limit(8)
+    k = t.table(spark, d, "events").where(F.get_json_object("props", "$.k").cast("int") % 5 == 0).select(F.col("event_id").alias("seq"))
+    first = e.join(k, "seq").select(F.explode("topics").alias("x"), "day").groupBy("x").agg(F.min("day").alias("f")).where("f > date'2024-01-01'")
+    new = patterns.novel_entities(e.select(F.explode("entities").alias("entity")).distinct(), spark.createDataFrame([("tool1 tool7",)], "topic string"))
+    return strong.select(F.lit("connection").alias("kind"), F.concat("a", F.lit(" ↔ "), "b").alias("name")).unionByName(first.select(F.lit("new").alias("kind"), F.col("x").alias("name"))).unionByName(new.select(F.lit("entity").alias("kind"), F.col("entity").alias("name")))
+
+
+@query("SELECT 'missing' AS problem, CAST(o_custkey AS BIGINT) AS id FROM (SELECT o_custkey FROM orders EXCEPT SELECT c_custkey FROM customer WHERE c_custkey % 3 > 0) UNION ALL SELECT 'unused', c_custkey FROM (SELECT c_custkey FROM customer WHERE c_custkey % 3 > 0 EXCEPT SELECT o_custkey FROM orders) UNION ALL SELECT 'repeated', o_custkey FROM orders GROUP BY o_custkey HAVING count(*) > 12")
+def j21_registry_consistency(spark, d):
+    o, c = t.table(spark, d, "orders").select(F.col("o_custkey").alias("id")), t.table(spark, d, "customer").where("c_custkey % 3 > 0").select(F.col("c_custkey").alias("id"))
+    tag = lambda df, x: df.select(F.lit(x).alias("problem"), F.col("id").cast("long").alias("id"))
+    return tag(o.distinct().exceptAll(c), "missing").unionByName(tag(c.exceptAll(o.distinct()), "unused")).unionByName(tag(o.groupBy("id").count().where("count > 12"), "repeated"))
+
+
+@query(sql.over("visits", f"SELECT v.seq, coalesce(m.category, 'other') AS category FROM (SELECT seq, {sql.host('url')} AS domain FROM visits) v LEFT JOIN (SELECT domain, max(category) AS category FROM ({HOSTS}) WHERE category <> 'other' GROUP BY 1) m USING (domain)"))
+def j7_known_categories(spark, d):
+    """Categories from the grouped visits, by equi-join, with a fallback."""
+    from ..operators import joins
+
+    v = t.visits(spark, d).select("seq", urls.host(F.col("url")).alias("domain"))
+    known = joins.by_domain_rule(v, q_sets.rules_dim(spark)).where("category is not null").groupBy("domain").agg(F.max("category").alias("category"))
+    return v.join(known, "domain", "left").select("seq", F.coalesce("category", F.lit("other")).alias("category"))
