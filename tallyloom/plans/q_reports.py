@@ -173,12 +173,12 @@ def a25_weighted_topics(spark, d):
     return rows.groupBy("topic").agg(F.sum("n").alias("weight")).orderBy(F.desc("weight"), "topic").limit(12)
 
 
-@query("SELECT event_id, round(sum(CAST(round(value * 100) AS BIGINT)) OVER w / count(*) OVER w / 100, 4) AS mean FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")
+@query("SELECT event_id, CAST(sum(CAST(round(value * 100) AS BIGINT)) OVER w * 100 // count(*) OVER w AS BIGINT) AS mean FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")
 def a22_running_mean(spark, d):
     from pyspark.sql import Window
 
     w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return t.table(spark, d, "events").select("event_id", F.round(F.sum(F.round(F.col("value") * 100).cast("long")).over(w) / F.count("*").over(w) / 100, 4).alias("mean"))
+    return t.table(spark, d, "events").select("event_id", F.call_function("div", F.sum(F.round(F.col("value") * 100).cast("long")).over(w) * 100, F.count("*").over(w)).alias("mean"))
 
 
 PAIRS = """WITH x AS (SELECT user_id, day, list_sort(list_distinct(flatten(list(topics)))) AS ts FROM classified GROUP BY ALL), u AS (SELECT user_id, day, ts, unnest(ts) AS a FROM x),
