@@ -26,10 +26,13 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 SKIPPED = frozenset("nav header footer aside form script style noscript template svg iframe object canvas button select textarea dialog menu title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar status".split())
-WORDS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banners?|cookies?|consent|gdpr|notices?|alerts?|popups?|modals?|overlay|newsletter|subscribe|subscription|signup|login|sidebars?|menus?|nav|navbar|navigation|breadcrumbs?|footers?|headers?|masthead|topbar|toolbar|comments?|commentlist|respond|replies|disqus|share|sharing|social|related|recommend\w*|trending|widgets?|pagination|pager|skip|hidden)(?:[\s_-]|\d|$)", re.I)
+WORDS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banners?|cookies?|consent|gdpr|notices?|alerts?|popups?|modals?|overlay|newsletter|subscribe|subscription|signup|login|sidebars?|menus?|nav|navbar|navigation|breadcrumbs?|footers?|headers?|masthead|topbar|toolbar|comments?|commentlist|respond|responses?|replies|discussion|disqus|dropdown|rail|share|sharing|social|related|recommend\w*|trending|widgets?|pagination|pager|skip|hidden)(?:[\s_-]|\d|$)", re.I)
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 HOLDERS = frozenset(("html", "body", "main"))
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+#: Elements that end where the next of them begins.
+UNCLOSED = frozenset(("p", "dt", "dd", "option"))
+REMARKS = re.compile("comment|respon|repl|discus|disqus", re.I)
 
 
 class Lines(HTMLParser):
@@ -42,6 +45,7 @@ class Lines(HTMLParser):
         self.tags = self.articles = 0
         self.skip: list[str] = []  # the open boilerplate element and those of its name inside it
         self.skipped = ""
+        self.remarks = False  # whether that is readers' comments
         self.seen_article = False
         self.heading = False  # in a heading of an article's own header
 
@@ -55,7 +59,7 @@ class Lines(HTMLParser):
     def boilerplate(self, tag: str, attrs) -> bool:
         if tag in SKIPPED:
             return True
-        if tag in HOLDERS:
+        if tag in HOLDERS or tag in HEADINGS:
             return False
         for k, v in attrs:
             if k == "hidden" or v and (k in ("class", "id") and WORDS.search(v) or k == "role" and v.strip().lower() in ROLES or k == "aria-hidden" and v.strip().lower() == "true" or k == "style" and HIDDEN.search(v)):
@@ -72,8 +76,10 @@ class Lines(HTMLParser):
         if tag in VOID:
             return
         if self.skip:
-            if tag in ("article", "main") and not self.seen_article and self.skipped in ("nav", "header", "aside", "menu", "title"):
-                self.skip = []  # the boilerplate was never closed
+            if tag in ("article", "main") and not self.seen_article and not self.remarks and not self.boilerplate(tag, attrs):
+                self.skip = []  # the boilerplate was never closed, or its class only describes the layout
+            elif self.skipped in UNCLOSED and (tag == self.skipped or self.skipped == "p" and tag in BLOCKS):
+                self.skip = []
             else:
                 if tag == self.skipped:
                     self.skip.append(tag)
@@ -83,6 +89,7 @@ class Lines(HTMLParser):
         if self.boilerplate(tag, attrs):
             self.end_block()
             self.skip, self.skipped = [tag], tag
+            self.remarks = any(v and REMARKS.search(v) for k, v in attrs if k in ("class", "id"))
         elif tag in ("article", "main"):
             self.articles += 1
             self.seen_article = True

@@ -205,6 +205,16 @@ def test_main_text():
     assert html_text.main_text("") == "" == html_text.main_text(None)
 
 
+@pytest.mark.parametrize(("page", "text"), [
+    ("<p class=notice>Old browser<p>Real text of the page here.</p>", "Real text of the page here."),
+    ("<div class='layout with-sidebar'><article><h1 class='page-header'>T</h1>Text</article></div>", "T\n\nText"),
+    ("<div><p>Main text is this long line.</p></div><div class=comments><article class=comment>Bad</article></div>", "Main text is this long line."),
+    ("<nav><ul><li>a<main><p>Body &lt;b&gt; text", "Body <b> text"), ("<article>One<div>Two</div>Three &nbsp; x</article>", "One\n\nTwo\n\nThree x"),
+])
+def test_broken_and_nested_pages(page, text):
+    assert html_text.main_text(page) == text
+
+
 def test_region_without_article():
     body = "".join(f"<p>{'A long sentence of the main text. ' * 6}{i}</p>" for i in range(5))
     page = f"<body><div><a href=1>x</a><a href=2>y</a></div><ul><li><a>l</a></li><li><a>m</a></li><li><a>n</a></li></ul>{body}<p><a>tail</a> <a>b</a> <a>c</a></p><p><a>d</a></p></body>"
