@@ -206,7 +206,8 @@ def scatter(index: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
 
 def fit(texts: list[str], labels: list[int], how: Fit = Fit()) -> Network:
     y = np.array(labels, dtype=np.float32)
-    docs = [[w.strip(OUTER) for w in words_of(t)] for t in texts]
+    one: dict[str, str] = {}  # each word is held once
+    docs = [[one.setdefault(w, w) for w in (w.strip(OUTER) for w in words_of(t))] for t in texts]
     seen = Counter(w for d in docs for w in set(d))
     net = Network(sorted(w for w, n in seen.items() if n >= 3)[:50_000], how.seed)
     if not 0 < y.sum() < len(y):
@@ -241,7 +242,7 @@ def fit(texts: list[str], labels: list[int], how: Fit = Fit()) -> Network:
 
     def logits() -> np.ndarray:
         inputs = net.tables(net.vectors(numbers, flat, count))
-        return np.concatenate([net.forward(inputs, rows[i : i + 4096]) for i in range(0, len(rows), 4096)])
+        return np.concatenate([net.forward(inputs, rows[i : i + 1024]) for i in range(0, len(rows), 1024)])
 
     positive, hard = worst(guess, bad), worst(guess, clean_rows)
     for step in range(how.steps):
