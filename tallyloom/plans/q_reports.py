@@ -199,14 +199,13 @@ def f14_strong_pairs(spark, d):
 
 
 @query(sql.over("classified", f"""{PAIRS} SELECT 'connection' AS kind, concat(a, ' ↔ ', b) AS name FROM (SELECT * FROM s WHERE strength >= 0.5 ORDER BY strength DESC, a, b LIMIT 8)
-    UNION ALL SELECT 'new', x FROM (SELECT x, min(day) AS f FROM (SELECT unnest(topics) AS x, day FROM classified WHERE k % 5 = 0) GROUP BY 1) WHERE f > DATE '2024-01-01'
+    UNION ALL SELECT 'new', x FROM (SELECT x, min(day) AS f FROM (SELECT unnest(topics) AS x, day FROM classified) GROUP BY 1) WHERE f >= DATE '2024-01-01'
     UNION ALL SELECT 'entity', x FROM (SELECT DISTINCT unnest(entities) AS x FROM classified) WHERE NOT contains('tool1 tool7', lower(x))"""))
 def a11_knowledge_delta(spark, d):
     """What a day adds: strong connections, new topics, novel entities."""
     e = t.classified(spark, d)
     strong = day_pairs(spark, d).where("strength >= 0.5").orderBy(F.desc("strength"), "a", "b").limit(8)
-    k = t.table(spark, d, "events").where(F.get_json_object("props", "$.k").cast("int") % 5 == 0).select(F.col("event_id").alias("seq"))
-    first = e.join(k, "seq").select(F.explode("topics").alias("x"), "day").groupBy("x").agg(F.min("day").alias("f")).where("f > date'2024-01-01'")
+    first = e.select(F.explode("topics").alias("x"), "day").groupBy("x").agg(F.min("day").alias("f")).where("f >= date'2024-01-01'")
     new = patterns.novel_entities(e.select(F.explode("entities").alias("entity")).distinct(), spark.createDataFrame([("tool1 tool7",)], "topic string"))
     return strong.select(F.lit("connection").alias("kind"), F.concat("a", F.lit(" ↔ "), "b").alias("name")).unionByName(first.select(F.lit("new").alias("kind"), F.col("x").alias("name"))).unionByName(new.select(F.lit("entity").alias("kind"), F.col("entity").alias("name")))
 

@@ -179,9 +179,9 @@ def scalar_slugs(spark, d):
     return t.table(spark, d, "benchmark").select("item_id", words.slug(F.col("text"), 60, "topic").alias("slug"), words.token_estimate(F.col("text")).alias("tokens"))
 
 
-@query("SELECT page_id, replace(replace(replace(replace(replace(left(html, 300), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS html, replace(replace(replace(left(html, 300), '\\', '\\\\'), '|', '\\|'), chr(10), ' ') AS cell, regexp_replace(left(html, 300), '[\\[\\]|#^]', '', 'g') AS link, replace(replace(left(html, 300), '\\', '\\\\'), '\"', '\\\"') AS yaml FROM pages")
+@query("SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS html, replace(replace(replace(html, '\\', '\\\\'), '|', '\\|'), chr(10), ' ') AS cell, regexp_replace(html, '[\\[\\]|#^]', '', 'g') AS link, replace(replace(html, '\\', '\\\\'), '\"', '\\\"') AS yaml FROM pages")
 def scalar_escapes(spark, d):
-    x = F.substring("html", 1, 300)
+    x = F.col("html")
     return t.table(spark, d, "pages").select("page_id", words.escape_html(x).alias("html"), words.escape_cell(x).alias("cell"), words.escape_wikilink(x).alias("link"), words.escape_yaml(x).alias("yaml"))
 
 

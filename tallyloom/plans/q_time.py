@@ -148,11 +148,11 @@ def topic_days(spark, d):
 
 
 HISTORY = """h AS (SELECT x AS topic, min(day) AS first_seen, max(day) AS last_seen, count(*) AS day_count, list_sort(list(day)) AS days FROM
-    (SELECT DISTINCT unnest(topics) AS x, day FROM classified WHERE activity_type <> 'error' AND seq % 7 <> 0) WHERE day < DATE '2024-01-12' AND NOT (x = 'topic3' AND day > DATE '2024-01-03') AND x <> 'topic5' GROUP BY 1)"""
+    (SELECT DISTINCT unnest(topics) AS x, day FROM classified) WHERE day < DATE '2024-01-12' AND NOT (x = 'topic3' AND day > DATE '2024-01-03') AND x <> 'topic5' GROUP BY 1)"""
 
 
 def history(spark, d):
-    e = t.classified(spark, d).where("activity_type <> 'error' and seq % 7 <> 0").select(F.explode("topics").alias("topic"), "day").distinct()
+    e = t.classified(spark, d).select(F.explode("topics").alias("topic"), "day").distinct()
     past = e.where("day < date'2024-01-12' and not (topic = 'topic3' and day > date'2024-01-03') and topic <> 'topic5'")
     return past.groupBy("topic").agg(F.min("day").alias("first_seen"), F.max("day").alias("last_seen"), F.count("*").alias("day_count"), F.sort_array(F.collect_set("day")).alias("recent_days"))
 
@@ -214,9 +214,9 @@ def a20_cluster_labels(spark, d):
     return clusters.labels(t.table(spark, d, "benchmark").withColumn("cluster", F.col("item_id") % 5), "text")
 
 
-@query(sql.over("visits", f"SELECT cluster, CASE WHEN count(DISTINCT domain) >= 3 THEN 'research' WHEN max(n) > 1 THEN 'reference' ELSE 'browsing' END AS intent_signal FROM (SELECT user_id AS cluster, url, {sql.host('url')} AS domain, count(*) AS n FROM visits WHERE seq % 9 = 0 GROUP BY ALL) GROUP BY 1"))
+@query(sql.over("visits", f"SELECT cluster, CASE WHEN count(DISTINCT domain) >= 3 THEN 'research' WHEN max(n) > 1 THEN 'reference' ELSE 'browsing' END AS intent_signal FROM (SELECT user_id AS cluster, url, {sql.host('url')} AS domain, count(*) AS n FROM visits GROUP BY ALL) GROUP BY 1"))
 def a21_cluster_intent(spark, d):
-    rows = t.visits(spark, d).where("seq % 9 = 0").select(F.col("user_id").alias("cluster"), "url", urls.host(F.col("url")).alias("domain"))
+    rows = t.visits(spark, d).select(F.col("user_id").alias("cluster"), "url", urls.host(F.col("url")).alias("domain"))
     return clusters.cluster_intent(rows)
 
 
@@ -243,9 +243,9 @@ def w15_batches(spark, d):
     return reports.batches(t.table(spark, d, "events").select("event_id", "user_id"), ["user_id"], ["event_id"], 8).select("event_id", "batch")
 
 
-@query(sql.over("classified", "WITH k AS (SELECT day, list_sort(list_distinct(list(activity_type || hour))) AS s FROM classified WHERE hour < 3 GROUP BY 1), n AS (SELECT day, s, lead(s) OVER (ORDER BY day) AS x FROM k) SELECT CAST(day AS VARCHAR) AS day, array_to_string(list_filter(x, lambda y: NOT list_contains(s, y)), ',') AS added, array_to_string(list_filter(s, lambda y: NOT list_contains(x, y)), ',') AS removed FROM n WHERE x IS NOT NULL"))
+@query(sql.over("classified", "WITH k AS (SELECT day, list_sort(list_distinct(list(activity_type || hour))) AS s FROM classified GROUP BY 1), n AS (SELECT day, s, lead(s) OVER (ORDER BY day) AS x FROM k) SELECT CAST(day AS VARCHAR) AS day, array_to_string(list_filter(x, lambda y: NOT list_contains(s, y)), ',') AS added, array_to_string(list_filter(s, lambda y: NOT list_contains(x, y)), ',') AS removed FROM n WHERE x IS NOT NULL"))
 def j22_adjacent_diff(spark, d):
-    days = t.classified(spark, d).where("hour < 3").groupBy("day").agg(F.sort_array(F.collect_set(F.concat("activity_type", F.col("hour").cast("string")))).alias("s"))
+    days = t.classified(spark, d).groupBy("day").agg(F.sort_array(F.collect_set(F.concat("activity_type", F.col("hour").cast("string")))).alias("s"))
     return joins.diff_next(days, "day", "s").select(F.col("day").cast("string").alias("day"), F.array_join("added", ",").alias("added"), F.array_join("removed", ",").alias("removed"))
 
 
