@@ -49,6 +49,14 @@ def held_out(modulus: int, remainder: int) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % modulus == remainder
 
 
+def first_by_hash(rows: DataFrame, n: int, total: int) -> list:
+    """The n rows of the least hashes of doc_id, of `total` rows. A bound on the hash, twice as wide as needed, leaves the tasks few others to send."""
+    ranked = rows.withColumn("rank", F.xxhash64("doc_id"))
+    if total > 4 * n:
+        ranked = ranked.where(F.col("rank") <= F.lit(int(2**64 * (2 * n / total)) - 2**63))
+    return ranked.orderBy("rank", "doc_id").limit(n).collect()
+
+
 def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """doc_id and text of the ids, once each; ids is a bounded sample, so it is broadcast and only its texts move."""
     found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id", "left_semi")
@@ -60,8 +68,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn_from:
     is fitted on. It is chosen by ids and sizes alone; then its texts are fetched."""
     known = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1)).dropDuplicates(["doc_id"])
     rows = docs.where(learn_from).select("doc_id", text_bytes().alias("size")).groupBy("doc_id").agg(F.max("size").alias("size")).where(F.col("size") <= max_bytes).join(known, "doc_id")
-    rows = rows.select("doc_id", "label", F.xxhash64("doc_id").alias("rank"))
-    chosen = [(r["doc_id"], r["label"]) for k in (0, 1) for r in rows.where(F.col("label") == k).orderBy("rank", "doc_id").limit(per_class).collect()]
+    rows = durable(rows.select("doc_id", "label"))
+    totals = dict(rows.groupBy("label").count().collect())
+    chosen = [(r["doc_id"], r["label"]) for k in (0, 1) for r in first_by_hash(rows.where(F.col("label") == k), per_class, totals.get(k, 0))]
     ids = docs.sparkSession.createDataFrame(chosen, rows.select("doc_id", "label").schema)
     text = {r["doc_id"]: r["text"] for r in texts_of(docs, ids.select("doc_id")).collect()}
     return [{"label": k, "text": text[i]} for i, k in chosen]

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_arrow, text_bytes, texts_of
+from .common import durable, first_by_hash, in_arrow, text_bytes, texts_of
 
 KINDS = ("email", "ip", "card", "phone")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -239,8 +239,9 @@ def written(spans: list[tuple[int, int, int]]) -> str:
 
 
 def train(docs: DataFrame) -> Field | None:
-    rows = docs.where((text_bytes() <= SAMPLE_BYTES) & F.col("text").rlike("[0-9@]") & F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("doc_id").alias("rank")).distinct()
-    chosen = [(r["doc_id"],) for r in rows.orderBy("rank", "doc_id").limit(SAMPLE_TEXTS).collect()]
+    rows = docs.where((text_bytes() <= SAMPLE_BYTES) & F.col("text").rlike("[0-9@]") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    rows = durable(rows)
+    chosen = [(r["doc_id"],) for r in first_by_hash(rows, SAMPLE_TEXTS, rows.count())]
     ids = docs.sparkSession.createDataFrame(chosen, rows.select("doc_id").schema)
     small = docs.where(text_bytes() <= SAMPLE_BYTES)
     return fit([r["text"] for r in texts_of(small, ids).orderBy("doc_id").collect()])
