@@ -23,10 +23,10 @@ def redirect():
 
 
 
-@query(sql.over("visits", f"SELECT seq, CASE WHEN starts_with(x, 'https://') THEN x END AS target FROM (SELECT seq, {sql.BARE} AS x FROM (SELECT seq, regexp_extract(url, '^([^&#]*)', 1) AS url FROM visits))"))
+@query(sql.over("visits", f"SELECT seq, CASE WHEN starts_with(x, 'https://') THEN x ELSE '' END AS target FROM (SELECT seq, {sql.BARE} AS x FROM (SELECT seq, regexp_extract(url, '^([^&#]*)', 1) AS url FROM visits))"))
 def p2_unwrap_redirect(spark, d):
     bare = t.visits(spark, d).withColumn("url", F.regexp_extract("url", "^([^?#&]*)", 1))
-    return bare.select("seq", urls.unwrap_redirect(redirect()).alias("target"))
+    return bare.select("seq", F.coalesce(urls.unwrap_redirect(redirect()), F.lit("")).alias("target"))
 
 
 @query(sql.over("visits visits_dup", f"SELECT {sql.canonical('url')} AS key, count(*) AS n, count(DISTINCT url) AS urls FROM visits_dup GROUP BY 1"))
@@ -71,10 +71,10 @@ def p12_classify_visits(spark, d):
     return classify.by_rules(classify.raw_visits(t.visits(spark, d).withColumn("category", category()))).select("seq", "text", "category", "activity_type", "summary", "intent")
 
 
-@query(sql.over("prompts", f"SELECT seq, {sql.task_type('left(prompt, 150)')} AS task_type, {sql.prompt_topic('left(prompt, 150)', 'NULL')} AS topic FROM prompts"))
+@query(sql.over("prompts", f"SELECT seq, {sql.task_type('left(prompt, 150)')} AS task_type, {sql.prompt_topic('left(prompt, 150)', Q(''))} AS topic FROM prompts"))
 def p13_task_type_and_topic(spark, d):
     text = F.substring("prompt", 1, 150)
-    return t.prompts(spark, d).select("seq", rules.task_type(text).alias("task_type"), rules.prompt_topic(text).alias("topic"))
+    return t.prompts(spark, d).select("seq", rules.task_type(text).alias("task_type"), rules.prompt_topic(text, "").alias("topic"))
 
 
 @query(sql.over("searches", f"SELECT seq, {sql.first_match('query', rules.SEARCH_TOPICS, Q('information'))} AS topic, {sql.first_match('query', rules.INTENTS, Q('explore'))} AS intent, {sql.first_match('query', rules.QUERY_INTENTS, Q('transactional'))} AS query_intent FROM searches"))
@@ -114,18 +114,18 @@ def p20_entity_gating(spark, d):
     return classify.gated(t.classified(spark, d).withColumn("category", category())).select("seq", F.size("topics").alias("n_topics"))
 
 
-@query(sql.over("commits", f"SELECT seq, {sql.commit('message', 1)} AS type, nullif({sql.commit('message', 2)}, '') AS scope, {sql.commit('message', 3)} = '!' AS breaking, {sql.description('message')} AS description, {sql.work_mode('message')} AS work_mode FROM commits"))
+@query(sql.over("commits", f"SELECT seq, {sql.commit('message', 1)} AS type, {sql.commit('message', 2)} AS scope, {sql.commit('message', 3)} = '!' AS breaking, {sql.description('message')} AS description, {sql.work_mode('message')} AS work_mode FROM commits"))
 def p21_commit_work_mode(spark, d):
     m = F.col("message")
-    return t.commits(spark, d).select("seq", rules.commit_type(m).alias("type"), rules.commit_scope(m).alias("scope"), rules.commit_breaking(m).alias("breaking"), rules.commit_description(m).alias("description"), rules.work_mode(m, F.col("insertions"), F.col("deletions")).alias("work_mode"))
+    return t.commits(spark, d).select("seq", rules.commit_type(m).alias("type"), F.coalesce(rules.commit_scope(m), F.lit("")).alias("scope"), rules.commit_breaking(m).alias("breaking"), rules.commit_description(m).alias("description"), rules.work_mode(m, F.col("insertions"), F.col("deletions")).alias("work_mode"))
 
 
 WHY_SQL = [rf"(?i)\b({p}\b)" if i != 1 else r"(?i)\b(so\s+[A-Za-z0-9_])" for i, p in enumerate(rules.WHY)]
 
 
-@query(sql.over("commits", f"SELECT seq, coalesce({', '.join(f'CASE WHEN regexp_matches(message, {Q(p)}) THEN trim(substr(message, strpos(message, regexp_extract(message, {Q(p)}, 1)), 120)) END' for p in WHY_SQL)}) AS why, regexp_matches(trim(message), {Q(rules.GENERIC)}) AS is_generic FROM commits"))
+@query(sql.over("commits", f"SELECT seq, coalesce({', '.join(f'CASE WHEN regexp_matches(message, {Q(p)}) THEN trim(substr(message, strpos(message, regexp_extract(message, {Q(p)}, 1)), 120)) END' for p in WHY_SQL)}, '') AS why, regexp_matches(trim(message), {Q(rules.GENERIC)}) AS is_generic FROM commits"))
 def p23_why_and_generic(spark, d):
-    return t.commits(spark, d).select("seq", rules.why_clause(F.col("message")).alias("why"), rules.is_generic(F.col("message")).alias("is_generic"))
+    return t.commits(spark, d).select("seq", F.coalesce(rules.why_clause(F.col("message")), F.lit("")).alias("why"), rules.is_generic(F.col("message")).alias("is_generic"))
 
 
 V1 = r"(?i)^(fix|debug|add|create|build|implement|write|refactor|update|review|explain|help\s+me\s+(with|understand)|how\s+do\s+i)\s+"

@@ -95,10 +95,10 @@ def f1_scan_filters(spark, d):
     return e.withColumn("page_id", F.col("event_id") % F.lit(pages.count())).join(good, "page_id").select("event_id")
 
 
-@query(sql.over("visits", f"SELECT seq, domain, category FROM (SELECT v.seq, any_value(domain) AS domain, min_by(category, priority) AS category FROM (SELECT seq, {sql.host('url')} AS domain FROM visits) v LEFT JOIN ({RULES_SQL}) ON {MATCH} GROUP BY v.seq)"))
+@query(sql.over("visits", f"SELECT seq, domain, coalesce(category, '') AS category FROM (SELECT v.seq, any_value(domain) AS domain, min_by(category, priority) AS category FROM (SELECT seq, {sql.host('url')} AS domain FROM visits) v LEFT JOIN ({RULES_SQL}) ON {MATCH} GROUP BY v.seq)"))
 def j8_domain_category(spark, d):
     v = t.visits(spark, d).select("seq", urls.host(F.col("url")).alias("domain"))
-    return joins.by_domain_rule(v, rules_dim(spark)).select("seq", "domain", "category")
+    return joins.by_domain_rule(v, rules_dim(spark)).select("seq", "domain", F.coalesce("category", F.lit("")).alias("category"))
 
 
 SENSITIVE_MATCH = f"""WITH v AS (SELECT seq, url, {sql.host('url')} AS h, {sql.path('url')} AS p FROM visits), s AS (SELECT priority, category, split_part(pattern, '/', 1) AS sh, regexp_extract(pattern, '^[^/]+(/.*)?$', 1) AS sp FROM ({SENSITIVE_SQL})),
@@ -195,10 +195,10 @@ def j11_rank_or_parent(spark, d):
     return joins.with_rank(candidate_domains(spark, d), ranks(spark, d)).select("domain", "category", F.coalesce("rank", F.lit(0)).alias("rank"))
 
 
-@query(sql.over("visits", f"WITH {RANKED} SELECT domain, category, {REASON} AS reason FROM ranked"))
+@query(sql.over("visits", f"WITH {RANKED} SELECT domain, category, coalesce({REASON}, '') AS reason FROM ranked"))
 def f15_quality_reason(spark, d):
     ranked = joins.with_rank(candidate_domains(spark, d), ranks(spark, d))
-    return ranked.select("domain", "category", etl.quality_reason(F.col("domain"), F.col("rank")).alias("reason"))
+    return ranked.select("domain", "category", F.coalesce(etl.quality_reason(F.col("domain"), F.col("rank")), F.lit("")).alias("reason"))
 
 
 @query(sql.over("visits", f"WITH {RANKED} SELECT coalesce({REASON}, 'passed') AS reason, count(*) AS n FROM ranked GROUP BY ALL"))

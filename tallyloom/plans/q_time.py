@@ -161,9 +161,9 @@ def today():
     return F.lit("2024-01-12").cast("date")
 
 
-@query(sql.over("classified", f"WITH {HISTORY}, n AS (SELECT DISTINCT unnest(topics) AS topic FROM classified WHERE day = DATE '2024-01-12') SELECT topic, coalesce(day_count, 0) + 1 AS frequency, CASE WHEN last_seen IS NULL THEN 'new' WHEN last_seen < DATE '2024-01-05' THEN 'returning' WHEN len(list_filter(days, lambda x: x >= DATE '2023-12-29')) >= 5 THEN 'stable' WHEN len(list_filter(days, lambda x: x >= DATE '2023-12-29')) >= 3 THEN 'rising' ELSE 'declining' END AS trend, CAST(coalesce(first_seen, DATE '2024-01-12') AS VARCHAR) AS first_seen, CAST(last_seen AS VARCHAR) AS prev_last_seen FROM n LEFT JOIN h USING (topic)"))
+@query(sql.over("classified", f"WITH {HISTORY}, n AS (SELECT DISTINCT unnest(topics) AS topic FROM classified WHERE day = DATE '2024-01-12') SELECT topic, coalesce(day_count, 0) + 1 AS frequency, CASE WHEN last_seen IS NULL THEN 'new' WHEN last_seen < DATE '2024-01-05' THEN 'returning' WHEN len(list_filter(days, lambda x: x >= DATE '2023-12-29')) >= 5 THEN 'stable' WHEN len(list_filter(days, lambda x: x >= DATE '2023-12-29')) >= 3 THEN 'rising' ELSE 'declining' END AS trend, CAST(coalesce(first_seen, DATE '2024-01-12') AS VARCHAR) AS first_seen, coalesce(CAST(last_seen AS VARCHAR), '') AS prev_last_seen FROM n LEFT JOIN h USING (topic)"))
 def t2_recurrence_signals(spark, d):
-    return state.recurrence(topic_days(spark, d).where(F.col("day") == today()), history(spark, d), today()).withColumns({c: F.col(c).cast("string") for c in ("first_seen", "prev_last_seen")})
+    return state.recurrence(topic_days(spark, d).where(F.col("day") == today()), history(spark, d), today()).withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("first_seen", "prev_last_seen")})
 
 
 @query(sql.over("classified", f"WITH {HISTORY}, n AS (SELECT DISTINCT unnest(topics) AS topic FROM classified WHERE day = DATE '2024-01-12') SELECT topic, CAST(coalesce(first_seen, DATE '2024-01-12') AS VARCHAR) AS first_seen, CAST(CASE WHEN n.topic IS NULL THEN last_seen ELSE DATE '2024-01-12' END AS VARCHAR) AS last_seen, coalesce(day_count, 0) + CASE WHEN n.topic IS NULL THEN 0 ELSE 1 END AS day_count, CAST(least(30, coalesce(len(days), 0) + CASE WHEN n.topic IS NULL THEN 0 ELSE 1 END) AS INTEGER) AS kept FROM n FULL JOIN h USING (topic)"))
