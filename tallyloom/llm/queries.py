@@ -26,7 +26,8 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumn("item_ids", F.array_join("item_ids", ","))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,7 +136,7 @@ WITH raw AS (
   SELECT doc_id, list(item_id ORDER BY item_id) AS item_ids, max(n) AS n, bool_or(altered) AS altered FROM per_item GROUP BY ALL
 )
 SELECT documents.doc_id, n IS NOT NULL AS contaminated, coalesce(altered, false) AS reparameterised, CAST(coalesce(len(item_ids), 0) AS BIGINT) AS n_items,
-       CAST(coalesce(n, 0) AS BIGINT) AS n_windows, coalesce(item_ids, []) AS item_ids FROM documents LEFT JOIN per_doc USING (doc_id)
+       CAST(coalesce(n, 0) AS BIGINT) AS n_windows, coalesce(array_to_string(item_ids, ','), '') AS item_ids FROM documents LEFT JOIN per_doc USING (doc_id)
 """.replace("UNITS", "|".join(decontaminate.UNITS))
 
 ORACLES = {"op3_decontaminate": TEMPLATES, "op8_pfair_mix": PFAIR}
