@@ -7,6 +7,10 @@ ceil(iP/q); in each slot, of the blocks that are released the one that is due ea
 schedule, a source has less than one block more or less than its weight asks for. The schedule repeats with the period, so it is worked out
 for one period and joined to the blocks: the table has one row per slot of a period, whatever the size of the data.
 
+The rounded shares bind the schedule of mix() alone. within_weights() has no period: it takes the weights as they are and says which rows a mix keeps. Block i
+(from 0) of a source of weight w is released once i blocks of its weight have passed; the mix ends where the first source is a whole block behind its weight. So a source
+that runs out within its last block doesn't end it, and what is dropped is only what over-represented sources have beyond that point.
+
 `in_mix` is true up to the slot at which the first source has no block left: so far the mix meets its weights. The rest keeps its rows and slots.
 
 Null sources form a source of their own, named ''. Rows of one doc_id are ordered by size and text. Empty texts have size 1. There can be at most `slots` sources
@@ -18,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, running_totals, text_bytes
+from .common import durable, running_totals, sized, text_bytes
 
 
 def shares(totals: DataFrame, weights: dict[str, float] | None, alpha: float, slots: int) -> DataFrame:
@@ -67,3 +71,17 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float =
     shift = F.col("round") * F.col("period")
     out = timed.select("doc_id", "source", "size", "block", (shift + F.col("at")).alias("slot"), (shift + F.col("r")).alias("release"), (shift + F.col("d")).alias("deadline"), "tie")
     return out.withColumn("in_mix", F.col("slot") < F.lit(end))
+
+
+def within_weights(docs: DataFrame, alpha: float = 0.9, block_bytes: int = 65536) -> DataFrame:
+    """The rows of docs, with all their columns, that a mix to the weights bytes^alpha keeps: of each source the first in order of doc_id, size and text. Equal rows share their fate."""
+    source, key = F.coalesce("source", F.lit("")), ("doc_id", (text_bytes() + 1).alias("size"), F.xxhash64("text").alias("tie"))
+    placed = durable(running_totals(docs.select(source.alias("source"), *key), ["source"], ["doc_id", "size", "tie"], {"before": "size"}))
+    totals = durable(placed.groupBy("source").agg(F.sum("size").alias("bytes")).withColumn("w", F.pow(F.col("bytes").cast("double"), F.lit(alpha))))
+    end = totals.agg(F.min((F.col("bytes") + block_bytes) / F.col("w"))).first()[0]  # in bytes for each unit of weight
+    if end is None:
+        return docs
+    begins = F.expr(f"before div {block_bytes}") * block_bytes
+    within = placed.join(sized(totals), "source").where(begins < F.col("w") * F.lit(end))
+    last = durable(within.groupBy("source").agg(F.max(F.struct("doc_id", "size", "tie")).alias("_last")).withColumnRenamed("source", "_of"))
+    return docs.join(sized(last), source == F.col("_of")).where(F.struct(*key) <= F.col("_last")).select(*[docs[c] for c in docs.columns])

@@ -282,6 +282,24 @@ def test_given_weights(spark):
     assert 0.70 < part < 0.80 and sum(r["source"] == "a" for r in got) == 200
 
 
+def test_tiny_source_does_not_end_the_mix(spark):
+    docs = [(i, "x" * 999, "ab"[i % 2], i) for i in range(4000)] + [(None, "tiny", None, 4000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string, n long")
+    assert [r["n"] for r in mixing.within_weights(df, block_bytes=1000).orderBy("n").collect()] == list(range(4001))
+    assert mixing.within_weights(df.where("false")).collect() == []
+
+
+def test_only_the_surplus_leaves_the_mix(spark):
+    size = {"a": 4000, "b": 1000, "c": 500}
+    docs = [(i, "x" * 99, s) for s, n in size.items() for i in range(n)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    kept = {r["source"]: r["count"] for r in mixing.within_weights(df, block_bytes=1000).groupBy("source").count().collect()}
+    end = min((100 * n + 1000) / (100 * n) ** 0.9 for n in size.values())
+    for s, n in size.items():
+        assert abs(kept[s] - min(n, end * (100 * n) ** 0.9 / 100)) <= 10  # a block
+    assert kept["c"] == 500 and 3000 < kept["a"] < 4000
+
+
 # --- 9
 @pytest.mark.parametrize("shards", [1, 3, 8])
 def test_shards_are_even_and_slots_gapless(spark, shards):
