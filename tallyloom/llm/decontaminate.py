@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, sized
+from .common import durable, sized, text_bytes
 
 #: Units of measure that become a placeholder behind a number.
 UNITS = ("kg", "g", "mg", "km", "m", "cm", "mm", "mi", "ft", "in", "lb", "oz", "l", "ml", "s", "ms", "min", "h", "hours", "hour", "minutes", "minute", "seconds", "days", "day", "years", "year", "euros", "euro", "dollars", "dollar", "usd", "eur", "percent", "miles", "meters", "metres", "km2", "m2", "kwh", "w", "kw", "v", "hz", "mb", "gb")
@@ -67,7 +67,7 @@ def passages(docs: DataFrame, benchmark: DataFrame, window: int = 8, least: int
         return out
 
     if not sizes:
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, windows long, consistent boolean, altered boolean")
+        return docs.select("doc_id", *[F.lit(None).cast(t).alias(c) for c, t in {"item_id": "long", "windows": "long", "consistent": "boolean", "altered": "boolean"}.items()]).where("false")
     wanted = durable(hashed(items, "item_id", F.col("size"))).withColumnRenamed("at", "item_at")
     small = wanted.count() <= broadcast_windows
     have = hashed(texts.select("doc_id", tokens(template(F.col("slots"))).alias("words")), "doc_id")
@@ -98,6 +98,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFr
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:
-    """The documents, with all their columns, that are not contaminated."""
-    bad = durable(passages(docs, benchmark, **parameters).where("consistent").select("doc_id").distinct())
-    return docs.join(sized(bad), "doc_id", "left_anti").select(docs.columns)
+    """The documents, with all their columns, that are not contaminated. Each row is judged by its own text, whatever its doc_id."""
+    row = F.struct("doc_id", text_bytes().alias("size"), F.xxhash64("text").alias("tie"))  # structs are equal where both have nulls
+    bad = passages(docs.select(row.alias("doc_id"), "text"), benchmark, **parameters).where("consistent")
+    bad = durable(bad.select(F.col("doc_id").alias("_bad")).distinct())
+    return docs.join(sized(bad), row == F.col("_bad"), "left_anti")

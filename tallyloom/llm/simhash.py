@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, in_arrow
+from .common import durable, in_arrow, text_bytes
 
 SEED = 42
 ROUNDS = 60
@@ -44,15 +44,17 @@ def fingerprint(text: bytes | None) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(votes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp, a signed long."""
+def fingerprints(docs: DataFrame, more: list[str] = []) -> DataFrame:  # noqa: B006
+    """doc_id, the columns of more, and fp, a signed long."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *more, F.col("text").cast("binary").alias("_text"))
+    schema = rows.select("doc_id", *more, F.lit(None).cast("long").alias("fp")).schema
 
     def work(batches):
         for b in batches:
-            fp = np.array([fingerprint(x) for x in b.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], ["doc_id", "fp"])
+            fp = np.array([fingerprint(x) for x in b.column(len(more) + 1).to_pylist()], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fp, pa.int64())], ["doc_id", *more, "fp"])
 
-    return in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")), "doc_id long, fp long", work)
+    return in_arrow(rows, schema, work)
 
 
 def links(fps: DataFrame, radius: int = 2, most: int = 64) -> DataFrame:
@@ -119,3 +121,18 @@ def near_duplicates(docs: DataFrame, most: int = 64) -> DataFrame:
     per_class = classes.join(moved, "fp", "left").join(degree, "fp", "left")
     per_class = per_class.select("fp", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     return own.join(per_class, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_links")
+
+
+def one_of_each(docs: DataFrame, most: int = 64) -> DataFrame:
+    """The rows of docs, with all their columns, that stay when one row of each component does: the first by doc_id (nulls last), size and hash of the text."""
+    key = {"_id": F.col("doc_id").cast("long"), "_size": text_bytes(), "_tie": F.xxhash64("text")}
+    keyed = docs.select("doc_id", "text", *[v.alias(k) for k, v in key.items()])
+    own = durable(fingerprints(keyed, ["_size", "_tie"]).withColumn("key", F.struct(F.col("doc_id").isNull().alias("_none"), F.col("doc_id").alias("_id"), "_size", "_tie")).select("key", "fp"))
+    classes = durable(own.groupBy("fp", "key").agg(F.count("*").alias("n")).groupBy("fp").agg(F.min("key").alias("key"), F.max("n").alias("n")))
+    roots = components(durable(links(classes.select("fp"), most=most)))
+    rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    chosen = rooted.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("key").alias("key")).select("key.*").drop("_none")
+    match = docs["doc_id"].cast("long").eqNullSafe(chosen["_id"]) & (key["_size"] == chosen["_size"]) & (key["_tie"] == chosen["_tie"])
+    kept = docs.join(chosen, match, "left_semi")
+    repeated = not classes.where("n > 1").isEmpty()
+    return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept

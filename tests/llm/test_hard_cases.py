@@ -93,3 +93,18 @@ def test_stages(spark, docs, labels, benchmark, tmp_path, step):
         assert not {1, 8} & {r["doc_id"] for r in kept} and {3, 4, 5, 6, 7} <= {r["doc_id"] for r in kept}
     if step == 4:
         assert len(kept) == len(DOCS)
+
+
+def test_missing_and_shared_ids_cost_no_document(spark, tmp_path):
+    bench = "the quick brown fox jumps over the lazy dog tonight"
+    texts = ["one quite own story about rivers", "another tale that tells of mountains far", "bread is baked from flour and water", "so " + bench]
+    rows = [(i, t, "en", "a") for i in (None, 1) for t in texts] + [(None, texts[0], "en", "a"), (2, "ships sail on the open sea at night", "en", "a")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    spark.createDataFrame([(0, bench)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    kept = stages["near-dedup"](spark, df, str(tmp_path)).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == sorted((i, t) for i, t, *_ in rows if i is not None)
+    none = stages["near-dedup"](spark, df.where("doc_id is null"), str(tmp_path)).collect()
+    assert sorted(r["text"] for r in none) == sorted(texts)
+    left = stages["decontamination"](spark, df, str(tmp_path)).collect()
+    assert sorted(map(tuple, left), key=str) == sorted((r for r in rows if bench not in r[1]), key=str)
