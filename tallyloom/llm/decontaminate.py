@@ -5,7 +5,9 @@ inside a sentence (behind a lower-case letter, a digit, or one of `,;:`, and one
 no letter, mark or digit. Every window of `window` template tokens of every benchmark item is looked up in the windows of all texts by its hash.
 The matches of a document and an item that lie on one diagonal (same offset) form a passage. In a passage, the templates must be equal token by
 token, and the slots must be consistent: a value of the item always meets the same value in the document. So `3 kg ... 3 kg` matches `5 kg ... 5 kg`, not
-`5 kg ... 7 kg`. A document with a consistent passage is contaminated; if a slot's value differs, the passage is re-parameterised.
+`5 kg ... 7 kg`. An inconsistent passage is judged again by its runs of consecutive windows: a run that is consistent by itself is a passage, and of another
+run, the windows whose slots are all unchanged (verbatim copies) are one. So one edited number does not clear a copied item.
+A document with a consistent passage is contaminated; if a slot's value differs, the passage is re-parameterised.
 
 An item of fewer tokens than `window` is looked up whole if it has `least` tokens or more; shorter ones are too common to tell and match nothing.
 Null and empty texts match nothing. Repeated items count separately, as do repeated documents: rows with one doc_id give one result row for each row
@@ -52,7 +54,7 @@ def window_hashes(words: Column, size: int) -> Column:
 
 
 def passages(docs: DataFrame, benchmark: DataFrame, window: int = 8, least: int = 5, broadcast_windows: int = 500_000) -> DataFrame:
-    """doc_id, item_id, windows, consistent, altered: one row for each document, item and diagonal with a match."""
+    """doc_id, item_id, windows, consistent, altered: one row for each document, item and diagonal with a match, or for each run of it if the whole is inconsistent."""
     items = benchmark.select("item_id", slotted(F.col("text")).alias("slots")).dropna().select("item_id", "slots", tokens(template(F.col("slots"))).alias("words"))
     items = items.withColumn("size", F.least(F.size("words"), F.lit(window))).where(F.col("size") >= least)
     sizes = sorted(r[0] for r in items.select("size").distinct().collect())
@@ -77,15 +79,27 @@ def passages(docs: DataFrame, benchmark: DataFrame, window: int = 8, least: int
     found = docs.select("doc_id", "text").join(sized(runs.select("doc_id").distinct()), "doc_id", "left_semi").dropDuplicates()
     found = found.select("doc_id", tokens(slotted(F.col("text"))).alias("d"))
     lined = runs.join(items.select("item_id", tokens(F.col("slots")).alias("i")).distinct(), "item_id").join(found, "doc_id")
-    at = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + F.col("size") - 1))))
-    pair = F.transform(at, lambda p: F.struct(F.get("i", p).alias("i"), F.get("d", p + F.col("shift")).alias("d")))
-    lined = lined.select("doc_id", "item_id", "shift", F.size("starts").cast("long").alias("windows"), pair.alias("pairs"))
+    lined = lined.withColumn("starts", F.sort_array("starts"))
     kind = lambda w: F.when(w.startswith("§"), F.substring(w, 1, 2)).otherwise(w)
-    same = F.forall("pairs", lambda x: kind(x.d).eqNullSafe(kind(x.i)))
-    slots = F.array_distinct(F.filter("pairs", lambda x: x.i.startswith("§")))
-    one_to_one = F.size(slots) == F.size(F.array_distinct(F.transform(slots, lambda x: x.i)))
-    out = lined.where(same).select("doc_id", "item_id", "windows", one_to_one.alias("consistent"), F.exists(slots, lambda x: x.i != x.d).alias("altered"))
-    return out
+
+    def judged(some: DataFrame) -> DataFrame:
+        at = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + F.col("size") - 1))))
+        paired = some.withColumn("pairs", F.transform(at, lambda p: F.struct(F.get("i", p).alias("i"), F.get("d", p + F.col("shift")).alias("d"))))
+        same = F.forall("pairs", lambda x: kind(x.d).eqNullSafe(kind(x.i)))
+        slots = F.array_distinct(F.filter("pairs", lambda x: x.i.startswith("§")))
+        one_to_one = F.size(slots) == F.size(F.array_distinct(F.transform(slots, lambda x: x.i)))
+        return paired.withColumn("consistent", same & one_to_one).withColumn("altered", F.exists(slots, lambda x: x.i != x.d)).drop("pairs")
+
+    row = ["doc_id", "item_id", F.size("starts").cast("long").alias("windows"), "consistent", "altered"]
+    whole = durable(judged(lined))  # texts with a match only
+    broken = whole.where(~F.col("consistent")).drop("consistent", "altered")
+    heads = F.filter("starts", lambda s, k: (k == 0) | (F.get("starts", k - 1) != s - 1))
+    parts = broken.withColumn("heads", heads).select("*", F.posexplode("heads").alias("k", "head")).withColumn("next", F.get("heads", F.col("k") + 1))
+    parts = parts.withColumn("starts", F.filter("starts", lambda s: (s >= F.col("head")) & (F.col("next").isNull() | (s < F.col("next"))))).drop("heads", "k", "head", "next")
+    parts = judged(parts)
+    copied = F.filter("starts", lambda s: F.slice("i", s + 1, F.col("size")) == F.slice("d", s + F.col("shift") + 1, F.col("size")))
+    verbatim = parts.where(~F.col("consistent")).withColumn("starts", copied).withColumn("consistent", F.size("starts") > 0).withColumn("altered", F.lit(False))
+    return whole.where("consistent").select(row).unionByName(parts.where("consistent").select(row)).unionByName(verbatim.select(row))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:

@@ -117,6 +117,15 @@ def test_reparameterised_questions(spark):
     assert got == {1: (True, False, [0]), 2: (True, True, [0]), 3: (False, False, []), 4: (False, False, [])}
 
 
+def test_one_edited_slot_does_not_clear_a_copy(spark):
+    text = "the crew of 3 ships left the old harbour early that morning and sailed along the rocky coast until dusk when all {} ships came home again at last"
+    apart = text.replace("rocky", "sandy").replace("sailed along", "went by")
+    docs = [(1, text.format(7)), (2, text.format(3)), (3, apart.format(7)), (4, "the crew of 3 ships left the"), (5, text.format(7).replace("early that morning and sailed along the rocky coast until dusk", "x"))]
+    got = {r["doc_id"]: (r["contaminated"], r["reparameterised"]) for r in decontaminate.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), items(spark, [text.format(3)])).collect()}
+    assert got[1] == got[2] == (True, False) and got[3][0] and not got[4][0]
+    assert got[5][0]  # two runs on diagonals of their own
+
+
 def test_windows_by_shuffle_and_short_items(spark):
     bench = items(spark, ["one two three four five six seven eight nine", "five little ducks went out", "too short"])
     docs = spark.createDataFrame([(1, "x one two three four five six seven eight y"), (2, "Five little ducks went out."), (3, "too short"), (4, "one two three four")], "doc_id long, text string")
