@@ -231,12 +231,179 @@ def test_region_without_article():
     assert all(f"text. {i}" in "\n".join(got) for i in range(5)) and "l" not in got and "tail b c" not in got[-1:]
 
 
+LONG = "A long sentence of the main text, with many words in it, on and on."
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    (f"<article><h1>T</h1><p>{LONG}</p><p class='social-history'>Has a social history.</p><section id='discussion'><p>We discuss it here.</p></section></article>", f"T\n\n{LONG}\n\nHas a social history.\n\nWe discuss it here."),
+    (f"<body class=has-sidebar><article><h1>T</h1><p>{LONG}</p><p>{LONG}</p></article><article class='teaser'><h2>Other</h2><p>Read on</p></article></body>", f"T\n\n{LONG}\n\n{LONG}"),
+    (f"<body><nav><a href=x>Home</a> <a href=y>News</a></nav><h1>Title</h1><p>Short intro.</p>{f'<p>{LONG}</p>' * 3}<p>The end.</p><footer>(c) us</footer></body>", f"Title\n\nShort intro.\n\n{LONG}\n\n{LONG}\n\n{LONG}\n\nThe end."),
+    (f"<body><div id=page><div id=menu><a href=1>x</a></div><div id=content><h1>Title</h1><div class=text>{f'<p>{LONG}</p>' * 3}<p>Bye.</p></div><div class='share-box'>Share it</div></div></div></body>", f"Title\n\n{LONG}\n\n{LONG}\n\n{LONG}\n\nBye."),
+    (f"<main><h1>T</h1><div class=body><p>{LONG}</p></div><div class=comments><p>{LONG * 3}</p></div></main>", f"T\n\n{LONG}"),
+    (f"<main><article><p>{LONG}</p><div class=advert-2>{LONG}</div><div class='comment-list'>{LONG}</div></article><div class=teaser>Read on</div></main>", LONG),
+])
+def test_names_are_features_and_boxes_are_chosen_by_mass(page, text):
+    assert html_text.main_text(page) == text
+
+
+@needs_data
+def test_clusters_decide_on_every_page(spark):
+    pages = [r["html"] for r in spark.read.parquet(f"{DATA}/pages.parquet").select("html").collect()]
+    decided = 0
+    for page in pages:
+        lines = html_text.Lines()
+        lines.feed(page)
+        lines.close()
+        lines.end_block()
+        region, numbers = html_text.region_of(lines)
+        ratios = np.array([html_text.weight(b) * len(b.text) / (b.tags + 1) for b in lines.blocks])
+        level = plain_smooth(ratios)
+        cut = html_text.threshold(level)
+        high = [b for b, x, r in zip(lines.blocks, level, ratios, strict=True) if x >= cut - 1e-9 and r > 0]
+        decided += bool(high) and sum(b.node.inside for b in high) > len(high) / 2 and set(numbers) == {i for i, b in enumerate(lines.blocks) if b.node.inside}
+    assert decided == len(pages) > 0
+
+
+def plain_smooth(x, sigma=1.0):
+    k = [np.exp(-0.5 * (d / sigma) ** 2) for d in range(-3, 4)]
+    return np.array([sum(k[d + 3] * x[min(max(i + d, 0), len(x) - 1)] for d in range(-3, 4)) / sum(k) for i in range(len(x))])
+
+
 def test_gaussian_and_threshold():
     x = np.array([0, 0, 0, 9, 9, 9, 0, 0.0])
-    assert html_text.smooth(x).sum() == pytest.approx(x.sum(), rel=0.01) and 0 < html_text.threshold(x) < 9
+    assert html_text.smooth(x) == pytest.approx(plain_smooth(x)) and html_text.smooth(x).sum() == pytest.approx(x.sum(), rel=0.01) and 0 < html_text.threshold(x) < 9
+
+
+def test_deep_and_broken_pages_take_linear_time():
+    assert html_text.main_text("<div>word " * 20000).count("word") > 14000
+    assert html_text.main_text("<article>" + "<li>word</p> </b>" * 20000).count("word") == 20000
 
 
 # --- 7
+def plain_decode(jpeg):
+    """Blocks x 64 quantised coefficients of a baseline JPEG in one scan, bit by bit."""
+    at, tables, restart = 2, {}, 0
+    while jpeg[at + 1] != 0xDA:
+        size = int.from_bytes(jpeg[at + 2 : at + 4], "big")
+        marker, body = jpeg[at + 1], jpeg[at + 4 : at + 2 + size]
+        if marker == 0xC4:
+            codes, code, k = tables.setdefault(body[0], {}), 0, 17
+            for bits in range(1, 17):
+                for _ in range(body[bits]):
+                    codes[f"{code:0{bits}b}"] = body[k]
+                    code, k = code + 1, k + 1
+                code <<= 1
+        elif marker == 0xDD:
+            restart = int.from_bytes(body, "big")
+        elif marker == 0xC0:
+            high, wide, n = int.from_bytes(body[1:3], "big"), int.from_bytes(body[3:5], "big"), body[5]
+            parts = [(body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15) for i in range(n)]
+        at += 2 + size
+    size = int.from_bytes(jpeg[at + 2 : at + 4], "big")
+    use = [jpeg[at + 6 + 2 * i] for i in range(n)]
+    scan = jpeg[at + 2 + size :]
+    if n == 1:
+        parts = [(1, 1)]
+    mcus = -(-high // (8 * max(v for _, v in parts))) * -(-wide // (8 * max(h for h, _ in parts)))
+    pattern = [c for c, (h, v) in enumerate(parts) for _ in range(h * v)]
+    pieces = re.split(rb"\xff[\xd0-\xd9]", scan)
+    out = []
+    for i in range(0, mcus, restart or mcus):
+        bits = "".join(f"{b:08b}" for b in pieces[i // (restart or mcus)].replace(b"\xff\x00", b"\xff"))
+        pos, last = 0, [0] * n
+
+        def symbol(codes):
+            nonlocal pos
+            for k in range(1, 17):
+                if bits[pos : pos + k] in codes:
+                    pos += k
+                    return codes[bits[pos - k : pos]]
+
+        def value(k):
+            nonlocal pos
+            pos += k
+            v = int(bits[pos - k : pos] or "0", 2)
+            return v if not k or bits[pos - k] == "1" else v - (1 << k) + 1
+
+        for _ in range(min(restart or mcus, mcus - i)):
+            for c in pattern:
+                row = [0] * 64
+                last[c] += value(symbol(tables[use[c] >> 4]))
+                row[0], k = last[c], 1
+                while k < 64 and (s := symbol(tables[0x10 | use[c] & 15])):
+                    k += s >> 4
+                    row[k] = value(s & 15)
+                    k += 1
+                out.append(row)
+    return np.array(out)
+
+
+def plain_encode(rng, high, wide, parts, restart):
+    """A JPEG of random coefficients, with tables of codes of 9 to 11 bits."""
+    symbols = [r << 4 | s for r in range(16) for s in range(11)]
+    order = rng.sample(symbols, len(symbols))
+    counts = [0] * 8 + [60, 60, len(symbols) - 120] + [0] * 5
+    codes, code, k = {}, 0, 0
+    for bits, n in enumerate(counts, 1):
+        for _ in range(n):
+            codes[order[k]] = f"{code:0{bits}b}"
+            code, k = code + 1, k + 1
+        code <<= 1
+    table = bytes(counts) + bytes(order)
+    n = len(parts)
+    head = b"\xff\xd8" + avi.segment(0xDB, b"\x00" + bytes(rng.randrange(1, 30) for _ in range(64))) + avi.segment(0xC0, bytes([8]) + high.to_bytes(2, "big") + wide.to_bytes(2, "big") + bytes([n]) + b"".join(bytes([i + 1, h << 4 | v, 0]) for i, (h, v) in enumerate(parts)))
+    head += avi.segment(0xC4, b"\x00" + table) + avi.segment(0xC4, b"\x10" + table) + (avi.segment(0xDD, restart.to_bytes(2, "big")) if restart else b"")
+    head += avi.segment(0xDA, bytes([n]) + b"".join(bytes([i + 1, 0]) for i in range(n)) + b"\x00\x3f\x00")
+    across, down = (max(h for h, _ in parts), max(v for _, v in parts)) if n > 1 else (1, 1)
+    mcus, pattern = -(-high // (8 * down)) * -(-wide // (8 * across)), [0] if n == 1 else [c for c, (h, v) in enumerate(parts) for _ in range(h * v)]
+
+    def bits_of(v):
+        size = abs(v).bit_length()
+        return size, f"{v if v > 0 else v + (1 << size) - 1:0{size}b}" if size else ""
+
+    scan, rows, every = b"", [], restart or mcus
+    for i in range(0, mcus, every):
+        bits, last = "", [0] * n
+        for _ in range(min(every, mcus - i)):
+            for c in pattern:
+                row = [rng.randrange(-400, 400)] + [rng.choice((0, 0, 0, 0, rng.randrange(-60, 60))) for _ in range(63)]
+                for k in range(rng.randrange(1, 65), 64):
+                    row[k] = 0
+                size, text = bits_of(row[0] - last[c])
+                bits, last[c], k = bits + codes[size] + text, row[0], 1
+                end = max([j for j in range(64) if row[j]], default=0)
+                while k <= end:
+                    run = next(j for j in range(k, 64) if row[j]) - k
+                    run = min(run, 15)
+                    size, text = bits_of(row[k + run])
+                    bits, k = bits + codes[run << 4 | size] + text, k + run + 1
+                if k < 64:
+                    bits += codes[0]
+                rows.append(row)
+        bits += "1" * (-len(bits) % 8)
+        scan += int(bits, 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\x00") + (bytes([0xFF, 0xD0 + i // every % 8]) if i + every < mcus else b"\xff\xd9")
+    return head + scan, np.array(rows)
+
+
+@pytest.mark.parametrize(("parts", "restart"), [(((1, 1),), 0), (((1, 1),), 3), (((2, 1), (1, 1), (1, 1)), 0), (((2, 2), (1, 1), (1, 1)), 2)])
+def test_frames_of_other_encoders(parts, restart):
+    rng = random.Random(7)
+    made = [plain_encode(random.Random(7 if i < 2 else 8), 37, 50, parts, restart) for i in range(2)] + [plain_encode(rng, 37, 50, parts, restart)]
+    for jpeg, rows in made:
+        assert (plain_decode(jpeg) == rows).all()
+    head = avi.head_of(made[0][0])
+    got = avi.entropy_decode([j[head.length :] for j, _ in made], head)
+    assert (got == np.array([r for _, r in made])).all()
+    seen = avi.pixels(got[:1], head)
+    assert seen.shape == (1, 37 * 50)
+    wave = lambda u, x: (0.5 if u else 8**-0.5) * np.cos((2 * x + 1) * u * np.pi / 16)
+    zigzag = [(0, 0), (0, 1), (1, 0), (2, 0), (1, 1), (0, 2)]
+    assert all(np.allclose(avi.COSINES[k].reshape(8, 8), [[wave(u, y) * wave(v, x) for x in range(8)] for y in range(8)]) for k, (u, v) in enumerate(zigzag))
+    q = head.quantisers[0]
+    block = got[0, 0] * q @ avi.COSINES
+    assert (seen[0, :64] == np.clip(np.rint(block) + 128, 0, 255)).all()
+
+
 @pytest.mark.parametrize("size", [1, 63, 64, 65, 1024, 1025, 5000])
 def test_avi_round_trip(size):
     for raw in (os.urandom(size), ("é" * size).encode(), bytes(size), b"\xff" * size):
@@ -245,13 +412,31 @@ def test_avi_round_trip(size):
         assert avi.read_back(media) == payload and len(payload) % 64 == 0 and len(payload) >= 64
         at, n, rate, length = avi.index_of(media)
         assert rate == 25 and length == len(payload) and len(at) == -(-len(payload) // 1024)
-        frame = avi.decode_frame(media[at[0] : at[0] + n[0]])
+        frame = plain_decode(media[at[0] : at[0] + n[0]])
         assert np.where(frame < 0, frame + 255, frame).astype(np.uint8).tobytes()[: len(payload)] == payload[:1024]
 
 
+def test_every_frame_is_decoded(monkeypatch):
+    frames, decode = [], avi.entropy_decode
+    monkeypatch.setattr(avi, "entropy_decode", lambda scans, head: frames.append(len(scans)) or decode(scans, head))
+    texts = ["a plain text".encode() * n for n in (1, 100, 3000)]
+    made = avi.films([avi.encode(avi.payload_of(t)) for t in texts])
+    assert [f.payload for f in made] == [avi.payload_of(t) for t in texts] and sum(frames) == sum(len(f.bins) for f in made) == 1 + 2 + 36
+
+
+def plain_shots(bins):
+    n = len(bins)
+    jump = [sum(abs(int(a) - int(b)) for a, b in zip(bins[i], bins[i + 1], strict=True)) / (bins[i].sum() + bins[i + 1].sum()) for i in range(n - 1)]
+    around = [jump[max(0, i - avi.REACH) : i + avi.REACH + 1] for i in range(n - 1)]
+    return [0] + [i + 1 for i in range(n - 1) if jump[i] > avi.LEAST_JUMP and jump[i] > np.mean(around[i]) + 1.5 * np.std(around[i])]
+
+
 def test_shots_and_clips(spark):
     raw = b"a" * 4096 + b"\xf0" * 4096 + b"a" * 2048
-    assert avi.shots(avi.samples(avi.encode(avi.payload_of(raw)))[0]).tolist() == [0, 4, 8]
+    assert avi.shots(avi.films([avi.encode(avi.payload_of(raw))])[0].bins).tolist() == [0, 4, 8]
+    mixed = b"".join(bytes([random.Random(i // 5).randrange(256)]) * 1024 for i in range(60))
+    bins = avi.films([avi.encode(avi.payload_of(mixed))])[0].bins
+    assert avi.shots(bins).tolist() == plain_shots(bins) and len(plain_shots(bins)) > 2
     stored = avi.store(spark.createDataFrame([(1, "a" * 4096 + " " * 4096)], "doc_id long, text string"))
     assert [(r["clip"], r["start_s"], r["end_s"], r["n_frames"]) for r in avi.clips(stored).collect()] == [(0, 0.0, 0.16, 4), (1, 0.16, 0.32, 4)]
 
@@ -260,6 +445,7 @@ def test_digests(spark):
     r = avi.digests(spark.createDataFrame([(1, "hé"), (2, None)], "doc_id long, text string")).orderBy("doc_id").collect()
     pad = "hé".encode() + bytes(61)
     assert (r[0]["n_bytes"], r[0]["payload_bytes"], r[0]["payload_sha256"], r[0]["tail_crc32"]) == (3, 64, hashlib.sha256(pad).hexdigest(), zlib.crc32(pad)) and r[1]["payload_bytes"] == 64
+    assert (r[0]["n_clips"], r[0]["clips"]) == (1, "0-0.04")
 
 
 # --- 8
