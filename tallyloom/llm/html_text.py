@@ -140,6 +140,8 @@ class Lines(HTMLParser):
         self.top = x.parent
 
     def handle_starttag(self, tag, attrs):
+        if tag in BLOCKS or tag in SKIPPED:
+            self.end_block()
         self.tags += 1
         if tag in UNREAD:
             self.unread = tag
@@ -148,7 +150,6 @@ class Lines(HTMLParser):
         elif tag == "br":
             self.parts.append(" ")
         elif tag in BLOCKS or tag in SKIPPED:
-            self.end_block()
             if self.top.tag in OPEN_ENDED and tag in BLOCKS:
                 self.close_to(self.top.tag, frozenset())
             elif tag in SIBLINGS:
@@ -170,13 +171,14 @@ class Lines(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
+        if tag in BLOCKS or tag in SKIPPED or tag == "span" and self.top.tag == "span":
+            self.end_block()
         self.tags += 1
         if tag == self.unread:
             self.unread = ""
         if tag == "a":
             self.links = max(0, self.links - 1)
         elif tag in BLOCKS or tag in SKIPPED or tag == "span" and self.top.tag == "span":
-            self.end_block()
             self.close_to(tag, frozenset() if tag in OUTMOST else CONTENT - {tag})  # a stray end tag doesn't close the article around it
 
     def handle_data(self, data):
