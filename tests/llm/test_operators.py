@@ -275,7 +275,7 @@ def test_gaussian_and_threshold():
 
 
 def test_deep_and_broken_pages_take_linear_time():
-    assert html_text.main_text("<div>word " * 20000).count("word") > 14000
+    assert html_text.main_text("<div>word " * 20000).count("word") >= 14000
     assert html_text.main_text("<article>" + "<li>word</p> </b>" * 20000).count("word") == 20000
 
 
