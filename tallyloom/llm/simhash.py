@@ -12,6 +12,12 @@ Entries with more than `most` members could make quadratically many pairs. Their
 itself and its 64 neighbours. Two fingerprints are within two bits just when they share such a key, and no key can have over 65 members, so
 linking each member to the smallest one of its key loses nothing and needs no pairs.
 
+one_of_each() takes a wider radius, 8 bits, over the distinct two-word shingles: texts with a five-word similarity of 0.8 or more differ there in 8 bits or fewer in
+99 of 100 cases (of the five-word shingles themselves, 40 in 100; there, 0.8 is ten bits on the mean, beyond what balls can be listed for). A radius r is searched in
+ceil((r+1)/3) segments: both fingerprints list their ball of radius one in each segment, and two within r bits agree within two bits in one of them, so their balls meet.
+Keys with over `most` members are searched without listing pairs: their members are first joined by stars (above), then blocks of members are compared with
+one another in numpy, which returns at most one connection for each component that a block joins to another. That is exact, and no task holds more than two blocks.
+
 Null and empty texts have fingerprint zero and are linked like any other. Rows with the same doc_id stay separate rows with their own
 fingerprints. An empty table gives an empty result; other columns are ignored.
 """
@@ -23,40 +29,49 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, in_arrow, text_bytes
+from .common import durable, in_arrow, sized, text_bytes
 
 SEED = 42
 ROUNDS = 60
 
 
-def fingerprint(text: bytes | None) -> int:
+def fingerprint(text: bytes | None, shingle: int = 3, distinct: bool = False) -> int:
     import xxhash
 
     words = (text or b"").lower().split()
     if not words:
         return 0
     digest = xxhash.xxh64_intdigest
-    if len(words) <= 3:
+    if len(words) <= shingle:
         return digest(b" ".join(words), SEED)
-    a, b, c = words, words[1:], words[2:]
-    votes = np.array([digest(b"%b %b %b" % x, SEED) for x in zip(a, b, c)], dtype=">u8")
+    shingles = map(b" ".join, zip(*[words[k:] for k in range(shingle)], strict=False))
+    votes = np.array([digest(x, SEED) for x in (set(shingles) if distinct else shingles)], dtype=">u8")
     ones = np.unpackbits(votes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > len(votes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, more: list[str] = []) -> DataFrame:  # noqa: B006
+def fingerprints(docs: DataFrame, more: list[str] = [], shingle: int = 3, distinct: bool = False) -> DataFrame:  # noqa: B006
     """doc_id, the columns of more, and fp, a signed long."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *more, F.col("text").cast("binary").alias("_text"))
     schema = rows.select("doc_id", *more, F.lit(None).cast("long").alias("fp")).schema
 
     def work(batches):
         for b in batches:
-            fp = np.array([fingerprint(x) for x in b.column(len(more) + 1).to_pylist()], dtype=np.uint64).view(np.int64)
+            fp = np.array([fingerprint(x, shingle, distinct) for x in b.column(len(more) + 1).to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fp, pa.int64())], ["doc_id", *more, "fp"])
 
     return in_arrow(rows, schema, work)
 
 
+def stars(fps: DataFrame) -> DataFrame:
+    """Edges a, b (a < b) within two bits, whose components are those of all pairs within two bits; each fingerprint is filed under the 65 keys of its ball."""
+    one = F.lit(1).cast("long")
+    around = F.concat(F.array("fp"), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("fp").bitwiseXOR(F.call_function("shiftleft", one, i))))
+    filed = fps.select("fp", F.explode(around).alias("key"))
+    met = filed.groupBy("key").agg(F.sort_array(F.collect_list("fp")).alias("m")).where(F.size("m") > 1)
+    return met.select(F.element_at("m", 1).alias("a"), F.explode(F.slice("m", 2, 64)).alias("b")).distinct()
+
+
 def links(fps: DataFrame, radius: int = 2, most: int = 64) -> DataFrame:
     """Edges a, b (a < b) between distinct fingerprints, column fp, whose components are those of all pairs within the radius; every edge is such a pair."""
     if radius != 2:
@@ -76,23 +91,95 @@ def links(fps: DataFrame, radius: int = 2, most: int = 64) -> DataFrame:
     pairs = left.where((F.col("x") != F.col("y.fp")) & ~F.col("y.probe") & (F.col("p") | (F.col("x") < F.col("y.fp"))))
     pairs = pairs.where(F.bit_count(F.col("x").bitwiseXOR(F.col("y.fp"))) <= radius).select(F.least("x", "y.fp").alias("a"), F.greatest("x", "y.fp").alias("b"))
     crowd = met.where("crowded").select("fp").distinct()
-    around = F.concat(F.array("fp"), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("fp").bitwiseXOR(F.call_function("shiftleft", one, i))))
-    filed = crowd.select("fp", F.explode(around).alias("key"))
-    stars = filed.groupBy("key").agg(F.sort_array(F.collect_list("fp")).alias("m")).where(F.size("m") > 1)
-    stars = stars.select(F.element_at("m", 1).alias("a"), F.explode(F.slice("m", 2, 64)).alias("b"))
-    return pairs.unionByName(stars).distinct()
+    return pairs.unionByName(stars(crowd)).distinct()
+
+
+def joined(fp: np.ndarray, comp: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Pairs of fingerprints, one for each component that links within the radius join to another, of fingerprints with the components that are known."""
+    names, first, own = np.unique(comp, return_index=True, return_inverse=True)
+    merged = np.arange(len(names))
+    big = np.bincount(own).argmax()
+    rest = np.flatnonzero(own != big)
+    for i in range(0, len(rest), 512):
+        some = rest[i : i + 512]
+        now = merged[own]
+        x, y = np.nonzero(np.bitwise_count(fp[some, None] ^ fp[None, :]) <= radius)
+        a, b = now[some[x]], now[y]
+        a, b = a[a != b], b[a != b]
+        while len(a):  # the least name wins until nothing moves
+            np.minimum.at(merged, a, b)
+            np.minimum.at(merged, b, a)
+            while (merged[merged] != merged).any():
+                merged = merged[merged]
+            a, b = merged[a], merged[b]
+            a, b = a[a != b], b[a != b]
+    moved = np.flatnonzero(merged != np.arange(len(names)))
+    return list(zip(fp[first[moved]].view(np.int64).tolist(), fp[first[merged[moved]]].view(np.int64).tolist(), strict=True))
+
+
+def connections(fps: DataFrame, radius: int = 8, most: int = 64, block: int = 2048) -> DataFrame:
+    """Pairs a, b (a < b) of distinct fingerprints, column fp, whose components are those of all pairs within the radius."""
+    parts = -(-(radius + 1) // 3)
+    cuts = [64 * i // parts for i in range(parts + 1)]
+    one, keys = F.lit(1).cast("long"), []
+    for s, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        part = F.shiftrightunsigned("fp", lo).bitwiseAND((1 << (hi - lo)) - 1) if parts > 1 else F.col("fp")
+        ball = F.transform(F.sequence(F.lit(0), F.lit(hi - lo - 1)), lambda i, part=part: part.bitwiseXOR(F.call_function("shiftleft", one, i)))
+        keys.append(F.transform(F.concat(F.array(part), ball), lambda k, s=s: k * parts + s))
+    entries = fps.select("fp", F.explode(F.concat(*keys)).alias("key"))
+    crowded = durable(entries.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > most))
+    known = sized(crowded)
+    quiet = entries.join(known, "key", "left_anti").groupBy("key").agg(F.collect_list("fp").alias("m")).where(F.size("m") > 1)
+    pairs = quiet.select("m", F.explode("m").alias("a")).select("a", F.explode("m").alias("b")).where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius))
+    pairs = durable(pairs.distinct())
+    if crowded.isEmpty():
+        return pairs
+    crowd = durable(entries.join(known, "key"))
+    near = durable(stars(crowd.select("fp").distinct()))
+    roots = components(near)
+    named = with_few(crowd, "fp", roots.withColumnRenamed("node", "fp").withColumnRenamed("root", "comp")).withColumn("comp", F.coalesce("comp", "fp"))
+    mixed = durable(named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key"))
+    dealt = named.join(sized(mixed), "key", "left_semi").withColumn("blocks", F.ceil(F.col("n") / block)).withColumn("own", F.pmod(F.xxhash64("fp"), "blocks"))
+    dealt = dealt.select("key", "fp", "comp", "own", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("other"))
+    groups = dealt.groupBy("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list("fp").alias("fp"), F.collect_list("comp").alias("comp"))
+
+    def work(batches):
+        for batch in batches:
+            rows = [x for f, c in zip(batch.column(0), batch.column(1), strict=True) for x in joined(f.values.to_numpy().view(np.uint64), c.values.to_numpy(), radius)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    across = in_arrow(groups.select("fp", "comp"), "a long, b long", work)
+    return durable(pairs.unionByName(near).unionByName(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct())
+
+
+def with_few(rows: DataFrame, key: str, few: DataFrame) -> DataFrame:
+    """rows left joined with few on key, which few has once; few is broadcast if a count shows that it is small enough."""
+    return rows.join(sized(few), key, "left")
+
+
+#: Rows of one key from which on the key counts as hot.
+HOT = 1000
+
+
+def by_hot_key(rows: DataFrame, few: DataFrame, key: str) -> DataFrame:
+    """rows joined with few on key, which few has once with the number n of its rows; hot keys, at most one in HOT rows, are broadcast, so that no task gets one whole."""
+    hot = few.where(F.col("n") > HOT).drop("n")
+    if hot.isEmpty():
+        return rows.join(few.drop("n"), key)
+    hot = sized(hot)
+    return rows.join(hot, key).unionByName(rows.join(hot, key, "left_anti").join(few.where(F.col("n") <= HOT).drop("n"), key))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, root (the smallest node that it reaches), by rounds of large and small stars until nothing moves; edges: a, b of one orderable type.
 
-    Nodes of a hub are handled by aggregates and joins on the node, never gathered in a list."""
+    Neighbours of a hub are handled by aggregates and joins, never gathered in a list, and those of a hot hub by broadcast of the hub's one row."""
     e = durable(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct())
     mark = None
     for _ in range(ROUNDS):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("b"), F.col("m").alias("a")).distinct()
+        low = durable(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n")))
+        large = by_hot_key(both, low, "a").where("b > a").select(F.col("b").alias("b"), F.col("m").alias("a")).distinct()
         down = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(down, "b").select(F.col("m").alias("a"), "a", "b")
         small = small.toDF("m", "a", "b")
@@ -110,7 +197,7 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, most: int = 64) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id, n_links (other fingerprints that the search linked this one to directly)."""
     own = durable(fingerprints(docs))
-    classes = durable(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    classes = durable(own.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     edges = durable(links(classes.select("fp"), most=most))
     roots = components(edges)
     named = classes.join(roots.withColumnRenamed("node", "fp"), "fp").select("fp", "root", "least")
@@ -119,20 +206,23 @@ def near_duplicates(docs: DataFrame, most: int = 64) -> DataFrame:
     moved = named.unionByName(heads).select("fp", "root").distinct().join(ids, "root").select("fp", "component_id")
     degree = edges.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("n_links"))
     per_class = classes.join(moved, "fp", "left").join(degree, "fp", "left")
-    per_class = per_class.select("fp", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    return own.join(per_class, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_links")
+    per_class = per_class.select("fp", "n", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return by_hot_key(own, durable(per_class), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_links")
 
 
-def one_of_each(docs: DataFrame, most: int = 64) -> DataFrame:
-    """The rows of docs, with all their columns, that stay when one row of each component does: the first by doc_id (nulls last), size and hash of the text."""
+def one_of_each(docs: DataFrame, shingle: int = 2, radius: int = 8, most: int = 64) -> DataFrame:
+    """The rows of docs, with all their columns, that stay when one row of each component does: the first by doc_id (nulls last), size and hash of the text. Repeated rows become one."""
     key = {"_id": F.col("doc_id").cast("long"), "_size": text_bytes(), "_tie": F.xxhash64("text")}
     keyed = docs.select("doc_id", "text", *[v.alias(k) for k, v in key.items()])
-    own = durable(fingerprints(keyed, ["_size", "_tie"]).withColumn("key", F.struct(F.col("doc_id").isNull().alias("_none"), F.col("doc_id").alias("_id"), "_size", "_tie")).select("key", "fp"))
-    classes = durable(own.groupBy("fp", "key").agg(F.count("*").alias("n")).groupBy("fp").agg(F.min("key").alias("key"), F.max("n").alias("n")))
-    roots = components(durable(links(classes.select("fp"), most=most)))
-    rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-    chosen = rooted.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("key").alias("key")).select("key.*").drop("_none")
-    match = docs["doc_id"].cast("long").eqNullSafe(chosen["_id"]) & (key["_size"] == chosen["_size"]) & (key["_tie"] == chosen["_tie"])
-    kept = docs.join(chosen, match, "left_semi")
-    repeated = not classes.where("n > 1").isEmpty()
-    return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
+    order = F.struct(F.col("doc_id").isNull().alias("_none"), F.col("doc_id").alias("_id"), "_size", "_tie")
+    own = durable(fingerprints(keyed, ["_size", "_tie"], shingle, distinct=True).withColumn("key", order).select("key", "fp"))
+    once = durable(own.groupBy("fp", "key").agg(F.count("*").alias("n")))
+    classes = durable(once.groupBy("fp").agg(F.min("key").alias("least"), F.count("*").alias("n"), F.max("n").alias("copies")))
+    roots = durable(components(connections(classes.select("fp"), radius, most)).withColumnRenamed("node", "fp"))
+    rooted = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    chosen = durable(rooted.groupBy("root").agg(F.min("least").alias("kept"), F.count("*").alias("n")))
+    per_class = durable(by_hot_key(rooted.select("fp", "root", F.col("n").alias("rows")), chosen, "root").select("fp", "kept", F.col("rows").alias("n")))
+    lost = by_hot_key(once.select("fp", "key"), per_class, "fp").where(F.col("key") != F.col("kept")).select("key.*").drop("_none")
+    rows = docs if classes.where("copies > 1").isEmpty() else docs.dropDuplicates(["doc_id", "text"])
+    match = F.struct(*[v.alias(k) for k, v in key.items()]) == F.col("_lost")  # structs are equal where both have nulls
+    return rows.join(sized(durable(lost.select(F.struct("_id", "_size", "_tie").alias("_lost")))), match, "left_anti")

@@ -24,24 +24,93 @@ def documents(spark):
 
 
 # --- 1
+def plain_log_p(net, sides, leaf):
+    """One word's log-probability, number by number."""
+    x = [[sum(float(net.places[o, d]) * float(net.vectors[s, d]) for o, s in enumerate(sides)) + float(net.bias[d]) for d in range(lm_score.WIDTH)]]
+    h = np.tanh(np.array(x[0]))
+    softmax = lambda z: np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+    k, m = divmod(leaf, lm_score.MEMBERS)
+    of_class = softmax(np.array([h @ net.classes[:, c].astype(float) + float(net.class_bias[c]) for c in range(lm_score.CLASSES)]))
+    of_member = softmax(h @ net.members[k].astype(float) + net.member_bias[k].astype(float))
+    return np.log(of_class[k]) + np.log(of_member[m])
+
+
 @needs_data
-def test_pseudo_likelihood_sums_to_one_and_prefers_the_corpus(spark, documents):
+def test_pseudo_likelihood_against_a_plain_forward_pass(spark, documents):
     model = lm_score.build(documents)
-    assert np.allclose(np.exp(model.logs).sum(axis=2), 1)
-    by_class = np.zeros(lm_score.CLASSES)
-    for w, x in model.within.items():
-        by_class[model.classes.of(w)] += np.exp(x)
-    assert np.allclose(by_class + np.exp(model.rest), 1)
     text = next(r["text"] for r in documents.where("length(text) > 500").orderBy("doc_id").limit(1).collect())
     words = text.split()
     random.Random(1).shuffle(words)
-    two = spark.createDataFrame([(1, text), (2, " ".join(words))], "doc_id long, text string")
+    two = spark.createDataFrame([(1, text), (2, " ".join(words)), (3, text), (4, "Two words")], "doc_id long, text string")
     got = {r["doc_id"]: r for r in lm_score.score(two, model).collect()}
-    assert got[1]["log_likelihood"] > got[2]["log_likelihood"] and got[1]["n_words"] == got[2]["n_words"]
-    ids = [model.row(w) for w in lm_score.words_of(text.encode())]
-    edge = lm_score.EDGE
-    plain = sum(model.logs[ids[i - 1][0] if i else edge, ids[i + 1][0] if i + 1 < len(ids) else edge, k] + x for i, (k, x) in enumerate(ids))
-    assert got[1]["log_likelihood"] == pytest.approx(plain, rel=1e-5)
+    assert got[1]["log_likelihood"] > got[2]["log_likelihood"] and got[1]["n_words"] == got[2]["n_words"] and got[1]["log_likelihood"] == pytest.approx(got[3]["log_likelihood"], rel=1e-6)
+    for i, t in ((1, text), (4, "Two words")):
+        ws = lm_score.words_of(t.encode())
+        ids = [model.words.own.get(w, lm_score.bucket_of(w)) for w in ws]
+        padded = [lm_score.EDGE] * 3 + ids + [lm_score.EDGE] * 3
+        rest = sum(float(model.words.spelling([w])[0]) for w in ws if w not in model.words.own)
+        plain = rest + sum(plain_log_p(model.net, padded[k : k + 3] + padded[k + 4 : k + 7], x) for k, x in enumerate(ids))
+        assert got[i]["log_likelihood"] == pytest.approx(plain, rel=1e-4) and got[i]["n_words"] == len(ws)
+    sides = np.random.default_rng(0).integers(0, lm_score.LEAVES + 1, (2, 6))
+    every = [model.net.log_p(np.repeat(sides[i : i + 1], lm_score.LEAVES, axis=0), np.arange(lm_score.LEAVES)).astype(float) for i in range(2)]
+    assert np.allclose([np.exp(x).sum() for x in every], 1, atol=1e-3)
+
+
+@needs_data
+def test_held_out_perplexity_is_below_that_of_word_shares(documents):
+    train = documents.where("doc_id % 5 <> 0")
+    words = lm_score.vocabulary(train)
+    net = lm_score.train(lm_score.durable(lm_score.leaves(train, words)), words.shares)
+    rows = lm_score.leaves(documents.where("doc_id % 5 = 0"), words)
+    score = lambda n: lm_score.score_leaves(rows, n).agg({"log_likelihood": "sum", "n_words": "sum"}).first()
+    unigram, trained = score(lm_score.start(words.shares)), score(net)
+    gain = (trained["sum(log_likelihood)"] - unigram["sum(log_likelihood)"]) / trained["sum(n_words)"]
+    start = lm_score.start(words.shares)
+    sides = np.full((50, 6), 7)
+    assert np.allclose(start.log_p(sides, np.arange(50)), np.log(words.shares[:50]), atol=0.5)
+    assert gain > 0.5  # nats a word: perplexity falls by 40 % or more
+
+
+def test_gradients_of_the_word_network():
+    g = np.random.default_rng(0)
+    shares = g.random(lm_score.LEAVES)
+    net = lm_score.start(shares / shares.sum())
+    for k in ("vectors", "places", "bias", "classes", "members"):
+        setattr(net, k, getattr(net, k).astype(np.float64))
+    sides, leaf = g.integers(0, lm_score.LEAVES + 1, (40, 6)), g.integers(0, lm_score.LEAVES, 40)
+    slopes = {}
+    net.log_p(sides, leaf, slopes)
+    for k, at in {"vectors": (sides[0, 0], 3), "places": (2, 1), "bias": (4,), "classes": (1, leaf[0] // 96), "class_bias": (leaf[0] // 96,), "members": (leaf[0] // 96, 2, leaf[0] % 96), "member_bias": (leaf[0] // 96, leaf[0] % 96)}.items():
+        x = getattr(net, k)
+        old, losses = x[at], []
+        for d in (1e-2, -1e-2):
+            x[at] = old + d
+            losses.append(-net.log_p(sides, leaf).astype(np.float64).mean())
+        x[at] = old
+        assert (losses[0] - losses[1]) / 2e-2 == pytest.approx(slopes[k][at], abs=2e-4), k
+
+
+def test_spelling_sums_to_one():
+    words = [b"ab", b"cab", b"a", b"bb", b"abab"]
+    pairs, size = lm_score.pairs_of(words)
+    assert [p.tolist() for p in np.split(pairs, np.cumsum(size)[:-1])] == [[(a << 8) + b for a, b in zip(b"\0" + w, w)] for w in words]
+    ends = np.bincount(pairs[np.cumsum(size) - 1], minlength=65536)
+    s = lm_score.spelling(np.bincount(pairs, minlength=65536), ends)
+    assert np.allclose(np.exp(s.before).reshape(256, 256).sum(axis=0), 1)
+    w = b"cab"
+    assert s([w])[0] == pytest.approx(s.ending[(97 << 8) + 98] + s.before[(99 << 8) + 97] + s.before[99], rel=1e-9)
+    bucket = [lm_score.bucket_of(bytes([a, b]) if a else bytes([b])) for a in range(256) for b in range(256)]
+    assert np.allclose(np.bincount(np.array(bucket) - lm_score.OWN, np.exp(s.ending))[list(set(np.array(bucket) - lm_score.OWN))], 1)
+
+
+def test_every_fourth_word_is_a_target_in_one_round():
+    lists = [np.arange(50) + 100 * k for k in range(3)] + [np.zeros(0, np.int64)]
+    flat, places, owner = lm_score.windows(lists)
+    assert (flat[places] == np.concatenate(lists)).all() and flat[places[0] + lm_score.OFFSETS].tolist() == [lm_score.EDGE] * 3 + [1, 2, 3]
+    rounds = [set(lm_score.targets(lists, t)[1].tolist()) for t in range(lm_score.ROUNDS)]
+    every = set.union(*rounds)
+    assert all(rounds) and len(every) == sum(map(len, rounds))
+    assert all(len(every & set(range(100 * k + i, 100 * k + i + lm_score.EVERY))) == 1 for k in range(3) for i in range(0, 48, lm_score.EVERY))
 
 
 def test_counts_are_those_of_all_words(spark):
@@ -201,6 +270,54 @@ def test_links_of_crowded_fingerprints(spark, most):
     assert {number[v]: number[roots.get(v, v)] for v in signed} == want
 
 
+@pytest.mark.parametrize(("most", "block"), [(3, 8), (64, 2048)])
+@pytest.mark.parametrize("radius", [2, 5, 8])
+def test_connections_within_a_wider_radius(spark, most, block, radius):
+    rng = random.Random(6)
+    seeds = [rng.getrandbits(64) for _ in range(5)]
+    values = sorted({s ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(13))) for s in seeds for _ in range(50)} | {rng.getrandbits(64) for _ in range(100)})
+    signed = [v - (1 << 64) if v >> 63 else v for v in values]
+    edges = simhash.connections(spark.createDataFrame([(v,) for v in signed], "fp long"), radius, most, block)
+    roots = {r["node"]: r["root"] for r in simhash.components(edges).collect()}
+    up = {v: v for v in sorted(signed)}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, a in enumerate(signed):
+        for b in signed[:i]:
+            if ((a ^ b) % (1 << 64)).bit_count() <= radius:
+                x, y = root(a), root(b)
+                up[max(x, y)] = min(x, y)
+    assert {v: root(v) for v in signed} == {v: roots.get(v, v) for v in signed} and len(set(map(root, signed))) > 100
+
+
+def test_hot_keys_are_joined_by_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HOT", 10)
+    rows = spark.createDataFrame([(i % 7 if i % 2 else 9, i) for i in range(200)], "k long, v long")
+    few = rows.groupBy("k").count().withColumnRenamed("count", "n").selectExpr("k", "n", "k * 2 AS w")
+    got = sorted((r["k"], r["v"], r["w"]) for r in simhash.by_hot_key(rows, few, "k").collect())
+    assert got == sorted((k, v, 2 * k) for k, v in ((i % 7 if i % 2 else 9, i) for i in range(200)))
+
+
+@needs_data
+def test_near_copies_go(spark, documents):
+    texts = [(r["doc_id"], r["text"]) for r in documents.where("length(text) between 600 and 4000").orderBy("doc_id").limit(60).collect()]
+    rng, rows = random.Random(3), []
+    for i, t in texts:
+        words = t.split()
+        for k in range(30, len(words), 60):
+            words[k] = f"other{rng.randrange(1000)}"
+        rows += [(i, t), (i + 1_000_000, " ".join(words))]
+    sets = {i: {tuple(t.lower().split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    alike = {i for i, _ in texts if len(sets[i] & sets[i + 1_000_000]) >= 0.8 * len(sets[i] | sets[i + 1_000_000])}
+    kept = {r["doc_id"] for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    gone = sum(i + 1_000_000 not in kept for i in alike)
+    assert len(alike) > 30 and gone >= 0.95 * len(alike)
+
+
 # --- 6
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var x="</p><p>no</p>";</script></head><body class="has-sidebar">
 <header><a href="/">Site</a></header><nav><ul><li>Menu</li></ul></nav><div class="cookie-notice">We use cookies</div><div id="ad-1">Buy</div>
