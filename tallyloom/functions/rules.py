@@ -156,6 +156,12 @@ def commit_description(message: Column) -> Column:
     return F.when(commit_type(message) != "", d).otherwise(F.trim(message))
 
 
+def commit_scope(message: Column) -> Column:
+    """What stands in brackets behind the type, or null."""
+    x = F.trim(F.regexp_extract(F.trim(message), COMMIT, 2))
+    return F.when(x != "", x)
+
+
 def work_mode(message: Column, insertions: Column, deletions: Column) -> Column:
     text = F.concat(commit_description(message), F.lit(" "), message)
     ratio = insertions / F.greatest(deletions, F.lit(1))

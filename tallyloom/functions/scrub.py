@@ -32,6 +32,8 @@ SECRETS = (
     (B + r"(?:4[0-9]{3}(?:[ -]?[0-9]{4}){3}|5[1-5][0-9]{2}(?:[ -]?[0-9]{4}){3}|6(?:011|5[0-9]{2})(?:[ -]?[0-9]{4}){3}|3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5}|3(?:0[0-5]|[68][0-9])[0-9][ -]?[0-9]{6}[ -]?[0-9]{4})" + E, "[CREDIT_CARD_REDACTED]"),
     (B + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + E, "[SSN_REDACTED]"),
 )
+#: The first pattern in a form that looks at each word once: where it can begin is said first, and that an equals sign follows.
+BY_WORD = SECRETS[0][0].replace(r"(?:export\s+)?", r"(?:export\s+|(?<![A-Za-z0-9_]))(?=[A-Za-z0-9_]++\s*+=)")
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)"
 IP = B + rf"(?:{OCTET}\.){{3}}{OCTET}" + E
 HOME = r"(?:/Users/[^/\s]+|/home/[^/\s]+)"
@@ -44,7 +46,7 @@ def apply(text: Column, rules) -> Column:
 
 
 def secrets(text: Column) -> Column:
-    return apply(text, SECRETS)
+    return apply(text, ((BY_WORD, SECRETS[0][1]), *SECRETS[1:]))
 
 
 def ips(text: Column) -> Column:
@@ -72,3 +74,13 @@ def leaks(column: Column) -> Column:
     """How many spans of secrets a text still has; those with 'test' or 'fake' in them, and what is already redacted, don't count."""
     found = F.concat(*[F.regexp_extract_all(column, F.lit(p), F.lit(0)) for p, _ in SECRETS[1:]])
     return F.size(F.filter(found, lambda x: ~F.lower(x).rlike(r"test|fake|\[redacted")))
+
+
+#: Names of tools that a text of tier 4 must not have.
+TOOLS = ("github", "npm", "git", "slack", "aws", "docker", "kubernetes", "jenkins", "gitlab", "bitbucket", "jira", "notion", "asana", "postgresql", "mysql", "mongodb", "redis", "elasticsearch", "terraform", "ansible", "vagrant", "docker-compose")
+
+
+def tier_violations(column: Column) -> Column:
+    """What a text of tier 4 has that it must not: of urls, paths, tools."""
+    kinds = {"urls": r"(?i)https?://\S+", "paths": r"/\S+|[A-Z]:\\\S+", "tools": f"(?i){B}(?:{'|'.join(TOOLS)}){E}"}
+    return F.filter(F.array(*[F.when(column.rlike(p), F.lit(k)) for k, p in kinds.items()]), lambda x: x.isNotNull())

@@ -60,13 +60,28 @@ def sanitize(url: Column) -> Column:
     return F.when(is_valid(url) & scheme(url).startswith("http"), web).when(other != "", F.concat(other, F.lit(":[REDACTED]"))).otherwise("[INVALID_URL]")
 
 
-def display(url: Column, limit: int = 120) -> Column:
-    """Without tracking parameters and fragment, cut to the limit."""
+#: Hosts of links that hide where they lead, and what they are called.
+WRAPPERS = (
+    (r"\.hubspotlinks\.com$", "HubSpot tracking link"), (r"\.hs-email\.net$", "HubSpot tracking link"), (r"\.sidekickopen[0-9]*\.com$", "HubSpot tracking link"), (r"\.na[0-9]+\.hs-sales-engage\.com$", "HubSpot tracking link"),
+    (r"safelinks\.protection\.outlook\.com$", "Outlook SafeLink"), (r"urldefense\.proofpoint\.com$", "Proofpoint link"), (r"urldefense\.com$", "Proofpoint link"), (r"url[0-9]*\.mimecastprotect\.com$", "Mimecast link"),
+    (r"\.sendgrid\.net$", "SendGrid tracking link"), (r"click\.mailchimp\.com$", "Mailchimp tracking link"), (r"mandrillapp\.com$", "Mandrill tracking link"), (r"click\.marketo\.com$", "Marketo tracking link"),
+    (r"tracking\.constantcontact\.com$", "Constant Contact link"), (r"click\.convertkit-mail\.com$", "ConvertKit link"),
+    (r"^t\.co$", "Twitter/X short link"), (r"^bit\.ly$", "bit.ly short link"), (r"^ow\.ly$", "Hootsuite short link"), (r"^buff\.ly$", "Buffer short link"), (r"^tinyurl\.com$", "TinyURL link"),
+)
+
+
+def display(url: Column, limit: int = 120, least: int = 30) -> Column:
+    """A hiding link's host and kind; else the URL without tracking parameters and fragment, cut at the last ?, & or / beyond `least` characters if it is longer than the limit."""
+    name = F.lower(part(url, 2))
+    kind = F.coalesce(*[F.when(name.rlike(p), F.lit(label)) for p, label in WRAPPERS])
     base = F.regexp_extract(F.coalesce(url, F.lit("")), "^([^?#]*)", 1)
     query = F.regexp_extract(F.coalesce(url, F.lit("")), r"\?([^#]*)", 1)
     kept = F.filter(F.split(query, "&"), lambda x: (x != "") & ~F.lower(F.substring_index(x, "=", 1)).isin(*TRACKING))
     whole = F.when(F.size(kept) > 0, F.concat(base, F.lit("?"), F.array_join(kept, "&"))).otherwise(base)
-    return F.when(F.length(whole) > limit, F.concat(F.substring(whole, 1, limit - 1), F.lit("…"))).otherwise(whole)
+    back = F.reverse(F.substring(whole, 1, limit + 1))
+    at = lambda mark: F.when(F.locate(mark, back) > 0, F.length(back) - F.locate(mark, back))
+    cut = F.coalesce(*[F.when(at(m) > least, at(m)) for m in "?&/"], F.lit(limit))
+    return F.when(is_valid(url) & kind.isNotNull(), F.concat(name, F.lit(" ["), kind, F.lit("]"))).when(F.length(whole) > limit, F.concat(F.substring(whole, F.lit(1), cut), F.lit("…"))).otherwise(whole)
 
 
 def suffixes(name: Column) -> Column:

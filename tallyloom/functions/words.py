@@ -24,10 +24,8 @@ SEPARATORS = r"\s+[|—–·»]\s+|\s+-\s+"
 
 def clean_title(title: Column) -> Column:
     """Without the site's brand, the longest part between separators (the first among equals); empty if it has no content."""
-    bare = F.coalesce(title, F.lit(""))
-    for i, brand in enumerate(BRANDS):
-        cut = F.trim(F.substring(title, 1, F.length(title) - len(brand)))
-        bare = F.when(title.endswith(brand), cut).otherwise(bare) if i == 0 else F.when(title.endswith(brand) & ~F.coalesce(*[F.when(title.endswith(b), F.lit(True)) for b in BRANDS[:i]], F.lit(False)), cut).otherwise(bare)
+    brand = F.coalesce(*[F.when(title.endswith(b), F.lit(len(b))) for b in BRANDS])  # no brand ends in another
+    bare = F.when(brand.isNotNull(), F.trim(F.substring(title, F.lit(1), F.length(title) - brand))).otherwise(F.coalesce(title, F.lit("")))
     parts = F.transform(F.split(bare, SEPARATORS), lambda x: F.trim(x))
     longest = F.aggregate(parts, F.lit(""), lambda best, x: F.when(F.length(x) > F.length(best), x).otherwise(best))
     return F.when(longest.isin(*NOISE_TITLES) | (F.length(longest) < 5), "").otherwise(longest)
@@ -108,3 +106,30 @@ def hour_label(hour: Column) -> Column:
 
 def iso_week(day: Column) -> Column:
     return F.concat(F.extract(F.lit("YEAROFWEEK"), day).cast("string"), F.lit("-W"), F.lpad(F.weekofyear(day).cast("string"), 2, "0"))
+
+
+def escape_markdown(text: Column) -> Column:
+    """For a list item or paragraph: no terminal colours, tags, accidental #tags or fields::."""
+    x = F.regexp_replace(text, r"\x1b\[[0-9;]*[A-Za-z]", "")
+    x = F.replace(F.replace(x, F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    x = F.regexp_replace(x, r"(^|[\s(\[])#(?=[A-Za-z])", r"$1\\#")
+    return F.replace(x, F.lit("::"), F.lit(":\u200b:"))
+
+
+def escape_link_text(text: Column) -> Column:
+    return F.regexp_replace(escape_markdown(text), r"([\[\]])", r"\\$1")
+
+
+def escape_table_cell(text: Column) -> Column:
+    return F.replace(escape_markdown(text), F.lit("|"), F.lit("\\|"))
+
+
+def escape_inline(text: Column) -> Column:
+    """For text between markers of bold or italics."""
+    return F.regexp_replace(text, r"[*_`\[\]]", "")
+
+
+def quote_yaml(value: Column) -> Column:
+    """In double quotes if it has a character that YAML gives a meaning."""
+    special = value.rlike(r"""[:{}\[\]#&*!|>'"%@`,?\r\n]""") | value.contains("---")
+    return F.when(special, F.concat(F.lit('"'), F.replace(value, F.lit('"'), F.lit('\\"')), F.lit('"'))).otherwise(value)

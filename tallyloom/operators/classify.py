@@ -13,23 +13,23 @@ from ..functions import rules, urls
 RAW = "seq long, us long, source string, text string, category string, domain string"
 
 
-def raw_visits(visits: DataFrame) -> DataFrame:
+def raw_visits(visits: DataFrame, more: list[str] = []) -> DataFrame:  # noqa: B006
     """visits with a category."""
     host = urls.host(F.col("url"))
-    return visits.select("seq", "us", F.lit("browser").alias("source"), F.concat(host, F.lit(" - "), F.substring("title", 1, 80)).alias("text"), F.coalesce("category", F.lit("other")).alias("category"), host.alias("domain"))
+    return visits.select("seq", "us", F.lit("browser").alias("source"), F.concat(host, F.lit(" - "), F.substring("title", 1, 80)).alias("text"), F.coalesce("category", F.lit("other")).alias("category"), host.alias("domain"), *more)
 
 
-def raw_searches(searches: DataFrame) -> DataFrame:
-    return searches.select("seq", "us", F.lit("search").alias("source"), F.concat(F.lit('"'), "query", F.lit('" ('), "engine", F.lit(")")).alias("text"), F.lit(None).cast("string").alias("category"), F.lit(None).cast("string").alias("domain"))
+def raw_searches(searches: DataFrame, more: list[str] = []) -> DataFrame:  # noqa: B006
+    return searches.select("seq", "us", F.lit("search").alias("source"), F.concat(F.lit('"'), "query", F.lit('" ('), "engine", F.lit(")")).alias("text"), F.lit(None).cast("string").alias("category"), F.lit(None).cast("string").alias("domain"), *more)
 
 
-def raw_prompts(prompts: DataFrame) -> DataFrame:
-    return prompts.select("seq", "us", F.lit("claude").alias("source"), F.substring("prompt", 1, 150).alias("text"), F.lit(None).cast("string").alias("category"), F.lit(None).cast("string").alias("domain"))
+def raw_prompts(prompts: DataFrame, more: list[str] = []) -> DataFrame:  # noqa: B006
+    return prompts.select("seq", "us", F.lit("claude").alias("source"), F.substring("prompt", 1, 150).alias("text"), F.lit(None).cast("string").alias("category"), F.lit(None).cast("string").alias("domain"), *more)
 
 
-def raw_commits(commits: DataFrame) -> DataFrame:
+def raw_commits(commits: DataFrame, more: list[str] = []) -> DataFrame:  # noqa: B006
     text = F.concat("repo", F.lit(": "), "message", F.lit(" (+"), F.col("insertions").cast("string"), F.lit("/-"), F.col("deletions").cast("string"), F.lit(")"))
-    return commits.select("seq", "us", F.lit("git").alias("source"), text.alias("text"), F.lit(None).cast("string").alias("category"), F.lit(None).cast("string").alias("domain"))
+    return commits.select("seq", "us", F.lit("git").alias("source"), text.alias("text"), F.lit(None).cast("string").alias("category"), F.lit(None).cast("string").alias("domain"), *more)
 
 
 def by_rules(raw: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from itertools import chain
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -51,33 +54,47 @@ def cluster_intent(members: DataFrame) -> DataFrame:
 def greedy(visits: DataFrame, keys: list[str], gap_minutes: int, similarity: float) -> DataFrame:
     """keys, seq, cluster (from 0): in order of time, a visit joins the first cluster whose last visit is near enough and whose mean vector is similar enough, else opens one.
 
-    Each step depends on the one before, so each group (a user and day) is one call; the mean vectors are kept as sums."""
+    Each step depends on the one before, so each group (a user and day) is one call. The mean vectors are kept as sums, found by their terms; a cluster that time has left behind is
+    never looked at again, so a visit costs what it shares with the clusters of the last minutes."""
+    if similarity <= 0:
+        raise ValueError("clusters are found by the terms that they share: the similarity must be above 0")
     gap = gap_minutes * 60_000_000
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["us", "seq"])
-        docs = [list(x) for x in pdf["terms"]]
-        df: dict[str, int] = {}
-        for d in docs:
-            for t in set(d):
-                df[t] = df.get(t, 0) + 1
-        clusters: list[dict] = []
+        docs = [Counter(x) for x in pdf["terms"]]
+        df = Counter(chain.from_iterable(docs))
+        idf = {t: 1 + np.log(len(docs) / n) for t, n in df.items()}
+        sums: list[dict[str, float]] = []
+        last: list[int] = []
+        norms: list[float] = []
+        holders: dict[str, dict[int, None]] = {}  # of each term the clusters that have it
         out = []
-        for us, d in zip(pdf["us"], docs, strict=True):
-            kinds = sorted(set(d))
-            v = {t: d.count(t) / len(kinds) * (1 + np.log(len(docs) / df[t])) for t in kinds}
+        for us, d in zip(pdf["us"].tolist(), docs, strict=True):
+            v = {t: d[t] / len(d) * idf[t] for t in sorted(d)}
             size = np.sqrt(sum(x * x for x in v.values()))
-            for i, c in enumerate(clusters):
-                dot = sum(x * c["sum"].get(t, 0.0) for t, x in v.items())
-                norm = size * np.sqrt(sum(x * x for x in c["sum"].values()))
-                if us - c["last"] <= gap and (dot / norm if norm else 0.0) >= similarity:
+            near = set()
+            for t in v:
+                have = holders.get(t, {})
+                left = [i for i in have if us - last[i] > gap]
+                for i in left:
+                    del have[i]
+                near.update(have)
+            for i in sorted(near):
+                dot = sum(x * sums[i].get(t, 0.0) for t, x in v.items())
+                norm = size * norms[i]
+                if (dot / norm if norm else 0.0) >= similarity:
                     break
             else:
-                i = len(clusters)
-                clusters.append({"sum": {}})
-            clusters[i]["last"] = us
+                i = len(sums)
+                sums.append({})
+                last.append(us)
+                norms.append(0.0)
+            last[i] = us
             for t, x in v.items():
-                clusters[i]["sum"][t] = clusters[i]["sum"].get(t, 0.0) + x
+                sums[i][t] = sums[i].get(t, 0.0) + x
+                holders.setdefault(t, {})[i] = None
+            norms[i] = np.sqrt(sum(x * x for x in sums[i].values()))
             out.append(i)
         return pdf[[*keys, "seq"]].assign(cluster=out)
 

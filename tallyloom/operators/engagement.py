@@ -10,16 +10,17 @@ from . import joins
 
 
 def linked_urls(searches: DataFrame, visits: DataFrame, minutes: int, key: list[str]) -> DataFrame:
-    """URLs visited in the minutes after a search, once each."""
-    return joins.band(searches.select("us", *key), visits.select("us", "url", *key), key, minutes * 60_000_000).select(F.col("r_url").alias("url")).distinct()
+    """key, url: URLs visited in the minutes after a search of the same key, once each."""
+    return joins.band(searches.select("us", *key), visits.select("us", "url", *key), key, minutes * 60_000_000).select(*[F.col(f"r_{k}").alias(k) for k in key], F.col("r_url").alias("url")).distinct()
 
 
-def scores(visits: DataFrame, linked: DataFrame) -> DataFrame:
-    """visits with engagement: a long title, a revisit, a search before and technical terms count."""
+def scores(visits: DataFrame, linked: DataFrame, key: list[str] = []) -> DataFrame:  # noqa: B006
+    """visits with engagement: a long title, a revisit (of the same key), a search before and technical terms count."""
     title = words.clean_title(F.col("title"))
     n_words = F.size(F.filter(F.split(title, r"\s+"), lambda w: w != ""))
-    seen = visits.groupBy("url").agg(F.count("*").alias("_n"))
-    rows = visits.join(seen, "url").join(linked.withColumn("_linked", F.lit(True)), "url", "left")
+    seen = visits.groupBy(*key, "url").agg(F.count("*").alias("_n"))
+    marks = seen.join(linked.withColumn("_linked", F.lit(True)), [*key, "url"], "left")  # one row for each URL, so a hot one meets its visits by broadcast if they are few
+    rows = visits.join(joins.sized(marks), [*key, "url"])
     part = lambda c, x: F.when(c, x).otherwise(0.0)
     total = part(n_words >= 5, 0.25) + part(F.col("_n") > 1, 0.20) + part(F.col("_linked").isNotNull(), 0.25) + part(title.rlike(rules.TECHNICAL), 0.15)
     return rows.withColumn("engagement", F.least(F.lit(1.0), total)).drop("_n", "_linked")

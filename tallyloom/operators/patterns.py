@@ -45,21 +45,30 @@ def pairs(df: DataFrame, keys: list[str], items: str) -> DataFrame:
     return left.select(*keys, "a", F.explode(F.filter(F.array_distinct(items), lambda x: x > F.col("a"))).alias("b"))
 
 
-def cooccurrences(windowed: DataFrame, keys: list[str], top: int | None = 20) -> DataFrame:
-    """a, b, shared (windows with both), strength (share of the largest), first_us; windowed: keys, window, anchor_us, topics. Windows of one event don't count.
+def first_of_each(df: DataFrame, by: list[str], order: list, top: int | None) -> DataFrame:
+    """The top rows of each key (of all, without keys)."""
+    if top is None:
+        return df
+    if not by:
+        return df.orderBy(*order).limit(top)
+    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_n") <= top).drop("_n")
+
+
+def cooccurrences(windowed: DataFrame, keys: list[str], top: int | None = 20, by: list[str] = []) -> DataFrame:  # noqa: B006
+    """by (some of the keys, each with its own pairs), a, b, shared (windows with both), strength (share of the largest), first_us; windowed: keys, window, anchor_us, topics. Windows of one event don't count.
 
     A window's topics are distinct before pairing, so a window makes no more pairs than topics allow."""
     whole = windowed.groupBy(*keys, "window").agg(F.count("*").alias("n"), F.min("anchor_us").alias("anchor_us"), F.array_distinct(F.flatten(F.collect_set("topics"))).alias("topics")).where("n > 1")
-    counts = pairs(whole, ["anchor_us"], "topics").groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("anchor_us").alias("first_us"))
-    out = counts.withColumn("strength", F.col("shared") / F.max("shared").over(Window.partitionBy(F.lit(1))))
-    return out if top is None else out.orderBy(F.desc("shared"), "first_us", "a", "b").limit(top)
+    counts = pairs(whole, [*by, "anchor_us"], "topics").groupBy(*by, "a", "b").agg(F.count("*").alias("shared"), F.min("anchor_us").alias("first_us"))
+    out = counts.withColumn("strength", F.col("shared") / F.max("shared").over(Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))))
+    return first_of_each(out, by, [F.desc("shared"), "first_us", "a", "b"], top)
 
 
-def entity_relations(events: DataFrame, least: int = 3, top: int | None = 15) -> DataFrame:
-    """a, b, n (events with both), contexts: pairs with enough support that aren't unknown throughout."""
-    out = pairs(events, ["activity_type"], "entities").groupBy("a", "b").agg(F.count("*").alias("n"), F.sort_array(F.collect_set("activity_type")).alias("contexts"))
+def entity_relations(events: DataFrame, least: int = 3, top: int | None = 15, by: list[str] = []) -> DataFrame:  # noqa: B006
+    """by, a, b, n (events with both), contexts: pairs with enough support that aren't unknown throughout."""
+    out = pairs(events, [*by, "activity_type"], "entities").groupBy(*by, "a", "b").agg(F.count("*").alias("n"), F.sort_array(F.collect_set("activity_type")).alias("contexts"))
     out = out.where((F.col("n") >= least) & ~F.forall("contexts", lambda c: c == "unknown"))
-    return out if top is None else out.orderBy(F.desc("n"), "a", "b").limit(top)
+    return first_of_each(out, by, [F.desc("n"), "a", "b"], top)
 
 
 def novel_entities(entities: DataFrame, topics: DataFrame, longest: int = 10_000) -> DataFrame:

@@ -20,9 +20,9 @@ def two_levels(df: DataFrame, outer: str, inner: str, top: int) -> DataFrame:
     return counts.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= top).drop("_n").join(totals, outer)
 
 
-def budget_shares(counts: DataFrame, budget: int) -> DataFrame:
-    """source, n, share: a floor for each active source, the rest in proportion."""
-    whole = Window.partitionBy(F.lit(1))
+def budget_shares(counts: DataFrame, budget: int, keys: list[str] = []) -> DataFrame:  # noqa: B006
+    """keys, source, n, share: a floor for each active source, the rest in proportion."""
+    whole = Window.partitionBy(*(keys or [F.lit(1)]))
     active = F.count_if(F.col("n") > 0).over(whole)
     floor = F.least(F.floor(F.lit(budget) * 0.1), F.floor(F.lit(budget) / active))
     share = floor + F.floor((F.lit(budget) - active * floor) * F.col("n") / F.sum("n").over(whole) + 0.5)
@@ -82,8 +82,24 @@ def merge_fields(generated: DataFrame, saved: DataFrame, key: str, value: str) -
     return g.join(s, key, "full").select(key, F.coalesce("_s", "_g").alias(value))
 
 
-def markdown(rows: DataFrame, title: str) -> str:
-    """A small result as a markdown table."""
-    got = rows.collect()
+def markdown(rows: DataFrame, title: str, most: int = 1000) -> str:
+    """A small result as a markdown table; a larger one is refused."""
+    got = rows.limit(most + 1).collect()
+    if len(got) > most:
+        raise ValueError(f"{title}: more than {most} rows are no small result")
     head = [f"## {title}", "", "| " + " | ".join(rows.columns) + " |", "|" + "---|" * len(rows.columns)]
     return "\n".join(head + ["| " + " | ".join(str(x).replace("|", "\\|").replace("\n", " ") for x in r) + " |" for r in got])
+
+
+def compressed(events: DataFrame, budget: int) -> DataFrame:
+    """source, level, body of events (source, part, line), each source within its share of the budget in tokens: all lines, else its parts with their counts, else its count alone.
+
+    What a form would cost is summed first, so only lines that fit the budget are ever gathered."""
+    cost = lambda c: F.ceil((F.sum(F.length(c) + 1) - 1) / 4)
+    lines = events.groupBy("source").agg(F.count("*").alias("n"), cost("line").alias("full"))
+    parts = events.groupBy("source", "part").agg(F.count("*").alias("k")).withColumn("line", F.concat("part", F.lit(": "), F.col("k").cast("string")))
+    level = F.when(F.col("full") <= F.col("share"), "full").when(F.col("grouped") <= F.col("share"), "grouped").otherwise("count")
+    plan = budget_shares(lines, budget).join(parts.groupBy("source").agg(cost("line").alias("grouped")), "source").withColumn("level", level).select("source", "n", "level")
+    chosen = events.select("source", "line", F.lit("full").alias("level")).unionByName(parts.select("source", "line", F.lit("grouped").alias("level"))).join(F.broadcast(plan), ["source", "level"])  # a row for each source
+    body = chosen.groupBy("source").agg(F.array_join(F.sort_array(F.collect_list("line")), "\n").alias("body"))
+    return plan.join(body, "source", "left").select("source", "level", F.coalesce("body", F.concat(F.col("n").cast("string"), F.lit(" events"))).alias("body"))

@@ -34,3 +34,12 @@ def update(history: DataFrame, topics: DataFrame, day: Column) -> DataFrame:
     kept = F.sort_array(F.filter(days, lambda d: d >= F.date_sub(day, KEPT_DAYS)))
     kept = F.when(F.size(kept) > KEPT_DAYS, F.slice(kept, -KEPT_DAYS, KEPT_DAYS)).otherwise(kept)
     return both.select("topic", F.least("first_seen", "_day").alias("first_seen"), F.greatest("last_seen", "_day").alias("last_seen"), (F.coalesce("day_count", F.lit(0)) + new.cast("int")).alias("day_count"), kept.alias("recent_days"))
+
+
+#: What a report of recurring topics begins with.
+TRENDS = ("new", "returning", "rising", "stable", "declining")
+
+
+def by_trend(signals: DataFrame) -> list[Column]:
+    """The order of a report: new and returning topics first, then the more frequent."""
+    return [F.array_position(F.array(*map(F.lit, TRENDS)), F.col("trend")), F.desc("frequency"), F.col("topic")]

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import rules, words
+
 
 def gap_sessions(df: DataFrame, keys: list[str], minutes: int, by_day: bool = True) -> DataFrame:
     """df with session (from 1 in each key): a new one when the gap exceeds the minutes, or the day changes. A missing time never splits."""
@@ -33,36 +35,71 @@ def hour_islands(events: DataFrame, keys: list[str]) -> DataFrame:
     return out.drop("_island")
 
 
+def described_islands(islands: DataFrame, events: DataFrame, keys: list[str], most: int = 5) -> DataFrame:
+    """islands with topics, entities (of their hours' events, in the order in which they come, the first few), intensity (events an hour) and label.
+
+    Topics and entities are combined by name before they are gathered: a list has one entry for each name, not for each event."""
+    hours = islands.withColumn("hour", F.explode(F.sequence("hour_start", "hour_end"))).select(*keys, "hour", "activity_type", "hour_start")
+    at = [*keys, "activity_type", "hour_start"]
+    mine = events.select(*keys, "hour", "us", "seq", "topics", "entities").join(hours, [*keys, "hour"])
+
+    def named(column: str) -> DataFrame:
+        first = mine.select(*at, "us", "seq", F.posexplode(column).alias("i", "name")).groupBy(*at, "name").agg(F.min(F.struct("us", "seq", "i")).alias("first"))
+        return first.groupBy(*at).agg(F.sort_array(F.collect_list(F.struct("first", "name"))).alias("x")).select(*at, F.transform("x", lambda x: x["name"]).alias(column))
+
+    out = islands.join(named("topics"), at, "left").join(named("entities"), at, "left")
+    none = F.array().cast("array<string>")
+    out = out.withColumns({"topics": words.keep_topics(F.coalesce("topics", none)), "entities": F.slice(F.coalesce("entities", none), 1, most), "intensity": F.col("event_count") / (F.col("hour_end") - F.col("hour_start") + 1)})
+    tail = F.when(F.size("topics") > 0, F.concat(F.lit(": "), F.array_join(F.slice("topics", 1, 3), ", "))).otherwise("")
+    label = F.concat("activity_type", F.lit(" "), words.hour_label(F.col("hour_start")), F.lit("-"), words.hour_label(F.col("hour_end") + 1), tail)
+    return out.withColumn("label", label).withColumn("topics", F.slice("topics", 1, most))
+
+
+def stretches(df: DataFrame, keys: list[str], minutes: int) -> DataFrame:
+    """df with _stretch: its events follow each other by the minutes at most, so what depends on nearness never leaves it."""
+    return gap_sessions(df, keys, minutes, by_day=False).withColumnRenamed("session", "_stretch")
+
+
+def numbered_after(parts: DataFrame, keys: list[str], number: str, size: str) -> DataFrame:
+    """parts (one row for each key and stretch) with _before: the sum of size over the stretches before."""
+    order = Window.partitionBy(*keys).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    return parts.select(*keys, "_stretch", F.coalesce(F.sum(size).over(order), F.lit(0)).alias(number))
+
+
 def anchored_windows(df: DataFrame, keys: list[str], minutes: int) -> DataFrame:
     """keys, seq, window (from 0), anchor_us: a window opens at its first event and takes what comes within the minutes, the last included.
 
-    The fold needs the order of a key's events, so its times and numbers, not its rows, are gathered for each key; keys should be as fine as a user and day."""
-    items = df.where("us is not null").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("us", "seq"))).alias("e"))
-    fold = f"""aggregate(e, named_struct('w', -1L, 'a', cast(null as bigint), 'out', cast(array() as array<struct<seq: bigint, window: bigint, anchor_us: bigint>>)),
-      (s, x) -> if(s.a is null or x.us - s.a > {minutes * 60_000_000}L,
-        named_struct('w', s.w + 1, 'a', x.us, 'out', concat(s.out, array(named_struct('seq', x.seq, 'window', s.w + 1, 'anchor_us', x.us)))),
-        named_struct('w', s.w, 'a', s.a, 'out', concat(s.out, array(named_struct('seq', x.seq, 'window', s.w, 'anchor_us', s.a))))), s -> s.out)"""
-    return items.select(*keys, F.explode(F.expr(fold)).alias("x")).select(*keys, "x.*")
+    A gap of more than the minutes always opens a window, so keys are first cut into stretches without one; only the times and numbers of a stretch are folded together."""
+    rows = stretches(df.where("us is not null").select(*keys, "us", "seq"), keys, minutes)
+    items = rows.groupBy(*keys, "_stretch").agg(F.sort_array(F.collect_list(F.struct("us", "seq"))).alias("e"))
+    fold = f"""aggregate(e, named_struct('w', -1L, 'a', cast(null as bigint), 'out', cast(array() as array<struct<at: bigint, anchor_us: bigint>>)),
+      (s, x) -> if(s.a is null or x.us - s.a > {minutes * 60_000_000}L, named_struct('w', s.w + 1, 'a', x.us, 'out', concat(s.out, array(named_struct('at', s.w + 1, 'anchor_us', x.us)))), s), s -> s.out)"""
+    folded = items.withColumn("_windows", F.expr(fold))
+    before = numbered_after(folded.select(*keys, "_stretch", F.size("_windows").alias("_n")), keys, "_before", "_n")
+    found = folded.select(*keys, "_stretch", F.explode("e").alias("x"), "_windows").withColumn("_w", F.element_at(F.filter("_windows", lambda w: w.anchor_us <= F.col("x.us")), -1))
+    return found.join(before, [*keys, "_stretch"]).select(*keys, F.col("x.seq").alias("seq"), (F.col("_before") + F.col("_w.at")).alias("window"), F.col("_w.anchor_us").alias("anchor_us"))
 
 
 def search_missions(searches: DataFrame, keys: list[str], minutes: int) -> DataFrame:
-    """keys, seq, mission (from 0): a query joins the chain if it comes within the minutes of the one before and shares a content word (column content) with the chain's first."""
-    reach = minutes * 60_000_000
+    """keys, seq, mission (from 0): a query joins the chain if it comes within the minutes of the one before and shares a content word (column content) with the chain's first.
 
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+    A longer gap always ends a chain, so keys are first cut into stretches without one, and only a stretch is one call."""
+    rows = stretches(searches.select(*keys, "seq", "us", "content"), keys, minutes)
+
+    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["us", "seq"])
-        out, mission, last, opener = [], -1, None, set()
-        for us, found in zip(pdf["us"], pdf["content"], strict=True):
-            found = set(found)
-            if last is None or us - last > reach or not opener & found:
+        out, mission, opener = [], -1, set()
+        for found in map(set, pdf["content"]):
+            if mission < 0 or not opener & found:
                 mission, opener = mission + 1, found
-            last = us
             out.append(mission)
-        return pdf[[*keys, "seq"]].assign(mission=out)
+        return pdf[[*keys, "_stretch", "seq"]].assign(mission=out)
 
-    kinds = dict(searches.dtypes)
-    schema = ", ".join(f"`{k}` {kinds[k]}" for k in [*keys, "seq"]) + ", mission long"
-    return searches.select(*keys, "seq", "us", "content").groupBy(*keys).applyInPandas(chain, schema)
+    kinds = dict(rows.dtypes)
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in [*keys, "_stretch", "seq"]) + ", mission long"
+    found = rows.groupBy(*keys, "_stretch").applyInPandas(follow, schema)
+    before = numbered_after(found.groupBy(*keys, "_stretch").agg((F.max("mission") + 1).alias("_n")), keys, "_before", "_n")
+    return found.join(before, [*keys, "_stretch"]).select(*keys, "seq", (F.col("mission") + F.col("_before")).alias("mission"))
 
 
 def opener_and_turns(df: DataFrame, file: str) -> DataFrame:
@@ -72,3 +109,21 @@ def opener_and_turns(df: DataFrame, file: str) -> DataFrame:
 
 def minute_bucket(us: Column) -> Column:
     return F.coalesce(F.floor(us / 60_000_000), F.lit(0))
+
+
+def work_units(commits: DataFrame, keys: list[str], minutes: int) -> DataFrame:
+    """keys, repo, session, debug: sessions of a repository, bug fixing apart from the rest, with commits, insertions, deletions, start_us, end_us, is_generic, work_mode (the most
+    frequent one that isn't tweaking), label (the most frequent scope, or the repository and the mode) and why (the first reason given)."""
+    m = F.col("message")
+    rows = gap_sessions(commits, [*keys, "repo"], minutes).withColumns({"mode": rules.work_mode(m, F.col("insertions"), F.col("deletions")), "scope": rules.commit_scope(m), "reason": rules.why_clause(m)})
+    rows = rows.withColumn("debug", F.col("mode") == "debugging")
+    at = [*keys, "repo", "session", "debug"]
+    units = rows.groupBy(*at).agg(
+        F.count("*").alias("commits"), F.sum("insertions").alias("insertions"), F.sum("deletions").alias("deletions"), F.min("us").alias("start_us"), F.max("us").alias("end_us"), F.bool_and(rules.is_generic(m)).alias("is_generic"),
+        F.min_by("reason", F.when(F.col("reason").isNotNull(), F.struct("us", "seq"))).alias("why"),
+    )
+    mode = dominant(rows.where("mode <> 'tweaking'"), at, "mode").drop("n")
+    scope = dominant(rows.where("scope is not null"), at, "scope").drop("n")
+    out = units.join(mode, at, "left").join(scope, at, "left").withColumn("work_mode", F.coalesce("mode", F.lit("tweaking")))
+    label = F.coalesce(F.concat(F.lit("Feature work: "), "scope"), F.concat("repo", F.lit(": "), "work_mode"))
+    return out.withColumn("label", label).drop("mode", "scope")

@@ -12,15 +12,21 @@ from ..functions import rules, scrub, urls, words
 from ..operators import classify, clusters, engagement, joins, patterns, reports, state, temporal
 
 
+def day_of(us: str) -> Column:
+    return F.floor(F.col(us) / 86_400_000_000)
+
+
 class Engine:
     """Stages over visits (seq, us, url, title), searches (seq, us, query, engine), prompts (seq, us, prompt, conversation, project) and commits (seq, us, repo, message, insertions,
-    deletions). Nothing runs before a stage's DataFrame is used."""
+    deletions). If all of them have user_id, every stage keeps the users apart; stages that depend on time keep the days apart, too. Nothing runs before a stage's DataFrame is used."""
 
     STAGES = ("filtered", "sanitized", "categorized", "classified", "temporal", "pairs", "relations", "focus", "recurrence", "linked", "scored", "clusters", "units", "tasks", "missions", "budget")
 
     def __init__(self, visits: DataFrame, searches: DataFrame, prompts: DataFrame, commits: DataFrame, rules_dim: DataFrame, sensitive_dim: DataFrame | None = None, history: DataFrame | None = None, day: Column | None = None, config: EngineConfig = EngineConfig()):
         self.visits, self.searches, self.prompts, self.commits, self.rules_dim, self.config = visits, searches, prompts, commits, rules_dim, config
         self.sensitive_dim, self.day = sensitive_dim, F.current_date() if day is None else day
+        self.keys = ["user_id"] if all("user_id" in df.columns for df in (visits, searches, prompts, commits)) else []
+        self.days = [*self.keys, "day"]
         self.history = state.empty_history(visits.sparkSession) if history is None else history
 
     def stage(self, name: str) -> DataFrame:
@@ -51,8 +57,9 @@ class Engine:
         searches = self.searches.withColumn("query", scrub.text(F.col("query")))
         prompts = self.prompts.withColumn("prompt", scrub.markup_artifacts(scrub.text(F.col("prompt"))))
         commits = self.commits.withColumn("message", scrub.text(F.col("message")))
-        raw = classify.raw_visits(self.categorized).unionByName(classify.raw_searches(searches)).unionByName(classify.raw_prompts(prompts)).unionByName(classify.raw_commits(commits))
-        return classify.by_rules(raw).withColumn("hour", F.floor(F.col("us") / 3_600_000_000).cast("long") % 24)
+        k = self.keys
+        raw = classify.raw_visits(self.categorized, k).unionByName(classify.raw_searches(searches, k)).unionByName(classify.raw_prompts(prompts, k)).unionByName(classify.raw_commits(commits, k))
+        return classify.by_rules(raw).withColumns({"hour": F.floor(F.col("us") / 3_600_000_000).cast("long") % 24, "day": day_of("us")})
 
     @cached_property
     def gated(self) -> DataFrame:
@@ -60,22 +67,23 @@ class Engine:
 
     @cached_property
     def temporal(self) -> DataFrame:
-        e = self.gated.where("us is not null").withColumn("whole", F.lit(1))
-        return temporal.hour_islands(e, ["whole"]).drop("whole").where(F.col("event_count") >= self.config.min_cluster_size)
+        e = self.gated.where("us is not null")
+        return temporal.described_islands(temporal.hour_islands(e, self.days).where(F.col("event_count") >= self.config.min_cluster_size), e, self.days)
 
     @cached_property
     def pairs(self) -> DataFrame:
-        e = self.gated.withColumn("day", F.floor(F.col("us") / 86_400_000_000))
-        w = temporal.anchored_windows(e, ["day"], self.config.cooccurrence_minutes).join(e.select("seq", "topics"), "seq")
-        return patterns.cooccurrences(w, ["day"])
+        e = self.gated.where("us is not null")
+        w = temporal.anchored_windows(e, self.days, self.config.cooccurrence_minutes)
+        w = w.join(e.select(*self.days, "seq", "us", "topics"), [*self.days, "seq"])
+        return patterns.cooccurrences(w, self.days, by=self.keys)
 
     @cached_property
     def relations(self) -> DataFrame:
-        return patterns.entity_relations(self.gated)
+        return patterns.entity_relations(self.gated, by=self.keys)
 
     @cached_property
     def focus(self) -> DataFrame:
-        return patterns.focus_score(self.classified.withColumn("whole", F.lit(1)), ["whole"]).drop("whole")
+        return patterns.focus_score(self.classified, self.days)
 
     @cached_property
     def recurrence(self) -> DataFrame:
@@ -83,44 +91,42 @@ class Engine:
 
     @cached_property
     def linked(self) -> DataFrame:
-        return joins.link_searches(self.searches, self.sanitized, self.config.link_minutes, [])
+        return joins.link_searches(self.searches, self.sanitized, self.config.link_minutes, self.keys)
 
     @cached_property
     def scored(self) -> DataFrame:
         v = self.categorized
-        return engagement.scores(v, engagement.linked_urls(self.searches, v, self.config.link_minutes, []))
+        return engagement.scores(v, engagement.linked_urls(self.searches, v, self.config.link_minutes, self.keys), self.keys)
 
     @cached_property
     def clusters(self) -> DataFrame:
         """Clusters of substantive visits: cluster, n, label, intent_signal, score."""
-        rows = self.scored.where(F.col("engagement") >= self.config.engagement_threshold).withColumns({"terms": words.tokens(words.clean_title(F.col("title"))), "day": F.floor(F.col("us") / 86_400_000_000)})
-        members = clusters.greedy(rows, ["day"], self.config.cluster_gap_minutes, self.config.cluster_similarity).withColumn("cluster", F.concat_ws("-", F.col("day").cast("string"), F.col("cluster").cast("string"))).drop("day")
-        rows = rows.join(members, "seq")
+        rows = self.scored.where(F.col("engagement") >= self.config.engagement_threshold).withColumns({"terms": words.tokens(words.clean_title(F.col("title"))), "day": day_of("us")})
+        members = clusters.greedy(rows, self.days, self.config.cluster_gap_minutes, self.config.cluster_similarity)
+        members = members.withColumn("cluster", F.concat_ws("-", *[F.col(c).cast("string") for c in [*self.days, "cluster"]]))
+        rows = rows.join(members, [*self.days, "seq"])
         sizes = rows.groupBy("cluster").agg(F.count("*").alias("n"), F.avg("engagement").alias("score")).where("n >= 2")
         return sizes.join(clusters.labels(rows, "title"), "cluster", "left").join(clusters.cluster_intent(rows), "cluster")
 
     @cached_property
     def units(self) -> DataFrame:
-        m = F.col("message")
-        rows = temporal.gap_sessions(self.commits, ["repo"], self.config.commit_gap_minutes).withColumn("mode", rules.work_mode(m, F.col("insertions"), F.col("deletions")))
-        out = rows.groupBy("repo", "session", (F.col("mode") == "debugging").alias("debug")).agg(F.count("*").alias("commits"), F.min("us").alias("start_us"), F.max("us").alias("end_us"), F.bool_and(rules.is_generic(m)).alias("is_generic"), F.min(rules.why_clause(m)).alias("why"))
-        return out.orderBy(F.desc("start_us"), "repo", "session")
+        return temporal.work_units(self.commits, self.keys, self.config.commit_gap_minutes).orderBy(F.desc("start_us"), "repo", "session")
 
     @cached_property
     def tasks(self) -> DataFrame:
-        files = self.prompts.groupBy("conversation").agg(F.min_by("prompt", F.struct("us", "seq")).alias("opener"), F.count("*").alias("turn_count"), F.min("us").alias("start_us"), F.max("us").alias("end_us"))
+        files = self.prompts.groupBy(*self.keys, "conversation").agg(F.min_by("prompt", F.struct("us", "seq")).alias("opener"), F.count("*").alias("turn_count"), F.min("us").alias("start_us"), F.max("us").alias("end_us"))
         kind = rules.task_type(F.col("opener"))
-        return files.select("conversation", rules.task_title(F.col("opener")).alias("title"), kind.alias("task_type"), rules.interaction_mode(kind).alias("mode"), "turn_count", "start_us", "end_us")
+        return files.select(*self.keys, "conversation", rules.task_title(F.col("opener")).alias("title"), kind.alias("task_type"), rules.interaction_mode(kind).alias("mode"), "turn_count", "start_us", "end_us")
 
     @cached_property
     def missions(self) -> DataFrame:
-        s = self.searches.withColumns({"content": words.content_words(F.col("query")), "day": F.floor(F.col("us") / 86_400_000_000)})
-        found = temporal.search_missions(s, ["day"], self.config.mission_minutes).drop("day")
-        return s.join(found, "seq").groupBy("day", "mission").agg(F.min_by("query", F.struct("us", "seq")).alias("label"), F.count("*").alias("queries"), F.min("us").alias("us"), F.max("us").alias("until"))
+        s = self.searches.withColumns({"content": words.content_words(F.col("query")), "day": day_of("us")})
+        found = temporal.search_missions(s, self.days, self.config.mission_minutes)
+        return s.join(found, [*self.days, "seq"]).groupBy(*self.days, "mission").agg(F.min_by("query", F.struct("us", "seq")).alias("label"), F.count("*").alias("queries"), F.min("us").alias("us"), F.max("us").alias("until"))
 
     @cached_property
     def budget(self) -> DataFrame:
-        return reports.budget_shares(self.classified.groupBy("source").agg(F.count("*").alias("n")), self.config.prompt_budget)
+        return reports.budget_shares(self.classified.groupBy(*self.keys, "source").agg(F.count("*").alias("n")), self.config.prompt_budget, self.keys)
 
     def for_model(self) -> DataFrame:
         """What the privacy tier lets leave the machine."""
@@ -133,5 +139,5 @@ class Engine:
 
     def note(self) -> str:
         """A small markdown note of the day's aggregates."""
-        parts = (("Focus", self.focus), ("Activity", patterns.activity_distribution(self.classified)), ("Hours", self.temporal.orderBy(F.desc("event_count")).limit(8)), ("Topics", self.recurrence.drop("prev_last_seen").orderBy("topic").limit(10)), ("Tasks", self.tasks.select("title", "task_type", "turn_count").orderBy("title").limit(10)))
+        parts = (("Focus", self.focus.orderBy(F.desc("n_events")).limit(10)), ("Activity", patterns.activity_distribution(self.classified)), ("Hours", self.temporal.select(*self.days, "label", "event_count").orderBy(F.desc("event_count"), "label").limit(8)), ("Topics", self.recurrence.orderBy(*state.by_trend(self.recurrence)).drop("prev_last_seen").limit(10)), ("Tasks", self.tasks.select("title", "task_type", "turn_count").orderBy("title").limit(10)))
         return "\n\n".join([*[reports.markdown(df, title) for title, df in parts], "## Notes\n"])

@@ -134,15 +134,40 @@ def p33_tier_view(spark, d):
     return reports.tier_view(t.classified(spark, d), 4).groupBy("activity_type").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(sql.over("searches", "SELECT seq, CASE WHEN length(query) % 2 = 1 THEN 'learning' ELSE 'research' END AS activity_type, CASE WHEN length(query) % 2 = 1 THEN 1.0 ELSE 0.3 END::DOUBLE AS confidence FROM searches"))
 def m1_model_classifier(spark, d):
-    """A classifier that answers only some texts; the rules stand for the rest."""
+    """A classifier that answers only some texts, by their length; the rules stand for the rest."""
+    around = len('"" (google.com)')
 
     def answer(texts):
-        return [{"activity_type": "learning", "confidence": 2} if i % 2 else None for i, _ in enumerate(texts)]
+        return [{"activity_type": "learning", "confidence": 2} if (len(x) - around) % 2 else {"activity_type": "no such"} if len(x) % 4 else None for x in texts]
 
     raw = classify.raw_searches(t.searches(spark, d))
-    return classify.by_model(raw, answer).select("seq", "activity_type", "confidence", "summary")
+    return classify.by_model(raw, answer).select("seq", "activity_type", "confidence")
+
+
+TOOL_WORDS = "(^|[^A-Za-z0-9_])(" + "|".join(scrub.TOOLS) + ")([^A-Za-z0-9_]|$)"
+
+
+@query(f"""SELECT doc_id, concat_ws(',', CASE WHEN regexp_matches(x, '(?i)https?://[^\\s]+') THEN 'urls' END, CASE WHEN regexp_matches(x, '(?:/[^\\s]+|[A-Z]:\\\\[^\\s]+)') THEN 'paths' END, CASE WHEN regexp_matches(lower(x), {Q(TOOL_WORDS)}) THEN 'tools' END) AS violations
+    FROM (SELECT doc_id, concat(text, CASE doc_id % 4 WHEN 0 THEN ' see HTTP://x' WHEN 1 THEN ' in C:\\x' WHEN 2 THEN ' by Docker-Compose' ELSE ' gitx' END) AS x FROM documents)""")
+def f17_tier_violations(spark, d):
+    n = F.col("doc_id") % 4
+    x = F.concat("text", F.when(n == 0, " see HTTP://x").when(n == 1, " in C:\\x").when(n == 2, " by Docker-Compose").otherwise(" gitx"))
+    return t.table(spark, d, "documents").select("doc_id", F.array_join(scrub.tier_violations(x), ",").alias("violations"))
+
+
+@query(sql.over("commits searches", """WITH e AS (SELECT 'git' AS source, repo AS part, repo || ': ' || message AS line FROM commits UNION ALL SELECT 'search', engine, query FROM searches UNION ALL SELECT 'one', 'p', 'a line'),
+    f AS (SELECT source, count(*) AS n, ceil((sum(length(line) + 1) - 1) / 4) AS cost, string_agg(line, chr(10) ORDER BY line) AS body FROM e GROUP BY 1),
+    p AS (SELECT source, part || ': ' || count(*) AS line FROM e GROUP BY source, part), g AS (SELECT source, ceil((sum(length(line) + 1) - 1) / 4) AS cost, string_agg(line, chr(10) ORDER BY line) AS body FROM p GROUP BY 1),
+    s AS (SELECT f.source, f.n, f.cost AS full_cost, g.cost AS grouped_cost, f.body AS full_body, g.body AS grouped_body, least(300, 3000 // count(*) OVER ()) AS floor_, count(*) OVER () AS k, sum(f.n) OVER () AS total FROM f JOIN g USING (source)),
+    t AS (SELECT *, floor_ + floor((3000 - k * floor_) * n / total + 0.5) AS share FROM s)
+    SELECT source, CASE WHEN full_cost <= share THEN 'full' WHEN grouped_cost <= share THEN 'grouped' ELSE 'count' END AS level, CASE WHEN full_cost <= share THEN full_body WHEN grouped_cost <= share THEN grouped_body ELSE n || ' events' END AS body FROM t"""))
+def m7_compressed_sources(spark, d):
+    """Sources in what detail a budget allows."""
+    git = t.commits(spark, d).select(F.lit("git").alias("source"), F.col("repo").alias("part"), F.concat("repo", F.lit(": "), "message").alias("line"))
+    asked = t.searches(spark, d).select(F.lit("search").alias("source"), F.col("engine").alias("part"), F.col("query").alias("line"))
+    return reports.compressed(git.unionByName(asked).unionByName(spark.createDataFrame([("one", "p", "a line")], git.schema)), 3000)
 
 
 @query(sql.over("searches prompts commits", f"SELECT source, activity_type, count(*) AS n FROM (SELECT 'search' AS source, 'research' AS activity_type FROM searches UNION ALL SELECT 'git', 'implementation' FROM commits UNION ALL SELECT 'claude', {sql.lookup(sql.task_type('left(prompt, 150)'), __import__('tallyloom.functions.rules', fromlist=['x']).TASK_ACTIVITIES, Q('unknown'))} FROM prompts) GROUP BY ALL"))

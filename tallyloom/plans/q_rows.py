@@ -169,9 +169,29 @@ def p31_unified_timeline(spark, d):
 KEPT = f"list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), lambda x: x <> '' AND lower(split_part(x, '=', 1)) NOT IN ({', '.join(map(Q, urls.TRACKING))}))"
 
 
-@query(f"SELECT page_id, CASE WHEN length(u) > 40 THEN concat(left(u, 39), '…') ELSE u END AS url FROM (SELECT page_id, concat({sql.BARE}, CASE WHEN len({KEPT}) > 0 THEN concat('?', array_to_string({KEPT}, '&')) ELSE '' END) AS u FROM pages)")
+LAST = "CASE WHEN contains(left(u, 41), '{m}') THEN length(left(u, 41)) - instr(reverse(left(u, 41)), '{m}') END"
+CUT = "coalesce(" + ", ".join(f"CASE WHEN {LAST.format(m=m)} > 30 THEN {LAST.format(m=m)} END" for m in "?&/") + ", 40)"
+
+
+@query(f"""SELECT page_id, CASE page_id % 9 WHEN 0 THEN 'x.hubspotlinks.com [HubSpot tracking link]' WHEN 1 THEN 'bit.ly [bit.ly short link]' WHEN 2 THEN 'url12.mimecastprotect.com [Mimecast link]'
+    ELSE CASE WHEN length(u) > 40 THEN concat(left(u, {CUT}), '…') ELSE u END END AS url FROM (SELECT page_id, concat({sql.BARE}, CASE WHEN len({KEPT}) > 0 THEN concat('?', array_to_string({KEPT}, '&')) ELSE '' END) AS u FROM pages)""")
 def p32_display_url(spark, d):
-    return t.table(spark, d, "pages").select("page_id", urls.display(F.col("url"), 40).alias("url"))
+    n, tail = F.col("page_id") % 9, F.regexp_extract("url", "^[a-z]+://[^/]*(.*)$", 1)
+    url = F.when(n == 0, F.concat(F.lit("https://X.hubspotlinks.com"), tail)).when(n == 1, F.concat(F.lit("http://bit.ly"), tail)).when(n == 2, F.concat(F.lit("https://url12.mimecastprotect.com"), tail)).otherwise(F.col("url"))
+    return t.table(spark, d, "pages").select("page_id", urls.display(url, 40).alias("url"))
+
+
+MARKED = "replace(regexp_replace(replace(replace(x, '<', '&lt;'), '>', '&gt;'), '(^|[\\s(\\[])#([A-Za-z])', '\\1\\\\#\\2', 'g'), '::', concat(':', chr(8203), ':'))"
+
+
+@query(f"""SELECT doc_id, {MARKED} AS item, regexp_replace({MARKED}, '([\\[\\]])', '\\\\\\1', 'g') AS link_text, replace({MARKED}, '|', '\\|') AS cell, regexp_replace(x, '[*_`\\[\\]]', '', 'g') AS inline,
+    CASE WHEN regexp_matches(x, '[:{{}}\\[\\]#&*!|>''"%@`,?\\r\\n]') OR contains(x, '---') THEN concat('"', replace(x, '"', '\\"'), '"') ELSE x END AS yaml
+    FROM (SELECT doc_id, concat('#tag ', coalesce(text, ''), ' (#b) [x]|y::z') AS x FROM documents)""")
+def scalar_markdown_escapes(spark, d):
+    x = F.concat(F.lit("#tag "), F.coalesce("text", F.lit("")), F.lit(" (#b) [x]|y::z"))
+    rows = t.table(spark, d, "documents").select("doc_id", x.alias("x"))
+    c = F.col("x")
+    return rows.select("doc_id", words.escape_markdown(c).alias("item"), words.escape_link_text(c).alias("link_text"), words.escape_table_cell(c).alias("cell"), words.escape_inline(c).alias("inline"), words.quote_yaml(c).alias("yaml"))
 
 
 @query("SELECT item_id, CASE WHEN s = '' THEN 'topic' ELSE s END AS slug, CAST(ceil(length(text) / 4.0) AS BIGINT) AS tokens FROM (SELECT item_id, text, regexp_replace(left(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 60), '-+$', '') AS s FROM benchmark)")

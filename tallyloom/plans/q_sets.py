@@ -101,8 +101,8 @@ def j8_domain_category(spark, d):
     return joins.by_domain_rule(v, rules_dim(spark)).select("seq", "domain", F.coalesce("category", F.lit("")).alias("category"))
 
 
-SENSITIVE_MATCH = f"""WITH v AS (SELECT seq, url, {sql.host('url')} AS h, {sql.path('url')} AS p FROM visits), s AS (SELECT priority, category, split_part(pattern, '/', 1) AS sh, regexp_extract(pattern, '^[^/]+(/.*)?$', 1) AS sp FROM ({SENSITIVE_SQL})),
-    m AS (SELECT v.seq, min_by(category, [CASE WHEN sp <> '' THEN 1 ELSE 0 END, CASE WHEN h <> sh THEN 1 ELSE 0 END, priority]) AS category FROM v JOIN s ON (h = sh OR ends_with(h, concat('.', sh))) AND starts_with(p, sp) GROUP BY v.seq)"""
+SENSITIVE_MATCH = f"""WITH v AS MATERIALIZED (SELECT seq, url, {sql.host('url')} AS h, {sql.path('url')} AS p FROM visits), s AS (SELECT priority, category, split_part(pattern, '/', 1) AS sh, regexp_extract(pattern, '^[^/]+(/.*)?$', 1) AS sp FROM ({SENSITIVE_SQL})),
+    m AS MATERIALIZED (SELECT v.seq, min_by(category, [CASE WHEN sp <> '' THEN 1 ELSE 0 END, CASE WHEN h <> sh THEN 1 ELSE 0 END, priority]) AS category FROM v JOIN s ON (h = sh OR ends_with(h, concat('.', sh))) AND starts_with(p, sp) GROUP BY v.seq)"""
 
 
 @query(sql.over("visits", f"{SENSITIVE_MATCH} SELECT v.seq, v.url FROM v LEFT JOIN m USING (seq) WHERE m.category IS NULL"))
@@ -129,12 +129,13 @@ def f10_sensitive_searches(spark, d):
     return engagement.drop_sensitive_searches(t.searches(spark, d), dims).select("seq")
 
 
-LINKS = "FROM searches s JOIN visits v ON v.us >= s.us AND v.us - s.us <= 300000000"
+LINKS = "FROM searches s JOIN visits v ON v.user_id = s.user_id AND v.us >= s.us AND v.us - s.us <= 21600000000"
 
 
 @query(sql.over("visits searches", f"SELECT s.seq, coalesce(n, 0) AS n_visits, CASE WHEN coalesce(n, 0) <= 2 THEN 'directed' ELSE 'undirected' END AS intent_type FROM searches s LEFT JOIN (SELECT s.seq, count(*) AS n {LINKS} GROUP BY 1) USING (seq)"))
 def j4_search_visit_band(spark, d):
-    return joins.link_searches(t.searches(spark, d), t.visits(spark, d), 5, []).select("seq", "n_visits", "intent_type")
+    """A user's visits in the six hours after a search."""
+    return joins.link_searches(t.searches(spark, d), t.visits(spark, d), 360, ["user_id"]).select("seq", "n_visits", "intent_type")
 
 
 @query(sql.over("visits searches", "SELECT s.seq, count(v.seq) AS n_visits, CASE WHEN count(v.seq) <= 2 THEN 'directed' ELSE 'undirected' END AS intent_type FROM searches s LEFT JOIN visits v ON v.user_id = s.user_id AND v.us >= s.us AND v.us - s.us <= 86400000000 GROUP BY 1"))
@@ -148,21 +149,21 @@ def j5_mission_visits(spark, d):
     return joins.band(missions, t.visits(spark, d).select("user_id", "us"), ["user_id"], 600_000_000, "until").groupBy(F.col("l_user_id").alias("user_id"), F.col("l_mission").alias("mission")).agg(F.count("*").alias("n"))
 
 
-@query(sql.over("visits searches", f"SELECT seq FROM visits WHERE url IN (SELECT v.url {LINKS})"))
+@query(sql.over("visits searches", f"SELECT seq FROM visits SEMI JOIN (SELECT DISTINCT v.user_id, v.url {LINKS}) USING (user_id, url)"))
 def j6_linked_visits(spark, d):
     v = t.visits(spark, d)
-    return v.join(engagement.linked_urls(t.searches(spark, d), v, 5, []), "url", "left_semi").select("seq")
+    return v.join(engagement.linked_urls(t.searches(spark, d), v, 360, ["user_id"]), ["user_id", "url"], "left_semi").select("seq")
 
 
 TITLE_SQL = sql.clean_title("title")
 
 
 @query(sql.over("visits searches", f"""SELECT seq, round(least(1.0, CASE WHEN len(list_filter(regexp_split_to_array(c, '\\s+'), lambda w: w <> '')) >= 5 THEN 0.25 ELSE 0 END + CASE WHEN n > 1 THEN 0.20 ELSE 0 END
-    + CASE WHEN url IN (SELECT v.url {LINKS}) THEN 0.25 ELSE 0 END + CASE WHEN regexp_matches(c, {Q(__import__('tallyloom.functions.rules', fromlist=['x']).TECHNICAL)}) THEN 0.15 ELSE 0 END), 6)::DOUBLE AS engagement
-    FROM (SELECT seq, url, {TITLE_SQL} AS c, count(*) OVER (PARTITION BY url) AS n FROM visits)"""))
+    + CASE WHEN linked THEN 0.25 ELSE 0 END + CASE WHEN regexp_matches(c, {Q(__import__('tallyloom.functions.rules', fromlist=['x']).TECHNICAL)}) THEN 0.15 ELSE 0 END), 6)::DOUBLE AS engagement
+    FROM (SELECT seq, {TITLE_SQL} AS c, count(*) OVER (PARTITION BY user_id, url) AS n, l.url IS NOT NULL AS linked FROM visits LEFT JOIN (SELECT DISTINCT v.user_id, v.url {LINKS}) l USING (user_id, url))"""))
 def p29_engagement(spark, d):
     v = t.visits(spark, d)
-    return engagement.scores(v, engagement.linked_urls(t.searches(spark, d), v, 5, [])).select("seq", F.round("engagement", 6).alias("engagement"))
+    return engagement.scores(v, engagement.linked_urls(t.searches(spark, d), v, 360, ["user_id"]), ["user_id"]).select("seq", F.round("engagement", 6).alias("engagement"))
 
 
 RANKS = f"ranks AS (SELECT domain, row_number() OVER (ORDER BY n DESC, domain) AS rank FROM (SELECT {sql.host('url')} AS domain, count(*) AS n FROM visits GROUP BY 1))"

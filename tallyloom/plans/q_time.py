@@ -28,13 +28,17 @@ def w3_commit_sessions(spark, d):
     FROM g LEFT JOIN top USING (repo, session, debug) GROUP BY repo, session, debug"""))
 def a15_work_units(spark, d):
     """Sessions of a repository, bug fixing apart from the rest."""
-    m = F.col("message")
-    rows = temporal.gap_sessions(t.commits(spark, d), ["repo"], 90).withColumn("mode", rules.work_mode(m, F.col("insertions"), F.col("deletions")))
-    rows = rows.withColumn("debug", F.col("mode") == "debugging")
-    keys = ["repo", "session", "debug"]
-    units = rows.groupBy(*keys).agg(F.count("*").alias("commits"), F.sum("insertions").alias("insertions"), F.sum("deletions").alias("deletions"), F.min("us").alias("start_us"), F.max("us").alias("end_us"), F.bool_and(rules.is_generic(m)).alias("is_generic"))
-    main = temporal.dominant(rows.where("mode <> 'tweaking'"), keys, "mode").drop("n")
-    return units.join(main, keys, "left").withColumn("work_mode", F.coalesce("mode", F.lit("tweaking"))).drop("mode")
+    return temporal.work_units(t.commits(spark, d), [], 90).drop("label", "why")
+
+
+@query(sql.over("commits", f"""WITH s AS (SELECT *, {sql.work_mode('message')} AS mode, nullif(trim({sql.commit('message', 2)}), '') AS scope FROM ({SESSIONS})), g AS (SELECT *, mode = 'debugging' AS debug FROM s),
+    m AS (SELECT repo, session, debug, mode, count(*) AS n, min(seq) AS first FROM g WHERE mode <> 'tweaking' GROUP BY ALL),
+    o AS (SELECT repo, session, debug, scope, count(*) AS n, min(seq) AS first FROM g WHERE scope IS NOT NULL GROUP BY ALL),
+    mode AS (SELECT repo, session, debug, arg_min(mode, [-n, first]) AS mode FROM m GROUP BY ALL), scope AS (SELECT repo, session, debug, arg_min(scope, [-n, first]) AS scope FROM o GROUP BY ALL)
+    SELECT repo, CAST(session AS BIGINT) AS session, debug, CASE WHEN scope.scope IS NOT NULL THEN 'Feature work: ' || scope.scope ELSE repo || ': ' || coalesce(mode.mode, 'tweaking') END AS label
+    FROM (SELECT DISTINCT repo, session, debug FROM g) LEFT JOIN mode USING (repo, session, debug) LEFT JOIN scope USING (repo, session, debug)"""))
+def a15_unit_labels(spark, d):
+    return temporal.work_units(t.commits(spark, d), [], 90).select("repo", "session", "debug", "label")
 
 
 @query(sql.over("classified", "SELECT CAST(day AS VARCHAR) AS day, hour, activity_type, n FROM (SELECT *, row_number() OVER (PARTITION BY day, hour ORDER BY n DESC, first) AS k FROM (SELECT day, hour, activity_type, count(*) AS n, min(seq) AS first FROM classified GROUP BY ALL)) WHERE k = 1"))
@@ -137,7 +141,11 @@ def a9_topic_pairs(spark, d):
     return patterns.cooccurrences(windowed(spark, d), ["user_id", "day"], None).select("a", "b", "shared", "first_us", F.round("strength", 6).alias("strength"))
 
 
-@query()
+@query(sql.over("searches", f"""WITH s AS (SELECT user_id, seq, us, list_distinct({sql.tokens('query')}) AS c, row_number() OVER (PARTITION BY user_id ORDER BY us, seq) AS k FROM searches),
+    m AS (SELECT user_id, seq, us, k, c AS opener, 0 AS mission FROM s WHERE k = 1 UNION ALL
+      SELECT user_id, seq, us, k, CASE WHEN goes_on THEN opener ELSE c END, mission + CASE WHEN goes_on THEN 0 ELSE 1 END
+      FROM (SELECT s.user_id, s.seq, s.us, s.k, s.c, m.opener, m.mission, s.us - m.us <= 86400000000 AND len(list_intersect(m.opener, s.c)) > 0 AS goes_on FROM m JOIN s ON s.user_id = m.user_id AND s.k = m.k + 1))
+    SELECT user_id, seq, CAST(mission AS BIGINT) AS mission FROM m""", recursive=True))
 def w6_search_missions(spark, d):
     rows = t.searches(spark, d).withColumn("content", words.content_words(F.col("query")))
     return temporal.search_missions(rows, ["user_id"], 60 * 24)
@@ -166,6 +174,18 @@ def t2_recurrence_signals(spark, d):
     return state.recurrence(topic_days(spark, d).where(F.col("day") == today()), history(spark, d), today()).withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("first_seen", "prev_last_seen")})
 
 
+SIGNALS = "SELECT topic, coalesce(day_count, 0) + 1 AS frequency, CASE WHEN last_seen IS NULL THEN 'new' WHEN last_seen < DATE '2024-01-05' THEN 'returning' WHEN len(list_filter(days, lambda x: x >= DATE '2023-12-29')) >= 5 THEN 'stable' WHEN len(list_filter(days, lambda x: x >= DATE '2023-12-29')) >= 3 THEN 'rising' ELSE 'declining' END AS trend FROM n LEFT JOIN h USING (topic)"
+
+
+@query(sql.over("classified", f"WITH {HISTORY}, n AS (SELECT DISTINCT unnest(topics) AS topic FROM classified WHERE day = DATE '2024-01-12') SELECT topic, row_number() OVER (ORDER BY CASE trend WHEN 'new' THEN 0 WHEN 'returning' THEN 1 WHEN 'rising' THEN 2 WHEN 'stable' THEN 3 ELSE 4 END, frequency DESC, topic) AS place FROM ({SIGNALS})"))
+def o4_recurrence_order(spark, d):
+    """The topics of a day in the order of a report; they are few."""
+    from pyspark.sql import Window
+
+    s = state.recurrence(topic_days(spark, d).where(F.col("day") == today()), history(spark, d), today())
+    return s.select("topic", F.row_number().over(Window.orderBy(*state.by_trend(s))).cast("long").alias("place"))
+
+
 @query(sql.over("classified", f"WITH {HISTORY}, n AS (SELECT DISTINCT unnest(topics) AS topic FROM classified WHERE day = DATE '2024-01-12') SELECT topic, CAST(coalesce(first_seen, DATE '2024-01-12') AS VARCHAR) AS first_seen, CAST(CASE WHEN n.topic IS NULL THEN last_seen ELSE DATE '2024-01-12' END AS VARCHAR) AS last_seen, coalesce(day_count, 0) + CASE WHEN n.topic IS NULL THEN 0 ELSE 1 END AS day_count, CAST(least(30, coalesce(len(days), 0) + CASE WHEN n.topic IS NULL THEN 0 ELSE 1 END) AS INTEGER) AS kept FROM n FULL JOIN h USING (topic)"))
 def t1_topic_state(spark, d):
     now = topic_days(spark, d).where(F.col("day") == today())
@@ -226,10 +246,24 @@ def w7_article_clusters(spark, d):
     return clusters.greedy(rows, ["user_id", "day"], 45, 0.3)
 
 
-@query(sql.over("classified", f"{ISLANDS} SELECT CAST(day AS VARCHAR) AS day, activity_type, hour_start, event_count / (hour_end - hour_start + 1) AS intensity FROM islands WHERE event_count >= 3"))
+def hour_sql(h: str) -> str:
+    return f"CASE WHEN ({h}) % 24 = 0 THEN '12am' WHEN ({h}) < 12 THEN concat({h}, 'am') WHEN ({h}) = 12 THEN '12pm' ELSE concat(({h}) - 12, 'pm') END"
+
+
+def named_sql(column: str) -> str:
+    first = f"SELECT i.day, i.activity_type, i.hour_start, x.name, min([c.us, c.seq, x.at]) AS first FROM islands i JOIN classified c ON c.day = i.day AND c.hour BETWEEN i.hour_start AND i.hour_end, LATERAL (SELECT unnest(list_sort(c.{column})) AS name, unnest(range(len(c.{column}))) AS at) x GROUP BY ALL"
+    return f"SELECT day, activity_type, hour_start, list(name ORDER BY first) AS {column} FROM ({first}) GROUP BY ALL"
+
+
+@query(sql.over("classified", f"""{ISLANDS}, topics AS ({named_sql('topics')}), things AS ({named_sql('entities')})
+    SELECT CAST(i.day AS VARCHAR) AS day, i.activity_type, i.hour_start, event_count / (hour_end - i.hour_start + 1) AS intensity, array_to_string(coalesce(topics, [])[1:5], '|') AS topics, array_to_string(coalesce(entities, [])[1:5], '|') AS entities,
+      concat(i.activity_type, ' ', {hour_sql('i.hour_start')}, '-', {hour_sql('hour_end + 1')}, CASE WHEN len(topics) > 0 THEN concat(': ', array_to_string(topics[1:3], ', ')) ELSE '' END) AS label
+    FROM islands i LEFT JOIN topics ON topics.day = i.day AND topics.activity_type = i.activity_type AND topics.hour_start = i.hour_start LEFT JOIN things ON things.day = i.day AND things.activity_type = i.activity_type AND things.hour_start = i.hour_start WHERE event_count >= 3"""))
 def a8_cluster_intensity(spark, d):
-    c = temporal.hour_islands(t.classified(spark, d), ["day"]).where("event_count >= 3")
-    return c.select(F.col("day").cast("string").alias("day"), "activity_type", "hour_start", (F.col("event_count") / (F.col("hour_end") - F.col("hour_start") + 1)).alias("intensity"))
+    """Clusters of hours with what they are about."""
+    e = t.classified(spark, d).withColumns({c: F.array_sort(c) for c in ("topics", "entities")})
+    c = temporal.described_islands(temporal.hour_islands(e, ["day"]).where("event_count >= 3"), e, ["day"])
+    return c.select(F.col("day").cast("string").alias("day"), "activity_type", "hour_start", "intensity", F.array_join("topics", "|").alias("topics"), F.array_join("entities", "|").alias("entities"), "label")
 
 
 @query("SELECT event_id, event_type, CASE WHEN n = 1 THEN event_type ELSE concat(event_type, '_', n) END AS unique_id FROM (SELECT event_id, event_type, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS n FROM events)")

@@ -108,7 +108,7 @@ TABLES = {
     "visits_dup": f"""SELECT seq * 5 + variant AS seq, user_id, us + late AS us, u AS url, title FROM (
         SELECT *, 0 AS variant, url AS u, 0 AS late FROM visits UNION ALL SELECT *, 1, concat({BARE}, '?v=1'), 0 FROM visits UNION ALL SELECT *, 2, concat({BARE}, '#x'), 0 FROM visits
         UNION ALL SELECT *, 3, regexp_replace(url, '^([a-z]+://)', '\\1www.'), 0 FROM visits UNION ALL SELECT *, 4, url, 20000000 FROM visits)""",
-    "searches": "SELECT event_id AS seq, user_id, epoch_us(ts) AS us, array_to_string(string_split(text, ' ')[1:6], ' ') AS query, 'google.com' AS engine FROM events JOIN benchmark ON event_id % (SELECT greatest(1, count(*)) FROM benchmark) = item_id WHERE event_type = 'signup'",
+    "searches": "SELECT event_id AS seq, user_id, epoch_us(ts) AS us, text AS query, 'google.com' AS engine FROM events JOIN benchmark ON event_id % (SELECT greatest(1, count(*)) FROM benchmark) = item_id WHERE event_type = 'signup'",
     "prompts": f"SELECT conv_id * 1000 + turn AS seq, {driver_tables.EPOCH_US} + conv_id * 3600000000 + turn * 300000000 AS us, text AS prompt, conv_id AS conversation, concat('project', conv_id % 7) AS project FROM conversations WHERE role = 'user'",
     "commits": f"""SELECT event_id AS seq, user_id, epoch_us(ts) AS us, p_brand AS repo, CASE WHEN p = 'wip' THEN p ELSE concat(p, lower(p_type)) END AS message, CAST(floor(value) AS BIGINT) AS insertions, CAST(floor(value / 7) AS BIGINT) AS deletions
         FROM (SELECT *, {PREFIXES}[event_id % {len(driver_tables.PREFIXES)} + 1] AS p FROM events WHERE event_type = 'purchase') e JOIN part ON event_id % (SELECT count(*) FROM part) + (SELECT min(p_partkey) FROM part) = p_partkey""",

@@ -36,8 +36,8 @@ def visits_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def searches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """seq, user_id, us, query, engine: sign-ups, with the first six words of the benchmark item that their number falls on."""
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.slice(F.split("text", " "), 1, 6), " ").alias("query"))
+    """seq, user_id, us, query, engine: sign-ups, with the text of the benchmark item that their number falls on."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("query"))
     events = table(spark, sf_dir, "events").where("event_type = 'signup'")
     keyed = events.withColumn("item_id", F.col("event_id") % F.lit(max(1, items.count())))
     return keyed.join(items, "item_id").select(F.col("event_id").alias("seq"), "user_id", micros().alias("us"), "query", F.lit("google.com").alias("engine"))

@@ -26,11 +26,35 @@ def test_every_stage(spark):
         assert e.stage(name).columns, name
     assert e.filtered.count() < e.visits.count() and e.classified.count() == e.filtered.count() + e.searches.count() + e.prompts.count() + e.commits.count()
     assert e.for_model().columns == ["activity_type"] and 0.3 <= e.focus.first()["score"] <= 0.98
-    assert e.note().startswith("## Focus") and e.missions.agg(F.sum("queries")).first()[0] == e.searches.count()
+    assert e.note().startswith("## Focus") and {"label", "topics", "entities"} <= set(e.temporal.columns) and {"label", "why", "work_mode"} <= set(e.units.columns) and e.missions.agg(F.sum("queries")).first()[0] == e.searches.count()
     with pytest.raises(ValueError):
         e.stage("nothing")
 
 
+@pytest.mark.skipif(not DATA.exists(), reason="no test tables")
+def test_users_and_days_are_kept_apart(spark):
+    """With another user's rows beside them, and another day's, a user's day gives the same results."""
+    d = str(DATA)
+    user = F.lit(7).cast("long").alias("user_id")
+    inputs = [driver_tables.visits(spark, d), driver_tables.searches(spark, d), driver_tables.prompts(spark, d), driver_tables.commits(spark, d)]
+    one = [df.select(*[c for c in df.columns if c != "user_id"], user) for df in inputs]
+    day, config = F.lit("2024-01-10").cast("date"), EngineConfig(min_cluster_size=2, cooccurrence_minutes=600, mission_minutes=3000, cluster_gap_minutes=600, engagement_threshold=0.2, link_minutes=300)
+    other = [df.where("seq % 3 <> 0").withColumns({"user_id": F.lit(8).cast("long"), "seq": F.col("seq") + 10_000_000, "us": F.col("us") + 60_000_000}) for df in one]
+    later = [df.where("seq % 2 = 0").withColumns({"seq": F.col("seq") + 20_000_000, "us": F.col("us") + 400 * 86_400_000_000}) for df in one]
+    alone = Engine(*one, rules_dim(spark), None, None, day, config)
+    mixed = Engine(*[a.unionByName(b).unionByName(c) for a, b, c in zip(one, other, later, strict=True)], rules_dim(spark), None, None, day, config)
+    last = 20_000
+    for name in ("temporal", "pairs", "focus", "missions", "clusters", "units", "linked"):
+        mine = lambda df: df.where(f"cluster LIKE '7-%' AND CAST(split(cluster, '-')[1] AS LONG) < {last}") if "cluster" in df.columns else df.where("user_id = 7")
+        today = lambda df: df.where(f"day < {last}") if "day" in df.columns else df
+        if name in ("pairs", "units", "linked"):  # the later days belong to the same user: compare with another user alone beside
+            both = Engine(*[a.unionByName(b) for a, b in zip(one, other, strict=True)], rules_dim(spark), None, None, day, config)
+        else:
+            both = mixed
+        got, want = (sorted(map(str, today(mine(e.stage(name))).collect())) for e in (both, alone))
+        assert got == want and want, name
+
+
 def test_collector(spark):
     rows = [
         (1, 10, "https://www.google.com/search?q=spark+joins", "spark joins - Google Search"), (2, 20, "https://www.google.com/url?q=https%3A%2F%2Fa.com%2Fx", "r"), (3, 30, "https://a.com/x?z=1", "A page about x"),

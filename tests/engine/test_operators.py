@@ -99,6 +99,70 @@ def test_greedy_clusters(spark):
     assert [r["cluster"] for r in clusters.greedy(df, ["k"], 45, 0.3).orderBy("seq").collect()] == [0, 0, 1, 2]
 
 
+def plain_greedy(rows, gap, similarity):
+    """Every cluster is looked at, with its whole vector."""
+    import math
+
+    docs = [list(t) for _, _, t in rows]
+    df = {}
+    for d in docs:
+        for t in set(d):
+            df[t] = df.get(t, 0) + 1
+    found, out = [], []
+    for _, us, d in rows:
+        kinds = sorted(set(d))
+        v = {t: d.count(t) / len(kinds) * (1 + math.log(len(docs) / df[t])) for t in kinds}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        for i, (total, last) in enumerate(found):
+            norm = size * math.sqrt(sum(x * x for x in total.values()))
+            if us - last <= gap and norm and sum(x * total.get(t, 0.0) for t, x in v.items()) / norm >= similarity:
+                break
+        else:
+            i = len(found)
+            found.append(({}, us))
+        total = found[i][0]
+        for t, x in v.items():
+            total[t] = total.get(t, 0.0) + x
+        found[i] = (total, us)
+        out.append(i)
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_greedy_clusters_are_those_of_the_plain_search(spark, seed):
+    import random
+
+    rng = random.Random(seed)
+    rows = sorted((i, rng.randrange(600) * MIN, [rng.choice("abcdefghij") * 3 for _ in range(rng.randrange(5))]) for i in range(300))
+    rows.sort(key=lambda r: (r[1], r[0]))
+    df = spark.createDataFrame([(*r, 1) for r in rows], "seq long, us long, terms array<string>, k int")
+    got = {r["seq"]: r["cluster"] for r in clusters.greedy(df, ["k"], 45, 0.4).collect()}
+    assert [got[r[0]] for r in rows] == plain_greedy(rows, 45 * MIN, 0.4) and len(set(got.values())) > 10
+
+
+def test_windows_and_missions_are_those_of_plain_folds(spark):
+    import random
+
+    rng = random.Random(9)
+    rows = sorted((rng.randrange(3000) * MIN, i) for i in range(400))
+    df = spark.createDataFrame([(1, us, i, [rng.choice("abc")]) for us, i in rows], "k int, us long, seq long, content array<string>")
+    windows, anchor, n = {}, None, -1
+    for us, i in rows:
+        if anchor is None or us - anchor > 30 * MIN:
+            anchor, n = us, n + 1
+        windows[i] = (n, anchor)
+    got = {r["seq"]: (r["window"], r["anchor_us"]) for r in temporal.anchored_windows(df, ["k"], 30).collect()}
+    assert got == windows
+    content = {r["seq"]: set(r["content"]) for r in df.collect()}
+    missions, n, last, opener = {}, -1, None, set()
+    for us, i in rows:
+        if last is None or us - last > 9 * MIN or not opener & content[i]:
+            n, opener = n + 1, content[i]
+        last = us
+        missions[i] = n
+    assert {r["seq"]: r["mission"] for r in temporal.search_missions(df, ["k"], 9).collect()} == missions
+
+
 def test_engagement(spark):
     v = visits(spark, [(1, MIN, "https://a.com/1", "one two three four five words"), (2, 20 * MIN, "https://a.com/2", "TypeError in map() call")])
     s = spark.createDataFrame([(1, 0)], "seq long, us long")
