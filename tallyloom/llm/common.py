@@ -21,10 +21,26 @@ def durable(df: DataFrame) -> DataFrame:
     """Cuts the lineage into the shared folder of spark.checkpoint.dir, so that a lost executor costs one read and no recomputation."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))  # one machine: tests
     return df.checkpoint(eager=True)
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """The name, with as many underscores in front as it takes to be none of the columns'."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def beside(columns: list[str], name: str) -> list[str]:
+    """The columns that stay beside a new one of this name: a column of the same name is replaced."""
+    return [c for c in columns if c.lower() != name.lower()]
+
+
 def in_arrow(df: DataFrame, schema: str, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return df.mapInArrow(work, schema)
@@ -65,8 +81,8 @@ def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn_from: Column, per_class: int, max_bytes: int) -> list:
     """label and text of at most per_class texts of each label, of at most max_bytes each, the first by a hash of the doc_id: the bounded sample that a classifier
-    is fitted on. It is chosen by ids and sizes alone; then its texts are fetched."""
-    known = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1)).dropDuplicates(["doc_id"])
+    is fitted on. A doc_id with both labels has label 1; of texts with one doc_id, the least counts. It is chosen by ids and sizes alone; then its texts are fetched."""
+    known = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1)).groupBy("doc_id").agg(F.max("label").alias("label"))
     rows = docs.where(learn_from).select("doc_id", text_bytes().alias("size")).groupBy("doc_id").agg(F.max("size").alias("size")).where(F.col("size") <= max_bytes).join(known, "doc_id")
     rows = durable(rows.select("doc_id", "label"))
     totals = dict(rows.groupBy("label").count().collect())

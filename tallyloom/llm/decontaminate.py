@@ -10,8 +10,8 @@ run, the windows whose slots are all unchanged (verbatim copies) are one. So one
 A document with a consistent passage is contaminated; if a slot's value differs, the passage is re-parameterised.
 
 An item of fewer tokens than `window` is looked up whole if it has `least` tokens or more; shorter ones are too common to tell and match nothing.
-Null and empty texts match nothing. Repeated items count separately, as do repeated documents: rows with one doc_id give one result row for each row
-of the table (all alike). An empty table of documents gives no rows, an empty benchmark leaves all documents clean. Other columns are ignored.
+Null and empty texts match nothing. Repeated items count separately, as do repeated documents: each row of the table gives one result row, judged by its own text, also
+where its doc_id is missing or shared. An empty table of documents gives no rows, an empty benchmark leaves all documents clean. Other columns are ignored.
 
 Benchmark windows are broadcast while there are at most `broadcast_windows` of them, beyond that they are joined by shuffle.
 """
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, sized, text_bytes
+from .common import durable, fresh, sized, text_bytes
 
 #: Units of measure that become a placeholder behind a number.
 UNITS = ("kg", "g", "mg", "km", "m", "cm", "mm", "mi", "ft", "in", "lb", "oz", "l", "ml", "s", "ms", "min", "h", "hours", "hour", "minutes", "minute", "seconds", "days", "day", "years", "year", "euros", "euro", "dollars", "dollar", "usd", "eur", "percent", "miles", "meters", "metres", "km2", "m2", "kwh", "w", "kw", "v", "hz", "mb", "gb")
@@ -48,9 +48,12 @@ def tokens(joined: Column) -> Column:
     return F.when(joined == "", F.array().cast("array<string>")).otherwise(F.split(joined, " "))
 
 
-def window_hashes(words: Column, size: int) -> Column:
+def window_hashes(words: Column, size: int, fits: Column) -> Column:
+    """size, at and hash of all windows of this size, if it fits."""
     last = F.size(words) - size
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64(F.slice(words, i + 1, size)))).otherwise(F.array().cast("array<bigint>"))
+    one = lambda i: F.struct(F.lit(size).alias("size"), i.alias("at"), F.xxhash64(F.slice(words, i + 1, size)).alias("hash"))
+    every = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), one)
+    return F.when(fits & (last >= 0), every).otherwise(F.array().cast("array<struct<size:int,at:int,hash:bigint>>"))
 
 
 def passages(docs: DataFrame, benchmark: DataFrame, window: int = 8, least: int = 5, broadcast_windows: int = 500_000) -> DataFrame:
@@ -61,12 +64,8 @@ def passages(docs: DataFrame, benchmark: DataFrame, window: int = 8, least: int
     texts = docs.select("doc_id", slotted(F.col("text")).alias("slots"))
 
     def hashed(df: DataFrame, key: str, own: Column | None = None) -> DataFrame:
-        by_size = [F.when(F.lit(True) if own is None else own == n, window_hashes(F.col("words"), n)).otherwise(F.array().cast("array<bigint>")) for n in sizes]
-        found = [df.select(key, F.lit(n).alias("size"), F.posexplode(h).alias("at", "hash")) for n, h in zip(sizes, by_size, strict=True)]
-        out = found[0]
-        for more in found[1:]:
-            out = out.unionByName(more)
-        return out
+        by_size = [window_hashes(F.col("words"), n, F.lit(True) if own is None else own == n) for n in sizes]
+        return df.select(key, F.explode(F.concat(*by_size)).alias("w")).select(key, "w.*")
 
     if not sizes:
         return docs.select("doc_id", *[F.lit(None).cast(t).alias(c) for c, t in {"item_id": "long", "windows": "long", "consistent": "boolean", "altered": "boolean"}.items()]).where("false")
@@ -102,18 +101,24 @@ def passages(docs: DataFrame, benchmark: DataFrame, window: int = 8, least: int
     return whole.where("consistent").select(row).unionByName(parts.where("consistent").select(row)).unionByName(verbatim.select(row))
 
 
+def row_key() -> Column:
+    """What tells rows apart: doc_id, size and hash of the text; structs are equal where both have nulls."""
+    return F.struct("doc_id", text_bytes().alias("size"), F.xxhash64("text").alias("tie"))
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:
-    """For each document: doc_id, contaminated, reparameterised, n_items, n_windows (of the longest passage), item_ids (array, ascending)."""
-    good = passages(docs, benchmark, **parameters).where("consistent")
+    """For each document: doc_id, contaminated, reparameterised, n_items, n_windows (of the longest passage), item_ids (array, ascending). Each row is judged by its own text."""
+    rows = docs.select(row_key().alias("doc_id"), "text")
+    good = passages(rows, benchmark, **parameters).where("consistent")
     per_item = good.groupBy("doc_id", "item_id").agg(F.max("windows").alias("windows"), F.bool_and("altered").alias("altered"))
-    per_doc = per_item.groupBy("doc_id").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"), F.max("windows").alias("n_windows"), F.bool_or("altered").alias("altered"))
-    out = docs.select("doc_id").join(per_doc, "doc_id", "left")
-    return out.select("doc_id", F.col("n_windows").isNotNull().alias("contaminated"), F.coalesce("altered", F.lit(False)).alias("reparameterised"), F.coalesce(F.size("item_ids"), F.lit(0)).cast("long").alias("n_items"), F.coalesce("n_windows", F.lit(0)).alias("n_windows"), F.coalesce("item_ids", F.array().cast("array<bigint>")).alias("item_ids"))
+    per_doc = durable(per_item.groupBy("doc_id").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"), F.max("windows").alias("n_windows"), F.bool_or("altered").alias("altered")))
+    out = rows.select("doc_id").join(sized(per_doc), "doc_id", "left")
+    return out.select("doc_id.doc_id", F.col("n_windows").isNotNull().alias("contaminated"), F.coalesce("altered", F.lit(False)).alias("reparameterised"), F.coalesce(F.size("item_ids"), F.lit(0)).cast("long").alias("n_items"), F.coalesce("n_windows", F.lit(0)).alias("n_windows"), F.coalesce("item_ids", F.array().cast("array<bigint>")).alias("item_ids"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:
     """The documents, with all their columns, that are not contaminated. Each row is judged by its own text, whatever its doc_id."""
-    row = F.struct("doc_id", text_bytes().alias("size"), F.xxhash64("text").alias("tie"))  # structs are equal where both have nulls
-    bad = passages(docs.select(row.alias("doc_id"), "text"), benchmark, **parameters).where("consistent")
-    bad = durable(bad.select(F.col("doc_id").alias("_bad")).distinct())
-    return docs.join(sized(bad), row == F.col("_bad"), "left_anti")
+    bad = passages(docs.select(row_key().alias("doc_id"), "text"), benchmark, **parameters).where("consistent")
+    name = fresh(docs.columns, "_bad")
+    bad = durable(bad.select(F.col("doc_id").alias(name)).distinct())
+    return docs.join(sized(bad), row_key() == F.col(name), "left_anti")

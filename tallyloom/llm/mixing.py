@@ -1,20 +1,21 @@
 """Mixing of sources to target weights by Pfair scheduling, in DataFrame operations only.
 
 The texts of a source, in order of doc_id, are laid end to end and cut into blocks of `block_bytes`; a document belongs to the block in which it starts (its
-size: UTF-8 bytes plus 1). A source's target weight is its bytes to the power `alpha` (or the given weight), rounded to `share` of about `slots` slots, one at least;
-the sum of the shares is the period. Block i (from 1) of a source with share q of period P is released at slot floor((i-1)P/q) and due by slot
-ceil(iP/q); in each slot, of the blocks that are released the one that is due earliest is taken, the first source by name among equals. In any prefix of the
-schedule, a source has less than one block more or less than its weight asks for. The schedule repeats with the period, so it is worked out
-for one period and joined to the blocks: the table has one row per slot of a period, whatever the size of the data.
+size: UTF-8 bytes plus 1). A source's target weight is its bytes to the power `alpha` (or the given weight), as a `share` of `slots` slots (16 times the number of sources if
+that is more), to the nearest slot, one at least; the sum of the shares is the period. Block i (from 1) of a source with share q of period P is released at slot
+floor((i-1)P/q) and due by slot ceil(iP/q); in each slot, of the blocks that are released the one that is due earliest is taken, the first source by name among equals. In
+any prefix of the schedule, a source has less than one block more or less than its share asks for, and a share differs from its target by half a slot of the period (one for
+sources below half a slot). The schedule repeats with the period, so it is worked out for one period and joined to the blocks: the table has one row per slot of a period,
+whatever the size of the data.
 
-The rounded shares bind the schedule of mix() alone. within_weights() has no period: it takes the weights as they are and says which rows a mix keeps. Block i
-(from 0) of a source of weight w is released once i blocks of its weight have passed; the mix ends where the first source is a whole block behind its weight. So a source
-that runs out within its last block doesn't end it, and what is dropped is only what over-represented sources have beyond that point.
+`in_mix` is true up to the slot by which a source is a whole block behind its share, for lack of blocks: so far the mix meets its weights, and a source that runs out within
+its last block doesn't end it. The rest, of over-represented sources, keeps its rows and slots.
 
-`in_mix` is true up to the slot at which the first source has no block left: so far the mix meets its weights. The rest keeps its rows and slots.
+within_weights() has no period: it takes the weights as they are and says which rows a mix keeps. Block i (from 0) of a source of weight w is released once i blocks of its
+weight have passed; the mix ends where the first source is a whole block behind its weight.
 
-Null sources form a source of their own, named ''. Rows of one doc_id are ordered by size and text. Empty texts have size 1. There can be at most `slots` sources
-(an error otherwise: the weights could not be met). An empty table gives no rows; columns of other names are ignored.
+Null sources form a source of their own, named ''. Rows of one doc_id are ordered by size and text. Empty texts have size 1. An empty table gives no rows; columns of other
+names are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +23,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, running_totals, sized, text_bytes
+from .common import durable, fresh, running_totals, sized, text_bytes
+
+
+SLOTS, CHUNK = 16384, 128
 
 
 def shares(totals: DataFrame, weights: dict[str, float] | None, alpha: float, slots: int) -> DataFrame:
@@ -39,35 +43,36 @@ def shares(totals: DataFrame, weights: dict[str, float] | None, alpha: float, sl
 def one_period(share: DataFrame) -> DataFrame:
     """source, share, period, turn (from 0), release, deadline, slot: earliest deadline first over the slots of one period."""
     one = share.groupBy().agg(F.sort_array(F.collect_list(F.struct("source", "share"))).alias("s"), F.sum("share").alias("p")).where("p is not null")
-    # state: done[k] blocks of source k so far, and the source taken in each slot
-    pick = """
-      aggregate(sequence(0L, p - 1),
+    # state: done[k] blocks of source k so far, and the source taken in each slot; slots are worked out CHUNK at a time, so that no long array grows by single slots
+    pick = f"""
+      aggregate(sequence(0L, (p - 1) div {CHUNK}),
         named_struct('done', transform(s, x -> 0L), 'taken', cast(array() as array<int>)),
-        (a, t) -> aggregate(
-            array(array_min(transform(
-              filter(sequence(0, size(s) - 1), k -> a.done[k] < s[k].share and (a.done[k] * p) div s[k].share <= t),
-              k -> named_struct('due', ((a.done[k] + 1) * p + s[k].share - 1) div s[k].share, 'k', k))).k),
-            a, (b, k) -> named_struct('done', transform(b.done, (n, j) -> if(j = k, n + 1, n)), 'taken', concat(b.taken, array(k)))),
+        (whole, c) -> aggregate(sequence(c * {CHUNK}L, least(p, (c + 1) * {CHUNK}L) - 1),
+          named_struct('done', whole.done, 'taken', cast(array() as array<int>)),
+          (a, t) -> aggregate(
+              array(array_min(transform(
+                filter(sequence(0, size(s) - 1), k -> a.done[k] < s[k].share and (a.done[k] * p) div s[k].share <= t),
+                k -> named_struct('due', ((a.done[k] + 1) * p + s[k].share - 1) div s[k].share, 'k', k))).k),
+              a, (b, k) -> named_struct('done', transform(b.done, (n, j) -> if(j = k, n + 1, n)), 'taken', concat(b.taken, array(k)))),
+          part -> named_struct('done', part.done, 'taken', concat(whole.taken, part.taken))),
         a -> a.taken)"""
     taken = one.select("s", "p", F.posexplode(F.expr(pick)).alias("slot", "k")).select(F.expr("s[k].source").alias("source"), F.expr("s[k].share").alias("share"), F.col("p").alias("period"), F.col("slot").cast("long").alias("slot"))
     turn = (F.row_number().over(Window.partitionBy("source").orderBy("slot")) - 1).cast("long")
     return taken.withColumn("turn", turn).withColumn("release", F.expr("turn * period div share")).withColumn("deadline", F.expr("((turn + 1) * period + share - 1) div share"))
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = 0.9, block_bytes: int = 65536, slots: int = 720) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = 0.9, block_bytes: int = 65536, slots: int = SLOTS) -> DataFrame:
     """doc_id, source, size, block, slot, release, deadline, in_mix, for each row of docs."""
     rows = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), (text_bytes() + 1).alias("size"), F.xxhash64("text").alias("tie"))
     placed = durable(running_totals(rows, ["source"], ["doc_id", "size", "tie"], {"before": "size"}).withColumn("block", F.expr(f"before div {block_bytes}")))
     totals = placed.groupBy("source").agg(F.sum("size").alias("bytes"))
-    if totals.limit(slots + 1).count() > slots:
-        raise ValueError(f"more than {slots} sources: their weights need more slots")
-    pattern = durable(one_period(shares(totals, weights, alpha, slots)))  # at most slots + number of sources rows
+    totals = durable(totals)
+    pattern = durable(one_period(shares(totals, weights, alpha, max(slots, 16 * totals.count()))))  # a row for each slot, and at most one more for each source
     per_source = F.broadcast(pattern.select("source", "share", "period").distinct())
     timed = placed.join(per_source, "source").withColumn("turn", F.expr("block % share")).withColumn("round", F.expr("block div share"))
     timed = timed.join(F.broadcast(pattern.select("source", "turn", F.col("slot").alias("at"), F.col("release").alias("r"), F.col("deadline").alias("d"))), ["source", "turn"])
-    ends = totals.join(per_source, "source").withColumn("block", F.expr(f"(bytes + {block_bytes} - 1) div {block_bytes}"))
-    ends = ends.withColumn("turn", F.expr("block % share")).join(F.broadcast(pattern.select("source", "turn", "slot")), ["source", "turn"])
-    end = ends.agg(F.min(F.expr("block div share * period + slot")).alias("end")).first()["end"]
+    ends = totals.join(per_source, "source").select(F.expr(f"(((bytes + {block_bytes} - 1) div {block_bytes} + 1) * period + share - 1) div share").alias("end"))
+    end = ends.agg(F.min("end")).first()[0]
     shift = F.col("round") * F.col("period")
     out = timed.select("doc_id", "source", "size", "block", (shift + F.col("at")).alias("slot"), (shift + F.col("r")).alias("release"), (shift + F.col("d")).alias("deadline"), "tie")
     return out.withColumn("in_mix", F.col("slot") < F.lit(end))
@@ -81,7 +86,8 @@ def within_weights(docs: DataFrame, alpha: float = 0.9, block_bytes: int = 65536
     end = totals.agg(F.min((F.col("bytes") + block_bytes) / F.col("w"))).first()[0]  # in bytes for each unit of weight
     if end is None:
         return docs
+    of, latest = fresh(docs.columns, "_of"), fresh(docs.columns, "_last")
     begins = F.expr(f"before div {block_bytes}") * block_bytes
     within = placed.join(sized(totals), "source").where(begins < F.col("w") * F.lit(end))
-    last = durable(within.groupBy("source").agg(F.max(F.struct("doc_id", "size", "tie")).alias("_last")).withColumnRenamed("source", "_of"))
-    return docs.join(sized(last), source == F.col("_of")).where(F.struct(*key) <= F.col("_last")).select(*[docs[c] for c in docs.columns])
+    last = durable(within.groupBy("source").agg(F.max(F.struct("doc_id", "size", "tie")).alias(latest)).withColumnRenamed("source", of))
+    return docs.join(sized(last), source == F.col(of)).where(F.struct(*key) <= F.col(latest)).drop(of, latest)

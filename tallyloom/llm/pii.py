@@ -2,9 +2,10 @@
 
 Base spans come from one pattern per kind (email, ip, card, phone), leftmost and without overlaps of its own kind; a match that fails its test is dropped. Then the
 tokens with a digit or an at sign become nodes of a random field over the labels none, email, ip, card, phone. Tokens in a base span are
-observed with its kind. The others have potentials from their shape, learned by logistic regression from the base spans of a bounded sample of texts. Neighbours in
+observed with its kind. The others have potentials from their shape. Neighbours in
 the text are linked, and so are each two successive tokens of a document that are equal, or alike (the same last seven digits, or the same name before the at
-sign): the skip edges, by which all mentions of one thing get one label. Weights of both kinds of edges are the log-odds of equal labels in the sample. Loopy belief
+sign): the skip edges, by which all mentions of one thing get one label. The weights of shapes and of both kinds of edges are trained together, on the base spans of a bounded sample of texts, by
+pseudo-likelihood: each token's label given its shape and the labels of all tokens linked to it. Loopy belief
 propagation runs for a fixed number of rounds; a token whose likeliest label is a kind with over half the belief becomes a span, joined with its neighbours of that kind.
 
 Positions are code points, ends exclusive. Null and empty texts have no spans. Repeated rows give equal rows; an empty table gives none. Without a token to learn
@@ -160,26 +161,37 @@ def fit(texts: list[str], steps: int = 150, ridge: float = 1e-3) -> Field | None
         return None
     x = np.concatenate([d.x for d in docs])
     y = np.concatenate([np.maximum(d.seen, 0) for d in docs])
-    goal, w, m, v = np.eye(5)[y], np.zeros((FEATURES, 5)), 0.0, 0.0
+    starts = np.cumsum([0] + [len(d.at) for d in docs])
+
+    def beside(kind: str) -> np.ndarray:
+        """Of each token, how many of its neighbours have each label."""
+        edges = np.concatenate([getattr(d, kind) + s for d, s in zip(docs, starts, strict=False)])
+        out = np.zeros((len(x), 5))
+        np.add.at(out, (edges[:, 0], y[edges[:, 1]]), 1)
+        np.add.at(out, (edges[:, 1], y[edges[:, 0]]), 1)
+        return out
+
+    chain, skip = beside("chain"), beside("skip")
+    goal, w = np.eye(5)[y], np.zeros(FEATURES * 5 + 2)
+    m = v = np.zeros_like(w)
     for t in range(1, steps + 1):
-        s = x @ w
-        p = np.exp(s - s.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        g = x.T @ (p - goal) / len(x) + ridge * w
+        g = slope(w, x, chain, skip, goal) + ridge * w
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        w -= 0.2 * (1 - t / (steps + 1)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-
-    def strength(kind: str) -> float:
-        same = differ = 1.0
-        for d in docs:
-            e = getattr(d, kind)
-            if len(e):
-                k = np.maximum(d.seen, 0)[e]
-                told = (k > 0).any(axis=1)
-                same, differ = same + (told & (k[:, 0] == k[:, 1])).sum(), differ + (told & (k[:, 0] != k[:, 1])).sum()
-        return float(np.clip(np.log(same / differ), 0.0, 4.0))
-
-    return Field(w, strength("chain"), strength("skip"))
+        w = w - 0.2 * (1 - t / (steps + 1)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+    return Field(w[:-2].reshape(FEATURES, 5), float(np.clip(w[-2], 0.0, 4.0)), float(np.clip(w[-1], 0.0, 4.0)))
+
+
+def conditional(w: np.ndarray, x: np.ndarray, chain: np.ndarray, skip: np.ndarray) -> np.ndarray:
+    """P(label | features, labels of the neighbours) of each token."""
+    s = x @ w[:-2].reshape(FEATURES, 5) + w[-2] * chain + w[-1] * skip
+    p = np.exp(s - s.max(axis=1, keepdims=True))
+    return p / p.sum(axis=1, keepdims=True)
+
+
+def slope(w: np.ndarray, x: np.ndarray, chain: np.ndarray, skip: np.ndarray, goal: np.ndarray) -> np.ndarray:
+    """Gradient of the negative log-pseudo-likelihood, a token's mean."""
+    off = conditional(w, x, chain, skip) - goal
+    return np.concatenate([(x.T @ off).ravel(), [(off * chain).sum(), (off * skip).sum()]]) / len(x)
 
 
 def beliefs(d: Document, field: Field) -> np.ndarray:

@@ -2,13 +2,12 @@
 
 The law is `bytes`: a node that is to hold n shards is cut where the bytes before it are nearest to floor(n/2)/n of its own, so sizes differ by about one text.
 Dimensions (integers): n_chars, a hash of the lang, a hash of the source and the doc_id, each scaled by its range over the whole table; the widest one of a node is
-the one with the largest scaled range. Rows that tie on that dimension are told apart by the rest of the key (doc_id), so a hot value does not unbalance.
+the one with the largest scaled range. Rows that tie on that dimension are told apart by the doc_id, then by a row number, so neither a hot value nor a shared doc_id unbalances.
 
 The median is found by refinement: bytes are summed in `bins` bins between the bounds that are left, for all nodes of a level at once, and the bin
 with the median is refined until it holds one value. Only the sums, `bins` per node, come to the driver.
 
-Size is the UTF-8 bytes of the text (null: none) plus 1. Slots are gapless in each shard, in order of doc_id. Rows of one doc_id stay separate rows, but can't be
-told apart by a split. An empty table gives no rows. A null doc_id or metadata value counts as the least value. Other columns are ignored.
+Size is the UTF-8 bytes of the text (null: none) plus 1. Slots are gapless in each shard, in order of doc_id. Rows of one doc_id stay separate rows. An empty table gives no rows. A null doc_id or metadata value counts as the least value. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -57,7 +56,8 @@ def cut(rows: DataFrame, column, goals: dict[int, int], bounds: dict[int, tuple[
 
 def kd_shards(docs: DataFrame, shards: int = 8, bins: int = 4096) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot for each row."""
-    rows = durable(points(docs).withColumn("node", F.lit(0)))
+    # what tells rows of one doc_id apart is fixed by the checkpoint
+    rows = durable(points(docs).withColumn("node", F.lit(0)).withColumn("d_row", F.shiftrightunsigned(F.xxhash64("text_crc32", F.monotonically_increasing_id()), 2)))
     whole = rows.agg(*[f(c).alias(f"{n}_{c}") for c in DIMENSIONS for n, f in (("lo", F.min), ("hi", F.max))]).first()
     span = {c: max(1, (whole[f"hi_{c}"] or 0) - (whole[f"lo_{c}"] or 0)) for c in DIMENSIONS}
     first, count = {0: 0}, {0: shards}  # of each node: its first shard and how many it is to hold
@@ -73,9 +73,15 @@ def kd_shards(docs: DataFrame, shards: int = 8, bins: int = 4096) -> DataFrame:
         ends = {r["node"]: (r["lo"], r["hi"]) for r in tied.groupBy("node").agg(F.min("d_doc").alias("lo"), F.max("d_doc").alias("hi")).collect()}
         rest = {k: goals[k] - below[k] for k in ends}
         last, before, size = cut(tied, F.col("d_doc"), rest, ends, bins)
+        same = tied.where(F.col("d_doc") == by_node(last, "long"))
+        ends = {r["node"]: (r["lo"], r["hi"]) for r in same.groupBy("node").agg(F.min("d_row").alias("lo"), F.max("d_row").alias("hi")).collect()}
+        rest = {k: rest[k] - before[k] for k in ends}
+        row, before, own = cut(same, F.col("d_row"), rest, ends, bins)
+        size |= own
         # the row that the goal falls into goes where the sizes end up closer
-        last = {k: v - (k in size and rest[k] - before[k] < before[k] + size[k] - rest[k]) for k, v in last.items()}
-        left = (axis < by_node(at, "long")) | ((axis == by_node(at, "long")) & (F.col("d_doc") <= by_node(last, "long")))
+        row = {k: v - (k in size and rest[k] - before[k] < before[k] + size[k] - rest[k]) for k, v in row.items()}
+        on_doc = (F.col("d_doc") < by_node(last, "long")) | ((F.col("d_doc") == by_node(last, "long")) & (F.col("d_row") <= by_node(row, "long")))
+        left = (axis < by_node(at, "long")) | ((axis == by_node(at, "long")) & on_doc)
         rows = durable(rows.withColumn("node", F.when(F.col("node").isin(list(stats)), F.when(left, F.col("node") * 2 + 1).otherwise(F.col("node") * 2 + 2)).otherwise(F.col("node")).cast("int")))
         for k in list(count):
             if (n := count[k]) > 1:
@@ -83,8 +89,8 @@ def kd_shards(docs: DataFrame, shards: int = 8, bins: int = 4096) -> DataFrame:
                 count |= {2 * k + 1: n // 2, 2 * k + 2: n - n // 2}
                 del first[k], count[k]
     shard = F.coalesce(by_node(first, "int"), F.lit(0))
-    out = rows.select("doc_id", "size", "text_crc32", "d_doc", shard.alias("shard"), F.lit(1).alias("one"))
-    return running_totals(out, ["shard"], ["d_doc", "size", "text_crc32"], {"slot": "one"}).select("doc_id", "size", "text_crc32", "shard", "slot")
+    out = rows.select("doc_id", "size", "text_crc32", "d_doc", "d_row", shard.alias("shard"), F.lit(1).alias("one"))
+    return running_totals(out, ["shard"], ["d_doc", "size", "text_crc32", "d_row"], {"slot": "one"}).select("doc_id", "size", "text_crc32", "shard", "slot")
 
 
 def target_shards(docs: DataFrame, target_bytes: int) -> int:

@@ -26,10 +26,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, in_arrow, sized, text_bytes
+from .common import durable, fresh, in_arrow, sized, text_bytes
 
 SEED = 42
 ROUNDS = 60
@@ -117,16 +117,21 @@ def joined(fp: np.ndarray, comp: np.ndarray, radius: int) -> list[tuple[int, int
     return list(zip(fp[first[moved]].view(np.int64).tolist(), fp[first[merged[moved]]].view(np.int64).tolist(), strict=True))
 
 
+def ball_keys(parts: int) -> list[Column]:
+    """For each of so many segments of fp, the keys of the ball of radius one around it; keys tell the segments apart."""
+    cuts, one = [64 * i // parts for i in range(parts + 1)], F.lit(1).cast("long")
+
+    def keys(number: int, low: int, width: int) -> Column:
+        own = F.shiftrightunsigned("fp", low).bitwiseAND((1 << width) - 1) if parts > 1 else F.col("fp")
+        ball = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: own.bitwiseXOR(F.call_function("shiftleft", one, i)))
+        return F.transform(F.concat(F.array(own), ball), lambda k: k * parts + number)
+
+    return [keys(s, lo, hi - lo) for s, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False))]
+
+
 def connections(fps: DataFrame, radius: int = 8, most: int = 64, block: int = 2048) -> DataFrame:
     """Pairs a, b (a < b) of distinct fingerprints, column fp, whose components are those of all pairs within the radius."""
-    parts = -(-(radius + 1) // 3)
-    cuts = [64 * i // parts for i in range(parts + 1)]
-    one, keys = F.lit(1).cast("long"), []
-    for s, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)):
-        part = F.shiftrightunsigned("fp", lo).bitwiseAND((1 << (hi - lo)) - 1) if parts > 1 else F.col("fp")
-        ball = F.transform(F.sequence(F.lit(0), F.lit(hi - lo - 1)), lambda i, part=part: part.bitwiseXOR(F.call_function("shiftleft", one, i)))
-        keys.append(F.transform(F.concat(F.array(part), ball), lambda k, s=s: k * parts + s))
-    entries = fps.select("fp", F.explode(F.concat(*keys)).alias("key"))
+    entries = fps.select("fp", F.explode(F.concat(*ball_keys(-(-(radius + 1) // 3)))).alias("key"))
     crowded = durable(entries.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > most))
     known = sized(crowded)
     quiet = entries.join(known, "key", "left_anti").groupBy("key").agg(F.collect_list("fp").alias("m")).where(F.size("m") > 1)
@@ -224,5 +229,6 @@ def one_of_each(docs: DataFrame, shingle: int = 2, radius: int = 8, most: int =
     per_class = durable(by_hot_key(rooted.select("fp", "root", F.col("n").alias("rows")), chosen, "root").select("fp", "kept", F.col("rows").alias("n")))
     lost = by_hot_key(once.select("fp", "key"), per_class, "fp").where(F.col("key") != F.col("kept")).select("key.*").drop("_none")
     rows = docs if classes.where("copies > 1").isEmpty() else docs.dropDuplicates(["doc_id", "text"])
-    match = F.struct(*[v.alias(k) for k, v in key.items()]) == F.col("_lost")  # structs are equal where both have nulls
-    return rows.join(sized(durable(lost.select(F.struct("_id", "_size", "_tie").alias("_lost")))), match, "left_anti")
+    name = fresh(docs.columns, "_lost")
+    match = F.struct(*[v.alias(k) for k, v in key.items()]) == F.col(name)  # structs are equal where both have nulls
+    return rows.join(sized(durable(lost.select(F.struct("_id", "_size", "_tie").alias(name)))), match, "left_anti")

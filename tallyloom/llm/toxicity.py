@@ -2,7 +2,7 @@
 
 Input: the lower-cased words of a text (cut at white space, outer punctuation off). A word is the sum of its own vector, if it is in the vocabulary of the
 training sample, and of the mean vector of its hashed character 3- and 4-grams, so that inflected and unseen words are read by their letters.
-Windows of `WINDOW` words, each `STRIDE` words on, overlap and cover the whole text. Two gated recurrent layers read a window from either side,
+Windows of `WINDOW` words, each `STRIDE` words on, overlap by half and cover the whole text, so every passage of up to WINDOW - STRIDE + 1 words lies whole in one of them. Two gated recurrent layers read a window from either side,
 attention pools their states, and a linear unit gives the window's logit. A text is as toxic as its worst window; its score is a logistic
 function of that logit, calibrated on the training sample.
 
@@ -10,7 +10,7 @@ Training sees a bounded sample (`Fit.per_class` texts of each label of at most `
 counts as toxic (at first, the one with the highest sum of n-gram log-odds); of other texts, all windows are clean.
 
 Null and empty texts have one empty window, and get its score. Repeated rows get equal scores. An empty table gives no rows. Without labels of both kinds, every
-text gets the share of toxic labels (0.0 without any). Other columns are never read.
+text gets the share of toxic labels (0.0 without any). Other columns are never read; one that is named like the score is replaced by it.
 """
 
 from __future__ import annotations
@@ -24,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_arrow, labelled_sample
+from .common import beside, in_arrow, labelled_sample
 
-WINDOW, STRIDE = 32, 24
+WINDOW, STRIDE = 32, 16
 GRAMS, DIM, HIDDEN, ATTENTION = 1 << 14, 12, 8, 8
 OUTER = ".,;:!?()[]{}\"'«»„“”‘’*#$%&|_-…"
 #: Words of which a task keeps the input vectors at a time.
@@ -313,15 +313,15 @@ def train(docs: DataFrame, labels: DataFrame, learn_from: Column | None = None,
     return fit([r["text"] for r in sample], [r["label"] for r in sample], how)
 
 
-def score(docs: DataFrame, net: Network, carry: list[str] | None = None) -> DataFrame:
-    """The columns to carry (default: all) and score, a double from 0 to 1."""
-    carry = docs.columns if carry is None else carry
-    schema = docs.select(*carry, F.lit(0.0).alias("score")).schema
+def score(docs: DataFrame, net: Network, carry: list[str] | None = None, name: str = "score") -> DataFrame:
+    """The columns to carry (default: all) and the score, a double from 0 to 1."""
+    carry = beside(docs.columns if carry is None else carry, name)
+    schema = docs.select(*carry, F.lit(0.0).alias(name)).schema
     at = docs.columns.index("text")
 
     def work(batches):
         scorer = Scorer(net)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in carry], pa.array(scorer(b.column(at).to_pylist()), pa.float64())], [*carry, "score"])
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in carry], pa.array(scorer(b.column(at).to_pylist()), pa.float64())], [*carry, name])
 
     return in_arrow(docs, schema, work)

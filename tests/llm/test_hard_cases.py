@@ -14,7 +14,7 @@ DOCS = [
     (7, "ünï çödé \U0001f600 text mail me a@b.co", "fr", "c"), (8, "The quick brown fox jumps over the lazy dog tonight", "en", "c"),
 ]
 SCHEMA = "doc_id long, text string, lang string, source string"
-CLASH = ("score", "size", "fp", "slot", "block", "node", "key", "hash", "shard", "tie", "label")
+CLASH = ("score", "size", "fp", "slot", "block", "node", "key", "hash", "shard", "tie", "label", "_bad", "_lost", "_at", "_row", "_of", "_last", "_toxicity", "_id", "_size", "text_crc32", "n", "size_", "hash_", "at", "words")
 
 
 @pytest.fixture(scope="module")
@@ -40,8 +40,8 @@ def operators(labels, benchmark):
     rank = quality.fit(quality.np.array([quality.features(b"a b c"), quality.features(b"### ###")]), quality.np.array([1, 0]))
     field = pii.fit(["call +1 (487) 555-7209 or mail a@b.co", "7 dwarfs"])
     return {
-        "lm": lambda d: lm_score.pseudo_likelihood(d), "toxicity": lambda d: toxicity.score(d.drop("score"), net), "decontaminate": lambda d: decontaminate.decontaminate(d, benchmark),
-        "quality": lambda d: quality.score(d.drop("score"), rank), "simhash": simhash.near_duplicates, "avi": avi.digests, "mixing": mixing.mix, "sharding": sharding.kd_shards, "pii": lambda d: pii.find(d, field),
+        "lm": lambda d: lm_score.pseudo_likelihood(d), "toxicity": lambda d: toxicity.score(d, net), "decontaminate": lambda d: decontaminate.decontaminate(d, benchmark),
+        "quality": lambda d: quality.score(d, rank), "simhash": simhash.near_duplicates, "avi": avi.digests, "mixing": mixing.mix, "sharding": sharding.kd_shards, "pii": lambda d: pii.find(d, field),
     }
 
 
@@ -69,8 +69,8 @@ def test_pages(spark):
 
 def test_training_without_labels(docs, labels):
     none = labels.where("false")
-    assert {r["score"] for r in toxicity.score(docs.drop("score"), toxicity.train(docs, none)).collect()} == {0.0}
-    assert {r["score"] for r in quality.score(docs.drop("score"), quality.train(docs, none)).collect()} == {1.0}
+    assert {r["score"] for r in toxicity.score(docs, toxicity.train(docs, none)).collect()} == {0.0}
+    assert {r["score"] for r in quality.score(docs, quality.train(docs, none)).collect()} == {1.0}
     assert pii.train(docs.where("false")) is None
 
 
@@ -78,10 +78,10 @@ def test_training_without_labels(docs, labels):
 def test_stages(spark, docs, labels, benchmark, tmp_path, step):
     labels.write.parquet(f"{tmp_path}/labels.parquet")
     benchmark.write.parquet(f"{tmp_path}/benchmark.parquet")
-    plain = docs.select("doc_id", "text", "lang", "source", "label")
+    plain = docs
     _, stage = corpus_pipeline.STAGES[step]
     out = stage(spark, plain, str(tmp_path))
-    assert out.columns == plain.columns + ["shard", "slot"] * (step == 4)
+    assert out.columns == ([c for c in plain.columns if c not in ("shard", "slot")] + ["shard", "slot"] if step == 4 else plain.columns)
     kept = out.collect()
     assert step in (0, 3) or any(r["doc_id"] is None for r in kept)  # a network of six labels and the end of a mix may leave it out
     assert kept
