@@ -8,8 +8,8 @@ any prefix of the schedule, a source has less than one block more or less than i
 sources below half a slot). The schedule repeats with the period, so it is worked out for one period and joined to the blocks: the table has one row per slot of a period,
 whatever the size of the data.
 
-`in_mix` is true up to the slot by which a source is a whole block behind its share, for lack of blocks: so far the mix meets its weights, and a source that runs out within
-its last block doesn't end it. The rest, of over-represented sources, keeps its rows and slots.
+`in_mix` is true up to the slot by which a source is a whole block behind its target weight, for lack of blocks: so far the mix meets its weights, and a source that runs out
+within its last block doesn't end it. The rest, of over-represented sources, keeps its rows and slots.
 
 within_weights() has no period: it takes the weights as they are and says which rows a mix keeps. Block i (from 0) of a source of weight w is released once i blocks of its
 weight have passed; the mix ends where the first source is a whole block behind its weight.
@@ -30,14 +30,15 @@ SLOTS, CHUNK = 16384, 128
 
 
 def shares(totals: DataFrame, weights: dict[str, float] | None, alpha: float, slots: int) -> DataFrame:
-    """source, bytes, share; totals: a row per source."""
+    """source, bytes, target (part of all weights), share; totals: a row per source."""
     w = F.pow(F.col("bytes").cast("double"), F.lit(alpha))
     if weights is not None:
         given = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])
         w = F.coalesce(F.try_element_at(given, F.col("source")), F.lit(0.0)).cast("double")
     everything = Window.partitionBy(F.lit(1))
     whole = F.round(F.lit(float(slots)) * F.col("w") / F.sum("w").over(everything), 6)
-    return totals.withColumn("w", w).withColumn("share", F.greatest(F.lit(1), F.floor(whole + 0.5)).cast("long")).select("source", "bytes", "share")
+    out = totals.withColumn("w", w).withColumns({"share": F.greatest(F.lit(1), F.floor(whole + 0.5)).cast("long"), "target": F.try_divide("w", F.sum("w").over(everything))})
+    return out.select("source", "bytes", "target", "share")
 
 
 def one_period(share: DataFrame) -> DataFrame:
@@ -67,12 +68,13 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float =
     placed = durable(running_totals(rows, ["source"], ["doc_id", "size", "tie"], {"before": "size"}).withColumn("block", F.expr(f"before div {block_bytes}")))
     totals = placed.groupBy("source").agg(F.sum("size").alias("bytes"))
     totals = durable(totals)
-    pattern = durable(one_period(shares(totals, weights, alpha, max(slots, 16 * totals.count()))))  # a row for each slot, and at most one more for each source
+    share = durable(shares(totals, weights, alpha, max(slots, 16 * totals.count())))
+    pattern = durable(one_period(share))  # a row for each slot, and at most one more for each source
     per_source = F.broadcast(pattern.select("source", "share", "period").distinct())
     timed = placed.join(per_source, "source").withColumn("turn", F.expr("block % share")).withColumn("round", F.expr("block div share"))
     timed = timed.join(F.broadcast(pattern.select("source", "turn", F.col("slot").alias("at"), F.col("release").alias("r"), F.col("deadline").alias("d"))), ["source", "turn"])
-    ends = totals.join(per_source, "source").select(F.expr(f"(((bytes + {block_bytes} - 1) div {block_bytes} + 1) * period + share - 1) div share").alias("end"))
-    end = ends.agg(F.min("end")).first()[0]
+    ends = share.where("target > 0").select((F.expr(f"(bytes + {block_bytes} - 1) div {block_bytes} + 1") / F.col("target")).alias("end"))
+    end = ends.agg(F.round(F.min("end"), 3)).first()[0]
     shift = F.col("round") * F.col("period")
     out = timed.select("doc_id", "source", "size", "block", (shift + F.col("at")).alias("slot"), (shift + F.col("r")).alias("release"), (shift + F.col("d")).alias("deadline"), "tie")
     return out.withColumn("in_mix", F.col("slot") < F.lit(end))

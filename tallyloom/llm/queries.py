@@ -73,7 +73,7 @@ WITH RECURSIVE rows_ AS (
 ), totals AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS bytes, pow(CAST(sum(size) AS DOUBLE), 0.9) AS w FROM rows_ GROUP BY source
 ), shares AS (
-  SELECT source, bytes, greatest(1, CAST(floor(round(greatest(16384, 16 * count(*) OVER ())::DOUBLE * w / sum(w) OVER (), 6) + 0.5) AS BIGINT)) AS share,
+  SELECT source, bytes, w / sum(w) OVER () AS target, greatest(1, CAST(floor(round(greatest(16384, 16 * count(*) OVER ())::DOUBLE * w / sum(w) OVER (), 6) + 0.5) AS BIGINT)) AS share,
          row_number() OVER (ORDER BY source) AS k FROM totals
 ), one AS (
   SELECT list(share ORDER BY k) AS q, CAST(sum(share) AS BIGINT) AS p, count(*) AS n FROM shares
@@ -93,7 +93,7 @@ WITH RECURSIVE rows_ AS (
          (block // share) * period + ((turn + 1) * period + share - 1) // share AS d
   FROM placed JOIN pattern ON placed.source = pattern.source AND placed.block % pattern.share = pattern.turn
 ), stop AS (
-  SELECT min((((bytes + 65535) // 65536 + 1) * p + share - 1) // share) AS stop FROM shares, one
+  SELECT round(min(((bytes + 65535) // 65536 + 1) / target), 3) AS stop FROM shares
 )
 SELECT doc_id, source, CAST(size AS BIGINT) AS size, block, CAST(pos AS BIGINT) AS slot, CAST(r AS BIGINT) AS "release", CAST(d AS BIGINT) AS deadline, pos < stop AS in_mix FROM timed, stop
 """

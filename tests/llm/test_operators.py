@@ -698,6 +698,7 @@ def test_shares_follow_their_targets_over_many_periods(spark):
     kept = [r for r in got if r["in_mix"]]
     assert len(got) == 9001 and sum(r["source"] == "c" for r in kept) == 1 and sum(r["source"] == "b" for r in kept) == 3000 and len(kept) > 8400
     period = {r["source"]: (r["share"], r["period"]) for r in mixing.one_period(mixing.shares(df.selectExpr("source", "length(text) + 1 AS n").groupBy("source").agg({"n": "sum"}).toDF("source", "bytes"), None, 0.9, 128)).collect()}
+    assert {r["source"] for r in got if not r["in_mix"]} <= {"a"}
     last = max(r["slot"] for r in kept)
     blocks = {s: sorted({r["slot"] for r in kept if r["source"] == s}) for s in "ab"}
     for s in "ab":
