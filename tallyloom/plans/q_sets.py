@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import urls, words
-from ..operators import dedup, engagement, etl, joins, reports
+from ..operators import dedup, engagement, etl, joins, ordered, reports
 from ..sources import driver_tables as t
 from . import sql
 from .registry import query
@@ -170,10 +170,8 @@ RANKS = f"ranks AS (SELECT domain, row_number() OVER (ORDER BY n DESC, domain) A
 
 
 def ranks(spark, d):
-    from pyspark.sql import Window
-
     n = t.visits(spark, d).groupBy(urls.host(F.col("url")).alias("domain")).agg(F.count("*").alias("n"))
-    return n.select("domain", F.row_number().over(Window.orderBy(F.desc("n"), "domain")).cast("long").alias("rank"))
+    return ordered.row_numbers(n, [F.desc("n"), "domain"], "rank").select("domain", "rank")
 
 
 CANDIDATES = "candidates AS (SELECT DISTINCT CASE WHEN page_id % 4 = 0 THEN concat('sub.', h) WHEN page_id % 4 = 1 THEN concat('a-b-c-d-e.', h) WHEN page_id % 4 = 2 THEN concat('12.34.', h) ELSE h END AS domain, concat('c', page_id % 3) AS category FROM (SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]+)', 1)), '^www\\.', '') AS h FROM pages))"

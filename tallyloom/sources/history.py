@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import configparser
+import json
 import re
 import shutil
 import sqlite3
@@ -48,14 +50,18 @@ class HistoryReader(DataSourceReader):
         return [Profile(self.kind, p) for p in self.paths]
 
     def read(self, partition):
+        """A file that is not there or is no database of its kind has no rows; an error after the first row is raised, so that no part of a history passes for the whole."""
+        seen = False
         with tempfile.TemporaryDirectory() as held:  # a browser may hold a lock on its own file
             try:
                 copy = shutil.copy(partition.path, held)
                 with sqlite3.connect(copy) as db:
                     for url, title, at, n in db.execute(QUERIES[partition.kind], (native(partition.kind, self.since),)):
+                        seen = True
                         yield url, title, micros(partition.kind, at), n
             except (OSError, sqlite3.DatabaseError):
-                return
+                if seen:
+                    raise
 
 
 class HistorySource(DataSource):
@@ -166,9 +172,10 @@ def parse_git_log(lines: DataFrame) -> DataFrame:
     files = blocks.where(F.size(stat) == 3).select("repo", "commit", F.try_to_number(F.regexp_replace(stat[0], "-", ""), F.lit("999999999")).cast("long").alias("i"), F.try_to_number(F.regexp_replace(stat[1], "-", ""), F.lit("999999999")).cast("long").alias("d"))
     sums = files.groupBy("repo", "commit").agg(F.count("*").alias("files_changed"), F.coalesce(F.sum("i"), F.lit(0)).alias("insertions"), F.coalesce(F.sum("d"), F.lit(0)).alias("deletions"))
     stash = F.col("message").rlike(r"^(WIP on |index on |On [^:]+: |untracked files on )")
-    joined = heads.join(sums, ["repo", "commit"], "left").where(~stash)
+    first = heads.where(~stash).groupBy("hash").agg(F.min(F.struct("repo", "commit", "message", "time")).alias("x")).select("hash", "x.*")  # a commit of several branches or clones counts once
+    joined = first.join(sums, ["repo", "commit"], "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return joined.select("hash", "message", "time", "repo", zero("files_changed"), zero("insertions"), zero("deletions")).dropDuplicates(["hash"])
+    return joined.select("hash", "message", "time", "repo", zero("files_changed"), zero("insertions"), zero("deletions"))
 
 
 def rank_list(spark: SparkSession, path: str, limit: int = 50_000) -> DataFrame:
@@ -194,3 +201,27 @@ def notes(spark: SparkSession, path: str) -> DataFrame:
 def profile_folders(root: str) -> list[str]:
     """Chromium profile folders below a user-data folder that have a history database."""
     return sorted(str(p.parent) for p in Path(root).glob("*/History") if re.fullmatch(r"Default|Profile \d+|Guest Profile", p.parent.name))
+
+
+def profiles(kind: str, root: str) -> list[tuple[str, str]]:
+    """Name and history database of each profile below a browser's folder: names come from Local State or profiles.ini, if those tell them."""
+    folder = Path(root)
+    if kind == "chromium":
+        try:
+            names = json.loads((folder / "Local State").read_text())["profile"]["info_cache"]
+        except (OSError, ValueError, KeyError):
+            names = {}
+        return [(names.get(Path(p).name, {}).get("name") or Path(p).name, f"{p}/History") for p in profile_folders(root)]
+    if kind == "firefox":
+        ini = configparser.ConfigParser()
+        ini.read(folder / "profiles.ini")
+        parts = [ini[x] for x in ini.sections() if x.startswith("Profile") and ini[x].get("Path")]
+        found = [(x.get("Name", x["Path"]), (folder / x["Path"] if x.get("IsRelative", "1") == "1" else Path(x["Path"])) / "places.sqlite") for x in parts]
+    else:
+        found = [("Safari", folder / "History.db")]
+    return sorted((name, str(p)) for name, p in found if p.exists())
+
+
+def selected(found: list[tuple[str, str]], wanted: list[str] | None) -> list[str]:
+    """Databases of the profiles that a user has chosen by name or folder; all without a choice."""
+    return [p for name, p in found if not wanted or name in wanted or Path(p).parent.name in wanted]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import sqlite3
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.sources import history
@@ -94,3 +95,44 @@ def test_streams(spark, tmp_path):
     days.coalesce(1).write.parquet(str(tmp_path / "t"))
     got = run(jobs.topic_days(spark.readStream.schema(days.schema).parquet(str(tmp_path / "t"))), "topics")
     assert sorted((r["topic"], r["day_count"], r["last_seen"]) for r in got) == [("a", 2, "2025-01-03"), ("b", 1, "2025-01-02")]
+
+
+def test_profiles_and_selection(tmp_path):
+    chrome, fox = tmp_path / "chrome", tmp_path / "fox"
+    for p in ("Default", "Profile 2", "System Profile"):
+        (chrome / p).mkdir(parents=True)
+        (chrome / p / "History").write_bytes(b"")
+    (chrome / "Local State").write_text('{"profile": {"info_cache": {"Profile 2": {"name": "Work"}}}}')
+    found = history.profiles("chromium", str(chrome))
+    assert [n for n, _ in found] == ["Default", "Work"] and history.selected(found, ["Work"]) == [str(chrome / "Profile 2" / "History")] and len(history.selected(found, None)) == 2
+    (fox / "abc.main").mkdir(parents=True)
+    (fox / "abc.main" / "places.sqlite").write_bytes(b"")
+    (fox / "profiles.ini").write_text("[General]\nX=1\n[Profile0]\nName=main\nIsRelative=1\nPath=abc.main\n[Profile1]\nName=gone\nPath=none\n")
+    assert history.profiles("firefox", str(fox)) == [("main", str(fox / "abc.main" / "places.sqlite"))]
+    assert history.profiles("safari", str(tmp_path)) == []
+
+
+def test_no_part_of_a_history_passes_for_the_whole(tmp_path):
+    path = tmp_path / "History"
+    with sqlite3.connect(path) as db:
+        db.execute("CREATE TABLE urls (id INTEGER, url TEXT, title TEXT, visit_count INTEGER)")
+        db.execute("CREATE TABLE visits (url INTEGER, visit_time INTEGER, transition INTEGER)")
+        db.executemany("INSERT INTO urls VALUES (?, ?, 't', 1)", [(i, "https://a.com/" + "x" * 900) for i in range(400)])
+        db.executemany("INSERT INTO visits VALUES (?, ?, 0)", [(i, 13_000_000_000_000_000 + i) for i in range(400)])
+    reader = history.HistoryReader({"kind": "chromium", "path": str(path)})
+    assert len(list(reader.read(reader.partitions()[0]))) == 400
+    raw = bytearray(path.read_bytes())
+    raw[len(raw) // 2 : len(raw) // 2 + 40_000] = b"\xff" * 40_000
+    path.write_bytes(raw)
+    with pytest.raises(sqlite3.DatabaseError):
+        list(reader.read(reader.partitions()[0]))
+    path.write_bytes(b"no database")
+    assert list(reader.read(reader.partitions()[0])) == []
+
+
+def test_row_numbers_over_all_ranges(spark):
+    from tallyloom.operators import ordered
+
+    df = spark.createDataFrame([(f"d{i:03}", i % 7) for i in range(200)], "name string, n long")
+    got = {r["name"]: r["k"] for r in ordered.row_numbers(df, [F.desc("n"), "name"], "k").collect()}
+    assert got == {name: k for k, (_, name) in enumerate(sorted((-(i % 7), f"d{i:03}") for i in range(200)), 1)}
