@@ -50,7 +50,7 @@ class HistoryReader(DataSourceReader):
         return [Profile(self.kind, p) for p in self.paths]
 
     def read(self, partition):
-        """A file that is not there or is no database of its kind has no rows; an error after the first row is raised, so that no part of a history passes for the whole."""
+        """A file that is not there or is no database of its kind has no rows; a damaged file, or an error after the first row, is raised, so that no part of a history passes for the whole."""
         seen = False
         with tempfile.TemporaryDirectory() as held:  # a browser may hold a lock on its own file
             try:
@@ -59,8 +59,10 @@ class HistoryReader(DataSourceReader):
                     for url, title, at, n in db.execute(QUERIES[partition.kind], (native(partition.kind, self.since),)):
                         seen = True
                         yield url, title, micros(partition.kind, at), n
-            except (OSError, sqlite3.DatabaseError):
-                if seen:
+            except OSError:
+                return
+            except sqlite3.DatabaseError as broken:
+                if seen or "malformed" in str(broken):
                     raise
 
 
