@@ -1,14 +1,17 @@
-"""What several operators of this subpackage share: durable cuts of lineage, running totals and Arrow plumbing."""
+"""What several operators of this subpackage share: durable cuts of lineage, running totals, bounded samples and Arrow plumbing."""
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ordered import durable, running_totals
+
+__all__ = ["beside", "durable", "first_by_hash", "fresh", "held_out", "in_arrow", "labelled_sample", "running_totals", "sized", "table", "text_bytes", "texts_of"]
+
 #: Rows of a batch that goes to Python: long texts must not add up to gigabytes in one Arrow batch.
 BATCH_ROWS = "256"
 
@@ -17,17 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cuts the lineage into the shared folder of spark.checkpoint.dir, so that a lost executor costs one read and no recomputation."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))  # one machine: tests
-    return df.checkpoint(eager=True)
-
-
 def fresh(columns: list[str], name: str) -> str:
     """The name, with as many underscores in front as it takes to be none of the columns'."""
     taken = {c.lower() for c in columns}
@@ -90,21 +82,3 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn_from:
     ids = docs.sparkSession.createDataFrame(chosen, rows.select("doc_id", "label").schema)
     text = {r["doc_id"]: r["text"] for r in texts_of(docs, ids.select("doc_id")).collect()}
     return [{"label": k, "text": text[i]} for i, k in chosen]
-
-
-def running_totals(df: DataFrame, groups: list[str], order: list[str], values: dict[str, str]) -> DataFrame:
-    """Adds, for each value column, the sum over the rows that come before in the group, under the name given.
-
-    No group is ever in one task: rows are dealt by range, each range is summed, and a row gets the sums of the earlier ranges plus those
-    of its own range. A group has as many sums of ranges as there are shuffle partitions."""
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = durable(df.repartitionByRange(n, *groups, *order).withColumn("_range", F.spark_partition_id()))
-    sums = dealt.groupBy(*groups, "_range").agg(*[F.sum(v).alias(f"_{to}") for to, v in values.items()])
-    before = Window.partitionBy(*groups).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(*groups, "_range", *[F.coalesce(F.sum(f"_{to}").over(before), F.lit(0)).alias(f"_{to}") for to in values])
-    own = Window.partitionBy(*groups, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = dealt.select("*", *[F.coalesce(F.sum(v).over(own), F.lit(0)).alias(f"_own_{to}") for to, v in values.items()])
-    rows = rows.join(starts, [*groups, "_range"])
-    kept = [c for c in df.columns if c not in groups]
-    return rows.select(*groups, *kept, *[(F.col(f"_own_{to}") + F.col(f"_{to}")).cast("long").alias(to) for to in values])
