@@ -19,8 +19,8 @@ def scores(visits: DataFrame, linked: DataFrame, key: list[str] = []) -> DataFra
     title = words.clean_title(F.col("title"))
     n_words = F.size(F.filter(F.split(title, r"\s+"), lambda w: w != ""))
     seen = visits.groupBy(*key, "url").agg(F.count("*").alias("_n"))
-    marks = seen.join(linked.withColumn("_linked", F.lit(True)), [*key, "url"], "left")  # one row for each URL, so a hot one meets its visits by broadcast if they are few
-    rows = visits.join(joins.sized(marks), [*key, "url"])
+    marks = seen.join(linked.withColumn("_linked", F.lit(True)), [*key, "url"], "left")  # one row for each URL, so the visits are shuffled once, or not at all
+    rows = visits.join(marks, [*key, "url"])
     part = lambda c, x: F.when(c, x).otherwise(0.0)
     total = part(n_words >= 5, 0.25) + part(F.col("_n") > 1, 0.20) + part(F.col("_linked").isNotNull(), 0.25) + part(title.rlike(rules.TECHNICAL), 0.15)
     return rows.withColumn("engagement", F.least(F.lit(1.0), total)).drop("_n", "_linked")

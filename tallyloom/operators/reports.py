@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import words
+from . import joins
 
 
 def top_n(df: DataFrame, key: str, n: int) -> DataFrame:
@@ -100,6 +101,6 @@ def compressed(events: DataFrame, budget: int) -> DataFrame:
     parts = events.groupBy("source", "part").agg(F.count("*").alias("k")).withColumn("line", F.concat("part", F.lit(": "), F.col("k").cast("string")))
     level = F.when(F.col("full") <= F.col("share"), "full").when(F.col("grouped") <= F.col("share"), "grouped").otherwise("count")
     plan = budget_shares(lines, budget).join(parts.groupBy("source").agg(cost("line").alias("grouped")), "source").withColumn("level", level).select("source", "n", "level")
-    chosen = events.select("source", "line", F.lit("full").alias("level")).unionByName(parts.select("source", "line", F.lit("grouped").alias("level"))).join(F.broadcast(plan), ["source", "level"])  # a row for each source
+    chosen = events.select("source", "line", F.lit("full").alias("level")).unionByName(parts.select("source", "line", F.lit("grouped").alias("level"))).join(joins.sized(plan), ["source", "level"])
     body = chosen.groupBy("source").agg(F.array_join(F.sort_array(F.collect_list("line")), "\n").alias("body"))
     return plan.join(body, "source", "left").select("source", "level", F.coalesce("body", F.concat(F.col("n").cast("string"), F.lit(" events"))).alias("body"))
