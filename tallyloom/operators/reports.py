@@ -47,9 +47,9 @@ def weighted_score(df: DataFrame, key: str, parts: dict[str, float]) -> DataFram
     return df.groupBy(key).agg(F.avg(top / sum(have.values(), F.lit(0.0))).alias("score"))
 
 
-def numbered_ids(df: DataFrame, column: str, order: list[str]) -> DataFrame:
-    """The first of equal ids stays, the next become id_2, id_3."""
-    n = F.row_number().over(Window.partitionBy(column).orderBy(*order))
+def numbered_ids(df: DataFrame, column: str, order: list[str], keys: list[str] = []) -> DataFrame:  # noqa: B006
+    """The first of equal ids of a key stays, the next become id_2, id_3."""
+    n = F.row_number().over(Window.partitionBy(*keys, column).orderBy(*order))
     return df.withColumn("unique_id", F.when(n == 1, F.col(column)).otherwise(F.concat_ws("_", column, n.cast("string"))))
 
 
@@ -104,3 +104,15 @@ def compressed(events: DataFrame, budget: int) -> DataFrame:
     chosen = events.select("source", "line", F.lit("full").alias("level")).unionByName(parts.select("source", "line", F.lit("grouped").alias("level"))).join(joins.sized(plan), ["source", "level"])
     body = chosen.groupBy("source").agg(F.array_join(F.sort_array(F.collect_list("line")), "\n").alias("body"))
     return plan.join(body, "source", "left").select("source", "level", F.coalesce("body", F.concat(F.col("n").cast("string"), F.lit(" events"))).alias("body"))
+
+
+def decisions(current: DataFrame, previous: DataFrame, local: str, least: dict[str, float], otherwise: float = 0.75, gain: float = 0.10, loss: float = 0.05) -> DataFrame:
+    """name, regression, meets, choice of results (name, quality) against an earlier run: baseline without one, block-merge if more than `loss` of the quality is gone, else approve;
+    whether the quality reaches the name's least; and whether the local result of that name suffices because the quality gained over it is not above `gain`."""
+    before = previous.select("name", F.col("quality").alias("_before"))
+    here = current.where(F.col("name") == local).agg(F.max("quality")).first()[0]
+    rows = current.join(before, "name", "left")
+    needed = F.coalesce(*[F.when(F.col("name") == k, F.lit(v)) for k, v in least.items()], F.lit(otherwise))
+    regression = F.when(F.col("_before").isNull(), "baseline").when(F.col("quality") < F.col("_before") * (1 - loss), "block-merge").otherwise("approve")
+    choice = F.when(F.col("quality") - F.lit(here) > gain, "recommended").otherwise("local-sufficient")
+    return rows.select("name", regression.alias("regression"), (F.col("quality") >= needed).alias("meets"), choice.alias("choice"))

@@ -82,6 +82,17 @@ def a34_regression_gate(spark, d):
     return t.table(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("persona")).agg(F.count("*").alias("n"), F.when(share < 0.95, "regression").otherwise("ok").alias("verdict"))
 
 
+@query("""WITH c AS (SELECT c_mktsegment AS name, avg(greatest(c_acctbal, 0)) AS quality FROM customer GROUP BY 1), p AS (SELECT c_mktsegment AS name, avg(greatest(c_acctbal, 0)) AS quality FROM customer WHERE c_nationkey < 12 AND c_mktsegment <> 'AUTOMOBILE' GROUP BY 1),
+    l AS (SELECT quality FROM c WHERE name = 'BUILDING')
+    SELECT c.name, CASE WHEN p.quality IS NULL THEN 'baseline' WHEN c.quality < p.quality * 0.95 THEN 'block-merge' ELSE 'approve' END AS regression, c.quality >= CASE c.name WHEN 'MACHINERY' THEN 4600 ELSE 4400 END AS meets,
+      CASE WHEN c.quality - (SELECT quality FROM l) > 50 THEN 'recommended' ELSE 'local-sufficient' END AS choice FROM c LEFT JOIN p USING (name)""")
+def a34_decisions(spark, d):
+    rows = t.table(spark, d, "customer").select(F.col("c_mktsegment").alias("name"), F.greatest("c_acctbal", F.lit(0)).alias("q"), "c_nationkey")
+    earlier = rows.where("c_nationkey < 12 AND name <> 'AUTOMOBILE'")
+    mean = lambda df: df.groupBy("name").agg(F.avg("q").alias("quality"))
+    return reports.decisions(mean(rows), mean(earlier), "BUILDING", {"MACHINERY": 4600.0}, 4400.0, 50.0)
+
+
 @query("SELECT user_id, strftime(min(ts), '%H:%M') AS first, strftime(max(ts), '%H:%M') AS last FROM events GROUP BY 1")
 def a35_time_range(spark, d):
     g = t.table(spark, d, "events").groupBy("user_id").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
@@ -129,9 +140,15 @@ def m7_fit_text(spark, d):
     return t.table(spark, d, "documents").select("doc_id", reports.fit_text(F.col("text"), F.substring("text", 1, 400), F.concat(F.col("n_chars").cast("string"), F.lit(" characters")), F.lit(100)).alias("shown"))
 
 
-@query(sql.over("classified", "SELECT activity_type, count(*) AS n FROM classified GROUP BY 1"))
+@query(sql.over("classified", """WITH v AS (SELECT activity_type, array_to_string(list_sort(topics), ',') AS topics, array_to_string(list_sort(entities), ',') AS entities FROM classified),
+    s AS (SELECT unnest([1, 2]) AS tier, concat_ws('|', entities, topics) AS shown FROM v UNION ALL SELECT 3, concat_ws('|', activity_type, topics) FROM v UNION ALL SELECT 4, activity_type FROM v) SELECT tier, shown, count(*) AS n FROM s GROUP BY ALL"""))
 def p33_tier_view(spark, d):
-    return reports.tier_view(t.classified(spark, d), 4).groupBy("activity_type").agg(F.count("*").alias("n"))
+    """What each tier lets through."""
+    e = t.classified(spark, d)
+    views = {tier: reports.tier_view(e, tier) for tier in (1, 2, 3, 4)}
+    shown = lambda v: F.concat_ws("|", *[F.array_join(F.array_sort(c), ",") if c in ("topics", "entities") else F.col(c) for c in sorted(v.columns)])
+    parts = [v.select(F.lit(tier).alias("tier"), shown(v).alias("shown")) for tier, v in views.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).groupBy("tier", "shown").agg(F.count("*").alias("n"))
 
 
 @query(sql.over("searches", "SELECT seq, CASE WHEN length(query) % 2 = 1 THEN 'learning' ELSE 'research' END AS activity_type, CASE WHEN length(query) % 2 = 1 THEN 1.0 ELSE 0.3 END::DOUBLE AS confidence FROM searches"))

@@ -211,9 +211,9 @@ def o6_rule_candidates(spark, d):
     return etl.candidates(candidate_domains(spark, d), ranks(spark, d), spark.createDataFrame([("m.",)], "pattern string"), 5)
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def u9_difference(spark, d):
-    return t.table(spark, d, "customer").select("c_custkey").join(t.table(spark, d, "orders").select("o_custkey"), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
+    return t.table(spark, d, "customer").select("c_custkey").join(t.table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select("o_custkey"), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
 
 
 @query("SELECT DISTINCT user_id FROM events WHERE event_type = 'signup' INTERSECT SELECT user_id FROM events WHERE event_type = 'purchase'")

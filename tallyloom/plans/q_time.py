@@ -180,8 +180,6 @@ SIGNALS = "SELECT topic, coalesce(day_count, 0) + 1 AS frequency, CASE WHEN last
 @query(sql.over("classified", f"WITH {HISTORY}, n AS (SELECT DISTINCT unnest(topics) AS topic FROM classified WHERE day = DATE '2024-01-12') SELECT topic, row_number() OVER (ORDER BY CASE trend WHEN 'new' THEN 0 WHEN 'returning' THEN 1 WHEN 'rising' THEN 2 WHEN 'stable' THEN 3 ELSE 4 END, frequency DESC, topic) AS place FROM ({SIGNALS})"))
 def o4_recurrence_order(spark, d):
     """The topics of a day in the order of a report; they are few."""
-    from pyspark.sql import Window
-
     s = state.recurrence(topic_days(spark, d).where(F.col("day") == today()), history(spark, d), today())
     return s.select("topic", F.row_number().over(Window.orderBy(*state.by_trend(s))).cast("long").alias("place"))
 
@@ -268,8 +266,7 @@ def a8_cluster_intensity(spark, d):
 
 @query("SELECT event_id, event_type, CASE WHEN n = 1 THEN event_type ELSE concat(event_type, '_', n) END AS unique_id FROM (SELECT event_id, event_type, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS n FROM events)")
 def w12_numbered_ids(spark, d):
-    n = F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy("event_id"))
-    return t.table(spark, d, "events").select("event_id", "event_type", F.when(n == 1, F.col("event_type")).otherwise(F.concat_ws("_", "event_type", n.cast("string"))).alias("unique_id"))
+    return reports.numbered_ids(t.table(spark, d, "events").select("event_id", "user_id", "event_type"), "event_type", ["event_id"], ["user_id"]).drop("user_id")
 
 
 @query("SELECT event_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 8 AS batch FROM events")
