@@ -15,8 +15,9 @@ linking each member to the smallest one of its key loses nothing and needs no pa
 one_of_each() takes a wider radius, 8 bits, over the distinct two-word shingles: texts with a five-word similarity of 0.8 or more differ there in 8 bits or fewer in
 99 of 100 cases (of the five-word shingles themselves, 40 in 100; there, 0.8 is ten bits on the mean, beyond what balls can be listed for). A radius r is searched in
 ceil((r+1)/3) segments: both fingerprints list their ball of radius one in each segment, and two within r bits agree within two bits in one of them, so their balls meet.
-Keys with over `most` members are searched without listing pairs: their members are first joined by stars (above), then blocks of members are compared with
-one another in numpy, which returns at most one connection for each component that a block joins to another. That is exact, and no task holds more than two blocks.
+First, all fingerprints are joined by stars within two bits (above); then only pairs of different components count, each once. Keys with over `most` members are searched
+without listing pairs: blocks of members are compared with one another in numpy, which returns at most one connection for each component that a block joins to another.
+That is exact, and no task holds more than two blocks.
 
 Null and empty texts have fingerprint zero and are linked like any other. Rows with the same doc_id stay separate rows with their own
 fingerprints. An empty table gives an empty result; other columns are ignored.
@@ -95,8 +96,8 @@ def links(fps: DataFrame, radius: int = 2, most: int = 64) -> DataFrame:
 
 
 def joined(fp: np.ndarray, comp: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Pairs of fingerprints, one for each component that links within the radius join to another, of fingerprints with the components that are known."""
-    names, first, own = np.unique(comp, return_index=True, return_inverse=True)
+    """Pairs of components, one for each that links within the radius join to another, of fingerprints with the components that are known."""
+    names, own = np.unique(comp, return_inverse=True)
     merged = np.arange(len(names))
     big = np.bincount(own).argmax()
     rest = np.flatnonzero(own != big)
@@ -114,7 +115,7 @@ def joined(fp: np.ndarray, comp: np.ndarray, radius: int) -> list[tuple[int, int
             a, b = merged[a], merged[b]
             a, b = a[a != b], b[a != b]
     moved = np.flatnonzero(merged != np.arange(len(names)))
-    return list(zip(fp[first[moved]].view(np.int64).tolist(), fp[first[merged[moved]]].view(np.int64).tolist(), strict=True))
+    return list(zip(names[moved].tolist(), names[merged[moved]].tolist(), strict=True))
 
 
 def ball_keys(parts: int) -> list[Column]:
@@ -130,21 +131,22 @@ def ball_keys(parts: int) -> list[Column]:
 
 
 def connections(fps: DataFrame, radius: int = 8, most: int = 64, block: int = 2048) -> DataFrame:
-    """Pairs a, b (a < b) of distinct fingerprints, column fp, whose components are those of all pairs within the radius."""
-    entries = fps.select("fp", F.explode(F.concat(*ball_keys(-(-(radius + 1) // 3)))).alias("key"))
-    crowded = durable(entries.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > most))
-    known = sized(crowded)
-    quiet = entries.join(known, "key", "left_anti").groupBy("key").agg(F.collect_list("fp").alias("m")).where(F.size("m") > 1)
-    pairs = quiet.select("m", F.explode("m").alias("a")).select("a", F.explode("m").alias("b")).where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius))
-    pairs = durable(pairs.distinct())
-    if crowded.isEmpty():
-        return pairs
-    crowd = durable(entries.join(known, "key"))
-    near = durable(stars(crowd.select("fp").distinct()))
-    roots = components(near)
-    named = with_few(crowd, "fp", roots.withColumnRenamed("node", "fp").withColumnRenamed("root", "comp")).withColumn("comp", F.coalesce("comp", "fp"))
-    mixed = durable(named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key"))
-    dealt = named.join(sized(mixed), "key", "left_semi").withColumn("blocks", F.ceil(F.col("n") / block)).withColumn("own", F.pmod(F.xxhash64("fp"), "blocks"))
+    """Pairs a, b (a < b) of distinct fingerprints, column fp, whose components are those of all pairs within the radius.
+
+    Stars within two bits come first: what they join is one component, named by its least fingerprint, and only pairs of different components are looked for after that. So a
+    large group of copies that are near to one another is a star, not all of its pairs."""
+    roots = durable(components(stars(fps)))
+    named = durable(fps.select("fp").join(roots.withColumnRenamed("node", "fp").withColumnRenamed("root", "comp"), "fp", "left").withColumn("comp", F.coalesce("comp", "fp")))
+    entries = named.select("fp", "comp", F.explode(F.concat(*ball_keys(-(-(radius + 1) // 3)))).alias("key"))
+    crowded = durable(entries.groupBy("key").agg(F.count("*").alias("n"), (F.min("comp") < F.max("comp")).alias("mixed")).where(F.col("n") > most))
+    quiet = entries.join(sized(crowded.select("key")), "key", "left_anti").groupBy("key").agg(F.collect_list(F.struct("fp", "comp")).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+    pairs = quiet.select("m", F.explode("m").alias("x")).select("x", F.explode("m").alias("y")).where(F.col("x.comp") < F.col("y.comp"))
+    pairs = pairs.where(F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= radius).select(F.col("x.comp").alias("a"), F.col("y.comp").alias("b"))
+    out = roots.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(pairs.distinct())
+    mixed = crowded.where("mixed").select("key", "n")
+    if mixed.isEmpty():
+        return durable(out)
+    dealt = entries.join(sized(mixed), "key").withColumn("blocks", F.ceil(F.col("n") / block)).withColumn("own", F.pmod(F.xxhash64("fp"), "blocks"))
     dealt = dealt.select("key", "fp", "comp", "own", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("other"))
     groups = dealt.groupBy("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list("fp").alias("fp"), F.collect_list("comp").alias("comp"))
 
@@ -154,12 +156,7 @@ def connections(fps: DataFrame, radius: int = 8, most: int = 64, block: int = 20
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     across = in_arrow(groups.select("fp", "comp"), "a long, b long", work)
-    return durable(pairs.unionByName(near).unionByName(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct())
-
-
-def with_few(rows: DataFrame, key: str, few: DataFrame) -> DataFrame:
-    """rows left joined with few on key, which few has once; few is broadcast if a count shows that it is small enough."""
-    return rows.join(sized(few), key, "left")
+    return durable(out.unionByName(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
 
 
 #: Rows of one key from which on the key counts as hot.
