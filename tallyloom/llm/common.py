@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.ordered import durable, running_totals
+from ..operators.ordered import durable, running_totals, shared_folder
 
-__all__ = ["beside", "durable", "first_by_hash", "fresh", "held_out", "in_arrow", "labelled_sample", "running_totals", "sized", "table", "text_bytes", "texts_of"]
+__all__ = ["beside", "durable", "first_by_hash", "fresh", "held_out", "in_arrow", "labelled_sample", "running_totals", "shared_folder", "sized", "spans", "table", "text_bytes", "texts_of"]
 
 #: Rows of a batch that goes to Python: long texts must not add up to gigabytes in one Arrow batch.
 BATCH_ROWS = "256"
@@ -38,13 +39,21 @@ def in_arrow(df: DataFrame, schema: str, work: Callable[[Iterator[pa.RecordBatch
     return df.mapInArrow(work, schema)
 
 
-#: Ids (longs) up to this many are broadcast, some 30 MB; more of them join by shuffle.
-BROADCAST_IDS = 1_000_000
+def spans(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one after another."""
+    size = stop - start
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - ends + size, size)
 
 
-def sized(ids: DataFrame) -> DataFrame:
-    """A frame of ids, to be broadcast if a count shows that it is small enough."""
-    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+#: Frames up to this many rows, and bytes of their values as text, are broadcast; others join by shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 50_000_000
+
+
+def sized(few: DataFrame) -> DataFrame:
+    """A frame, to be broadcast if a count of its rows and bytes shows that it is small enough."""
+    first = few.limit(BROADCAST_ROWS + 1).agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))).first()
+    return F.broadcast(few) if first[0] <= BROADCAST_ROWS and first[1] <= BROADCAST_BYTES else few
 
 
 def text_bytes(column: str = "text") -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import avi, decontaminate, html_text, lm_score, mixing, pii, quality, sharding, simhash, toxicity
+from . import avi, decontaminate, divergence, html_text, lexical, lm_score, mixing, pii, quality, repair, sharding, simhash, toxicity
 from .common import held_out, table
 
 SHARDS = 8
@@ -62,7 +62,21 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(docs, pii.train(docs))
 
 
-QUERIES = {f.__name__: f for f in (op1_pseudo_likelihood, op2_toxicity, op3_decontaminate, op4_quality, op5_simhash, op6_html_text, op7_avi, op8_pfair_mix, op9_kd_shards, op10_pii)}
+def op11_block_max_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_repair_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return repair.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).drop("file")
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pseudo_likelihood, op2_toxicity, op3_decontaminate, op4_quality, op5_simhash, op6_html_text, op7_avi, op8_pfair_mix, op9_kd_shards, op10_pii, op11_block_max_wand, op12_repair_ids, op13_source_divergence)}
 
 #: Slots and blocks as in mixing.mix; a recursive query works out one period, earliest deadline first.
 PFAIR = """
@@ -138,4 +152,55 @@ SELECT documents.doc_id, n IS NOT NULL AS contaminated, coalesce(altered, false)
        CAST(coalesce(n, 0) AS BIGINT) AS n_windows, coalesce(array_to_string(item_ids, ','), '') AS item_ids FROM documents LEFT JOIN per_doc USING (doc_id)
 """.replace("UNITS", "|".join(decontaminate.UNITS))
 
-ORACLES = {"op3_decontaminate": TEMPLATES, "op8_pfair_mix": PFAIR}
+#: Scores of all documents, straight from the definition.
+RANKED = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents
+), whole AS (
+  SELECT count(*) FILTER (len(t) > 0) AS big_n, CAST(coalesce(sum(len(t)), 0) AS BIGINT) AS big_l FROM d
+), q AS (
+  SELECT row_number() OVER () AS q, item_id, list_distinct(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark
+), asked AS (
+  SELECT q, item_id, unnest(t) AS term FROM q
+), tf AS (
+  SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, len(t) AS n, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM asked) GROUP BY ALL
+), df AS (
+  SELECT term, count(*) AS df FROM tf GROUP BY term
+), scored AS (
+  SELECT q, item_id, r, doc_id, CAST(sum(CAST(floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS BIGINT) * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * big_n) // big_l)))) AS BIGINT) AS score
+  FROM tf JOIN df USING (term) JOIN asked USING (term), whole GROUP BY ALL
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0 QUALIFY rank <= 10
+"""
+
+#: Shares and differences of all groups, straight from the definition.
+DIVERGENCE = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents
+), words AS (
+  SELECT r, lang, source, unnest(t) AS term FROM d
+), kept AS (
+  SELECT lang, term, count(*) AS n FROM words GROUP BY lang, term HAVING count(DISTINCT r) >= 30
+), v AS (
+  SELECT lang, count(*) AS v, CAST(sum(n) AS HUGEINT) AS n FROM kept GROUP BY lang
+), counts AS (
+  SELECT lang, source, term, count(*) AS c FROM words GROUP BY ALL
+), groups_ AS (
+  SELECT lang, source, (SELECT CAST(coalesce(sum(c), 0) AS HUGEINT) FROM counts JOIN kept USING (lang, term) WHERE counts.lang = g.lang AND counts.source = g.source) AS n FROM (SELECT DISTINCT lang, source FROM d) g
+), p AS (
+  SELECT g.lang, g.source, kept.term, coalesce(c, 0) AS c, CAST(1 + (1000000000::HUGEINT * (coalesce(c, 0) + 5)) // (g.n + 5 * v.v) AS BIGINT) AS p,
+         CAST(1 + (1000000000::HUGEINT * (kept.n + 5)) // (v.n + 5 * v.v) AS BIGINT) AS q
+  FROM groups_ g JOIN kept USING (lang) JOIN v USING (lang) LEFT JOIN counts ON counts.lang = g.lang AND counts.source = g.source AND counts.term = kept.term
+), pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce((SELECT sum(abs(x.p - y.p)) FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term WHERE x.lang = a.lang AND x.source = a.source AND y.source = b.source), 0) AS BIGINT) AS value
+  FROM groups_ a JOIN groups_ b ON a.lang = b.lang AND a.source <> b.source
+), terms AS (
+  SELECT lang, source, 'term' AS part, term AS item, p - q AS value FROM p WHERE c > 0 AND p > q
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
+)
+SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
+ORACLES = {"op11_block_max_wand": RANKED, "op13_source_divergence": DIVERGENCE, "op3_decontaminate": TEMPLATES, "op8_pfair_mix": PFAIR}
