@@ -69,7 +69,7 @@ def op11_block_max_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_repair_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return repair.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).drop("file")
+    return repair.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), by_words=True).drop("file")
 
 
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:

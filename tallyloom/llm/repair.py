@@ -2,9 +2,12 @@
 
 Documents are dealt by ranges of doc_id (missing ones last, then by hash of the text), so the files of all ranges, one after another, hold all ids in ascending order of doc_id. A task encodes
 its texts and closes a file whenever it holds `ids_per_file` ids; a document is never cut. In each file the frequent pairs of neighbouring ids are replaced by nonterminals again and again:
-in each round those pairs are taken, by falling frequency, that occur at least `LEAST` times and no less than an eighth as often as the most frequent one, unless an id would be the left
-part of one and the right part of another; so occurrences never overlap (a pair of equal ids is taken every other time in a run) and one pass replaces them all. No pair holds the end id, so every
-document begins at a symbol of its own.
+in each round those pairs are taken, by falling frequency, that occur at least `LEAST` times (a rule must pay for itself), unless an id would be the left part of one and the right part of another;
+so occurrences never overlap (a pair of equal ids is taken every other time in a run) and one pass replaces them all. Rounds end when one saves less than one symbol in `GAIN`. No pair holds the end id,
+so every document begins at a symbol of its own.
+
+Words() encodes each distinct word once, for tokenizers that drop white space and lower-case all letters: no piece of theirs crosses white space, so the ids of a text are those of its words. The
+words themselves always go through the tokenizers library. Other tokenizers take whole texts (by_words=False).
 
 A file is a header (magic, and the numbers of documents, rules, symbols, ids and terminals as unsigned 64-bit integers), then, little-endian: doc_ids (64 bits), whether they are known (8 bits), the
 first symbol and the first id of each document and the totals (64 bits), left and right part of each rule (32 bits), the ids that it expands to (32 bits), and the symbols (24 bits, or 32 if there are
@@ -18,11 +21,13 @@ Null texts are empty; they have the end id alone. Each row is a document: repeat
 from __future__ import annotations
 
 import functools
+import itertools
 import os
+import re
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +36,16 @@ from pyspark.sql import functions as F
 
 from .common import in_arrow, running_totals, shared_folder, sized, spans
 
+#: Marks of which one behind a letter is a piece of its own.
+MARKS = (b".", b",", b";", b":", b"!", b"?")
+#: Letters of U+00C0 to U+017F without multiplication and division signs and the one letter whose lower case is two characters, and ASCII letters.
+LETTERS = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|\xc4[\x80-\xaf\xb1-\xbf]|\xc5[\x80-\xbf])+")
 MAGIC, HEADER = b"RPGRAM01", struct.Struct("<8s5Q")
-LEAST, SHARE = 4, 8
-#: Bytes of texts that are encoded together.
-TOGETHER = 4_000_000
+#: A pair becomes a rule if it occurs so often; rounds end when one saves less than one symbol in GAIN.
+LEAST, GAIN = 6, 200
+MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of texts that are encoded together, and words that a worker remembers.
+TOGETHER, REMEMBERED = 4_000_000, 500_000
 
 
 @functools.lru_cache(1)
@@ -44,6 +55,11 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+@functools.lru_cache(1)
+def words_of(path: str) -> Words:
+    return Words(tokenizer(path))
+
+
 def chosen_pairs(codes: np.ndarray, counts: np.ndarray, n_symbols: int) -> list[int]:
     """Of pairs (left part in the high 32 bits) the most frequent ones in which no id is both a left and a right part."""
     role, out = bytearray(n_symbols), []  # 1 left, 2 right, 3 both parts of one pair
@@ -59,41 +75,51 @@ def chosen_pairs(codes: np.ndarray, counts: np.ndarray, n_symbols: int) -> list[
     return out
 
 
+def frequent_pairs(code: np.ndarray, allowed: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs that occur LEAST times among those allowed, how often, and all places where one may be. Counts of hashed pairs, which are never too low, keep the rest out of the sort."""
+    hashed = ((code.view(np.uint64) * MIX) >> np.uint64(64 - bits)).astype(np.int32)
+    at = np.flatnonzero((np.bincount(hashed, minlength=1 << bits) >= LEAST)[hashed] & allowed)
+    pairs, counts = np.unique(code[at], return_counts=True)
+    often = counts >= LEAST
+    return pairs[often], counts[often], at
+
+
 def grammar(ids: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, int]:
     """symbols, rules (left and right part of each) and the first nonterminal."""
     base = int(max(ids.max(initial=0), end)) + 1
-    seq, rules, n = ids.astype(np.int64), [], base
+    seq, rules, n = ids.astype(np.int32), [], base
+    bits = min(20, max(8, len(seq).bit_length() - 2))
     while len(seq) > 1:
-        code = (seq[:-1] << 32) | seq[1:]
-        pairs, counts = np.unique(code[(seq[:-1] != end) & (seq[1:] != end)], return_counts=True)
-        if not len(pairs) or counts.max() < LEAST:
+        a, b = seq[:-1], seq[1:]
+        code = (a.astype(np.int64) << 32) | b
+        pairs, counts, at = frequent_pairs(code, (a != end) & (b != end), bits)
+        if not len(pairs):
             break
-        often = counts >= max(LEAST, int(counts.max()) // SHARE)
-        new = np.array(chosen_pairs(pairs[often], counts[often], n), np.int64)
-        order = new.argsort()
-        table = new[order]
+        new = np.sort(np.array(chosen_pairs(pairs, counts, n), np.int64))
         left, right = np.zeros(n, bool), np.zeros(n, bool)
         left[new >> 32] = True
         right[new & 0xFFFFFFFF] = True
-        at = np.flatnonzero(left[seq[:-1]] & right[seq[1:]])
-        slot = np.searchsorted(table, code[at])
-        hit = table[np.minimum(slot, len(table) - 1)] == code[at]
+        at = at[left[a[at]] & right[b[at]]]
+        slot = np.searchsorted(new, code[at])
+        hit = new[np.minimum(slot, len(new) - 1)] == code[at]
         at, slot = at[hit], slot[hit]
-        twin = seq[at] == seq[at + 1]
+        twin = a[at] == b[at]
         if twin.any():  # in a run of one id, every other pair
             where = at[twin]
-            opens = np.concatenate([[True], (where[1:] != where[:-1] + 1) | (seq[where[1:]] != seq[where[:-1]])])
+            opens = np.concatenate([[True], (where[1:] != where[:-1] + 1) | (a[where[1:]] != a[where[:-1]])])
             first = where[np.maximum.accumulate(np.where(opens, np.arange(len(where)), 0))]
             keep = np.ones(len(at), bool)
             keep[twin] = (where - first) % 2 == 0
             at, slot = at[keep], slot[keep]
-        seq[at] = n + order[slot]
+        seq[at] = n + slot
         stays = np.ones(len(seq), bool)
         stays[at + 1] = False
-        seq = seq[stays]
+        before, seq = len(seq), seq[stays]
         rules.append(np.stack([new >> 32, new & 0xFFFFFFFF], axis=1))
         n += len(new)
-    return seq, np.concatenate(rules) if rules else np.zeros((0, 2), np.int64), base
+        if (before - len(seq)) * GAIN < before:
+            break
+    return seq.astype(np.int64), np.concatenate(rules) if rules else np.zeros((0, 2), np.int64), base
 
 
 def rule_lengths(rules: np.ndarray, base: int) -> np.ndarray:
@@ -197,7 +223,75 @@ def together(texts: list[str]) -> Iterator[list[str]]:
         yield run
 
 
-def write(docs: DataFrame, path: str, folder: str, end: int = 2, ids_per_file: int = 2_000_000) -> None:
+class Words:
+    """Encodes texts word by word and remembers the words; see the module."""
+
+    def __init__(self, model):
+        self.model, self.number, self.ids, self.ends = model, {}, np.zeros(1024, np.uint32), np.zeros(1, np.int64)
+        closing = [i for w, i in model.get_vocab().items() if w.endswith("</w>")]
+        self.closes = np.zeros(model.get_vocab_size() + 1, bool)
+        self.closes[closing] = True
+
+    def remember(self, words: list, ids: np.ndarray, sizes: np.ndarray) -> None:
+        size = self.ends[-1]
+        if size + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids[:size], np.zeros(len(self.ids) + 2 * len(ids), np.uint32)])
+        self.ids[size : size + len(ids)] = ids
+        self.number.update(zip(words, range(len(self.number), len(self.number) + len(words)), strict=True))
+        self.ends = np.concatenate([self.ends, size + np.cumsum(sizes, dtype=np.int64)])
+
+    def each(self, words: list[bytes]) -> None:
+        found = [e.ids for e in self.model.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+        self.remember(words, np.fromiter((i for x in found for i in x), np.uint32), np.array([len(x) for x in found], np.int64))
+
+    def letters(self, words: list[bytes]) -> None:
+        """Words of letters, many in one call; each is one piece, and a piece ends with an id that closes it."""
+        for i in range(0, len(words), 5000):
+            some = words[i : i + 5000]
+            ids = np.array(self.model.encode(b" ".join(some).decode(), add_special_tokens=False).ids, np.uint32)
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) == len(some):
+                self.remember(some, ids, np.diff(ends, prepend=0))
+            else:  # the tokenizer has no such closing ids
+                self.each(some)
+
+    def learn(self, words: set[bytes]) -> None:
+        """A word of letters with one mark behind it is the word and the mark."""
+        marked = [w for w in words if w[-1:] in MARKS and w[-2:-1].isalpha()]
+        wanted = words.difference(marked).union([w[:-1] for w in marked], [w[-1:] for w in marked]).difference(self.number)
+        letters = [w for w in wanted if w.isalpha() or LETTERS.fullmatch(w)]
+        self.letters(letters)
+        self.each(list(wanted.difference(letters)))
+        marked = [w for w in marked if w not in self.number]
+        k = np.array([self.number[part] for w in marked for part in (w[:-1], w[-1:])], np.int64)
+        sizes = self.ends[k + 1] - self.ends[k]
+        self.remember(marked, self.ids[spans(self.ends[k], self.ends[k + 1])], sizes.reshape(-1, 2).sum(axis=1))
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if len(self.number) > REMEMBERED:
+            self.number, self.ends = {}, np.zeros(1, np.int64)
+        # A special token's string must not arise by lower-casing or be cut: such texts go whole.
+        whole = [i for i, t in enumerate(texts) if "<|" in t]
+        split = [[] if "<|" in t else t.encode().lower().split() for t in texts]
+        words = [w for s in split for w in s]
+        new = set(words).difference(self.number)
+        if new:
+            self.learn(new)
+        k = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        ids = self.ids[spans(self.ends[k], self.ends[k + 1])]
+        place = np.concatenate([[0], np.cumsum(self.ends[k + 1] - self.ends[k])])[np.cumsum([0] + [len(s) for s in split])]
+        out = [ids[a:b] for a, b in itertools.pairwise(place.tolist())]
+        for i in whole:
+            out[i] = np.array(self.model.encode(texts[i], add_special_tokens=False).ids, np.uint32)
+        return out
+
+
+def encoder(path: str, by_words: bool) -> Callable[[list[str]], list[np.ndarray]]:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return words_of(path).encode if by_words else lambda texts: [np.array(e.ids, np.uint32) for e in tokenizer(path).encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def write(docs: DataFrame, path: str, folder: str, end: int = 2, ids_per_file: int = 2_000_000, by_words: bool = False) -> None:
     """Writes the files of docs (doc_id, text), encoded with the tokenizer of the path, to the folder."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text").asc()]
@@ -205,8 +299,7 @@ def write(docs: DataFrame, path: str, folder: str, end: int = 2, ids_per_file: i
     dealt = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).select(F.spark_partition_id().alias("range"), "doc_id", "text")
 
     def work(batches):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        model = tokenizer(path)
+        encode = encoder(path, by_words)
         held, doc_ids, size, number, of = [], [], 0, 0, 0
 
         def file():
@@ -217,8 +310,8 @@ def write(docs: DataFrame, path: str, folder: str, end: int = 2, ids_per_file: i
             ids, at = b.column(1).to_pylist(), 0
             for run in together(b.column(2).to_pylist()):
                 of = b.column(0)[0].as_py()
-                for e in model.encode_batch_fast(run, add_special_tokens=False):
-                    held.append(np.array([*e.ids, end], np.uint32))
+                for own in encode(run):
+                    held.append(np.append(own, np.uint32(end)))
                     doc_ids.append(ids[at])
                     size, at = size + len(held[-1]), at + 1
                     if size >= ids_per_file:
