@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules, urls, words
-from . import joins
+from . import containment, joins
 
 
 def linked_urls(searches: DataFrame, visits: DataFrame, minutes: int, key: list[str]) -> DataFrame:
@@ -45,9 +45,6 @@ def redact(visits: DataFrame) -> DataFrame:
     return visits.withColumns({"url": F.when(hit, F.concat(F.lit("https://"), urls.host(F.col("url")), F.lit("/[FILTERED]"))).otherwise(F.col("url")), "title": F.when(hit, F.concat(F.lit("["), "sensitive_category", F.lit("]"))).otherwise(F.col("title"))})
 
 
-def drop_sensitive_searches(searches: DataFrame, dims: DataFrame, longest: int = 10_000) -> DataFrame:
-    """Searches whose query contains no sensitive host; patterns with a path don't count. A containment test has no equi-key, so the list must be short."""
-    hosts = dims.where(~F.col("pattern").contains("/")).select(F.lower("pattern").alias("_p"))
-    if hosts.limit(longest + 1).count() > longest:
-        raise ValueError(f"more than {longest} patterns")
-    return searches.join(F.broadcast(hosts), F.lower("query").contains(F.col("_p")), "left_anti")
+def drop_sensitive_searches(searches: DataFrame, dims: DataFrame) -> DataFrame:
+    """Searches whose query contains no sensitive host; patterns with a path don't count."""
+    return containment.without(searches, F.lower("query"), dims.where(~F.col("pattern").contains("/")).select(F.lower("pattern").alias("pattern")))

@@ -6,14 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls
-
-#: Rule tables up to this many rows are broadcast; larger ones join by shuffle.
-BROADCAST_RULES = 200_000
-
-
-def sized(rules: DataFrame) -> DataFrame:
-    return F.broadcast(rules) if rules.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES else rules
-
+from . import containment
+from .ordered import sized
 
 def by_domain_rule(rows: DataFrame, rules: DataFrame, host: str = "domain", key: str = "seq") -> DataFrame:
     """rows with category (null without a match): rules (priority, category, pattern, kind) match a host exactly or as its parent (kind exact), as a parent only (suffix), or by its
@@ -58,13 +52,9 @@ def with_rank(hosts: DataFrame, ranks: DataFrame) -> DataFrame:
     return rows.withColumn("rank", F.coalesce("_own", "_up")).drop("_d", "_own", "_p", "_up", "_parent")
 
 
-def not_covered(candidates: DataFrame, known: DataFrame, longest: int = 10_000) -> DataFrame:
-    """Candidates (domain) that neither contain nor are contained in a known pattern. The known patterns are a rule list: more than `longest` are refused, since
-    a containment test has no equi-key."""
-    if known.limit(longest + 1).count() > longest:
-        raise ValueError(f"more than {longest} patterns")
-    k = F.broadcast(known.select(F.col("pattern").alias("_p")))
-    return candidates.join(k, F.col("domain").contains(F.col("_p")) | F.col("_p").contains(F.col("domain")), "left_anti")
+def not_covered(candidates: DataFrame, known: DataFrame) -> DataFrame:
+    """Candidates (domain) that neither contain nor are contained in a known pattern."""
+    return containment.neither_way(candidates, F.col("domain"), known)
 
 
 def first_interval(rows: DataFrame, intervals: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Numbers and sums over a whole order, without a task that holds it."""
+"""Cuts of lineage, sized broadcasts, and numbers and sums over a whole order without a task that holds it."""
 
 from __future__ import annotations
 
@@ -25,6 +25,15 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Tables up to this many rows are broadcast; larger ones join by shuffle.
+BROADCAST_ROWS = 200_000
+
+
+def sized(few: DataFrame) -> DataFrame:
+    """A table, to be broadcast if a count shows that it is small enough."""
+    return F.broadcast(few) if few.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else few
+
+
 def running_totals(df: DataFrame, groups: list[str], order: list[str | Column], values: dict[str, str]) -> DataFrame:
     """Adds, for each value column, the sum over the rows that come before in the group, under the name given.
 

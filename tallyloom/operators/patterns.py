@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import containment
+
 
 def topic_focus(events: DataFrame, keys: list[str]) -> DataFrame:
     """keys, focus: one minus the entropy of topic mentions over its maximum."""
@@ -71,11 +73,11 @@ def entity_relations(events: DataFrame, least: int = 3, top: int | None = 15, by
     return first_of_each(out, by, [F.desc("n"), "a", "b"], top)
 
 
-def novel_entities(entities: DataFrame, topics: DataFrame, longest: int = 10_000) -> DataFrame:
-    """Entities that are part of no recurring topic; the topics of a report are a short list."""
-    if topics.limit(longest + 1).count() > longest:
-        raise ValueError(f"more than {longest} topics")
-    return entities.join(F.broadcast(topics.select(F.lower("topic").alias("_t"))), F.col("_t").contains(F.lower("entity")), "left_anti")
+def novel_entities(entities: DataFrame, topics: DataFrame) -> DataFrame:
+    """Entities that are part of no recurring topic."""
+    marked = entities.withColumn("_name", F.lower("entity"))
+    found = containment.contained(topics.select(F.lower("topic").alias("text")), marked.select(F.col("_name").alias("pattern"))).select(F.col("pattern").alias("_found")).distinct()
+    return marked.join(found, F.col("_name") == F.col("_found"), "left_anti").drop("_name")
 
 
 def tag_scores(clusters: DataFrame, relations: DataFrame, least: float = 0.1, top: int = 10) -> DataFrame:

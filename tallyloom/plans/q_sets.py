@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import urls, words
-from ..operators import dedup, engagement, etl, joins, ordered, reports
+from ..operators import containment, dedup, engagement, etl, joins, ordered, patterns, reports
 from ..sources import driver_tables as t
 from . import sql
 from .registry import query
@@ -129,6 +129,34 @@ def f10_sensitive_searches(spark, d):
     return engagement.drop_sensitive_searches(t.searches(spark, d), dims).select("seq")
 
 
+BENCH_WORDS = "SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{%d,}')) AS pattern FROM benchmark"
+
+
+def bench_words(spark, d, least):
+    return t.table(spark, d, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{%d,}" % least), F.lit(0))).alias("pattern")).distinct()
+
+
+@query(f"WITH p AS ({BENCH_WORDS % 4}) SELECT pattern, count(*) AS n FROM p JOIN (SELECT DISTINCT lower(text) AS text FROM documents) ON contains(text, pattern) GROUP BY ALL")
+def j10_terms_in_texts(spark, d):
+    """How many distinct texts contain each word of the benchmark, anywhere in them."""
+    texts = t.table(spark, d, "documents").select(F.lower("text").alias("text"))
+    return containment.contained(texts, bench_words(spark, d, 4)).groupBy("pattern").agg(F.count("*").alias("n"))
+
+
+@query(sql.over("visits", f"WITH h AS (SELECT DISTINCT unnest(string_split({sql.host('url')}, '.')) AS domain FROM visits), p AS ({BENCH_WORDS % 5}) SELECT domain FROM h WHERE NOT EXISTS (SELECT 1 FROM p WHERE contains(domain, pattern) OR contains(pattern, domain))"))
+def j12_uncovered_labels(spark, d):
+    """Labels of hosts that cover, and are covered by, no word of the benchmark."""
+    labels = t.visits(spark, d).select(F.explode(F.split(urls.host(F.col("url")), r"\.")).alias("domain")).distinct()
+    return joins.not_covered(labels, bench_words(spark, d, 5))
+
+
+@query(sql.over("visits searches", "WITH e AS (SELECT DISTINCT unnest(regexp_extract_all(query, '[A-Za-z]{3,}')) AS entity FROM searches), t AS (SELECT DISTINCT lower(title) AS topic FROM visits) SELECT entity FROM e WHERE NOT EXISTS (SELECT 1 FROM t WHERE contains(topic, lower(entity)))"))
+def j18_words_outside_titles(spark, d):
+    """Words of queries that are part of no visited title."""
+    names = t.searches(spark, d).select(F.explode(F.regexp_extract_all("query", F.lit("[A-Za-z]{3,}"), F.lit(0))).alias("entity")).distinct()
+    return patterns.novel_entities(names, t.visits(spark, d).select(F.col("title").alias("topic")).distinct())
+
+
 LINKS = "FROM searches s JOIN visits v ON v.user_id = s.user_id AND v.us >= s.us AND v.us - s.us <= 21600000000"
 
 
