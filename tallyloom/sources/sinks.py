@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.utils import AnalysisException
 
-from ..operators import state
+from ..operators import artifacts, state
 
 
 def read_state(spark: SparkSession, path: str) -> DataFrame:
@@ -31,6 +31,22 @@ def write_report(df: DataFrame, path: str, form: str = "json") -> None:
     (writer.option("header", True).csv if form == "csv" else writer.json if form == "json" else writer.parquet)(path)
 
 
+def read_artifacts(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
+    """The artifacts in the newest version below the path (of those before a number), or none."""
+    try:
+        versions = spark.read.option("basePath", path).parquet(path)
+    except AnalysisException:
+        return spark.createDataFrame([], artifacts.SCHEMA)
+    newest = versions.where("true" if before is None else f"version < {before}").selectExpr("max(version) AS v").first()["v"]
+    return versions.where("false" if newest is None else f"version = {newest}").drop("version")
+
+
+def merge_artifacts(found: DataFrame, path: str, batch: int) -> None:
+    """Unites what a batch found with the version before it; a batch that comes again writes the same version again. For foreachBatch."""
+    merged = artifacts.merged(read_artifacts(found.sparkSession, path, batch), found)
+    merged.write.mode("overwrite").parquet(f"{path}/version={batch}")
+
+
 #: Headings of a note that belong to the user.
 KEPT = ("Notes", "Reflections")
 FIELD = re.compile(r"^(\w+):: ?(.*)$", re.M)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -37,3 +37,63 @@ def topic_days(topics: DataFrame, kept_days: int = 30) -> DataFrame:
             yield pd.DataFrame({"topic": [key[0]], "day_count": [n], "last_seen": [days[-1]]})
 
     return topics.groupBy("topic").applyInPandasWithState(work, "topic string, day_count long, last_seen string", "n long, days array<string>", "update", GroupStateTimeout.NoTimeout)
+
+
+def in_time_order(rows: DataFrame, key: str, late: str, values: list[str], out: str, memory: str, start: tuple, step: Callable) -> DataFrame:
+    """Folds the rows (key, time, seq, the string columns of values) of each key in the order of time and seq, once the watermark has passed them, whatever order they come in.
+
+    step(memory, time in microseconds, *values) gives the next memory and the values of the row's output; a key's state is its memory and the rows that wait. Rows behind the watermark are dropped, as everywhere in streams.
+    A key is woken by a timer when the watermark reaches its next waiting row."""
+
+    def work(of: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        *known, times, seqs, texts = state.get if state.exists else (*start, [], [], [])
+        waiting, mark, found = list(zip(times, seqs, texts, strict=True)), state.getCurrentWatermarkMs() * 1000, []
+        for f in frames:
+            us = f["time"].astype("datetime64[us]").astype("int64")
+            new = zip(us.tolist(), f["seq"].tolist(), f[values].fillna("").agg(UNIT.join, axis=1).tolist() if values else [""] * len(f), strict=True)
+            waiting += [x for x in new if x[0] > mark]  # Spark itself lets rows pass that are late by this batch's watermark but not by the last one's
+        waiting.sort()
+        while waiting and waiting[0][0] <= mark:
+            time, seq, text = waiting.pop(0)
+            known, row = step(known, time, *(text.split(UNIT) if values else []))
+            found.append((of[0], seq, *row))
+        state.update((*known, *([list(x) for x in zip(*waiting, strict=True)] or [[], [], []])))
+        if waiting:
+            state.setTimeoutTimestamp(max(waiting[0][0] // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        if found:
+            yield pd.DataFrame(found, columns=[c.split()[0] for c in schema.split(", ")])
+
+    kind = dict(rows.dtypes)
+    schema = f"{key} {kind[key]}, seq long, {out}"
+    held = f"{memory}, times array<long>, seqs array<long>, texts array<string>"
+    return rows.withWatermark("time", late).select(key, "time", "seq", *values).groupBy(key).applyInPandasWithState(work, schema, held, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+#: Between the values of a waiting row, and between words; texts do not hold them.
+UNIT, WORD = "\x1e", "\x1f"
+
+
+def anchored_windows(events: DataFrame, key: str, minutes: int, late: str = "10 minutes") -> DataFrame:
+    """key, seq, window (from 0), anchor_us of events (key, time, seq): a window opens at its first event and takes what comes within the minutes, the last included."""
+
+    def step(known: list, time: int) -> tuple[list, tuple]:
+        window, anchor = known
+        if window < 0 or time - anchor > minutes * 60_000_000:
+            window, anchor = window + 1, time
+        return [window, anchor], (window, anchor)
+
+    return in_time_order(events, key, late, [], "window long, anchor_us long", "window long, anchor long", (-1, 0), step)
+
+
+def search_missions(searches: DataFrame, key: str, minutes: int, late: str = "10 minutes") -> DataFrame:
+    """key, seq, mission (from 0) of searches (key, time, seq, content: array of words): a query joins the chain if it comes within the minutes of the one before and shares a word with the chain's first."""
+
+    def step(known: list, time: int, text: str) -> tuple[list, tuple]:
+        mission, last, opener = known
+        found = set(text.split(WORD)) - {""}
+        if mission < 0 or time - last > minutes * 60_000_000 or not found & set(opener):
+            mission, opener = mission + 1, sorted(found)
+        return [mission, time, opener], (mission,)
+
+    rows = searches.withColumn("content", F.array_join("content", WORD))
+    return in_time_order(rows, key, late, ["content"], "mission long", "mission long, last long, opener array<string>", (-1, 0, []), step)
