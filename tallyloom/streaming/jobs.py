@@ -50,7 +50,8 @@ def in_time_order(rows: DataFrame, key: str, late: str, values: list[str], out:
         waiting, mark, found = list(zip(times, seqs, texts, strict=True)), state.getCurrentWatermarkMs() * 1000, []
         for f in frames:
             us = f["time"].astype("datetime64[us]").astype("int64")
-            new = zip(us.tolist(), f["seq"].tolist(), f[values].fillna("").agg(UNIT.join, axis=1).tolist() if values else [""] * len(f), strict=True)
+            joined = map(UNIT.join, zip(*[f[v].fillna("") for v in values], strict=True)) if values else [""] * len(f)
+            new = zip(us.tolist(), f["seq"].tolist(), joined, strict=True)
             waiting += [x for x in new if x[0] > mark]  # Spark itself lets rows pass that are late by this batch's watermark but not by the last one's
         waiting.sort()
         while waiting and waiting[0][0] <= mark:
