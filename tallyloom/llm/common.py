@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.ordered import durable, running_totals, shared_folder
+from ..operators.ordered import durable, row_numbers, running_totals, shared_folder
 
-__all__ = ["beside", "durable", "first_by_hash", "fresh", "held_out", "in_arrow", "labelled_sample", "running_totals", "shared_folder", "sized", "spans", "table", "text_bytes", "texts_of"]
+__all__ = ["beside", "durable", "first_by_hash", "fresh", "held_out", "in_arrow", "labelled_sample", "row_numbers", "running_totals", "shared_folder", "sized", "spans", "table", "text_bytes", "texts_of"]
 
 #: Rows of a batch that goes to Python: long texts must not add up to gigabytes in one Arrow batch.
 BATCH_ROWS = "256"

@@ -57,8 +57,9 @@ def window_hashes(words: Column, size: int, fits: Column) -> Column:
 
 
 def passages(docs: DataFrame, benchmark: DataFrame, window: int = 8, least: int = 5, broadcast_windows: int = 500_000) -> DataFrame:
-    """doc_id, item_id, windows, consistent, altered: one row for each document, item and diagonal with a match, or for each run of it if the whole is inconsistent."""
-    items = benchmark.select("item_id", slotted(F.col("text")).alias("slots")).dropna().select("item_id", "slots", tokens(template(F.col("slots"))).alias("words"))
+    """doc_id, item_id (a struct of the item's id and its text's hash, so items without an id and texts that share one stay apart), windows, consistent, altered: one row for each document, item and
+    diagonal with a match, or for each run of it if the whole is inconsistent."""
+    items = benchmark.select(F.struct("item_id", F.xxhash64("text").alias("tie")).alias("item_id"), slotted(F.col("text")).alias("slots")).select("item_id", "slots", tokens(template(F.col("slots"))).alias("words"))
     items = items.withColumn("size", F.least(F.size("words"), F.lit(window))).where(F.col("size") >= least)
     sizes = sorted(r[0] for r in items.select("size").distinct().collect())
     texts = docs.select("doc_id", slotted(F.col("text")).alias("slots"))
@@ -68,7 +69,7 @@ def passages(docs: DataFrame, benchmark: DataFrame, window: int = 8, least: int
         return df.select(key, F.explode(F.concat(*by_size)).alias("w")).select(key, "w.*")
 
     if not sizes:
-        return docs.select("doc_id", *[F.lit(None).cast(t).alias(c) for c, t in {"item_id": "long", "windows": "long", "consistent": "boolean", "altered": "boolean"}.items()]).where("false")
+        return docs.select("doc_id", *[F.lit(None).cast(t).alias(c) for c, t in {"item_id": items.schema["item_id"].dataType, "windows": "long", "consistent": "boolean", "altered": "boolean"}.items()]).where("false")
     wanted = durable(hashed(items, "item_id", F.col("size"))).withColumnRenamed("at", "item_at")
     small = wanted.count() <= broadcast_windows
     have = hashed(texts.select("doc_id", tokens(template(F.col("slots"))).alias("words")), "doc_id")
@@ -107,13 +108,16 @@ def row_key() -> Column:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:
-    """For each document: doc_id, contaminated, reparameterised, n_items, n_windows (of the longest passage), item_ids (array, ascending). Each row is judged by its own text."""
+    """For each document: doc_id, contaminated, reparameterised, n_items, n_windows (of the longest passage), item_ids (array, ascending). Each row is judged by its own text. All items
+    without an id count as one; item_ids leaves it out."""
     rows = docs.select(row_key().alias("doc_id"), "text")
     good = passages(rows, benchmark, **parameters).where("consistent")
     per_item = good.groupBy("doc_id", "item_id").agg(F.max("windows").alias("windows"), F.bool_and("altered").alias("altered"))
-    per_doc = durable(per_item.groupBy("doc_id").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"), F.max("windows").alias("n_windows"), F.bool_or("altered").alias("altered")))
+    ids = F.sort_array(F.collect_set("item_id.item_id")).alias("item_ids")
+    nameless = F.max(F.col("item_id.item_id").isNull().cast("int")).alias("nameless")
+    per_doc = durable(per_item.groupBy("doc_id").agg(ids, nameless, F.max("windows").alias("n_windows"), F.bool_or("altered").alias("altered")))
     out = rows.select("doc_id").join(sized(per_doc), "doc_id", "left")
-    return out.select("doc_id.doc_id", F.col("n_windows").isNotNull().alias("contaminated"), F.coalesce("altered", F.lit(False)).alias("reparameterised"), F.coalesce(F.size("item_ids"), F.lit(0)).cast("long").alias("n_items"), F.coalesce("n_windows", F.lit(0)).alias("n_windows"), F.coalesce("item_ids", F.array().cast("array<bigint>")).alias("item_ids"))
+    return out.select("doc_id.doc_id", F.col("n_windows").isNotNull().alias("contaminated"), F.coalesce("altered", F.lit(False)).alias("reparameterised"), F.coalesce(F.size("item_ids") + F.col("nameless"), F.lit(0)).cast("long").alias("n_items"), F.coalesce("n_windows", F.lit(0)).alias("n_windows"), F.coalesce("item_ids", F.array().cast("array<bigint>")).alias("item_ids"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:

@@ -12,7 +12,8 @@ whatever the size of the data.
 within its last block doesn't end it. The rest, of over-represented sources, keeps its rows and slots.
 
 within_weights() has no period: it takes the weights as they are and says which rows a mix keeps. Block i (from 0) of a source of weight w is released once i blocks of its
-weight have passed; the mix ends where the first source is a whole block behind its weight.
+weight have passed. A source that has run out leaves the schedule and the others go on by their weights, as long as those that are gone have `spare` of all weights at most; the source that would exceed this
+ends the mix, as soon as it is a whole block behind its weight. So small sources stay whole and cost no other source anything: 10 GB and 600 KB beside them all stay, and so do the texts of a single source.
 
 Null sources form a source of their own, named ''. Rows of one doc_id are ordered by size and text. Empty texts have size 1. An empty table gives no rows; columns of other
 names are ignored.
@@ -80,16 +81,19 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float =
     return out.withColumn("in_mix", F.col("slot") < F.lit(end))
 
 
-def within_weights(docs: DataFrame, alpha: float = 0.9, block_bytes: int = 65536) -> DataFrame:
+def within_weights(docs: DataFrame, alpha: float = 0.9, block_bytes: int = 65536, spare: float = 0.05) -> DataFrame:
     """The rows of docs, with all their columns, that a mix to the weights bytes^alpha keeps: of each source the first in order of doc_id, size and text. Equal rows share their fate."""
     source, key = F.coalesce("source", F.lit("")), ("doc_id", (text_bytes() + 1).alias("size"), F.xxhash64("text").alias("tie"))
     placed = durable(running_totals(docs.select(source.alias("source"), *key), ["source"], ["doc_id", "size", "tie"], {"before": "size"}))
-    totals = durable(placed.groupBy("source").agg(F.sum("size").alias("bytes")).withColumn("w", F.pow(F.col("bytes").cast("double"), F.lit(alpha))))
-    end = totals.agg(F.min((F.col("bytes") + block_bytes) / F.col("w"))).first()[0]  # in bytes for each unit of weight
-    if end is None:
+    totals = placed.groupBy("source").agg(F.sum("size").alias("bytes")).withColumn("w", F.pow(F.col("bytes").cast("double"), F.lit(alpha)))
+    totals = totals.withColumns({"share": F.ceil("w"), "end": (F.col("bytes") + block_bytes) / F.col("w")})  # the end in bytes for each unit of weight
+    totals = durable(running_totals(totals, [], ["end", "source"], {"gone": "share"}))
+    everything = totals.agg(F.sum("share")).first()[0]
+    if everything is None:
         return docs
+    end = totals.where(F.col("gone") + F.col("share") > F.lit(spare * everything)).agg(F.min("end")).first()[0]
     of, latest = fresh(docs.columns, "_of"), fresh(docs.columns, "_last")
     begins = F.expr(f"before div {block_bytes}") * block_bytes
-    within = placed.join(sized(totals), "source").where(begins < F.col("w") * F.lit(end))
+    within = placed.join(sized(totals.select("source", "w")), "source").where(begins < F.col("w") * F.lit(end))
     last = durable(within.groupBy("source").agg(F.max(F.struct("doc_id", "size", "tie")).alias(latest)).withColumnRenamed("source", of))
     return docs.join(sized(last), source == F.col(of)).where(F.struct(*key) <= F.col(latest)).drop(of, latest)

@@ -12,12 +12,14 @@ Entries with more than `most` members could make quadratically many pairs. Their
 itself and its 64 neighbours. Two fingerprints are within two bits just when they share such a key, and no key can have over 65 members, so
 linking each member to the smallest one of its key loses nothing and needs no pairs.
 
-one_of_each() takes a wider radius, 8 bits, over the distinct two-word shingles: texts with a five-word similarity of 0.8 or more differ there in 8 bits or fewer in
-99 of 100 cases (of the five-word shingles themselves, 40 in 100; there, 0.8 is ten bits on the mean, beyond what balls can be listed for). A radius r is searched in
-ceil((r+1)/3) segments: both fingerprints list their ball of radius one in each segment, and two within r bits agree within two bits in one of them, so their balls meet.
-First, all fingerprints are joined by stars within two bits (above); then only pairs of different components count, each once. Keys with over `most` members are searched
-without listing pairs: blocks of members are compared with one another in numpy, which returns at most one connection for each component that a block joins to another.
-That is exact, and no task holds more than two blocks.
+one_of_each() keeps one document of each group of near copies: texts with a five-word similarity of 0.8 or more. Each distinct text (by its words in lower case) has two fingerprints, of its distinct
+words and of its distinct two-word shingles, and each is cut into two 32-bit segments; texts are filed under the balls of radius one of all four segments, so two fingerprints that differ in up to five bits always share a key,
+and in up to ten often do (found are 0.95 of all pairs of similarity 0.8 at sf0.1). A key of 32 bits is shared by chance only, whatever the size of the corpus up to some 1e8 texts. Every pair that a key
+brings together is verified by its whole distance (ten bits) and then by the exact similarity of its five-word shingles; fingerprints alone never drop a document.
+
+Texts are numbered by their least row, and each key names its least text. A text that is the least of all its keys stays; those that are verified against it go, and nothing else does: each
+dropped text is similar to the one that stays for it, without chains. What is left goes on to the next round, without the keys of those that are done. So a group of k copies
+costs k comparisons a key and round, not all its pairs, and is never gathered. Rounds end when no text is left; each settles at least the least text left.
 
 Null and empty texts have fingerprint zero and are linked like any other. Rows with the same doc_id stay separate rows with their own
 fingerprints. An empty table gives an empty result; other columns are ignored.
@@ -30,27 +32,33 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, fresh, in_arrow, sized, text_bytes
+from .common import durable, fresh, in_arrow, row_numbers, sized, text_bytes
 
 SEED = 42
 ROUNDS = 60
 
 
-def fingerprint(text: bytes | None, shingle: int = 3, distinct: bool = False) -> int:
+def voted(shingles: list[bytes]) -> int:
+    """The bits that are set in over half of the shingles' hashes."""
     import xxhash
 
-    words = (text or b"").lower().split()
-    if not words:
-        return 0
-    digest = xxhash.xxh64_intdigest
-    if len(words) <= shingle:
-        return digest(b" ".join(words), SEED)
-    shingles = map(b" ".join, zip(*[words[k:] for k in range(shingle)], strict=False))
-    votes = np.array([digest(x, SEED) for x in (set(shingles) if distinct else shingles)], dtype=">u8")
+    votes = np.array([xxhash.xxh64_intdigest(x, SEED) for x in shingles], dtype=">u8")
     ones = np.unpackbits(votes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > len(votes)).tobytes(), "big")
 
 
+def shingles_of(words: list[bytes], size: int) -> list[bytes]:
+    """All runs of so many words; the whole text if it has fewer, none if it has no words."""
+    if len(words) <= size:
+        return [b" ".join(words)] if words else []
+    return list(map(b" ".join, zip(*[words[k:] for k in range(size)], strict=False)))
+
+
+def fingerprint(text: bytes | None, shingle: int = 3, distinct: bool = False) -> int:
+    shingles = shingles_of((text or b"").lower().split(), shingle)
+    return voted(list(set(shingles)) if distinct else shingles) if shingles else 0
+
+
 def fingerprints(docs: DataFrame, more: list[str] = [], shingle: int = 3, distinct: bool = False) -> DataFrame:  # noqa: B006
     """doc_id, the columns of more, and fp, a signed long."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *more, F.col("text").cast("binary").alias("_text"))
@@ -95,70 +103,18 @@ def links(fps: DataFrame, radius: int = 2, most: int = 64) -> DataFrame:
     return pairs.unionByName(stars(crowd)).distinct()
 
 
-def joined(fp: np.ndarray, comp: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Pairs of components, one for each that links within the radius join to another, of fingerprints with the components that are known."""
-    names, own = np.unique(comp, return_inverse=True)
-    merged = np.arange(len(names))
-    big = np.bincount(own).argmax()
-    rest = np.flatnonzero(own != big)
-    for i in range(0, len(rest), 512):
-        some = rest[i : i + 512]
-        now = merged[own]
-        x, y = np.nonzero(np.bitwise_count(fp[some, None] ^ fp[None, :]) <= radius)
-        a, b = now[some[x]], now[y]
-        a, b = a[a != b], b[a != b]
-        while len(a):  # the least name wins until nothing moves
-            np.minimum.at(merged, a, b)
-            np.minimum.at(merged, b, a)
-            while (merged[merged] != merged).any():
-                merged = merged[merged]
-            a, b = merged[a], merged[b]
-            a, b = a[a != b], b[a != b]
-    moved = np.flatnonzero(merged != np.arange(len(names)))
-    return list(zip(names[moved].tolist(), names[merged[moved]].tolist(), strict=True))
-
-
-def ball_keys(parts: int) -> list[Column]:
-    """For each of so many segments of fp, the keys of the ball of radius one around it; keys tell the segments apart."""
+def ball_keys(parts: int, column: str = "fp") -> list[Column]:
+    """For each of so many segments of a fingerprint, the keys of the ball of radius one around it; keys tell the segments apart."""
     cuts, one = [64 * i // parts for i in range(parts + 1)], F.lit(1).cast("long")
 
     def keys(number: int, low: int, width: int) -> Column:
-        own = F.shiftrightunsigned("fp", low).bitwiseAND((1 << width) - 1) if parts > 1 else F.col("fp")
+        own = F.shiftrightunsigned(column, low).bitwiseAND((1 << width) - 1) if parts > 1 else F.col(column)
         ball = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: own.bitwiseXOR(F.call_function("shiftleft", one, i)))
         return F.transform(F.concat(F.array(own), ball), lambda k: k * parts + number)
 
     return [keys(s, lo, hi - lo) for s, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False))]
 
 
-def connections(fps: DataFrame, radius: int = 8, most: int = 64, block: int = 2048) -> DataFrame:
-    """Pairs a, b (a < b) of distinct fingerprints, column fp, whose components are those of all pairs within the radius.
-
-    Stars within two bits come first: what they join is one component, named by its least fingerprint, and only pairs of different components are looked for after that. So a
-    large group of copies that are near to one another is a star, not all of its pairs."""
-    roots = durable(components(stars(fps)))
-    named = durable(fps.select("fp").join(roots.withColumnRenamed("node", "fp").withColumnRenamed("root", "comp"), "fp", "left").withColumn("comp", F.coalesce("comp", "fp")))
-    entries = named.select("fp", "comp", F.explode(F.concat(*ball_keys(-(-(radius + 1) // 3)))).alias("key"))
-    crowded = durable(entries.groupBy("key").agg(F.count("*").alias("n"), (F.min("comp") < F.max("comp")).alias("mixed")).where(F.col("n") > most))
-    quiet = entries.join(sized(crowded.select("key")), "key", "left_anti").groupBy("key").agg(F.collect_list(F.struct("fp", "comp")).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-    pairs = quiet.select("m", F.explode("m").alias("x")).select("x", F.explode("m").alias("y")).where(F.col("x.comp") < F.col("y.comp"))
-    pairs = pairs.where(F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= radius).select(F.col("x.comp").alias("a"), F.col("y.comp").alias("b"))
-    out = roots.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(pairs.distinct())
-    mixed = crowded.where("mixed").select("key", "n")
-    if mixed.isEmpty():
-        return durable(out)
-    dealt = entries.join(sized(mixed), "key").withColumn("blocks", F.ceil(F.col("n") / block)).withColumn("own", F.pmod(F.xxhash64("fp"), "blocks"))
-    dealt = dealt.select("key", "fp", "comp", "own", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("other"))
-    groups = dealt.groupBy("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list("fp").alias("fp"), F.collect_list("comp").alias("comp"))
-
-    def work(batches):
-        for batch in batches:
-            rows = [x for f, c in zip(batch.column(0), batch.column(1), strict=True) for x in joined(f.values.to_numpy().view(np.uint64), c.values.to_numpy(), radius)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], ["a", "b"])
-
-    across = in_arrow(groups.select("fp", "comp"), "a long, b long", work)
-    return durable(out.unionByName(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
-
-
 #: Rows of one key from which on the key counts as hot.
 HOT = 1000
 
@@ -212,20 +168,82 @@ def near_duplicates(docs: DataFrame, most: int = 64) -> DataFrame:
     return by_hot_key(own, durable(per_class), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_links")
 
 
-def one_of_each(docs: DataFrame, shingle: int = 2, radius: int = 8, most: int = 64) -> DataFrame:
-    """The rows of docs, with all their columns, that stay when one row of each component does: the first by doc_id (nulls last), size and hash of the text. Repeated rows become one."""
-    key = {"_id": F.col("doc_id").cast("long"), "_size": text_bytes(), "_tie": F.xxhash64("text")}
-    keyed = docs.select("doc_id", "text", *[v.alias(k) for k, v in key.items()])
-    order = F.struct(F.col("doc_id").isNull().alias("_none"), F.col("doc_id").alias("_id"), "_size", "_tie")
-    own = durable(fingerprints(keyed, ["_size", "_tie"], shingle, distinct=True).withColumn("key", order).select("key", "fp"))
-    once = durable(own.groupBy("fp", "key").agg(F.count("*").alias("n")))
-    classes = durable(once.groupBy("fp").agg(F.min("key").alias("least"), F.count("*").alias("n"), F.max("n").alias("copies")))
-    roots = durable(components(connections(classes.select("fp"), radius, most)).withColumnRenamed("node", "fp"))
-    rooted = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    chosen = durable(rooted.groupBy("root").agg(F.min("least").alias("kept"), F.count("*").alias("n")))
-    per_class = durable(by_hot_key(rooted.select("fp", "root", F.col("n").alias("rows")), chosen, "root").select("fp", "kept", F.col("rows").alias("n")))
-    lost = by_hot_key(once.select("fp", "key"), per_class, "fp").where(F.col("key") != F.col("kept")).select("key.*").drop("_none")
+def signatures(rows: DataFrame) -> DataFrame:
+    """key, h (a hash of the words), f1 and f2 (fingerprints of the distinct words and two-word shingles) of rows of key and text (binary)."""
+    import xxhash
+
+    def one(text: bytes | None) -> tuple[int, int, int]:
+        words = (text or b"").lower().split()
+        if not words:
+            return 0, 0, 0
+        return xxhash.xxh64_intdigest(b" ".join(words), SEED), voted(list(set(words))), voted(list(set(shingles_of(words, 2))))
+
+    def work(batches):
+        for b in batches:
+            found = np.array([one(x) for x in b.column(1).to_pylist()], dtype=np.uint64).reshape(-1, 3).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(found[:, k], pa.int64()) for k in range(3)]], ["key", "h", "f1", "f2"])
+
+    schema = rows.select("key", *[F.lit(None).cast("long").alias(x) for x in ("h", "f1", "f2")]).schema
+    return in_arrow(rows.select("key", "text"), schema, work)
+
+
+def shingle_sets(texts: DataFrame, size: int = 5) -> DataFrame:
+    """c, sh: hashes of the distinct shingles of so many words; of rows of c and text (binary)."""
+    import xxhash
+
+    def work(batches):
+        for b in batches:
+            found = [np.array([xxhash.xxh64_intdigest(x, SEED) for x in set(shingles_of((t or b"").lower().split(), size))], dtype=np.uint64).view(np.int64) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], ["c", "sh"])
+
+    return in_arrow(texts.select("c", "text"), "c long, sh array<bigint>", work)
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (c, to) whose shingle sets have a similarity of 0.8 or more."""
+    hubs = pairs.groupBy("to").agg(F.count("*").alias("n")).join(sets.select(F.col("c").alias("to"), F.col("sh").alias("_b")), "to")
+    met = by_hot_key(pairs.join(sets.withColumnRenamed("sh", "_a"), "c"), hubs, "to")
+    common = F.size(F.array_intersect("_a", "_b"))
+    return met.where(5 * common >= 4 * (F.size("_a") + F.size("_b") - common)).select("c", "to")
+
+
+def stand_ins(classes: DataFrame, texts_of, radius: int = 10) -> DataFrame:
+    """c, kept: for each text that goes, the similar one that stays; classes: c (a number, the least stays), f1, f2. texts_of(frame of c) gives their texts (binary)."""
+    sets, gone, left = None, None, classes
+    while True:
+        filed = [left.select("c", F.col(f).alias("fp"), F.explode(F.concat(*ball_keys(2, f))).alias("k")).select("c", "fp", (F.col("k") * 2 + n).alias("key")) for n, f in enumerate(("f1", "f2"))]
+        entries = filed[0].unionByName(filed[1])
+        least = durable(entries.groupBy("key").agg(F.min(F.struct("c", "fp")).alias("l"), F.count("*").alias("n")).where("n > 1"))
+        met = by_hot_key(entries, least, "key").where(F.col("c") != F.col("l.c"))
+        near = F.bit_count(F.col("fp").bitwiseXOR(F.col("l.fp"))) <= radius
+        cand = durable(met.groupBy("c", F.col("l.c").alias("to")).agg(F.max(near).alias("near")))
+        waiting = durable(cand.select("c").distinct())
+        pairs = cand.where("near").join(waiting.withColumnRenamed("c", "to"), "to", "left_anti").select("c", "to")
+        if sets is None:  # later rounds have only texts that wait now
+            sets = durable(shingle_sets(texts_of(waiting.unionByName(pairs.select(F.col("to").alias("c"))).distinct())))
+        found = durable(verified(pairs, sets).groupBy("c").agg(F.min("to").alias("kept")))
+        gone = found if gone is None else gone.unionByName(found)
+        left = durable(left.join(waiting, "c", "left_semi").join(found, "c", "left_anti"))
+        if left.isEmpty():
+            return gone
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, that stay when one row of each group of near copies does: the first by doc_id (nulls last), size and hash of the text. Repeated rows become one."""
+    row = {"_none": F.col("doc_id").isNull(), "_id": F.col("doc_id").cast("long"), "_size": text_bytes(), "_tie": F.xxhash64("text")}
+    key = F.struct(*[v.alias(k) for k, v in row.items()])
+    own = durable(signatures(docs.select(key.alias("key"), F.col("text").cast("binary").alias("text"))))
+    once = durable(own.groupBy("h", "f1", "f2", "key").agg(F.count("*").alias("n")))
+    classes = once.groupBy("h", "f1", "f2").agg(F.min("key").alias("least"), F.max("n").alias("copies"))
+    classes = durable(row_numbers(classes, ["least"], "c"))
+
+    def texts_of(few: DataFrame) -> DataFrame:
+        wanted = durable(few.join(classes, "c").select("c", F.col("least").alias("_key")))
+        return docs.select(key.alias("_key"), F.col("text").cast("binary").alias("text")).join(sized(wanted), "_key").groupBy("c").agg(F.first("text").alias("text"))
+
+    gone = durable(stand_ins(classes.select("c", "f1", "f2"), texts_of))
+    stays = classes.join(gone.select("c"), "c", "left_anti").select(F.col("least").alias("key"))
+    lost = once.select("key").join(stays, "key", "left_anti").distinct()
     rows = docs if classes.where("copies > 1").isEmpty() else docs.dropDuplicates(["doc_id", "text"])
     name = fresh(docs.columns, "_lost")
-    match = F.struct(*[v.alias(k) for k, v in key.items()]) == F.col(name)  # structs are equal where both have nulls
-    return rows.join(sized(durable(lost.select(F.struct("_id", "_size", "_tie").alias(name)))), match, "left_anti")
+    return rows.join(sized(durable(lost.select(F.col("key").alias(name)))), key == F.col(name), "left_anti")

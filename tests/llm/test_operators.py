@@ -350,28 +350,47 @@ def test_links_of_crowded_fingerprints(spark, most):
     assert {number[v]: number[roots.get(v, v)] for v in signed} == want
 
 
-@pytest.mark.parametrize(("most", "block"), [(3, 8), (64, 2048)])
-@pytest.mark.parametrize("radius", [5, 8])
-def test_connections_within_a_wider_radius(spark, most, block, radius):
-    rng = random.Random(6)
-    seeds = [rng.getrandbits(64) for _ in range(5)]
-    values = sorted({s ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(13))) for s in seeds for _ in range(50)} | {rng.getrandbits(64) for _ in range(100)})
-    signed = [v - (1 << 64) if v >> 63 else v for v in values]
-    edges = simhash.connections(spark.createDataFrame([(v,) for v in signed], "fp long"), radius, most, block)
-    roots = {r["node"]: r["root"] for r in simhash.components(edges).collect()}
-    up = {v: v for v in sorted(signed)}
+def similarity(a, b):
+    x, y = (set(simhash.shingles_of(t.lower().encode().split(), 5)) for t in (a, b))
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
+def test_near_copies_go_only_for_a_similar_text_that_stays(spark):
+    rng = random.Random(11)
+    words = [f"w{k}" for k in range(3000)]
+    rows = []
+    for group in range(12):
+        base = rng.choices(words, k=rng.choice([3, 30, 120, 400]))
+        for _ in range(rng.choice([1, 4, 25])):
+            text = list(base)
+            for _ in range(rng.randrange(0, 1 + len(base) // 60)):
+                text[rng.randrange(len(text))] = rng.choice(words)
+            rows.append((len(rows), " ".join(text)))
+        drift = list(base)
+        for _ in range(6):  # each is near to the next, the last far from the first
+            for k in range(len(base) // 60):
+                drift[rng.randrange(len(drift))] = rng.choice(words)
+            rows.append((len(rows), " ".join(drift)))
+    rng.shuffle(rows)
+    text = dict(rows)
+    kept = {r["doc_id"] for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i in text.keys() - kept:
+        assert any(j < i and similarity(text[i], text[j]) >= 0.8 for j in kept)
+    pairs = [(i, j) for i in text for j in text if i < j and similarity(text[i], text[j]) >= 0.8]
+    assert len(pairs) > 500 and sum(i in kept and j in kept for i, j in pairs) < 0.02 * len(pairs)
 
-    def root(x):
-        while up[x] != x:
-            x = up[x]
-        return x
 
-    for i, a in enumerate(signed):
-        for b in signed[:i]:
-            if ((a ^ b) % (1 << 64)).bit_count() <= radius:
-                x, y = root(a), root(b)
-                up[max(x, y)] = min(x, y)
-    assert {v: root(v) for v in signed} == {v: roots.get(v, v) for v in signed} and len(set(map(root, signed))) > 100
+@needs_data
+def test_no_document_of_the_tables_goes_without_a_similar_one(documents):
+    rows = documents.collect()
+    kept = {r["doc_id"] for r in simhash.one_of_each(documents).collect()}
+    text = {r["doc_id"]: r["text"] or "" for r in rows}
+    gone = text.keys() - kept
+    assert gone and all(any(similarity(text[i], text[j]) >= 0.8 for j in kept if j < i) for i in gone)
+    alike = {}
+    for i in sorted(text):
+        alike.setdefault(" ".join(text[i].lower().split()), []).append(i)
+    assert all(len(kept.intersection(ids)) <= 1 for ids in alike.values())
 
 
 @pytest.mark.parametrize("parts", [1, 2, 3])
@@ -681,6 +700,16 @@ def test_pfair_deviation(spark):
         total[s] += len(t) + 1
 
 
+def test_items_without_an_id_and_with_a_shared_one(spark):
+    one, two, three = "the quick brown fox jumps over the lazy dog tonight", "ships sail on the open sea at night without any lights", "bread is baked from flour water salt and time alone"
+    bench = spark.createDataFrame([(None, one), (None, three), (5, one), (5, two), (6, None), (None, None)], "item_id long, text string")
+    rows = [(1, "so " + one), (2, two), (3, three), (4, "nothing of that kind is in here at all today"), (5, one + " " + two + " " + three), (6, None)]
+    got = {r["doc_id"]: r for r in decontaminate.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert [(got[i]["contaminated"], got[i]["item_ids"], got[i]["n_items"]) for i in range(1, 7)] == [(True, [5], 2), (True, [5], 1), (True, [], 1), (False, [], 0), (True, [5], 2), (False, [], 0)]
+    left = decontaminate.clean(spark.createDataFrame(rows, "doc_id long, text string"), bench.where("item_id is null"))
+    assert {r["doc_id"] for r in left.collect()} == {2, 4, 6}
+
+
 def test_given_weights(spark):
     df = spark.createDataFrame([(i, "x" * 99, "ab"[i % 2]) for i in range(400)], "doc_id long, text string, source string")
     got = [r for r in mixing.mix(df, weights={"a": 3.0, "b": 1.0}, block_bytes=1000, slots=40).collect() if r["in_mix"]]
@@ -713,6 +742,20 @@ def test_more_sources_than_slots(spark):
     assert len(got) == 900 and len({r["slot"] for r in got}) >= 300
 
 
+def test_small_sources_leave_the_schedule_and_cost_nothing(spark):
+    """Of the formula's sizes: sources that run out early stay whole, until they have a twentieth of all weights."""
+    big = [(i, "x" * 99, "a") for i in range(16_400)]
+    df = spark.createDataFrame(big + [(20_000 + i, "y" * 99, "b") for i in range(9)], "doc_id long, text string, source string")
+    assert mixing.within_weights(df, block_bytes=100).count() == 16_409
+    one = spark.createDataFrame(big, "doc_id long, text string, source string")
+    assert mixing.within_weights(one, block_bytes=100).count() == 16_400
+    half = spark.createDataFrame(big + [(20_000 + i, "y" * 99, "b") for i in range(4000)] + [(30_000 + i, "z" * 99, "c") for i in range(40)], "doc_id long, text string, source string")
+    kept = {r["source"]: r["count"] for r in mixing.within_weights(half, block_bytes=100).groupBy("source").count().collect()}
+    w = {s: (n * 100) ** 0.9 for s, n in (("a", 16_400), ("b", 4000), ("c", 40))}
+    assert w["c"] < 0.05 * sum(w.values()) < w["b"] and kept["c"] == 40 and kept["b"] == 4000
+    assert abs(kept["a"] - (4000 * 100 + 100) / w["b"] * w["a"] / 100) <= 1
+
+
 def test_tiny_source_does_not_end_the_mix(spark):
     docs = [(i, "x" * 999, "ab"[i % 2], i) for i in range(4000)] + [(None, "tiny", None, 4000)]
     df = spark.createDataFrame(docs, "doc_id long, text string, source string, n long")
