@@ -17,9 +17,10 @@ words and of its distinct two-word shingles, and each is cut into two 32-bit seg
 and in up to ten often do (found are 0.95 of all pairs of similarity 0.8 at sf0.1). A key of 32 bits is shared by chance only, whatever the size of the corpus up to some 1e8 texts. Every pair that a key
 brings together is verified by its whole distance (ten bits) and then by the exact similarity of its five-word shingles; fingerprints alone never drop a document.
 
-Texts are numbered by their least row, and each key names its least text. A text that is the least of all its keys stays; those that are verified against it go, and nothing else does: each
-dropped text is similar to the one that stays for it, without chains. What is left goes on to the next round, without the keys of those that are done. So a group of k copies
-costs k comparisons a key and round, not all its pairs, and is never gathered. Rounds end when no text is left; each settles at least the least text left.
+Texts that share a key with another are ranked by how much company their keys have, so that the middle of a group comes before its edge, and each key names its first text. A text that is the first of
+all its keys stays; those that are verified against it go: each dropped text is similar to the one that stays for it, without chains. So a group of k copies costs k comparisons a key, not all its
+pairs, and is never gathered. Keys are then named anew for what is left, until none has over `most` texts; their pairs, a bounded number for each text, are verified and settled in the order of the
+ranks: a text stays if no similar one before it does. No limit cuts the search short; a key that thousands of texts share which are near by fingerprint and all unlike takes as many rounds.
 
 Null and empty texts have fingerprint zero and are linked like any other. Rows with the same doc_id stay separate rows with their own
 fingerprints. An empty table gives an empty result; other columns are ignored.
@@ -27,6 +28,8 @@ fingerprints. An empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -207,29 +210,56 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return met.where(5 * common >= 4 * (F.size("_a") + F.size("_b") - common)).select("c", "to")
 
 
-def stand_ins(classes: DataFrame, texts_of, radius: int = 10) -> DataFrame:
-    """c, kept: for each text that goes, the similar one that stays; classes: c (a number, the least stays), f1, f2. texts_of(frame of c) gives their texts (binary)."""
-    sets, gone, left = None, None, classes
+def filed(texts: DataFrame) -> DataFrame:
+    """key, c, fp: each text (c, f1, f2) under the balls of its four segments."""
+    one = [texts.select("c", F.col(f).alias("fp"), F.explode(F.concat(*ball_keys(2, f))).alias("k")).select("c", "fp", (F.col("k") * 2 + n).alias("key")) for n, f in enumerate(("f1", "f2"))]
+    return one[0].unionByName(one[1])
+
+
+def settled(edges: DataFrame) -> DataFrame:
+    """c, kept of edges c, to (to < c): in the order of their numbers, a text stays if no neighbour before it does, else it goes for the first that stays. Each turn settles all that wait for no other."""
+    gone, e = [], durable(edges)
+    while not e.isEmpty():
+        waiting = e.select(F.col("c").alias("to")).distinct()
+        found = durable(e.join(waiting, "to", "left_anti").groupBy("c").agg(F.min("to").alias("kept")))
+        done = found.select("c").unionByName(e.select(F.col("to").alias("c")).join(waiting.withColumnRenamed("to", "c"), "c", "left_anti")).distinct()
+        gone.append(found)
+        e = durable(e.join(done, "c", "left_anti").join(done.withColumnRenamed("c", "to"), "to", "left_anti"))
+    out = edges.select("c", F.col("to").alias("kept")).where("false")
+    for found in gone:
+        out = out.unionByName(found)
+    return durable(out)
+
+
+def stand_ins(classes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], radius: int = 10, most: int = 512) -> DataFrame:
+    """c, kept: for each text that goes, the similar one that stays; classes: c, f1, f2. texts_of(frame of c) gives their texts (binary)."""
+    entries = filed(classes)
+    shared = durable(entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").withColumn("m", F.col("n")))
+    company = by_hot_key(entries, shared, "key").groupBy("c").agg(F.sum("m").alias("_m"))
+    ranked = durable(row_numbers(classes.join(company, "c").withColumn("_m", -F.col("_m")), ["_m", "c"], "_rank"))
+    named = ranked.select(F.col("_rank").alias("c"), F.col("c").alias("_c"))
+    sets = durable(shingle_sets(texts_of(ranked.select("c"))).withColumnRenamed("c", "_c").join(named, "_c").select("c", "sh"))
+    left, gone = ranked.select(F.col("_rank").alias("c"), "f1", "f2"), None
+    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("l.fp"))) <= radius
     while True:
-        filed = [left.select("c", F.col(f).alias("fp"), F.explode(F.concat(*ball_keys(2, f))).alias("k")).select("c", "fp", (F.col("k") * 2 + n).alias("key")) for n, f in enumerate(("f1", "f2"))]
-        entries = filed[0].unionByName(filed[1])
-        least = durable(entries.groupBy("key").agg(F.min(F.struct("c", "fp")).alias("l"), F.count("*").alias("n")).where("n > 1"))
-        met = by_hot_key(entries, least, "key").where(F.col("c") != F.col("l.c"))
-        near = F.bit_count(F.col("fp").bitwiseXOR(F.col("l.fp"))) <= radius
-        cand = durable(met.groupBy("c", F.col("l.c").alias("to")).agg(F.max(near).alias("near")))
+        entries = filed(left)
+        first = durable(entries.groupBy("key").agg(F.min(F.struct("c", "fp")).alias("l"), F.count("*").alias("n")).where("n > 1"))
+        if gone is not None and first.where(F.col("n") > most).isEmpty():
+            break
+        cand = durable(by_hot_key(entries, first, "key").where(F.col("c") != F.col("l.c")).groupBy("c", F.col("l.c").alias("to")).agg(F.max(near).alias("near")))
         waiting = durable(cand.select("c").distinct())
-        pairs = cand.where("near").join(waiting.withColumnRenamed("c", "to"), "to", "left_anti").select("c", "to")
-        if sets is None:  # later rounds have only texts that wait now
-            sets = durable(shingle_sets(texts_of(waiting.unionByName(pairs.select(F.col("to").alias("c"))).distinct())))
-        found = durable(verified(pairs, sets).groupBy("c").agg(F.min("to").alias("kept")))
-        gone = found if gone is None else gone.unionByName(found)
+        found = durable(verified(cand.where("near").join(waiting.withColumnRenamed("c", "to"), "to", "left_anti").select("c", "to"), sets).groupBy("c").agg(F.min("to").alias("kept")))
+        gone = found if gone is None else durable(gone.unionByName(found))
         left = durable(left.join(waiting, "c", "left_semi").join(found, "c", "left_anti"))
-        if left.isEmpty():
-            return gone
+    groups = entries.join(sized(first.select("key")), "key").groupBy("key").agg(F.collect_list(F.struct("c", "fp")).alias("g"))  # `most` at most
+    pairs = groups.select("g", F.explode("g").alias("x")).select("x.c", "x.fp", F.explode("g").alias("l")).where((F.col("l.c") < F.col("c")) & near).select("c", F.col("l.c").alias("to")).distinct()
+    gone = gone.unionByName(settled(verified(durable(pairs), sets)))
+    number = lambda a, b: named.select(F.col("c").alias(a), F.col("_c").alias(b))
+    return gone.join(number("c", "_own"), "c").join(number("kept", "_kept"), "kept").select(F.col("_own").alias("c"), F.col("_kept").alias("kept"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, that stay when one row of each group of near copies does: the first by doc_id (nulls last), size and hash of the text. Repeated rows become one."""
+    """The rows of docs, with all their columns, that stay when one row of each group of near copies does: of equal texts the first by doc_id (nulls last), size and hash. Repeated rows become one."""
     row = {"_none": F.col("doc_id").isNull(), "_id": F.col("doc_id").cast("long"), "_size": text_bytes(), "_tie": F.xxhash64("text")}
     key = F.struct(*[v.alias(k) for k, v in row.items()])
     own = durable(signatures(docs.select(key.alias("key"), F.col("text").cast("binary").alias("text"))))
