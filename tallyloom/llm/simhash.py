@@ -13,8 +13,8 @@ itself and its 64 neighbours. Two fingerprints are within two bits just when the
 linking each member to the smallest one of its key loses nothing and needs no pairs.
 
 one_of_each() keeps one document of each group of near copies: texts with a five-word similarity of 0.8 or more. Each distinct text (by its words in lower case) has two fingerprints, of its distinct
-words and of its distinct two-word shingles, and each is cut into two 32-bit segments; texts are filed under the balls of radius one of all four segments, so two fingerprints that differ in up to five bits always share a key,
-and in up to ten often do (found are 0.95 of all pairs of similarity 0.8 at sf0.1). A key of 32 bits is shared by chance only, whatever the size of the corpus up to some 1e8 texts. Every pair that a key
+two-word shingles by two seeds, and each is cut into two 32-bit segments; texts are filed under the balls of radius one of all four segments, so two fingerprints that differ in up to five bits always share a key,
+and in up to ten often do (found are 0.97 of all pairs of similarity 0.8 and different words at sf0.1). A key of 32 bits is shared by chance only, whatever the size of the corpus up to some 1e8 texts. Every pair that a key
 brings together is verified by its whole distance (ten bits) and then by the exact similarity of its five-word shingles; fingerprints alone never drop a document.
 
 Texts that share a key with another are ranked by how much company their keys have, so that the middle of a group comes before its edge, and each key names its first text. A text that is the first of
@@ -37,15 +37,15 @@ from pyspark.sql import functions as F
 
 from .common import durable, fresh, in_arrow, row_numbers, sized, text_bytes
 
-SEED = 42
+SEED, OTHER_SEED = 42, 7
 ROUNDS = 60
 
 
-def voted(shingles: list[bytes]) -> int:
+def voted(shingles: list[bytes], seed: int = SEED) -> int:
     """The bits that are set in over half of the shingles' hashes."""
     import xxhash
 
-    votes = np.array([xxhash.xxh64_intdigest(x, SEED) for x in shingles], dtype=">u8")
+    votes = np.array([xxhash.xxh64_intdigest(x, seed) for x in shingles], dtype=">u8")
     ones = np.unpackbits(votes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > len(votes)).tobytes(), "big")
 
@@ -172,14 +172,15 @@ def near_duplicates(docs: DataFrame, most: int = 64) -> DataFrame:
 
 
 def signatures(rows: DataFrame) -> DataFrame:
-    """key, h (a hash of the words), f1 and f2 (fingerprints of the distinct words and two-word shingles) of rows of key and text (binary)."""
+    """key, h (a hash of the words), f1 and f2 (fingerprints of the distinct two-word shingles by two seeds) of rows of key and text (binary)."""
     import xxhash
 
     def one(text: bytes | None) -> tuple[int, int, int]:
         words = (text or b"").lower().split()
         if not words:
             return 0, 0, 0
-        return xxhash.xxh64_intdigest(b" ".join(words), SEED), voted(list(set(words))), voted(list(set(shingles_of(words, 2))))
+        pairs = list(set(shingles_of(words, 2)))
+        return xxhash.xxh64_intdigest(b" ".join(words), SEED), voted(pairs), voted(pairs, OTHER_SEED)
 
     def work(batches):
         for b in batches:
@@ -231,18 +232,17 @@ def settled(edges: DataFrame) -> DataFrame:
     return durable(out)
 
 
-def stand_ins(classes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], radius: int = 10, most: int = 512) -> DataFrame:
+def stand_ins(classes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], radius: int = 10, most: int = 256) -> DataFrame:
     """c, kept: for each text that goes, the similar one that stays; classes: c, f1, f2. texts_of(frame of c) gives their texts (binary)."""
     entries = filed(classes)
     shared = durable(entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").withColumn("m", F.col("n")))
-    company = by_hot_key(entries, shared, "key").groupBy("c").agg(F.sum("m").alias("_m"))
-    ranked = durable(row_numbers(classes.join(company, "c").withColumn("_m", -F.col("_m")), ["_m", "c"], "_rank"))
+    entries = durable(by_hot_key(entries, shared, "key"))  # of keys with company only; all that follows is about those
+    ranked = durable(row_numbers(entries.groupBy("c").agg((-F.sum("m")).alias("_m")), ["_m", "c"], "_rank"))
     named = ranked.select(F.col("_rank").alias("c"), F.col("c").alias("_c"))
     sets = durable(shingle_sets(texts_of(ranked.select("c"))).withColumnRenamed("c", "_c").join(named, "_c").select("c", "sh"))
-    left, gone = ranked.select(F.col("_rank").alias("c"), "f1", "f2"), None
+    entries, gone = durable(entries.withColumnRenamed("c", "_c").join(named, "_c").select("key", "c", "fp")), None
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("l.fp"))) <= radius
     while True:
-        entries = filed(left)
         first = durable(entries.groupBy("key").agg(F.min(F.struct("c", "fp")).alias("l"), F.count("*").alias("n")).where("n > 1"))
         if gone is not None and first.where(F.col("n") > most).isEmpty():
             break
@@ -250,8 +250,8 @@ def stand_ins(classes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], ra
         waiting = durable(cand.select("c").distinct())
         found = durable(verified(cand.where("near").join(waiting.withColumnRenamed("c", "to"), "to", "left_anti").select("c", "to"), sets).groupBy("c").agg(F.min("to").alias("kept")))
         gone = found if gone is None else durable(gone.unionByName(found))
-        left = durable(left.join(waiting, "c", "left_semi").join(found, "c", "left_anti"))
-    groups = entries.join(sized(first.select("key")), "key").groupBy("key").agg(F.collect_list(F.struct("c", "fp")).alias("g"))  # `most` at most
+        entries = durable(entries.join(waiting, "c", "left_semi").join(found, "c", "left_anti"))
+    groups = entries.join(first.select("key"), "key").groupBy("key").agg(F.collect_list(F.struct("c", "fp")).alias("g"))  # `most` at most
     pairs = groups.select("g", F.explode("g").alias("x")).select("x.c", "x.fp", F.explode("g").alias("l")).where((F.col("l.c") < F.col("c")) & near).select("c", F.col("l.c").alias("to")).distinct()
     gone = gone.unionByName(settled(verified(durable(pairs), sets)))
     number = lambda a, b: named.select(F.col("c").alias(a), F.col("_c").alias(b))
