@@ -142,11 +142,6 @@ def commit_type(message: Column) -> Column:
     return F.lower(F.regexp_extract(F.trim(message), COMMIT, 1))
 
 
-def commit_scope(message: Column) -> Column:
-    s = F.regexp_extract(F.trim(message), COMMIT, 2)
-    return F.when(s != "", s)
-
-
 def commit_breaking(message: Column) -> Column:
     return F.regexp_extract(F.trim(message), COMMIT, 3) == "!"
 
