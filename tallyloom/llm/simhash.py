@@ -29,6 +29,7 @@ fingerprints. An empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -217,6 +218,20 @@ def filed(texts: DataFrame) -> DataFrame:
     return one[0].unionByName(one[1])
 
 
+def filed_by_rare_shingles(sets: DataFrame) -> DataFrame:
+    """key, c: each text (c, sh) under so many of its rarest shingles that two texts with a similarity of 0.8 or more share one of them.
+
+    Of such a pair each has at least four fifths of its own shingles in common with the other; if no shingle among the first n - ceil(4n / 5) + 1 of both, in one order for all, were the same, fewer would be left."""
+    each = sets.select("c", F.explode("sh").alias("s"))
+    rare = durable(each.groupBy("s").agg(F.count("*").alias("n")))
+    common = rare.where("n > 1")  # a shingle of one text has its place in the order, but joins nothing
+    counted = by_hot_key(each.withColumnRenamed("s", "key"), common.select(F.col("s").alias("key"), F.col("n"), F.col("n").alias("df")), "key")
+    alone = sets.select("c", F.size("sh").alias("all"), (F.size("sh") - F.ceil(F.size("sh") * 4 / 5) + 1).alias("first"))
+    held = counted.groupBy("c").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("g")).join(alone, "c")
+    left = F.col("first") - (F.col("all") - F.size("g"))  # the shingles of one text come first
+    return held.where(left > 0).select(F.explode(F.slice("g", 1, left.cast("int"))).alias("g"), "c").select(F.col("g.key").alias("key"), "c")
+
+
 def settled(edges: DataFrame) -> DataFrame:
     """c, kept of edges c, to (to < c): in the order of their numbers, a text stays if no neighbour before it does, else it goes for the first that stays. Each turn settles all that wait for no other."""
     gone, e = [], durable(edges)
@@ -240,25 +255,32 @@ def stand_ins(classes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], ra
     ranked = durable(row_numbers(entries.groupBy("c").agg((-F.sum("m")).alias("_m")), ["_m", "c"], "_rank"))
     named = ranked.select(F.col("_rank").alias("c"), F.col("c").alias("_c"))
     sets = durable(shingle_sets(texts_of(ranked.select("c"))).withColumnRenamed("c", "_c").join(named, "_c").select("c", "sh"))
-    entries, gone = durable(entries.withColumnRenamed("c", "_c").join(named, "_c").select("key", "c", "fp")), None
+    entries = durable(entries.withColumnRenamed("c", "_c").join(named, "_c").select("key", "c", "fp"))
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("l.fp"))) <= radius
+    gone, refiled = [], False
     while True:
         first = durable(entries.groupBy("key").agg(F.min(F.struct("c", "fp")).alias("l"), F.count("*").alias("n")).where("n > 1"))
-        if gone is not None and first.where(F.col("n") > most).isEmpty():
+        crowded = first.where(F.col("n") > most)
+        if gone and crowded.isEmpty():
             break
         cand = durable(by_hot_key(entries, first, "key").where(F.col("c") != F.col("l.c")).groupBy("c", F.col("l.c").alias("to")).agg(F.max(near).alias("near")))
         waiting = durable(cand.select("c").distinct())
         found = durable(verified(cand.where("near").join(waiting.withColumnRenamed("c", "to"), "to", "left_anti").select("c", "to"), sets).groupBy("c").agg(F.min("to").alias("kept")))
-        gone = found if gone is None else durable(gone.unionByName(found))
+        gone.append(found)
         entries = durable(entries.join(waiting, "c", "left_semi").join(found, "c", "left_anti"))
+        if not refiled and 10 * found.count() < waiting.count():  # the keys hold unlike texts
+            full = durable(entries.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > most))
+            crowd = durable(sets.join(by_hot_key(entries, full, "key").select("c").distinct(), "c", "left_semi"))
+            rare = filed_by_rare_shingles(crowd).select("key", "c", F.lit(0).cast("long").alias("fp"))  # such a key stands for no distance: each of its pairs is verified
+            entries, refiled = durable(entries.join(sized(full.select("key")), "key", "left_anti").unionByName(rare)), True
     groups = entries.join(first.select("key"), "key").groupBy("key").agg(F.collect_list(F.struct("c", "fp")).alias("g"))  # `most` at most
     pairs = groups.select("g", F.explode("g").alias("x")).select("x.c", "x.fp", F.explode("g").alias("l")).where((F.col("l.c") < F.col("c")) & near).select("c", F.col("l.c").alias("to")).distinct()
-    gone = gone.unionByName(settled(verified(durable(pairs), sets)))
+    gone = reduce(DataFrame.unionByName, [*gone, settled(verified(durable(pairs), sets))])
     number = lambda a, b: named.select(F.col("c").alias(a), F.col("_c").alias(b))
     return gone.join(number("c", "_own"), "c").join(number("kept", "_kept"), "kept").select(F.col("_own").alias("c"), F.col("_kept").alias("kept"))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, most: int = 256) -> DataFrame:
     """The rows of docs, with all their columns, that stay when one row of each group of near copies does: of equal texts the first by doc_id (nulls last), size and hash. Repeated rows become one."""
     row = {"_none": F.col("doc_id").isNull(), "_id": F.col("doc_id").cast("long"), "_size": text_bytes(), "_tie": F.xxhash64("text")}
     key = F.struct(*[v.alias(k) for k, v in row.items()])
@@ -271,7 +293,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
         wanted = durable(few.join(classes, "c").select("c", F.col("least").alias("_key")))
         return docs.select(key.alias("_key"), F.col("text").cast("binary").alias("text")).join(sized(wanted), "_key").groupBy("c").agg(F.first("text").alias("text"))
 
-    gone = durable(stand_ins(classes.select("c", "f1", "f2"), texts_of))
+    gone = durable(stand_ins(classes.select("c", "f1", "f2"), texts_of, most=most))
     stays = classes.join(gone.select("c"), "c", "left_anti").select(F.col("least").alias("key"))
     lost = once.select("key").join(stays, "key", "left_anti").distinct()
     rows = docs if classes.where("copies > 1").isEmpty() else docs.dropDuplicates(["doc_id", "text"])

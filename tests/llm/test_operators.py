@@ -367,6 +367,27 @@ def test_texts_are_settled_in_order(spark, most):
     assert not any(close(i, j) and similarity(near[i], near[j]) >= 0.8 for i in kept for j in kept if i < j)
 
 
+def test_rare_shingles_bring_similar_texts_together(spark):
+    random.seed(5)
+    base = [set(random.sample(range(400), random.randint(1, 40))) for _ in range(60)]
+    sets = base + [set(list(b)[: len(b) - k]) | {1000 + 7 * k + n for n in range(k % 3)} for k in range(4) for b in base if len(b) > k]
+    filed = simhash.filed_by_rare_shingles(spark.createDataFrame([(c, sorted(s)) for c, s in enumerate(sets)], "c long, sh array<long>"))
+    under = {}
+    for r in filed.collect():
+        under.setdefault(r["c"], set()).add(r["key"])
+    similar = [(a, b) for a in range(len(sets)) for b in range(a) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    assert len(similar) > 60 and all(under.get(a, set()) & under.get(b, set()) for a, b in similar)
+
+
+def test_a_crowd_of_unlike_texts_around_one_passage(spark):
+    random.seed(6)
+    passage = [f"p{n}" for n in range(90)]
+    own = [[f"w{random.randrange(10**6)}" for _ in range(30)] for _ in range(60)]
+    texts = [" ".join(passage + w) for w in own] + [" ".join(passage + [*w[:-1], "other"]) for w in own[:7]]
+    kept = [r["doc_id"] for r in simhash.one_of_each(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), most=4).collect()]
+    assert len(kept) == 60 and {k if k < 60 else k - 60 for k in kept} == set(range(60))
+
+
 @functools.lru_cache(10_000)
 def shingled(text):
     return frozenset(simhash.shingles_of(text.lower().encode().split(), 5))
