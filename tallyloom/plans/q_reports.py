@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scrub, urls
-from ..operators import classify, patterns, reports
+from ..operators import classify, evaluation, patterns, reports
 from ..sources import driver_tables as t
 from . import q_sets, sql
 from .registry import query
@@ -135,6 +135,32 @@ def f18_privacy_gate(spark, d):
     return rows.groupBy("source").agg((F.sum("leaks") == 0).alias("compliant"), F.bool_or(F.col("leaks") > 0).alias("any_leak"), F.count("*").alias("n"))
 
 
+@query(f"""WITH d AS (SELECT source, text, n_chars, {LEAK} AS leaks, (n_chars % 103) / 100.0 AS score FROM documents),
+    c AS (SELECT source, count(*) AS checked, [count(*) FILTER (trim(text) = ''), count(*) FILTER (length(text) <> n_chars), count(*) FILTER (length(text) < 200), count(*) FILTER (rtrim(text) LIKE '%...' OR rtrim(text) LIKE '%…'), count(*) FILTER (leaks > 0), count(*) FILTER (score > 1)] AS f FROM d GROUP BY 1)
+    SELECT source, ['present', 'stated size', 'least size', 'whole', 'no secrets', 'score in range'][k] AS rule, checked, f[k] AS failed, f[k] = 0 AS passed FROM c, range(1, 7) AS r(k)""")
+def f19_output_rules(spark, d):
+    docs = t.table(spark, d, "documents")
+    rules = evaluation.output_rules(F.col("text"), F.col("n_chars"), 200, scrub.leaks(F.col("text")), F.col("n_chars") % 103 / 100)
+    return evaluation.violations(docs, rules, ["source"])
+
+
+@query("""WITH r AS (SELECT CASE source WHEN 'src0' THEN 'mock' WHEN 'src1' THEN 'local' ELSE source END AS provider, CASE lang WHEN 'en' THEN 'Focused dev' WHEN 'de' THEN 'productive' ELSE lang END AS persona, left(text, CAST(doc_id % 200 AS INTEGER)) AS headline, doc_id % 4 AS patterns, n_chars % 3 AS connections, CAST((n_chars % 101) AS DOUBLE) / 100 AS focus, n_chars AS tin, doc_id % 500 AS tout FROM documents),
+    s AS (SELECT *, CASE WHEN contains(lower(persona), 'focused') THEN CASE WHEN focus >= 0.75 THEN 20 WHEN focus >= 0.6 THEN 10 ELSE 0 END WHEN contains(lower(persona), 'productive') THEN CASE WHEN focus >= 0.75 THEN 20 WHEN focus >= 0.65 THEN 10 ELSE 0 END
+        ELSE CASE WHEN focus >= 0.5 AND focus <= 0.9 THEN 20 WHEN focus >= 0.35 THEN 10 ELSE 0 END END AS fp FROM r),
+    q AS (SELECT *, least(100, 50 + fp + CASE WHEN length(headline) BETWEEN 20 AND 150 THEN 20 WHEN length(headline) BETWEEN 10 AND 19 THEN 10 ELSE 0 END + CASE WHEN patterns >= 2 THEN 30 WHEN patterns = 1 THEN 15 ELSE 0 END + CASE WHEN connections >= 2 THEN 20 WHEN connections = 1 THEN 10 ELSE 0 END) AS q FROM s),
+    b AS (SELECT persona, CAST(sum(patterns) AS DOUBLE) / count(*) AS bp, CAST(sum(connections) AS DOUBLE) / count(*) AS bc, CAST(sum(CAST(focus AS DECIMAL(9,6))) AS DOUBLE) / count(*) AS bf FROM q WHERE provider = 'mock' GROUP BY 1),
+    m AS (SELECT q.*, bf, CASE WHEN bp > 0 THEN CASE WHEN abs(patterns / bp - 1) > 0.5 THEN 30 WHEN abs(patterns / bp - 1) > 0.05 THEN 10 ELSE 0 END WHEN patterns > 0 THEN 5 ELSE 0 END + CASE WHEN abs(focus - bf) > 0.2 THEN 20 WHEN abs(focus - bf) > 0.1 THEN 10 ELSE 0 END
+        + CASE WHEN bc > 0 THEN CASE WHEN abs(connections / bc - 1) > 0.5 THEN 20 WHEN abs(connections / bc - 1) > 0.05 THEN 5 ELSE 0 END WHEN connections > 0 THEN 2 ELSE 0 END AS lost FROM q LEFT JOIN b USING (persona)),
+    g AS (SELECT provider, persona, count(*) AS n, CASE WHEN provider IN ('mock', 'local') THEN 0 ELSE (CAST(sum(tin) AS DOUBLE) * 0.8 + CAST(sum(tout) AS DOUBLE) * 0.4) / 1000000 END AS cost, CAST(sum(q) AS DOUBLE) / count(*) / 100 AS quality, CASE WHEN max(bf) IS NULL THEN NULL ELSE CAST(sum(greatest(0, 100 - lost)) AS DOUBLE) / count(*) / 100 END AS consistency FROM m GROUP BY 1, 2)
+    SELECT g.provider, g.persona, g.n, round(g.cost, 8) AS cost, round(g.quality, 8) AS quality, round(g.consistency, 8) AS consistency, round(g.cost - o.cost, 8) AS cost_delta, round(g.quality - o.quality, 8) AS quality_delta FROM g LEFT JOIN g o ON o.persona = g.persona AND o.provider = 'mock'""")
+def m10_provider_comparison(spark, d):
+    swapped = lambda c, to: F.coalesce(*[F.when(F.col(c) == k, v) for k, v in to.items()], F.col(c))
+    rows = t.table(spark, d, "documents").select(
+        swapped("source", {"src0": "mock", "src1": "local"}).alias("provider"), swapped("lang", {"en": "Focused dev", "de": "productive"}).alias("persona"), F.col("text").substr(F.lit(1), (F.col("doc_id") % 200).cast("int")).alias("headline"),
+        (F.col("doc_id") % 4).alias("patterns"), (F.col("n_chars") % 3).alias("connections"), (F.col("n_chars") % 101 / 100).alias("focus"), F.col("n_chars").alias("tokens_in"), (F.col("doc_id") % 500).alias("tokens_out"))
+    return evaluation.compare_providers(rows).select("provider", "persona", "n", *[F.round(c, 8).alias(c) for c in ("cost", "quality", "consistency", "cost_delta", "quality_delta")])
+
+
 @query("SELECT doc_id, CASE WHEN ceil(length(text) / 4.0) <= 100 THEN text WHEN ceil(length(left(text, 400)) / 4.0) <= 100 THEN left(text, 400) ELSE concat(n_chars, ' characters') END AS shown FROM documents")
 def m7_fit_text(spark, d):
     return t.table(spark, d, "documents").select("doc_id", reports.fit_text(F.col("text"), F.substring("text", 1, 400), F.concat(F.col("n_chars").cast("string"), F.lit(" characters")), F.lit(100)).alias("shown"))
