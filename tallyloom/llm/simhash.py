@@ -14,13 +14,14 @@ linking each member to the smallest one of its key loses nothing and needs no pa
 
 one_of_each() keeps one document of each group of near copies: texts with a five-word similarity of 0.8 or more. Each distinct text (by its words in lower case) has two fingerprints, of its distinct
 two-word shingles by two seeds, and each is cut into two 32-bit segments; texts are filed under the balls of radius one of all four segments, so two fingerprints that differ in up to five bits always share a key,
-and in up to ten often do (found are 0.97 of all pairs of similarity 0.8 and different words at sf0.1). A key of 32 bits is shared by chance only, whatever the size of the corpus up to some 1e8 texts. Every pair that a key
-brings together is verified by its whole distance (ten bits) and then by the exact similarity of its five-word shingles; fingerprints alone never drop a document.
+and in up to ten often do (found are 0.97 of all pairs of similarity 0.8 and different words at sf0.1). A text that shares no key with another stays; the others, a small part, are filed under their rarest
+five-word shingles, which brings together all their pairs of similarity 0.8 or more. Fingerprints alone never drop a document: every pair is verified by the exact similarity.
 
-Texts that share a key with another are ranked by how much company their keys have, so that the middle of a group comes before its edge, and each key names its first text. A text that is the first of
-all its keys stays; those that are verified against it go: each dropped text is similar to the one that stays for it, without chains. So a group of k copies costs k comparisons a key, not all its
-pairs, and is never gathered. Keys are then named anew for what is left, until none has over `most` texts; their pairs, a bounded number for each text, are verified and settled in the order of the
-ranks: a text stays if no similar one before it does. No limit cuts the search short; a key that thousands of texts share which are near by fingerprint and all unlike takes as many rounds.
+In a key only pairs count whose smaller text has the shingle early in its order. Texts are ranked by size, then by how much company their keys have, and each key names its first early text. A text that comes after
+the first one in none of its keys stays; those that are verified against it go: each dropped text is similar to the one that stays for it, without chains. So a group of k copies costs k comparisons a key, not all its
+pairs, and is never gathered. Keys are then named anew for what is left, as long as that finds a tenth of what waits and a key has over `most` early texts. What is left is compared within the keys, in tiles where they
+are crowded; only pairs that pass exact bounds (shared shingles, a bitmap of 256 bits) leave a tile, are verified and settled in the order of the
+ranks: a text stays if no similar one before it does. No limit cuts the search short; in a crowd of texts that are near and yet unlike the comparisons, but not the rows, grow with its square.
 
 Null and empty texts have fingerprint zero and are linked like any other. Rows with the same doc_id stay separate rows with their own
 fingerprints. An empty table gives an empty result; other columns are ignored.
@@ -33,7 +34,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import durable, fresh, in_arrow, row_numbers, sized, text_bytes
@@ -193,15 +194,23 @@ def signatures(rows: DataFrame) -> DataFrame:
 
 
 def shingle_sets(texts: DataFrame, size: int = 5) -> DataFrame:
-    """c, sh: hashes of the distinct shingles of so many words; of rows of c and text (binary)."""
+    """c, sh (hashes of the distinct shingles of so many words), bits (256, each whether an odd number of them falls on it); of rows of c and text (binary)."""
     import xxhash
 
     def work(batches):
         for b in batches:
             found = [np.array([xxhash.xxh64_intdigest(x, SEED) for x in set(shingles_of((t or b"").lower().split(), size))], dtype=np.uint64).view(np.int64) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], ["c", "sh"])
+            bits = [np.packbits(np.bincount(x & 255, minlength=256).astype(np.uint8) & 1).view(np.int64) for x in found]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], ["c", "sh", "bits"])
 
-    return in_arrow(texts.select("c", "text"), "c long, sh array<bigint>", work)
+    return in_arrow(texts.select("c", "text"), "c long, sh array<bigint>, bits array<bigint>", work)
+
+
+def may_match(one: Callable[[str], Column], other: Callable[[str], Column]) -> Column:
+    """Whether two rows of size, held and bits, by functions that give their columns, can have a similarity of 0.8 or more, that is 4/9 of both sizes in common: what they share others have, too, and a bit in which they differ needs a shingle that only one has."""
+    both = one("size") + other("size")
+    apart = reduce(Column.__add__, [F.bit_count(one("bits")[i].bitwiseXOR(other("bits")[i])) for i in range(4)])
+    return (9 * F.least(one("held"), other("held")) >= 4 * both) & (9 * apart <= both)
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -212,24 +221,42 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return met.where(5 * common >= 4 * (F.size("_a") + F.size("_b") - common)).select("c", "to")
 
 
-def filed(texts: DataFrame) -> DataFrame:
-    """key, c, fp: each text (c, f1, f2) under the balls of its four segments."""
-    one = [texts.select("c", F.col(f).alias("fp"), F.explode(F.concat(*ball_keys(2, f))).alias("k")).select("c", "fp", (F.col("k") * 2 + n).alias("key")) for n, f in enumerate(("f1", "f2"))]
-    return one[0].unionByName(one[1])
+#: Leading bits of a 32-bit segment by which texts are dealt: all of a ball but so many keys lie in its centre's place.
+PLACE = 12
+
+
+def in_company(texts: DataFrame) -> DataFrame:
+    """c of the texts (c, f1, f2) that share a key with another one, where each is filed under the balls of radius one of its four 32-bit segments.
+
+    The keys of a ball that agree in their first bits travel as one row, and are written out where they have arrived: 52 rows a text are shuffled, not 132, once."""
+    one, tail = F.lit(1).cast("long"), 32 - PLACE
+    around = lambda x, bits: F.concat(F.array(x), F.transform(F.sequence(F.lit(0), F.lit(bits - 1)), lambda i: x.bitwiseXOR(F.call_function("shiftleft", one, i))))
+    parts = [F.shiftrightunsigned(f, low).bitwiseAND(0xFFFFFFFF) for f in ("f1", "f2") for low in (0, 32)]
+    segments = texts.select("c", F.posexplode(F.array(*parts)).alias("segment", "x")).select("c", "segment", F.shiftrightunsigned("x", tail).alias("head"), F.col("x").bitwiseAND((1 << tail) - 1).alias("tail"))
+    sent = segments.select("c", "segment", "tail", F.posexplode(around(F.col("head"), PLACE)).alias("flip", "place"))
+    sent = sent.select((F.col("place") * 4 + F.col("segment")).alias("place"), (F.col("tail") * 2 + (F.col("flip") == 0).cast("long")).alias("x"), "c").repartition("place")
+    own = F.shiftrightunsigned("x", 1)
+    keys = sent.select("place", "c", F.explode(F.when(F.col("x") % 2 == 1, around(own, tail)).otherwise(F.array(own))).alias("key"))
+    held = keys.withColumn("n", F.count("*").over(Window.partitionBy("place", "key")))
+    return held.where("n > 1").select("c").distinct()
 
 
 def filed_by_rare_shingles(sets: DataFrame) -> DataFrame:
-    """key, c: each text (c, sh) under so many of its rarest shingles that two texts with a similarity of 0.8 or more share one of them.
+    """key, c, size, held, early: each text (c, sh) under so many of its rarest shingles that two texts with a similarity of 0.8 or more share one of them, which is early for the one with fewer shingles (for both, if
+    they have as many). size: of its shingles, held: of those that another text has, too.
 
-    Of such a pair each has at least four fifths of its own shingles in common with the other; if no shingle among the first n - ceil(4n / 5) + 1 of both, in one order for all, were the same, fewer would be left."""
+    Of such a pair each has at least four fifths of its own shingles in common with the other, the smaller one eight ninths; if no shingle among the first n - ceil(4n / 5) + 1 of the one and the first
+    n - ceil(8n / 9) + 1 of the other, in one order for all, were the same, fewer would be left."""
     each = sets.select("c", F.explode("sh").alias("s"))
-    rare = durable(each.groupBy("s").agg(F.count("*").alias("n")))
-    common = rare.where("n > 1")  # a shingle of one text has its place in the order, but joins nothing
+    common = durable(each.groupBy("s").agg(F.count("*").alias("n")).where("n > 1"))  # a shingle of one text has its place in the order, but joins nothing
     counted = by_hot_key(each.withColumnRenamed("s", "key"), common.select(F.col("s").alias("key"), F.col("n"), F.col("n").alias("df")), "key")
-    alone = sets.select("c", F.size("sh").alias("all"), (F.size("sh") - F.ceil(F.size("sh") * 4 / 5) + 1).alias("first"))
-    held = counted.groupBy("c").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("g")).join(alone, "c")
-    left = F.col("first") - (F.col("all") - F.size("g"))  # the shingles of one text come first
-    return held.where(left > 0).select(F.explode(F.slice("g", 1, left.cast("int"))).alias("g"), "c").select(F.col("g.key").alias("key"), "c")
+    size = F.size("sh")
+    alone = sets.select("c", size.alias("size"), (size - F.ceil(size * 4 / 5) + 1).alias("first"), (size - F.ceil(size * 8 / 9) + 1).alias("earliest"))
+    listed = counted.groupBy("c").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("g")).join(alone, "c").withColumn("held", F.size("g"))
+    before = F.col("size") - F.col("held")  # the shingles of one text come first
+    left = F.col("first") - before
+    out = listed.where(left > 0).select("c", "size", "held", (F.col("earliest") - before).alias("_early"), F.posexplode(F.slice("g", 1, left.cast("int"))).alias("_at", "_g"))
+    return out.select(F.col("_g.key").alias("key"), "c", "size", "held", (F.col("_at") < F.col("_early")).alias("early"))
 
 
 def settled(edges: DataFrame) -> DataFrame:
@@ -247,40 +274,69 @@ def settled(edges: DataFrame) -> DataFrame:
     return durable(out)
 
 
-def stand_ins(classes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], radius: int = 10, most: int = 256) -> DataFrame:
+#: Early and other members of a crowded key that are compared in one tile.
+TILE_EARLY, TILE_ALL = 512, 8192
+
+
+def crowded_pairs(entries: DataFrame, crowded: DataFrame) -> DataFrame:
+    """c, to of the pairs of entries (key, c, size, held, bits, early) that may match, to being early and less, within crowded keys (key, k, n: their early and all members), tile by tile; only such pairs leave a tile."""
+    met = by_hot_key(entries, crowded.withColumn("_n", F.col("n")), "key")
+    rows, columns = F.ceil(F.col("k") / TILE_EARLY).cast("int"), F.ceil(F.col("_n") / TILE_ALL).cast("int")
+    own = lambda n: F.array(F.pmod(F.xxhash64("c"), n).cast("int"))
+    every = lambda n: F.sequence(F.lit(0), n - 1)
+    as_early = met.where("early").select("key", "c", "size", "held", "bits", F.lit(True).alias("lead"), F.explode(own(rows)).alias("i"), columns.alias("_m")).withColumn("j", F.explode(every(F.col("_m")))).drop("_m")
+    as_any = met.select("key", "c", "size", "held", "bits", F.lit(False).alias("lead"), F.explode(every(rows)).alias("i"), columns.alias("_m")).withColumn("j", F.explode(own(F.col("_m")))).drop("_m")
+
+    def compare(tile: pa.Table) -> pa.Table:
+        c, size, held = (tile.column(x).to_numpy() for x in ("c", "size", "held"))
+        bits, lead = np.array(tile.column("bits").to_pylist(), dtype=np.int64).reshape(-1, 4), np.array(tile.column("lead").to_pylist(), dtype=bool)
+        rest, out = np.flatnonzero(~lead), []
+        for i in np.flatnonzero(lead):
+            both = size[i] + size[rest]
+            apart = np.bitwise_count((bits[i] ^ bits[rest]).view(np.uint64)).sum(axis=1, dtype=np.int64)
+            at = rest[(c[rest] > c[i]) & (9 * np.minimum(held[i], held[rest]) >= 4 * both) & (9 * apart <= both)]
+            out.append(np.stack([c[at], np.full(len(at), c[i])]))
+        found = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
+        return pa.table({"c": pa.array(found[0], pa.int64()), "to": pa.array(found[1], pa.int64())})
+
+    return as_early.unionByName(as_any).groupBy("key", "i", "j").applyInArrow(compare, "c long, to long")
+
+
+def stand_ins(classes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], most: int = 32) -> DataFrame:
     """c, kept: for each text that goes, the similar one that stays; classes: c, f1, f2. texts_of(frame of c) gives their texts (binary)."""
-    entries = filed(classes)
-    shared = durable(entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").withColumn("m", F.col("n")))
+    sets = durable(shingle_sets(texts_of(durable(in_company(classes)))))
+    entries = durable(filed_by_rare_shingles(sets))
+    shared = durable(entries.groupBy("key").agg(F.count("*").alias("n"), F.bool_or("early").alias("led")).where("n > 1 and led").select("key", "n", F.col("n").alias("m")))
     entries = durable(by_hot_key(entries, shared, "key"))  # of keys with company only; all that follows is about those
-    ranked = durable(row_numbers(entries.groupBy("c").agg((-F.sum("m")).alias("_m")), ["_m", "c"], "_rank"))
+    ranked = durable(row_numbers(entries.groupBy("c", "size").agg((-F.sum("m")).alias("_m")), ["size", "_m", "c"], "_rank"))
     named = ranked.select(F.col("_rank").alias("c"), F.col("c").alias("_c"))
-    sets = durable(shingle_sets(texts_of(ranked.select("c"))).withColumnRenamed("c", "_c").join(named, "_c").select("c", "sh"))
-    entries = durable(entries.withColumnRenamed("c", "_c").join(named, "_c").select("key", "c", "fp"))
-    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("l.fp"))) <= radius
-    gone, refiled = [], False
+    sets = durable(sets.withColumnRenamed("c", "_c").join(named, "_c").select("c", "sh", "bits"))
+    entries = durable(entries.withColumnRenamed("c", "_c").join(named, "_c").select("key", "c", "size", "held", "early").join(sets.select("c", "bits"), "c"))
+    sets, row = sets.select("c", "sh"), F.struct("c", "size", "held", "bits")
+    leads = F.min(F.when(F.col("early"), row)).alias("l")
+    gone, helpful = [], True
     while True:
-        first = durable(entries.groupBy("key").agg(F.min(F.struct("c", "fp")).alias("l"), F.count("*").alias("n")).where("n > 1"))
-        crowded = first.where(F.col("n") > most)
-        if gone and crowded.isEmpty():
+        first = entries.groupBy("key").agg(leads, F.max("c").alias("_last"), F.count_if("early").alias("k"), F.count("*").alias("n"))
+        first = durable(first.where(F.col("_last") > F.col("l.c")).drop("_last"))  # a text before all early ones has no pair by this key
+        crowded = first.where(F.col("k") > most)
+        if gone and (not helpful or crowded.isEmpty()):
             break
-        cand = durable(by_hot_key(entries, first, "key").where(F.col("c") != F.col("l.c")).groupBy("c", F.col("l.c").alias("to")).agg(F.max(near).alias("near")))
+        cand = durable(by_hot_key(entries, first, "key").where(F.col("c") > F.col("l.c")).groupBy("c", F.col("l.c").alias("to")).agg(F.bool_or(may_match(F.col, lambda x: F.col("l")[x])).alias("near")))
         waiting = durable(cand.select("c").distinct())
         found = durable(verified(cand.where("near").join(waiting.withColumnRenamed("c", "to"), "to", "left_anti").select("c", "to"), sets).groupBy("c").agg(F.min("to").alias("kept")))
         gone.append(found)
         entries = durable(entries.join(waiting, "c", "left_semi").join(found, "c", "left_anti"))
-        if not refiled and 10 * found.count() < waiting.count():  # the keys hold unlike texts
-            full = durable(entries.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > most))
-            crowd = durable(sets.join(by_hot_key(entries, full, "key").select("c").distinct(), "c", "left_semi"))
-            rare = filed_by_rare_shingles(crowd).select("key", "c", F.lit(0).cast("long").alias("fp"))  # such a key stands for no distance: each of its pairs is verified
-            entries, refiled = durable(entries.join(sized(full.select("key")), "key", "left_anti").unionByName(rare)), True
-    groups = entries.join(first.select("key"), "key").groupBy("key").agg(F.collect_list(F.struct("c", "fp")).alias("g"))  # `most` at most
-    pairs = groups.select("g", F.explode("g").alias("x")).select("x.c", "x.fp", F.explode("g").alias("l")).where((F.col("l.c") < F.col("c")) & near).select("c", F.col("l.c").alias("to")).distinct()
-    gone = reduce(DataFrame.unionByName, [*gone, settled(verified(durable(pairs), sets))])
+        helpful = 10 * found.count() >= waiting.count()  # else the keys hold unlike texts, which are compared
+    few = first.where(F.col("k") <= most).select("key", "n")
+    led = entries.where("early").join(few, "key").groupBy("key").agg(F.collect_list(row).alias("g"), F.first("n").alias("n"))
+    quiet = by_hot_key(entries, led, "key").select("c", "size", "held", "bits", F.explode(F.filter("g", lambda l: (l["c"] < F.col("c")) & may_match(F.col, lambda x: l[x]))).alias("l")).select("c", F.col("l.c").alias("to"))
+    pairs = durable(quiet.unionByName(crowded_pairs(entries, crowded.select("key", "k", "n"))).distinct())
+    gone = reduce(DataFrame.unionByName, [*gone, settled(verified(pairs, sets))])
     number = lambda a, b: named.select(F.col("c").alias(a), F.col("_c").alias(b))
     return gone.join(number("c", "_own"), "c").join(number("kept", "_kept"), "kept").select(F.col("_own").alias("c"), F.col("_kept").alias("kept"))
 
 
-def one_of_each(docs: DataFrame, most: int = 256) -> DataFrame:
+def one_of_each(docs: DataFrame, most: int = 32) -> DataFrame:
     """The rows of docs, with all their columns, that stay when one row of each group of near copies does: of equal texts the first by doc_id (nulls last), size and hash. Repeated rows become one."""
     row = {"_none": F.col("doc_id").isNull(), "_id": F.col("doc_id").cast("long"), "_size": text_bytes(), "_tie": F.xxhash64("text")}
     key = F.struct(*[v.alias(k) for k, v in row.items()])

@@ -388,6 +388,39 @@ def test_a_crowd_of_unlike_texts_around_one_passage(spark):
     assert len(kept) == 60 and {k if k < 60 else k - 60 for k in kept} == set(range(60))
 
 
+def test_company_is_a_shared_key_of_the_balls(spark):
+    rng = random.Random(8)
+    base = [(rng.getrandbits(64), rng.getrandbits(64)) for _ in range(60)]
+    fps = base + [tuple(f ^ sum(1 << b for b in rng.sample(range(64), rng.choice([1, 6, 9]))) if k % 2 == n else rng.getrandbits(64) for n, f in enumerate(pair)) for k, pair in enumerate(base)]
+    signed = [(c, *[f - (1 << 64) if f >> 63 else f for f in pair]) for c, pair in enumerate(fps)]
+    frame = spark.createDataFrame(signed, "c long, f1 long, f2 long")
+    under = {}
+    for f in ("f1", "f2"):
+        for r in frame.select("c", common.F.explode(common.F.concat(*simhash.ball_keys(2, f))).alias("k")).collect():
+            under.setdefault((f, r["k"]), set()).add(r["c"])
+    want = {c for cs in under.values() if len(cs) > 1 for c in cs}
+    assert {r["c"] for r in simhash.in_company(frame).collect()} == want and 30 < len(want) < 120
+
+
+def test_a_crowd_near_and_unlike_lists_no_pairs(spark, monkeypatch):
+    """Of texts that are edited in ever other places all share keys, but few can match."""
+    random.seed(7)
+    base, texts = [f"p{n}" for n in range(150)], []
+    for k in range(120):
+        words = list(base)
+        for n in random.sample(range(150), 3):
+            words[n] = random.choice(["x", "y", "z"]) + str(n)
+        texts.append(" ".join(words))
+    sets = simhash.shingle_sets(spark.createDataFrame(list(enumerate(texts)), "c long, text string").selectExpr("c", "cast(text AS binary) AS text"))
+    entries = common.durable(simhash.filed_by_rare_shingles(sets).join(sets.select("c", "bits"), "c"))
+    crowded = entries.groupBy("key").agg(common.F.count_if("early").alias("k"), common.F.count("*").alias("n")).where("k > 0")
+    monkeypatch.setattr(simhash, "TILE_EARLY", 7)
+    monkeypatch.setattr(simhash, "TILE_ALL", 11)
+    listed = {(r["to"], r["c"]) for r in simhash.crowded_pairs(entries, crowded).collect()}
+    similar = {(i, j) for j in range(120) for i in range(j) if similarity(texts[i], texts[j]) >= 0.8 and len(shingled(texts[i])) <= len(shingled(texts[j]))}
+    assert len(similar) > 3 and similar <= listed and len(listed) < 120 * 119 / 2 / 10
+
+
 @functools.lru_cache(10_000)
 def shingled(text):
     return frozenset(simhash.shingles_of(text.lower().encode().split(), 5))
