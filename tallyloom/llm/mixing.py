@@ -11,9 +11,10 @@ whatever the size of the data.
 `in_mix` is true up to the slot by which a source is a whole block behind its target weight, for lack of blocks: so far the mix meets its weights, and a source that runs out
 within its last block doesn't end it. The rest, of over-represented sources, keeps its rows and slots.
 
-within_weights() has no period: it takes the weights as they are and says which rows a mix keeps. Block i (from 0) of a source of weight w is released once i blocks of its
-weight have passed. A source that has run out leaves the schedule and the others go on by their weights, as long as those that are gone have `spare` of all weights at most; the source that would exceed this
-ends the mix, as soon as it is a whole block behind its weight. So small sources stay whole and cost no other source anything: 10 GB and 600 KB beside them all stay, and so do the texts of a single source.
+within_weights() says which rows a mix keeps, by the same schedule: those whose block has a slot before its end, and the one block
+of a source that is released but not yet due then (a source below a slot of the period has its first block due at the period's end). A source that has run out leaves its slots empty and the others go on by their shares, as long as those
+that are gone have `spare` of all weights at most; the source that would exceed this ends the mix, as soon as it is a whole block behind its weight. So small sources stay whole and cost no other source anything:
+10 GB and 600 KB beside them all stay, and so do the texts of a single source.
 
 Null sources form a source of their own, named ''. Rows of one doc_id are ordered by size and text. Empty texts have size 1. An empty table gives no rows; columns of other
 names are ignored.
@@ -63,8 +64,8 @@ def one_period(share: DataFrame) -> DataFrame:
     return taken.withColumn("turn", turn).withColumn("release", F.expr("turn * period div share")).withColumn("deadline", F.expr("((turn + 1) * period + share - 1) div share"))
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = 0.9, block_bytes: int = 65536, slots: int = SLOTS) -> DataFrame:
-    """doc_id, source, size, block, slot, release, deadline, in_mix, for each row of docs."""
+def scheduled(docs: DataFrame, weights: dict[str, float] | None, alpha: float, block_bytes: int, slots: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id, source, size, tie, block, slot, release, deadline for each row of docs; and source, bytes, target, share."""
     rows = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), (text_bytes() + 1).alias("size"), F.xxhash64("text").alias("tie"))
     placed = durable(running_totals(rows, ["source"], ["doc_id", "size", "tie"], {"before": "size"}).withColumn("block", F.expr(f"before div {block_bytes}")))
     totals = placed.groupBy("source").agg(F.sum("size").alias("bytes"))
@@ -74,26 +75,28 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float =
     per_source = F.broadcast(pattern.select("source", "share", "period").distinct())
     timed = placed.join(per_source, "source").withColumn("turn", F.expr("block % share")).withColumn("round", F.expr("block div share"))
     timed = timed.join(F.broadcast(pattern.select("source", "turn", F.col("slot").alias("at"), F.col("release").alias("r"), F.col("deadline").alias("d"))), ["source", "turn"])
+    shift = F.col("round") * F.col("period")
+    return timed.select("doc_id", "source", "size", "block", (shift + F.col("at")).alias("slot"), (shift + F.col("r")).alias("release"), (shift + F.col("d")).alias("deadline"), "tie"), share
+
+
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = 0.9, block_bytes: int = 65536, slots: int = SLOTS) -> DataFrame:
+    """doc_id, source, size, block, slot, release, deadline, in_mix, for each row of docs."""
+    out, share = scheduled(docs, weights, alpha, block_bytes, slots)
     ends = share.where("target > 0").select((F.expr(f"(bytes + {block_bytes} - 1) div {block_bytes} + 1") / F.col("target")).alias("end"))
     end = ends.agg(F.round(F.min("end"), 3)).first()[0]
-    shift = F.col("round") * F.col("period")
-    out = timed.select("doc_id", "source", "size", "block", (shift + F.col("at")).alias("slot"), (shift + F.col("r")).alias("release"), (shift + F.col("d")).alias("deadline"), "tie")
     return out.withColumn("in_mix", F.col("slot") < F.lit(end))
 
 
-def within_weights(docs: DataFrame, alpha: float = 0.9, block_bytes: int = 65536, spare: float = 0.05) -> DataFrame:
-    """The rows of docs, with all their columns, that a mix to the weights bytes^alpha keeps: of each source the first in order of doc_id, size and text. Equal rows share their fate."""
+def within_weights(docs: DataFrame, alpha: float = 0.9, block_bytes: int = 65536, spare: float = 0.05, slots: int = SLOTS) -> DataFrame:
+    """The rows of docs, with all their columns, whose blocks the schedule has taken when it ends, or whose window is open then: of each source the first in order of doc_id, size and text. Equal rows share their fate."""
     source, key = F.coalesce("source", F.lit("")), ("doc_id", (text_bytes() + 1).alias("size"), F.xxhash64("text").alias("tie"))
-    placed = durable(running_totals(docs.select(source.alias("source"), *key), ["source"], ["doc_id", "size", "tie"], {"before": "size"}))
-    totals = placed.groupBy("source").agg(F.sum("size").alias("bytes")).withColumn("w", F.pow(F.col("bytes").cast("double"), F.lit(alpha)))
-    totals = totals.withColumns({"share": F.ceil("w"), "end": (F.col("bytes") + block_bytes) / F.col("w")})  # the end in bytes for each unit of weight
-    totals = durable(running_totals(totals, [], ["end", "source"], {"gone": "share"}))
-    everything = totals.agg(F.sum("share")).first()[0]
-    if everything is None:
+    out, share = scheduled(docs, None, alpha, block_bytes, slots)
+    # of each source the slot by which it is a whole block behind its target; those that run out first leave together at most `spare` of all targets
+    ends = share.withColumns({"end": (F.col("bytes") + block_bytes) / F.lit(block_bytes) / F.col("target"), "part": F.ceil(F.col("target") * 10**15)})
+    ends = running_totals(ends.select("source", "part", "end"), [], ["end", "source"], {"gone": "part"})
+    end = ends.where(F.col("gone") + F.col("part") > F.lit(int(spare * 10**15))).agg(F.min("end")).first()[0]
+    if end is None:
         return docs
-    end = totals.where(F.col("gone") + F.col("share") > F.lit(spare * everything)).agg(F.min("end")).first()[0]
     of, latest = fresh(docs.columns, "_of"), fresh(docs.columns, "_last")
-    begins = F.expr(f"before div {block_bytes}") * block_bytes
-    within = placed.join(sized(totals.select("source", "w")), "source").where(begins < F.col("w") * F.lit(end))
-    last = durable(within.groupBy("source").agg(F.max(F.struct("doc_id", "size", "tie")).alias(latest)).withColumnRenamed("source", of))
+    last = durable(out.where(F.col("release") < F.lit(end)).groupBy("source").agg(F.max(F.struct("doc_id", "size", "tie")).alias(latest)).withColumnRenamed("source", of))
     return docs.join(sized(last), source == F.col(of)).where(F.struct(*key) <= F.col(latest)).drop(of, latest)

@@ -832,6 +832,17 @@ def test_small_sources_leave_the_schedule_and_cost_nothing(spark):
     assert abs(kept["a"] - (4000 * 100 + 100) / w["b"] * w["a"] / 100) <= 1
 
 
+def test_the_pipeline_keeps_what_the_schedule_takes(spark):
+    """The rows that stay are those of the first slots of the Pfair schedule, and one block of each source whose window is open."""
+    docs = [(i, "x" * (40 + i % 90), "a" if i % 9 else "b") for i in range(3000)] + [(5000 + i, "z" * 99, "c") for i in range(150)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    kept = {r["doc_id"] for r in mixing.within_weights(df, block_bytes=500, slots=48).collect()}
+    rows = {r["doc_id"]: r for r in mixing.mix(df, block_bytes=500, slots=48).collect()}
+    end = min(rows[i]["release"] for i in rows.keys() - kept)
+    assert 2000 < len(kept) < len(docs) and all(rows[i]["release"] < end for i in kept) and {i for i in rows if rows[i]["slot"] < end} <= kept
+    assert all(rows[i]["deadline"] >= end for i in kept if rows[i]["slot"] >= end)
+
+
 def test_tiny_source_does_not_end_the_mix(spark):
     docs = [(i, "x" * 999, "ab"[i % 2], i) for i in range(4000)] + [(None, "tiny", None, 4000)]
     df = spark.createDataFrame(docs, "doc_id long, text string, source string, n long")
