@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -54,3 +56,32 @@ def running_totals(df: DataFrame, groups: list[str], order: list[str | Column],
 def row_numbers(df: DataFrame, order: list[str | Column], name: str) -> DataFrame:
     """df with the number of each row, from 1, in the order of all rows; its columns must tell rows apart."""
     return running_totals(df.withColumn("_one", F.lit(1)), [], order, {name: "_one"}).withColumn(name, F.col(name) + 1).drop("_one")
+
+
+def walked(df: DataFrame, keys: list[str], order: list[str], value: str, walk: Callable[[], Callable[[list[tuple]], list[int]]], kept: list[str], name: str) -> DataFrame:
+    """The columns kept and a number, a long under the name given, of each row: walk() makes for each task a function that is called with each group's rows (order and value, in the order) and gives their numbers.
+
+    All groups of a partition go through one call, so that many small groups cost no more than few large ones; a task holds one group and one batch."""
+    rows = df.select(*dict.fromkeys([*keys, *kept, *order, value])).repartition(*keys).sortWithinPartitions(*keys, *[F.asc_nulls_last(c) for c in order])
+    schema = df.select(*kept, F.lit(None).cast("long").alias(name)).schema
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fold, here, waiting, members = walk(), None, [], []
+        for b in batches:
+            heads = list(zip(*(b.column(k).to_pylist() for k in keys), strict=True))
+            numbers: list[int] = []
+            for head, member in zip(heads, zip(*(b.column(c).to_pylist() for c in [*order, value]), strict=True), strict=True):
+                if head != here and members:
+                    numbers += fold(members)
+                    members = []
+                here = head
+                members.append(member)
+            # the rows of complete groups leave; the last group may go on in the next batch
+            rows = pa.Table.from_batches([*waiting, b.select(kept)])
+            if numbers:
+                yield from rows.slice(0, len(numbers)).append_column(name, pa.array(numbers, pa.int64())).combine_chunks().to_batches()
+            waiting = rows.slice(len(numbers)).to_batches()
+        if members:
+            yield from pa.Table.from_batches(waiting).append_column(name, pa.array(fold(members), pa.int64())).combine_chunks().to_batches()
+
+    return rows.mapInArrow(work, schema)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules, words
+from .ordered import durable, walked
 
 
 def gap_sessions(df: DataFrame, keys: list[str], minutes: int, by_day: bool = True) -> DataFrame:
@@ -83,21 +83,22 @@ def anchored_windows(df: DataFrame, keys: list[str], minutes: int) -> DataFrame:
 def search_missions(searches: DataFrame, keys: list[str], minutes: int) -> DataFrame:
     """keys, seq, mission (from 0): a query joins the chain if it comes within the minutes of the one before and shares a content word (column content) with the chain's first.
 
-    A longer gap always ends a chain, so keys are first cut into stretches without one, and only a stretch is one call."""
+    A longer gap always ends a chain, so keys are first cut into stretches without one, and only a stretch is folded together; all stretches of a partition are folded in one call."""
     rows = stretches(searches.select(*keys, "seq", "us", "content"), keys, minutes)
 
-    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["us", "seq"])
-        out, mission, opener = [], -1, set()
-        for found in map(set, pdf["content"]):
-            if mission < 0 or not opener & found:
-                mission, opener = mission + 1, found
-            out.append(mission)
-        return pdf[[*keys, "_stretch", "seq"]].assign(mission=out)
-
-    kinds = dict(rows.dtypes)
-    schema = ", ".join(f"`{k}` {kinds[k]}" for k in [*keys, "_stretch", "seq"]) + ", mission long"
-    found = rows.groupBy(*keys, "_stretch").applyInPandas(follow, schema)
+    def walk():
+        def follow(members: list[tuple]) -> list[int]:
+            out, mission, opener = [], -1, set()
+            for _, _, content in members:
+                found = set(content)
+                if mission < 0 or not opener & found:
+                    mission, opener = mission + 1, found
+                out.append(mission)
+            return out
+
+        return follow
+
+    found = durable(walked(rows, [*keys, "_stretch"], ["us", "seq"], "content", walk, [*keys, "_stretch", "seq"], "mission"))
     before = numbered_after(found.groupBy(*keys, "_stretch").agg((F.max("mission") + 1).alias("_n")), keys, "_before", "_n")
     return found.join(before, [*keys, "_stretch"]).select(*keys, "seq", (F.col("mission") + F.col("_before")).alias("mission"))
 
