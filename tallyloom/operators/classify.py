@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,6 +53,17 @@ def by_rules(raw: DataFrame) -> DataFrame:
     return rows.withColumns({"summary": summary, "topics": topics}).drop("topic")
 
 
+def by_rules_once(raw: DataFrame) -> DataFrame:
+    """by_rules, worked out once for each text with its source, category and domain."""
+    given = ["source", "text", "category", "domain"]
+    own = F.struct(*given).alias("_given")
+    each = raw.select(*given).distinct().repartition(int(raw.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # rules cost time, not bytes
+    ruled = by_rules(each)
+    added = [c for c in ruled.columns if c not in given]
+    joined = raw.withColumn("_own", own).join(ruled.select(own, *added), F.col("_own") == F.col("_given"))  # structs are equal where both have nulls
+    return joined.select(*raw.columns, *added)
+
+
 def gated(events: DataFrame) -> DataFrame:
     """Topics and entities only of events whose category bears them."""
     bears = F.coalesce("category", F.lit("other")).isin(*rules.ENTITY_CATEGORIES)
@@ -64,20 +75,30 @@ def by_model(raw: DataFrame, classifier: Callable[[list[str]], list[dict | None]
     """Like by_rules, but activity_type, intent, confidence and summary are what the classifier says of a batch of texts; where it gives none or an unknown
     activity, the rules stand. The classifier is called in the tasks, batch by batch."""
     known, columns = {*rules.ACTIVITIES.values(), "debugging", "planning"}, ("activity_type", "intent", "confidence", "summary")
-    ruled = by_rules(raw)
-
-    def work(frames):
-        for pdf in frames:
-            for i in range(0, len(pdf), batch):
-                part: pd.DataFrame = pdf.iloc[i : i + batch].copy()
-                for at, said in zip(part.index, classifier(list(part["text"])), strict=True):
-                    if said and said.get("activity_type") in known:
-                        for c in columns:
-                            if said.get(c) is not None:
-                                part.at[at, c] = min(1.0, max(0.0, float(said[c]))) if c == "confidence" else str(said[c])[:120]
-                yield part
-
-    return ruled.mapInPandas(work, ruled.schema)
+    ruled = by_rules_once(raw)
+    text_at = ruled.columns.index("text")
+
+    def work(batches):
+        for b in batches:
+            texts = b.column(text_at).to_pylist()
+            said = [x for i in range(0, len(texts), batch) for x in exactly(classifier(texts[i : i + batch]), len(texts[i : i + batch]))]
+            answers = [(i, x) for i, x in enumerate(said) if x and x.get("activity_type") in known]
+            for c in columns:
+                at = b.schema.get_field_index(c)
+                values = b.column(at).to_pylist()
+                for i, x in answers:
+                    if x.get(c) is not None:
+                        values[i] = min(1.0, max(0.0, float(x[c]))) if c == "confidence" else str(x[c])[:120]
+                b = b.set_column(at, b.schema.field(at), pa.array(values, b.schema.field(at).type))
+            yield b
+
+    return ruled.mapInArrow(work, ruled.schema)
+
+
+def exactly(answers: list[dict | None], n: int) -> list[dict | None]:
+    if len(answers) != n:
+        raise ValueError(f"{len(answers)} answers to {n} texts")
+    return answers
 
 
 def decode(answer: Column) -> Column:
