@@ -6,11 +6,11 @@ from collections import Counter
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import words
+from .ordered import walked
 
 
 def tfidf(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -54,15 +54,14 @@ def cluster_intent(members: DataFrame) -> DataFrame:
 def greedy(visits: DataFrame, keys: list[str], gap_minutes: int, similarity: float) -> DataFrame:
     """keys, seq, cluster (from 0): in order of time, a visit joins the first cluster whose last visit is near enough and whose mean vector is similar enough, else opens one.
 
-    Each step depends on the one before, so each group (a user and day) is one call. The mean vectors are kept as sums, found by their terms; a cluster that time has left behind is
+    Each step depends on the one before, so a group (a user and day) is folded together; all groups of a partition in one call. The mean vectors are kept as sums, found by their terms; a cluster that time has left behind is
     never looked at again, so a visit costs what it shares with the clusters of the last minutes."""
     if similarity <= 0:
         raise ValueError("clusters are found by the terms that they share: the similarity must be above 0")
     gap = gap_minutes * 60_000_000
 
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["us", "seq"])
-        docs = [Counter(x) for x in pdf["terms"]]
+    def cluster(members: list[tuple]) -> list[int]:
+        docs = [Counter(x) for _, _, x in members]
         df = Counter(chain.from_iterable(docs))
         idf = {t: 1 + np.log(len(docs) / n) for t, n in df.items()}
         sums: list[dict[str, float]] = []
@@ -70,7 +69,7 @@ def greedy(visits: DataFrame, keys: list[str], gap_minutes: int, similarity: flo
         norms: list[float] = []
         holders: dict[str, dict[int, None]] = {}  # of each term the clusters that have it
         out = []
-        for us, d in zip(pdf["us"].tolist(), docs, strict=True):
+        for us, d in zip([float("nan") if us is None else us for us, _, _ in members], docs, strict=True):
             v = {t: d[t] / len(d) * idf[t] for t in sorted(d)}
             size = np.sqrt(sum(x * x for x in v.values()))
             near = set()
@@ -96,8 +95,6 @@ def greedy(visits: DataFrame, keys: list[str], gap_minutes: int, similarity: flo
                 holders.setdefault(t, {})[i] = None
             norms[i] = np.sqrt(sum(x * x for x in sums[i].values()))
             out.append(i)
-        return pdf[[*keys, "seq"]].assign(cluster=out)
+        return out
 
-    kinds = dict(visits.dtypes)
-    schema = ", ".join(f"`{k}` {kinds[k]}" for k in [*keys, "seq"]) + ", cluster long"
-    return visits.select(*keys, "seq", "us", "terms").groupBy(*keys).applyInPandas(work, schema)
+    return walked(visits, keys, ["us", "seq"], "terms", lambda: cluster, [*keys, "seq"], "cluster")

@@ -128,6 +128,24 @@ def plain_greedy(rows, gap, similarity):
     return out
 
 
+def test_many_small_groups_are_folded_in_one_call(spark):
+    """One task walks all its groups, across batches; a call for each group would show in the plan."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    rows = [(u, i, i * MIN, ["alpha", "beta"] if i % 3 else ["gamma"], ["a"] if i % 4 else ["b"]) for u in range(60) for i in range(u % 9 + 1)]
+    df = spark.createDataFrame(rows, "k int, seq long, us long, terms array<string>, content array<string>")
+    found, missions = clusters.greedy(df, ["k"], 45, 0.3), temporal.search_missions(df, ["k"], 30)
+    got, chains = {(r["k"], r["seq"]): r["cluster"] for r in found.collect()}, {(r["k"], r["seq"]): r["mission"] for r in missions.collect()}
+    for u in range(60):
+        mine = [r for r in rows if r[0] == u]
+        assert [got[u, r[1]] for r in mine] == plain_greedy([(r[1], r[2], r[3]) for r in mine], 45 * MIN, 0.3)
+        n, opener = -1, None
+        for r in mine:
+            if opener != r[4]:
+                n, opener = n + 1, r[4]
+            assert chains[u, r[1]] == n
+    assert all("MapInArrow" in df._jdf.queryExecution().toString() and "FlatMapGroups" not in df._jdf.queryExecution().toString() for df in (found,))
+
+
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_greedy_clusters_are_those_of_the_plain_search(spark, seed):
     import random
@@ -190,6 +208,24 @@ def test_classifier_fallback(spark):
     assert {r["activity_type"] for r in out} == {"learning", "research"} and all(r["confidence"] == 1.0 for r in out if r["activity_type"] == "learning")
 
 
+def test_answers_go_in_by_columns(spark):
+    raw = spark.createDataFrame([(i, i, "search", f'"jwt {i}" (google.com)', None, None) for i in range(40)], classify.RAW)
+    sizes = lambda texts: [{"activity_type": "learning", "summary": "s" * 200, "confidence": len(texts)} for _ in texts]
+    out = classify.by_model(raw, sizes)
+    assert "MapInArrow" in out._jdf.queryExecution().toString() and "MapInPandas" not in out._jdf.queryExecution().toString()
+    rows = out.collect()
+    assert len(rows) == 40 and all(r["summary"] == "s" * 120 and r["confidence"] == 1.0 and r["topics"] is not None for r in rows)
+    with pytest.raises(Exception, match="answers to"):
+        classify.by_model(raw, lambda texts: []).collect()
+
+
+def test_rules_once_are_those_of_each_row(spark):
+    texts = ["jwt auth", "fix the bug", None, "fix the bug", ""]
+    raw = spark.createDataFrame([(i, i, s, t, c, d) for i, (t, s, c, d) in enumerate((t, s, c, d) for t in texts for s in ("search", "claude", "browser", "git") for c in (None, "dev") for d in (None, "a.org"))], classify.RAW)
+    got, want = classify.by_rules_once(raw), classify.by_rules(raw)
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
 def test_tiers_budgets_and_reports(spark):
     df = spark.createDataFrame([("browser", "secret text", "dev")], "source string, text string, activity_type string")
     assert reports.tier_view(df, 4).columns == ["activity_type"] and "text" in reports.tier_view(df, 1).columns
