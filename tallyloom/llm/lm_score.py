@@ -7,7 +7,7 @@ every leaf. So every word's conditional comes from the network. P(word | leaf) i
 a byte-bigram model that spells the rest of the word from its end, both counted over all such words of the corpus.
 
 What the corpus gives: the counts of all words (the biases start from them) and the training. Each task trains on its own texts, from the same start, by Adagrad on
-every `EVERY`-th word as target, a third of them in each of `ROUNDS` rounds; then the parameters of all tasks are averaged in Spark, weighted by targets. So
+every word as target, a third of them in each of `ROUNDS` rounds; then the parameters of all tasks are averaged in Spark, weighted by targets. So
 training grows with the corpus, while what reaches the driver (one set of parameters, the vocabulary, two tables of 65,536 counts) doesn't.
 Words are turned into leaves once; rounds and scoring read that table.
 
@@ -36,7 +36,7 @@ OWN, BUCKETS = MEMBERS * OWN_CLASSES, MEMBERS * BUCKET_CLASSES
 LEAVES = OWN + BUCKETS
 EDGE = LEAVES  # beyond a text
 REACH, WIDTH = 3, 16
-EVERY, ROUNDS, BATCH, RATE = 4, 3, 2048, 0.15
+EVERY, ROUNDS, BATCH, RATE = 1, 3, 8192, 0.15
 #: Distinct words that a task holds before it sends their counts on, and words that it keeps the leaves of.
 HELD, KEPT_WORDS = 300_000, 400_000
 #: Words that are scored at a time; parts in which parameters are averaged, first those of one task in SALTS, so that no part's averages meet in one task at once.

@@ -114,6 +114,12 @@ def test_every_fourth_word_is_a_target_in_one_round():
     assert all(len(every & set(range(100 * k + i, 100 * k + i + lm_score.EVERY))) == 1 for k in range(3) for i in range(0, 48, lm_score.EVERY))
 
 
+def test_every_word_of_every_text_is_a_target():
+    lists = [np.arange(n) + 100 * k for k, n in enumerate((50, 1, 7, 0, 2))]
+    seen = np.concatenate([lm_score.targets(lists, turn)[1] for turn in range(lm_score.ROUNDS)])
+    assert sorted(seen.tolist()) == sorted(np.concatenate(lists).tolist())
+
+
 def test_counts_are_those_of_all_words(spark):
     df = spark.createDataFrame([(i, f"a b{i % 3} A") for i in range(50)], "doc_id long, text string")
     assert {bytes(r["word"]): r["n"] for r in lm_score.word_counts(df).collect()} == {b"a": 100, b"b0": 17, b"b1": 17, b"b2": 16}
