@@ -308,6 +308,25 @@ def test_pairs_rank():
     assert ((r(x) >= 0.5) == y).mean() > 0.95 and abs((r(x) < 0.5).mean() - (y == 0).mean()) < 0.05
 
 
+@pytest.mark.parametrize("bad", [150, 3])
+def test_quality_is_fitted_on_every_labelled_text(spark, monkeypatch, bad):
+    """Long texts and all blocks count, also with few texts of one label, and the threshold leaves as many texts below it as there are bad ones."""
+    monkeypatch.setattr(quality, "BLOCK", 40)
+    monkeypatch.setattr(quality, "BOTH", 8)
+    rows = [(i, ("### " if i < bad else "good words, " if i % 2 else "one more sentence. ") * (5 + i % 7) + (" tail" * 2000 if i % 3 == 0 else ""), int(i >= bad)) for i in range(300)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, k) for i, _, k in rows], "doc_id long, quality int")
+    known = labels.withColumnRenamed("quality", "label")
+    parts = quality.learned(quality.blocks(docs, known, {0: bad, 1: 300 - bad})).where("i = 0").collect()
+    assert sum(r["n"] for r in parts) == 300 and len(parts) > 3
+    ranking = quality.train(docs, labels)
+    x = np.array([quality.features(t.encode()) for _, t, _ in rows], np.float64)
+    assert ranking.mean == pytest.approx(x.mean(axis=0), abs=1e-6) and ranking.spread == pytest.approx(x.std(axis=0) + 1e-6, abs=1e-4)
+    margins = np.sort(ranking.margin(x))
+    assert ranking.threshold == pytest.approx((margins[bad - 1] + margins[bad]) / 2, abs=1e-6)
+    assert ((ranking(x) >= 0.5) == [k for *_, k in rows]).mean() > 0.97
+
+
 # --- 5
 def plain_fingerprint(text):
     import xxhash
