@@ -46,3 +46,15 @@ def test_many_patterns_and_no_nested_loop(spark):
     for df in (left, new, joins.not_covered(searches.select(F.col("query").alias("domain")), many)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_grams_come_from_whole_texts_at_a_time(spark, monkeypatch):
+    """No expression cuts a text run by run; texts that end in a batch's middle, in several bytes a character, are told apart."""
+    texts = ["ab", "éa", "", "cdefghijk", "x" * 50 + "tail of it", None, "äöü"]
+    x, p = spark.createDataFrame([(t,) for t in texts], "text string"), spark.createDataFrame([("bé",), ("é",), ("tail of it",), ("öü",), ("acde",), ("xt",)], "pattern string")
+    monkeypatch.setattr(containment, "TOGETHER", 12)
+    found = containment.contained(x.coalesce(1), p)
+    assert {(r["text"][-10:], r["pattern"]) for r in found.collect()} == {("éa", "é"), ("tail of it", "tail of it"), ("tail of it", "xt"), ("äöü", "öü")}
+    plan = found._jdf.queryExecution().toString()
+    assert "regexp_extract_all" not in plan and "MapInArrow" in plan
+    assert containment.contained(x, p.where("pattern = 'acde'")).collect() == []
