@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators.ordered import durable, row_numbers, running_totals, shared_folder
 
-__all__ = ["beside", "durable", "first_by_hash", "fresh", "held_out", "in_arrow", "labelled_sample", "row_numbers", "running_totals", "shared_folder", "sized", "spans", "table", "text_bytes", "texts_of"]
+__all__ = ["beside", "durable", "first_by_hash", "fresh", "held_out", "in_arrow", "labelled_sample", "labelled_texts", "row_numbers", "running_totals", "shared_folder", "sized", "spans", "table", "text_bytes", "texts_of"]
 
 #: Rows of a batch that goes to Python: long texts must not add up to gigabytes in one Arrow batch.
 BATCH_ROWS = "256"
@@ -80,8 +80,8 @@ def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return found.groupBy("doc_id").agg(F.min("text").alias("text"))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn_from: Column, per_class: int, max_bytes: int) -> list:
-    """label and text of at most per_class texts of each label, of at most max_bytes each, the first by a hash of the doc_id: the bounded sample that a classifier
+def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, learn_from: Column, per_class: int, max_bytes: int) -> DataFrame:
+    """label, text and their order (rank, doc_id) of at most per_class texts of each label, of at most max_bytes each, the first by a hash of the doc_id: the bounded sample that a classifier
     is fitted on. A doc_id with both labels has label 1; of texts with one doc_id, the least counts. It is chosen by ids and sizes alone; then its texts are fetched."""
     known = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1)).groupBy("doc_id").agg(F.max("label").alias("label"))
     rows = docs.where(learn_from).select("doc_id", text_bytes().alias("size")).groupBy("doc_id").agg(F.max("size").alias("size")).where(F.col("size") <= max_bytes).join(known, "doc_id")
@@ -89,5 +89,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn_from:
     totals = dict(rows.groupBy("label").count().collect())
     chosen = [(r["doc_id"], r["label"]) for k in (0, 1) for r in first_by_hash(rows.where(F.col("label") == k), per_class, totals.get(k, 0))]
     ids = docs.sparkSession.createDataFrame(chosen, rows.select("doc_id", "label").schema)
-    text = {r["doc_id"]: r["text"] for r in texts_of(docs, ids.select("doc_id")).collect()}
-    return [{"label": k, "text": text[i]} for i, k in chosen]
+    return texts_of(docs, ids.select("doc_id")).join(F.broadcast(ids), "doc_id").select("label", F.xxhash64("doc_id").alias("rank"), "doc_id", "text")
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn_from: Column, per_class: int, max_bytes: int) -> list:
+    """The rows of labelled_texts, label by label."""
+    return labelled_texts(docs, labels, label, learn_from, per_class, max_bytes).orderBy("label", "rank", "doc_id").collect()

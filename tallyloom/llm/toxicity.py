@@ -15,6 +15,7 @@ text gets the share of toxic labels (0.0 without any). Other columns are never r
 
 from __future__ import annotations
 
+import pickle
 from collections import Counter
 from dataclasses import dataclass
 from itertools import chain
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import beside, in_arrow, labelled_sample
+from .common import beside, in_arrow, labelled_texts
 
 WINDOW, STRIDE = 32, 16
 GRAMS, DIM, HIDDEN, ATTENTION = 1 << 14, 12, 8, 8
@@ -309,8 +310,19 @@ class Scorer:
 
 
 def train(docs: DataFrame, labels: DataFrame, learn_from: Column | None = None, how: Fit = Fit()) -> Network:
-    sample = labelled_sample(docs, labels, "toxic", F.lit(True) if learn_from is None else learn_from, how.per_class, how.max_bytes)
-    return fit([r["text"] for r in sample], [r["label"] for r in sample], how)
+    """Trained in a task: the sample's texts and the states of training never come to the driver, only the network does."""
+    sample = labelled_texts(docs, labels, "toxic", F.lit(True) if learn_from is None else learn_from, how.per_class, how.max_bytes)
+
+    def work(batches):
+        texts, known = [], []
+        for b in batches:
+            known += b.column(0).to_pylist()
+            texts += b.column(1).to_pylist()
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(texts, known, how))], pa.binary())], ["net"])
+
+    one = sample.repartition(1).sortWithinPartitions("label", "rank", "doc_id").select("label", "text")
+    nets = in_arrow(one, "net binary", work).collect()
+    return pickle.loads(nets[0]["net"]) if nets else fit([], [], how)
 
 
 def score(docs: DataFrame, net: Network, carry: list[str] | None = None, name: str = "score") -> DataFrame:

@@ -327,6 +327,20 @@ def test_quality_is_fitted_on_every_labelled_text(spark, monkeypatch, bad):
     assert ((ranking(x) >= 0.5) == [k for *_, k in rows]).mean() > 0.97
 
 
+def test_toxicity_is_trained_in_a_task(spark, monkeypatch):
+    rows = [(i, "you stupid idiot" if i % 2 else "a nice day", i % 2) for i in range(40)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, k) for i, _, k in rows], "doc_id long, toxic int")
+    how = toxicity.Fit(per_class=8, steps=20)
+    sample = common.labelled_sample(docs, labels, "toxic", common.F.lit(True), 8, how.max_bytes)
+    plain = toxicity.fit([r["text"] for r in sample], [r["label"] for r in sample], how)
+    asked = []
+    monkeypatch.setattr(toxicity.Adam, "step", lambda *_: asked.append(1))  # of the driver alone
+    net = toxicity.train(docs, labels, how=how)
+    assert not asked and net.vocabulary == plain.vocabulary
+    assert all(net.p[k] == pytest.approx(x, abs=1e-3) for k, x in plain.p.items())
+
+
 # --- 5
 def plain_fingerprint(text):
     import xxhash
