@@ -40,7 +40,10 @@ EVERY, ROUNDS, BATCH, RATE = 1, 3, 8192, 0.15
 #: Distinct words that a task holds before it sends their counts on, and words that it keeps the leaves of.
 HELD, KEPT_WORDS = 300_000, 400_000
 #: Words that are scored at a time; parts in which parameters are averaged, first those of one task in SALTS, so that no part's averages meet in one task at once.
-SCORED, PARTS, SALTS = 32_768, 16, 64
+SCORED, PARTS, SALTS = 8_192, 16, 64
+#: Words whose logits are worked out together.
+CACHED = 1024
+ROWS, ONES = np.arange(CACHED), np.ones(CACHED, np.float32)
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -157,13 +160,16 @@ def leaves(docs: DataFrame, words: Words) -> DataFrame:
     return in_arrow(texts(docs), "doc_id long, n_words long, leaves binary, rest double", work)
 
 
+def with_edges(lists: list[np.ndarray]) -> np.ndarray:
+    edge = np.full(REACH, EDGE, dtype=np.int64)
+    return np.concatenate([x for one in lists for x in (edge, one)] + [edge])
+
+
 def windows(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The leaves of all texts with REACH edges before each and behind the last, the places of the words in them, and each word's text."""
-    edge = np.full(REACH, EDGE, dtype=np.int64)
-    flat = np.concatenate([x for one in lists for x in (edge, one)] + [edge])
     size = np.array([len(x) for x in lists], dtype=np.int64)
     owner = np.repeat(np.arange(len(lists)), size)
-    return flat, np.arange(size.sum()) + REACH * (owner + 1), owner
+    return with_edges(lists), np.arange(size.sum()) + REACH * (owner + 1), owner
 
 
 OFFSETS = np.array([*range(-REACH, 0), *range(1, REACH + 1)])
@@ -187,43 +193,57 @@ class Network:
         """log P(leaf | sides); into slopes, if given, goes the gradient of its mean, with the sign of a loss."""
         n = len(leaf)
         h, x = self.hidden(sides)
-        own, member = np.divmod(leaf, MEMBERS)
-        logit = h @ self.classes + self.class_bias
-        picked = logit[np.arange(n), own]
-        np.exp(logit, out=logit)
-        total = logit.sum(axis=1)
-        out = picked - np.log(total)
-        if slopes is not None:
-            logit /= total[:, None]
-            logit[np.arange(n), own] -= 1
-            slopes["classes"], slopes["class_bias"] = h.T @ logit / n, logit.mean(axis=0)
-            of_h = logit @ self.classes.T
-            slopes["members"], slopes["member_bias"] = np.zeros_like(self.members), np.zeros_like(self.member_bias)
-        order = np.argsort(own, kind="stable")
-        sorted_own = own[order]
-        starts = np.flatnonzero(np.append(True, sorted_own[1:] != sorted_own[:-1])) if n else []
-        h_sorted, m_sorted, found = h[order], member[order], np.empty(n, np.float32)
-        for a, e in zip(starts, np.append(starts[1:], n), strict=True):
-            k, here, m = sorted_own[a], h_sorted[a:e], m_sorted[a:e]
-            logit = here @ self.members[k]
-            logit += self.member_bias[k]
-            at = np.arange(e - a)
-            picked = logit[at, m]
+        own, member = np.divmod(leaf.astype(np.uint16), np.uint16(MEMBERS))
+        order = np.argsort(own, kind="stable")  # by radix: 16 bits
+        own, member = own[order], member[order]
+        h1 = np.concatenate([h[order], np.ones((n, 1), np.float32)], axis=1)  # the last number meets the bias
+        classes = np.concatenate([self.classes, self.class_bias[None]])
+        members = np.concatenate([self.members, self.member_bias[:, None]], axis=1)
+        found, of_h1 = np.empty(n, np.float32), np.empty_like(h1)
+
+        def settle(logit: np.ndarray, at: np.ndarray) -> np.ndarray:
+            """log P of the leaves at these columns; the logits become their gradient, if one is asked for."""
+            rows = ROWS[: len(at)]
+            picked = logit[rows, at]
             np.exp(logit, out=logit)
-            total = logit.sum(axis=1)
-            found[a:e] = picked - np.log(total)
+            total = logit @ ONES[: logit.shape[1]]
+            if slopes is not None:
+                logit *= (1 / (total * n))[:, None]
+                logit[rows, at] -= 1 / n
+            return picked - np.log(total)
+
+        of_classes, of_members = np.zeros_like(classes), np.zeros_like(members)
+        logits = np.empty((n, MEMBERS), np.float32)
+        starts = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if n else np.zeros(0, np.int64)
+        runs = list(zip(starts.tolist(), [*starts[1:].tolist(), n], own[starts].tolist(), strict=True))
+        for a, e, k in runs:
+            np.matmul(h1[a:e], members[k], out=logits[a:e])
+        for i in range(0, n, CACHED):  # few enough that their logits stay in the cache
+            here, k = h1[i : i + CACHED], own[i : i + CACHED]
+            logit = here @ classes
+            found[i : i + CACHED] = settle(logit, k) + settle(logits[i : i + CACHED], member[i : i + CACHED])
             if slopes is not None:
-                logit /= total[:, None]
-                logit[at, m] -= 1
-                slopes["members"][k], slopes["member_bias"][k] = here.T @ logit / n, logit.sum(axis=0) / n
-                of_h[order[a:e]] += logit @ self.members[k].T
-        out[order] += found
+                of_classes += here.T @ logit
+                np.matmul(logit, classes.T, out=of_h1[i : i + CACHED])
+        out = np.empty(n, np.float32)
+        out[order] = found
         if slopes is not None:
-            of_h *= (1 - h * h) / n
+            for a, e, k in runs:
+                of_members[k] = h1[a:e].T @ logits[a:e]
+                of_h1[a:e] += logits[a:e] @ members[k].T
+            slopes["classes"], slopes["class_bias"] = of_classes[:-1], of_classes[-1]
+            slopes["members"], slopes["member_bias"] = of_members[:, :-1], of_members[:, -1]
+            of_h = np.empty_like(h)
+            of_h[order] = of_h1[:, :-1]
+            of_h *= 1 - h * h
             slopes["bias"], slopes["places"] = of_h.sum(axis=0), np.einsum("nd,nod->od", of_h, x)
             of_x = of_h[:, None, :] * self.places
-            flat = of_x.reshape(-1, WIDTH)
-            slopes["vectors"] = np.stack([np.bincount(sides.ravel(), flat[:, d], LEAVES + 1) for d in range(WIDTH)], axis=1).astype(np.float32)
+            leaf_of = sides.ravel().astype(np.uint16)
+            order = np.argsort(leaf_of, kind="stable")
+            leaf_of = leaf_of[order]
+            starts = np.flatnonzero(np.append(True, leaf_of[1:] != leaf_of[:-1]))
+            slopes["vectors"] = np.zeros_like(self.vectors)
+            slopes["vectors"][leaf_of[starts]] = np.add.reduceat(of_x.reshape(-1, WIDTH)[order], starts, axis=0)
         return out
 
     def flat(self) -> np.ndarray:
@@ -263,10 +283,11 @@ class Learner:
 
 def targets(lists: list[np.ndarray], turn: int) -> tuple[np.ndarray, np.ndarray]:
     """Sides and leaves of the words that are targets in a round: of each text every (EVERY * ROUNDS)-th word, each time others."""
-    flat, places, owner = windows(lists)
-    first = np.searchsorted(owner, np.arange(len(lists)))
-    number = np.arange(len(places)) - first[owner] + np.array([len(x) for x in lists], dtype=np.int64)[owner]
-    places = places[number % (EVERY * ROUNDS) == turn * EVERY]
+    flat, size, step = with_edges(lists), np.array([len(x) for x in lists], dtype=np.int64), EVERY * ROUNDS
+    first = (turn * EVERY - size) % step
+    count = np.maximum(0, -(-(size - first) // step))
+    begin = np.cumsum(size + REACH) - size + first
+    places = np.repeat(begin - step * (np.cumsum(count) - count), count) + step * np.arange(count.sum())
     return flat[places[:, None] + OFFSETS], flat[places]
 
 

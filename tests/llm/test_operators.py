@@ -308,6 +308,34 @@ def test_pairs_rank():
     assert ((r(x) >= 0.5) == y).mean() > 0.95 and abs((r(x) < 0.5).mean() - (y == 0).mean()) < 0.05
 
 
+def test_pieces_of_logits_change_nothing(monkeypatch):
+    """Probabilities and slopes, worked out in pieces by sorted class, against one plain pass; targets of a round against all words one by one."""
+    g = np.random.default_rng(5)
+    net = lm_score.start(np.full(lm_score.LEAVES, 1 / lm_score.LEAVES))
+    leaf, sides = g.integers(0, 2000, 50), g.integers(0, lm_score.EDGE + 1, (50, 2 * lm_score.REACH))
+    h = np.tanh((net.vectors[sides] * net.places).sum(axis=1) + net.bias)
+    k, m = np.divmod(leaf, lm_score.MEMBERS)
+    tops, lows = h @ net.classes + net.class_bias, np.array([a @ net.members[c] + net.member_bias[c] for a, c in zip(h, k, strict=True)])
+    soft = lambda x: np.exp(x) / np.exp(x).sum(axis=1, keepdims=True)
+    monkeypatch.setattr(lm_score, "CACHED", 16)
+    slopes: dict = {}
+    got = net.log_p(sides, leaf, slopes)
+    assert got == pytest.approx(np.log(soft(tops)[range(50), k] * soft(lows)[range(50), m]), abs=1e-4)
+    lost, of_member = soft(tops) - np.eye(lm_score.CLASSES)[k], soft(lows) - np.eye(lm_score.MEMBERS)[m]
+    assert slopes["classes"] == pytest.approx(h.T @ lost / 50, abs=1e-5) and slopes["class_bias"] == pytest.approx(lost.mean(axis=0), abs=1e-5)
+    of_h = (lost @ net.classes.T + np.array([a @ net.members[c].T for a, c in zip(of_member, k, strict=True)])) * (1 - h * h) / 50
+    plain = np.zeros_like(net.vectors)
+    np.add.at(plain, sides, of_h[:, None, :] * net.places)
+    assert slopes["vectors"] == pytest.approx(plain, abs=1e-5) and slopes["bias"] == pytest.approx(of_h.sum(axis=0), abs=1e-5)
+    lists = [g.integers(0, 99, n) for n in (0, 1, 2, 7, 30, 0)]
+    for turn in range(lm_score.ROUNDS):
+        flat, places, owner = lm_score.windows(lists)
+        number = np.concatenate([np.arange(len(x)) + len(x) for x in lists])
+        at = places[number % lm_score.ROUNDS == turn]
+        s, t = lm_score.targets(lists, turn)
+        assert (t == flat[at]).all() and (s == flat[at[:, None] + lm_score.OFFSETS]).all()
+
+
 @pytest.mark.parametrize("bad", [150, 3])
 def test_quality_is_fitted_on_every_labelled_text(spark, monkeypatch, bad):
     """Long texts and all blocks count, also with few texts of one label, and the threshold leaves as many texts below it as there are bad ones."""
