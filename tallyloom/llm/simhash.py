@@ -20,7 +20,7 @@ five-word shingles, which brings together all their pairs of similarity 0.8 or m
 In a key only pairs count whose smaller text has the shingle early in its order. Texts are ranked by size, then by how much company their keys have, and each key names its first early text. A text that comes after
 the first one in none of its keys stays; those that are verified against it go: each dropped text is similar to the one that stays for it, without chains. So a group of k copies costs k comparisons a key, not all its
 pairs, and is never gathered. Keys are then named anew for what is left, as long as that finds a tenth of what waits and a key has over `most` early texts. What is left is compared within the keys, in tiles where they
-are crowded; only pairs that pass exact bounds (shared shingles, a bitmap of 256 bits) leave a tile, are verified and settled in the order of the
+are crowded; only pairs that pass exact bounds (shared shingles, a bitmap of 1,024 bits) leave a tile, and of the keys that a pair has in common mostly one lists it. They are verified and settled in the order of the
 ranks: a text stays if no similar one before it does. No limit cuts the search short; in a crowd of texts that are near and yet unlike the comparisons, but not the rows, grow with its square.
 
 Null and empty texts have fingerprint zero and are linked like any other. Rows with the same doc_id stay separate rows with their own
@@ -194,16 +194,16 @@ def signatures(rows: DataFrame) -> DataFrame:
 
 
 def shingle_sets(texts: DataFrame, size: int = 5) -> DataFrame:
-    """c, sh (hashes of the distinct shingles of so many words), bits (256, each whether an odd number of them falls on it); of rows of c and text (binary)."""
+    """c, sh (hashes of the distinct shingles of so many words), bits and wide (256 and 1,024, each whether an odd number of them falls on it); of rows of c and text (binary)."""
     import xxhash
 
     def work(batches):
         for b in batches:
             found = [np.array([xxhash.xxh64_intdigest(x, SEED) for x in set(shingles_of((t or b"").lower().split(), size))], dtype=np.uint64).view(np.int64) for t in b.column(1).to_pylist()]
-            bits = [np.packbits(np.bincount(x & 255, minlength=256).astype(np.uint8) & 1).view(np.int64) for x in found]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], ["c", "sh", "bits"])
+            odd = [[np.packbits(np.bincount(x & (n - 1), minlength=n).astype(np.uint8) & 1).view(np.int64) for x in found] for n in (256, 1024)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(x, pa.list_(pa.int64())) for x in (found, *odd)]], ["c", "sh", "bits", "wide"])
 
-    return in_arrow(texts.select("c", "text"), "c long, sh array<bigint>, bits array<bigint>", work)
+    return in_arrow(texts.select("c", "text"), "c long, sh array<bigint>, bits array<bigint>, wide array<bigint>", work)
 
 
 def may_match(one: Callable[[str], Column], other: Callable[[str], Column]) -> Column:
@@ -221,6 +221,15 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return met.where(5 * common >= 4 * (F.size("_a") + F.size("_b") - common)).select("c", "to")
 
 
+#: Rows of narrow frames, of numbers and short bitmaps, that make up a part at least, and how many of them a text's shingles count for.
+PACKED, SET_ROWS = 20_000, 20
+
+
+def packed(rows: DataFrame, n: int) -> DataFrame:
+    """The rows, at most n, in no more parts than hold PACKED of them each: many tiny parts cost more files and tasks than they have rows."""
+    return rows.coalesce(max(1, -(-n // PACKED)))
+
+
 #: Leading bits of a 32-bit segment by which texts are dealt: all of a ball but so many keys lie in its centre's place.
 PLACE = 12
 
@@ -262,41 +271,58 @@ def filed_by_rare_shingles(sets: DataFrame) -> DataFrame:
 def settled(edges: DataFrame) -> DataFrame:
     """c, kept of edges c, to (to < c): in the order of their numbers, a text stays if no neighbour before it does, else it goes for the first that stays. Each turn settles all that wait for no other."""
     gone, e = [], durable(edges)
+    n = e.count()
+    e = packed(e, n)
     while not e.isEmpty():
         waiting = e.select(F.col("c").alias("to")).distinct()
-        found = durable(e.join(waiting, "to", "left_anti").groupBy("c").agg(F.min("to").alias("kept")))
+        found = durable(packed(e.join(waiting, "to", "left_anti").groupBy("c").agg(F.min("to").alias("kept")), n))
         done = found.select("c").unionByName(e.select(F.col("to").alias("c")).join(waiting.withColumnRenamed("to", "c"), "c", "left_anti")).distinct()
         gone.append(found)
-        e = durable(e.join(done, "c", "left_anti").join(done.withColumnRenamed("c", "to"), "to", "left_anti"))
+        e = durable(packed(e.join(done, "c", "left_anti").join(done.withColumnRenamed("c", "to"), "to", "left_anti"), n))
     out = edges.select("c", F.col("to").alias("kept")).where("false")
     for found in gone:
         out = out.unionByName(found)
-    return durable(out)
+    return durable(packed(out, n))
 
 
 #: Early and other members of a crowded key that are compared in one tile.
 TILE_EARLY, TILE_ALL = 512, 8192
+#: Least keys of a text by which a tile tells that an earlier key lists a pair.
+SEEN = 64
 
 
 def crowded_pairs(entries: DataFrame, crowded: DataFrame) -> DataFrame:
-    """c, to of the pairs of entries (key, c, size, held, bits, early) that may match, to being early and less, within crowded keys (key, k, n: their early and all members), tile by tile; only such pairs leave a tile."""
-    met = by_hot_key(entries, crowded.withColumn("_n", F.col("n")), "key")
+    """c, to of the pairs of entries (key, c, size, held, bits, early) that may match, to being early and less, within crowded keys (key, k, n: their early and all members), tile by tile; only such pairs leave a tile.
+
+    A pair that has several keys in common leaves by the least of them, and by a later one only if the SEEN least keys of the two texts don't show it."""
+    met = by_hot_key(entries.select("key", "c", "size", "held", "bits", "early"), crowded.withColumn("_n", F.col("n")), "key")
+    least = lambda of: F.slice(F.sort_array(F.collect_list(of)), 1, SEEN)
+    own_keys = met.groupBy("c").agg(least(F.col("key")).alias("all_keys"), least(F.when(F.col("early"), F.col("key"))).alias("led_keys"))
+    met = met.join(own_keys, "c")
     rows, columns = F.ceil(F.col("k") / TILE_EARLY).cast("int"), F.ceil(F.col("_n") / TILE_ALL).cast("int")
     own = lambda n: F.array(F.pmod(F.xxhash64("c"), n).cast("int"))
     every = lambda n: F.sequence(F.lit(0), n - 1)
-    as_early = met.where("early").select("key", "c", "size", "held", "bits", F.lit(True).alias("lead"), F.explode(own(rows)).alias("i"), columns.alias("_m")).withColumn("j", F.explode(every(F.col("_m")))).drop("_m")
-    as_any = met.select("key", "c", "size", "held", "bits", F.lit(False).alias("lead"), F.explode(every(rows)).alias("i"), columns.alias("_m")).withColumn("j", F.explode(own(F.col("_m")))).drop("_m")
+    as_early = met.where("early").select("key", "c", "size", "held", "bits", F.col("led_keys").alias("seen"), F.lit(True).alias("lead"), F.explode(own(rows)).alias("i"), columns.alias("_m")).withColumn("j", F.explode(every(F.col("_m")))).drop("_m")
+    as_any = met.select("key", "c", "size", "held", "bits", F.col("all_keys").alias("seen"), F.lit(False).alias("lead"), F.explode(every(rows)).alias("i"), columns.alias("_m")).withColumn("j", F.explode(own(F.col("_m")))).drop("_m")
 
     def compare(tile: pa.Table) -> pa.Table:
-        c, size, held = (tile.column(x).to_numpy() for x in ("c", "size", "held"))
-        bits, lead = np.array(tile.column("bits").to_pylist(), dtype=np.int64).reshape(-1, 4), np.array(tile.column("lead").to_pylist(), dtype=bool)
-        rest, out = np.flatnonzero(~lead), []
+        key, c, size, held = (tile.column(x).to_numpy() for x in ("key", "c", "size", "held"))
+        bits, lead = np.array(tile.column("bits").to_pylist(), dtype=np.int64).view(np.uint64), tile.column("lead").to_numpy(zero_copy_only=False)
+        before = [[x for x in keys if x < here] for keys, here in zip(tile.column("seen").to_pylist(), key.tolist(), strict=True)]
+        earlier = np.full((len(c), max(map(len, before), default=0)), key[0])  # no key before this one is this one
+        for i, keys in enumerate(before):
+            earlier[i, : len(keys)] = keys
+        rest, out = np.flatnonzero(~lead), [np.zeros((2, 0), np.int64)]
         for i in np.flatnonzero(lead):
-            both = size[i] + size[rest]
-            apart = np.bitwise_count((bits[i] ^ bits[rest]).view(np.uint64)).sum(axis=1, dtype=np.int64)
-            at = rest[(c[rest] > c[i]) & (9 * np.minimum(held[i], held[rest]) >= 4 * both) & (9 * apart <= both)]
+            at = rest[c[rest] > c[i]]
+            both = size[i] + size[at]
+            enough = 9 * np.minimum(held[i], held[at]) >= 4 * both
+            at, both = at[enough], both[enough]
+            at = at[9 * np.bitwise_count(bits[i] ^ bits[at]).sum(axis=1, dtype=np.int64) <= both]
+            if before[i]:
+                at = at[~np.isin(earlier[at], before[i]).any(axis=1)]
             out.append(np.stack([c[at], np.full(len(at), c[i])]))
-        found = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
+        found = np.concatenate(out, axis=1)
         return pa.table({"c": pa.array(found[0], pa.int64()), "to": pa.array(found[1], pa.int64())})
 
     return as_early.unionByName(as_any).groupBy("key", "i", "j").applyInArrow(compare, "c long, to long")
@@ -307,31 +333,32 @@ def stand_ins(classes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], mo
     sets = durable(shingle_sets(texts_of(durable(in_company(classes)))))
     entries = durable(filed_by_rare_shingles(sets))
     shared = durable(entries.groupBy("key").agg(F.count("*").alias("n"), F.bool_or("early").alias("led")).where("n > 1 and led").select("key", "n", F.col("n").alias("m")))
-    entries = durable(by_hot_key(entries, shared, "key"))  # of keys with company only; all that follows is about those
+    n = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    entries = durable(packed(by_hot_key(entries, shared, "key"), n))  # of keys with company only; all that follows is about those
     ranked = durable(row_numbers(entries.groupBy("c", "size").agg((-F.sum("m")).alias("_m")), ["size", "_m", "c"], "_rank"))
     named = ranked.select(F.col("_rank").alias("c"), F.col("c").alias("_c"))
-    sets = durable(sets.withColumnRenamed("c", "_c").join(named, "_c").select("c", "sh", "bits"))
-    entries = durable(entries.withColumnRenamed("c", "_c").join(named, "_c").select("key", "c", "size", "held", "early").join(sets.select("c", "bits"), "c"))
-    sets, row = sets.select("c", "sh"), F.struct("c", "size", "held", "bits")
+    sets = durable(packed(sets.withColumnRenamed("c", "_c").join(named, "_c").select("c", "sh", "bits", "wide"), SET_ROWS * ranked.count()))
+    entries = durable(packed(entries.withColumnRenamed("c", "_c").join(named, "_c").select("key", "c", "size", "held", "early").join(sets.select("c", "bits"), "c"), n))
+    sets, wide, row = sets.select("c", "sh"), sets.select("c", F.col("wide").alias("bits")), F.struct("c", "size", "held", "bits")
     leads = F.min(F.when(F.col("early"), row)).alias("l")
     gone, helpful = [], True
     while True:
         first = entries.groupBy("key").agg(leads, F.max("c").alias("_last"), F.count_if("early").alias("k"), F.count("*").alias("n"))
-        first = durable(first.where(F.col("_last") > F.col("l.c")).drop("_last"))  # a text before all early ones has no pair by this key
+        first = durable(packed(first.where(F.col("_last") > F.col("l.c")).drop("_last"), n))  # a text before all early ones has no pair by this key
         crowded = first.where(F.col("k") > most)
         if gone and (not helpful or crowded.isEmpty()):
             break
-        cand = durable(by_hot_key(entries, first, "key").where(F.col("c") > F.col("l.c")).groupBy("c", F.col("l.c").alias("to")).agg(F.bool_or(may_match(F.col, lambda x: F.col("l")[x])).alias("near")))
-        waiting = durable(cand.select("c").distinct())
-        found = durable(verified(cand.where("near").join(waiting.withColumnRenamed("c", "to"), "to", "left_anti").select("c", "to"), sets).groupBy("c").agg(F.min("to").alias("kept")))
+        cand = durable(packed(by_hot_key(entries, first, "key").where(F.col("c") > F.col("l.c")).groupBy("c", F.col("l.c").alias("to")).agg(F.bool_or(may_match(F.col, lambda x: F.col("l")[x])).alias("near")), n))
+        waiting = durable(packed(cand.select("c").distinct(), n))
+        found = durable(verified(cand.where("near").join(waiting.withColumnRenamed("c", "to"), "to", "left_anti").select("c", "to"), sets).groupBy("c").agg(F.min("to").alias("kept")).transform(packed, n))
         gone.append(found)
-        entries = durable(entries.join(waiting, "c", "left_semi").join(found, "c", "left_anti"))
+        entries = durable(packed(entries.join(waiting, "c", "left_semi").join(found, "c", "left_anti"), n))
         helpful = 10 * found.count() >= waiting.count()  # else the keys hold unlike texts, which are compared
     few = first.where(F.col("k") <= most).select("key", "n")
     led = entries.where("early").join(few, "key").groupBy("key").agg(F.collect_list(row).alias("g"), F.first("n").alias("n"))
     quiet = by_hot_key(entries, led, "key").select("c", "size", "held", "bits", F.explode(F.filter("g", lambda l: (l["c"] < F.col("c")) & may_match(F.col, lambda x: l[x]))).alias("l")).select("c", F.col("l.c").alias("to"))
-    pairs = durable(quiet.unionByName(crowded_pairs(entries, crowded.select("key", "k", "n"))).distinct())
-    gone = reduce(DataFrame.unionByName, [*gone, settled(verified(pairs, sets))])
+    pairs = durable(quiet.unionByName(crowded_pairs(entries.drop("bits").join(wide, "c"), crowded.select("key", "k", "n"))).distinct())
+    gone = reduce(DataFrame.unionByName, [*gone, settled(verified(packed(pairs, pairs.count()), sets))])
     number = lambda a, b: named.select(F.col("c").alias(a), F.col("_c").alias(b))
     return gone.join(number("c", "_own"), "c").join(number("kept", "_kept"), "kept").select(F.col("_own").alias("c"), F.col("_kept").alias("kept"))
 

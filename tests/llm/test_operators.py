@@ -488,6 +488,35 @@ def test_a_crowd_near_and_unlike_lists_no_pairs(spark, monkeypatch):
     assert len(similar) > 3 and similar <= listed and len(listed) < 120 * 119 / 2 / 10
 
 
+@pytest.mark.parametrize("seen", [64, 1])
+def test_a_crowded_pair_leaves_by_one_of_its_keys(spark, monkeypatch, seen):
+    """Long texts with many keys in common: each pair is listed once, and no similar pair is lost where the least keys don't show the earlier key."""
+    random.seed(9)
+    base, texts = [f"p{n}" for n in range(700)], []
+    for k in range(40):
+        words = list(base)
+        for n in random.sample(range(700), 20 if k % 2 else 4):
+            words[n] = random.choice(["x", "y"]) + str(n)
+        texts.append(" ".join(words))
+    sets = simhash.shingle_sets(spark.createDataFrame(list(enumerate(texts)), "c long, text string").selectExpr("c", "cast(text AS binary) AS text"))
+    entries = common.durable(simhash.filed_by_rare_shingles(sets).join(sets.selectExpr("c", "wide AS bits"), "c"))
+    crowded = entries.groupBy("key").agg(common.F.count_if("early").alias("k"), common.F.count("*").alias("n")).where("k > 0")
+    monkeypatch.setattr(simhash, "SEEN", seen)
+    listed = [(r["to"], r["c"]) for r in simhash.crowded_pairs(entries, crowded).collect()]
+    similar = {(i, j) for j in range(40) for i in range(j) if similarity(texts[i], texts[j]) >= 0.8 and len(shingled(texts[i])) <= len(shingled(texts[j]))}
+    keys = entries.join(crowded, "key").groupBy("key").agg(common.F.collect_list("c").alias("m"), common.F.collect_list(common.F.expr("CASE WHEN early THEN c END")).alias("led")).collect()
+    met = [(a, b) for r in keys for a in r["led"] for b in r["m"] if (a, b) in similar]
+    assert len(similar) > 20 and similar <= set(listed) and len(met) > 5 * len(set(met))
+    assert len(listed) < (len(met) if seen == 1 else 1.2 * len(set(listed)))
+
+
+def test_few_edges_are_settled_in_few_parts(spark):
+    edges = spark.createDataFrame([(k + 1, k) for k in range(1, 30)], "c long, to long").repartition(60)
+    out = simhash.settled(edges)
+    assert out.rdd.getNumPartitions() == 1 and dict(map(tuple, out.collect())) == {k: k - 1 for k in range(2, 31, 2)}
+    assert simhash.packed(spark.range(0, 100_000, 1, 50), 100_000).rdd.getNumPartitions() == 5
+
+
 @functools.lru_cache(10_000)
 def shingled(text):
     return frozenset(simhash.shingles_of(text.lower().encode().split(), 5))
