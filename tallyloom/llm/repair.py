@@ -7,7 +7,7 @@ so occurrences never overlap (a pair of equal ids is taken every other time in a
 so every document begins at a symbol of its own.
 
 Words() encodes each distinct word once, for tokenizers that drop white space and lower-case all letters: no piece of theirs crosses white space, so the ids of a text are those of its words. The
-words themselves always go through the tokenizers library. Other tokenizers take whole texts (by_words=False).
+words themselves always go through the tokenizers library; those of small ASCII letters, which its normalizer and its cuts leave as they are, go to its model at once. Other tokenizers take whole texts (by_words=False).
 
 A file is a header (magic, and the numbers of documents, rules, symbols, ids and terminals as unsigned 64-bit integers), then, little-endian: doc_ids (64 bits), whether they are known (8 bits), the
 first symbol and the first id of each document and the totals (64 bits), left and right part of each rule (32 bits), the ids that it expands to (32 bits), and the symbols (24 bits, or 32 if there are
@@ -27,17 +27,18 @@ import re
 import struct
 import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import in_arrow, running_totals, shared_folder, sized, spans
 
-#: Marks of which one behind a letter is a piece of its own.
-MARKS = (b".", b",", b";", b":", b"!", b"?")
+#: Marks that are a piece of their own, however many, behind letters; an apostrophe, which may open a contraction, isn't among them.
+MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Letters of U+00C0 to U+017F without multiplication and division signs and the one letter whose lower case is two characters, and ASCII letters.
 LETTERS = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|\xc4[\x80-\xaf\xb1-\xbf]|\xc5[\x80-\xbf])+")
 MAGIC, HEADER = b"RPGRAM01", struct.Struct("<8s5Q")
@@ -223,63 +224,102 @@ def together(texts: list[str]) -> Iterator[list[str]]:
         yield run
 
 
-class Words:
-    """Encodes texts word by word and remembers the words; see the module."""
+class Words(dict):
+    """Encodes texts word by word and remembers the words: the number of each leads to the place of its ids; see the module. Words that are looked up and not known are put down as new."""
 
     def __init__(self, model):
-        self.model, self.number, self.ids, self.ends = model, {}, np.zeros(1024, np.uint32), np.zeros(1, np.int64)
+        super().__init__()
+        self.model, self.new, self.flat, self.n = model, [], np.zeros(1024, np.uint32), 0
+        self.begin, self.size, self.used = (np.zeros(0, np.int64) for _ in range(3))  # used: runs of texts that have the word
         closing = [i for w, i in model.get_vocab().items() if w.endswith("</w>")]
         self.closes = np.zeros(model.get_vocab_size() + 1, bool)
         self.closes[closing] = True
-
-    def remember(self, words: list, ids: np.ndarray, sizes: np.ndarray) -> None:
-        size = self.ends[-1]
-        if size + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids[:size], np.zeros(len(self.ids) + 2 * len(ids), np.uint32)])
-        self.ids[size : size + len(ids)] = ids
-        self.number.update(zip(words, range(len(self.number), len(self.number) + len(words)), strict=True))
-        self.ends = np.concatenate([self.ends, size + np.cumsum(sizes, dtype=np.int64)])
-
-    def each(self, words: list[bytes]) -> None:
-        found = [e.ids for e in self.model.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
-        self.remember(words, np.fromiter((i for x in found for i in x), np.uint32), np.array([len(x) for x in found], np.int64))
+        self.plain = [x.id for x in model.model.tokenize("plain")] == model.encode("plain", add_special_tokens=False).ids
+
+    def __missing__(self, word: bytes) -> int:
+        self.new.append(word)
+        self[word] = at = len(self)
+        return at
+
+    def put(self, words: Sequence[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
+        if not words:
+            return
+        if self.n + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat[: self.n], np.zeros(len(self.flat) + 2 * len(ids), np.uint32)])
+        self.flat[self.n : self.n + len(ids)] = ids
+        k = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        self.begin[k], self.size[k] = self.n + np.cumsum(sizes) - sizes, sizes
+        self.n += len(ids)
+
+    def each(self, words: list[bytes], ids_of: Callable[[list[str]], list[list[int]]]) -> None:
+        for some in itertools.batched(words, 500):
+            found = ids_of([w.decode() for w in some])
+            self.put(some, np.fromiter(itertools.chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found)))
+
+    def by_library(self, words: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.model.encode_batch_fast(words, add_special_tokens=False)]
+
+    def by_model(self, words: list[str]) -> list[list[int]]:
+        return [[x.id for x in self.model.model.tokenize(w)] for w in words]
 
     def letters(self, words: list[bytes]) -> None:
-        """Words of letters, many in one call; each is one piece, and a piece ends with an id that closes it."""
-        for i in range(0, len(words), 5000):
-            some = words[i : i + 5000]
-            ids = np.array(self.model.encode(b" ".join(some).decode(), add_special_tokens=False).ids, np.uint32)
+        """Words of letters, many in one text; each is one piece, and a piece ends with an id that closes it."""
+        for some in itertools.batched(words, 500):
+            ids = np.array(self.by_library([b" ".join(some).decode()])[0], np.uint32)
             ends = np.flatnonzero(self.closes[ids]) + 1
             if len(ends) == len(some):
-                self.remember(some, ids, np.diff(ends, prepend=0))
+                self.put(some, ids, np.diff(ends, prepend=0))
             else:  # the tokenizer has no such closing ids
-                self.each(some)
-
-    def learn(self, words: set[bytes]) -> None:
-        """A word of letters with one mark behind it is the word and the mark."""
-        marked = [w for w in words if w[-1:] in MARKS and w[-2:-1].isalpha()]
-        wanted = words.difference(marked).union([w[:-1] for w in marked], [w[-1:] for w in marked]).difference(self.number)
-        letters = [w for w in wanted if w.isalpha() or LETTERS.fullmatch(w)]
-        self.letters(letters)
-        self.each(list(wanted.difference(letters)))
-        marked = [w for w in marked if w not in self.number]
-        k = np.array([self.number[part] for w in marked for part in (w[:-1], w[-1:])], np.int64)
-        sizes = self.ends[k + 1] - self.ends[k]
-        self.remember(marked, self.ids[spans(self.ends[k], self.ends[k + 1])], sizes.reshape(-1, 2).sum(axis=1))
+                self.each(some, self.by_library)
+
+    def learn(self) -> None:
+        """The ids of the new words. A word of letters with marks behind it is the word and the marks."""
+        cut = [(w, w.rstrip(MARKS)) for w in self.new if not w.isalpha()]
+        cut = [(w, x) for w, x in cut if len(x) < len(w) and (x.isalpha() or LETTERS.fullmatch(x))]
+        parts = [part for w, x in cut for part in (x, w[len(x) :])]
+        k = np.fromiter(map(self.__getitem__, parts), np.int64, len(parts))  # parts may be new, too
+        more = np.zeros(len(self) - len(self.begin), np.int64)
+        self.begin, self.size, self.used = (np.append(x, more) for x in (self.begin, self.size, self.used))
+        marked = {w for w, _ in cut}
+        rest = [w for w in self.new if w not in marked]
+        plain = [w for w in rest if w.isalpha()] if self.plain else []
+        self.each(plain, self.by_model)
+        rest = [w for w in rest if not w.isalpha()] if self.plain else rest
+        self.letters(letters := [w for w in rest if LETTERS.fullmatch(w)])
+        letters = set(letters)
+        self.each([w for w in rest if w not in letters], self.by_library)
+        self.put([w for w, _ in cut], self.flat[spans(self.begin[k], self.begin[k] + self.size[k])], self.size[k].reshape(-1, 2).sum(axis=1))
+        self.new = []
+
+    def forget(self) -> None:
+        """All words but those that several runs of texts have had of late, which are half of what is remembered at most."""
+        kept = np.sort(np.argsort(-self.used, kind="stable")[: REMEMBERED // 2])
+        kept = kept[self.used[kept] > 1]
+        words = list(self)
+        words = [words[i] for i in kept.tolist()]
+        begin, size = self.begin[kept], self.size[kept]
+        self.clear()
+        self.update(zip(words, range(len(words)), strict=True))
+        self.flat, self.begin, self.size, self.used = self.flat[spans(begin, begin + size)], np.cumsum(size) - size, size, np.zeros(len(words), np.int64)
+        self.n = len(self.flat)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.number) > REMEMBERED:
-            self.number, self.ends = {}, np.zeros(1, np.int64)
+        if len(self) > REMEMBERED:
+            self.forget()
         # A special token's string must not arise by lower-casing or be cut: such texts go whole.
         whole = [i for i, t in enumerate(texts) if "<|" in t]
-        split = [[] if "<|" in t else t.encode().lower().split() for t in texts]
-        words = [w for s in split for w in s]
-        new = set(words).difference(self.number)
-        if new:
-            self.learn(new)
-        k = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
-        ids = self.ids[spans(self.ends[k], self.ends[k + 1])]
-        place = np.concatenate([[0], np.cumsum(self.ends[k + 1] - self.ends[k])])[np.cumsum([0] + [len(s) for s in split])]
+        split = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(["" if "<|" in t else t for t in texts], pa.string())))  # an empty word has no ids
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+        number = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        if self.new:
+            self.learn()
+        self.used[number] += 1
+        at = coded.indices.to_numpy()
+        size = self.size[number][at]
+        begin = self.begin[number][at]
+        ids = self.flat[spans(begin, begin + size)]
+        place = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(split.value_lengths().to_numpy())])]
         out = [ids[a:b] for a, b in itertools.pairwise(place.tolist())]
         for i in whole:
             out[i] = np.array(self.model.encode(texts[i], add_special_tokens=False).ids, np.uint32)

@@ -154,6 +154,21 @@ def test_token_files_in_order_of_doc_id(spark):
     assert [(r["start"], r["n_tokens"]) for r in repair.token_files(spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string"), path).orderBy("doc_id").collect()] == [(0, 1), (1, 1)]
 
 
+def test_words_with_marks_are_put_together_and_frequent_ones_outlive_the_memory(monkeypatch):
+    path = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
+    words, whole = repair.Words(repair.tokenizer(path)), lambda texts: [e.ids for e in repair.tokenizer(path).encode_batch_fast(texts, add_special_tokens=False)]
+    texts = ["  Straße$$$ straße the,!! THE.%%% don't don't!! 'tis it's. a1 1a.5, $$$ ... \u0130x,  éa\u0301.", "x_y the\u00a0the, \u2003 İ! ß? e\u0301! ᾳ. <|endoftext|> a", "", " ", "the'", "the'. s't \x1c\x85 ab\x0bcd "]
+    assert [x.tolist() for x in words.encode(texts)] == whole(texts)
+    assert b"$$$" in words and b",!!" in words and b"the" in words  # parts, of which other words are made
+    monkeypatch.setattr(repair, "REMEMBERED", 40)
+    made = [f"often w{chr(97 + k % 26)}{chr(97 + k // 26)}{k}$$$ rare{'x' * (k % 7)}," for k in range(60)]
+    for k in range(0, 60, 3):
+        assert [x.tolist() for x in words.encode(made[k : k + 3])] == whole(made[k : k + 3])
+        assert len(words) <= 40 + 30
+    words.forget()
+    assert b"often" in words and len(words) <= 20 and [x.tolist() for x in words.encode(made + texts)] == whole(made + texts)
+
+
 # --- divergence
 def plain_divergence(rows, least, top=50):
     docs = [(lang or "", source or "", Counter(WORD.findall((text or "").translate(LOWER)))) for _, text, lang, source in rows]
