@@ -12,10 +12,10 @@ Entries with more than `most` members could make quadratically many pairs. Their
 itself and its 64 neighbours. Two fingerprints are within two bits just when they share such a key, and no key can have over 65 members, so
 linking each member to the smallest one of its key loses nothing and needs no pairs.
 
-one_of_each() keeps one document of each group of near copies: texts with a five-word similarity of 0.8 or more. Each distinct text (by its words in lower case) has two fingerprints, of its distinct
-two-word shingles by two seeds, and each is cut into two 32-bit segments; texts are filed under the balls of radius one of all four segments, so two fingerprints that differ in up to five bits always share a key,
-and in up to ten often do (found are 0.97 of all pairs of similarity 0.8 and different words at sf0.1). A text that shares no key with another stays; the others, a small part, are filed under their rarest
-five-word shingles, which brings together all their pairs of similarity 0.8 or more. Fingerprints alone never drop a document: every pair is verified by the exact similarity.
+one_of_each() keeps one document of each group of near copies: texts with a five-word similarity of 0.8 or more. Each distinct text (by its words in lower case) is filed under the fifth of its five-word shingles
+that comes first in one order of all shingles, so that all pairs of similarity 0.8 or more share a key, whatever the order is. The order only decides how much company keys have: shingles go by how often the corpus has
+their rarest word (counted in 1,048,576 buckets), then by hash, so what many texts share comes last. A text has as many keys as its length asks for, however large the corpus is. Texts that share a key with none stay; the others are
+compared by their shingles.
 
 In a key only pairs count whose smaller text has the shingle early in its order. Texts are ranked by size, then by how much company their keys have, and each key names its first early text. A text that comes after
 the first one in none of its keys stays; those that are verified against it go: each dropped text is similar to the one that stays for it, without chains. So a group of k copies costs k comparisons a key, not all its
@@ -31,6 +31,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -193,19 +194,134 @@ def signatures(rows: DataFrame) -> DataFrame:
     return in_arrow(rows.select("key", "text"), schema, work)
 
 
+class WordHashes(dict):
+    """XXH64 of words; no word has 0."""
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        self[word] = found = xxhash.xxh64_intdigest(word, SEED) if word else 0
+        return found
+
+
+#: Words whose hashes a task keeps.
+KEPT_WORDS = 400_000
+FACTOR, LAST_FACTOR = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def words_in(texts: list[bytes | None], hashes: WordHashes, size: int = 1) -> tuple[np.ndarray, list[int]]:
+    """The hashes of the texts' words, and how many each text has; 0 fills up what has fewer than so many words, but some."""
+    if len(hashes) > KEPT_WORDS:
+        hashes.clear()
+    lists = [(t or b"").lower().split() for t in texts]
+    lists = [x + [b""] * (size - len(x)) if 0 < len(x) < size else x for x in lists]
+    return np.fromiter(map(hashes.__getitem__, chain.from_iterable(lists)), np.uint64), list(map(len, lists))
+
+
+def shingle_hashes(texts: list[bytes | None], hashes: WordHashes, size: int = 5, order: np.ndarray | None = None) -> list[np.ndarray]:
+    """Of each text the distinct hashes of the runs of so many words (all words, if it has fewer; none without words), in order; with an order of the words' buckets, by the least of the words', then by hash."""
+    flat, sizes = words_in(texts, hashes, size)
+    runs = range(max(0, len(flat) - size + 1))
+    mixed = np.zeros(len(runs), np.uint64)
+    for k in range(size):
+        mixed = mixed * FACTOR + flat[k : k + len(runs)]
+    mixed = (mixed ^ mixed >> np.uint64(32)) * LAST_FACTOR
+    mixed ^= mixed >> np.uint64(29)
+    ends = np.cumsum(sizes, dtype=np.int64).tolist()
+    spans = [slice(e - n, max(e - size + 1, 0)) if n else slice(0, 0) for e, n in zip(ends, sizes, strict=True)]
+    if order is None:
+        return [np.unique(mixed[x]) for x in spans]
+    by_word = order[(flat & np.uint64(BUCKETS - 1)).view(np.int64)]
+    least = reduce(np.minimum, [by_word[k : k + len(runs)] for k in range(size)])
+    out = []
+    for x in spans:
+        found, at = np.unique(mixed[x], return_index=True)
+        out.append(found[np.argsort(least[x][at], kind="stable")])
+    return out
+
+
+def bitmaps(found: list[np.ndarray], n: int) -> pa.Array:
+    """Of each set n bits, each whether an odd number of its hashes falls on it."""
+    return pa.array([np.packbits(np.bincount((x & np.uint64(n - 1)).view(np.int64), minlength=n).astype(np.uint8) & 1).view(np.int64) for x in found], pa.list_(pa.int64()))
+
+
 def shingle_sets(texts: DataFrame, size: int = 5) -> DataFrame:
     """c, sh (hashes of the distinct shingles of so many words), bits and wide (256 and 1,024, each whether an odd number of them falls on it); of rows of c and text (binary)."""
-    import xxhash
 
     def work(batches):
+        hashes = WordHashes()
         for b in batches:
-            found = [np.array([xxhash.xxh64_intdigest(x, SEED) for x in set(shingles_of((t or b"").lower().split(), size))], dtype=np.uint64).view(np.int64) for t in b.column(1).to_pylist()]
-            odd = [[np.packbits(np.bincount(x & (n - 1), minlength=n).astype(np.uint8) & 1).view(np.int64) for x in found] for n in (256, 1024)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(x, pa.list_(pa.int64())) for x in (found, *odd)]], ["c", "sh", "bits", "wide"])
+            found = shingle_hashes(b.column(1).to_pylist(), hashes, size)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64())), *[bitmaps(found, n) for n in (256, 1024)]], ["c", "sh", "bits", "wide"])
 
     return in_arrow(texts.select("c", "text"), "c long, sh array<bigint>, bits array<bigint>, wide array<bigint>", work)
 
 
+#: Buckets of words, slices in which their counts are summed, and words that a task holds before it counts them.
+BUCKETS, SLICES, COUNTED = 1 << 20, 64, 1_000_000
+
+
+def crowding(texts: DataFrame) -> np.ndarray:
+    """By bucket (the last bits of a word's hash), how often the texts (column text, binary) have its words, as eight times the binary logarithm; a task tells up to 255 of a bucket, which is enough for an order."""
+    names, width = ["slice", "counts"], BUCKETS // SLICES
+
+    def count(batches):
+        hashes, total, held = WordHashes(), np.zeros(BUCKETS, np.uint8), []
+
+        def counted() -> np.ndarray:
+            here = np.bincount((np.concatenate(held) & np.uint64(BUCKETS - 1)).view(np.int64), minlength=BUCKETS)
+            return np.minimum(total + here, 255).astype(np.uint8)
+
+        for b in batches:
+            held.append(words_in(b.column(0).to_pylist(), hashes)[0])
+            if sum(map(len, held)) >= COUNTED:
+                total, held = counted(), []
+        total = counted() if held else total
+        if total.any():
+            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([total[i * width : (i + 1) * width].tobytes() for i in range(SLICES)], pa.binary())], names)
+
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                sums[i] = sums.get(i, 0) + np.frombuffer(x, np.uint8).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int32()), pa.array([(8 * np.log2(1 + x)).astype(np.uint16).tobytes() for x in sums.values()], pa.binary())], names)
+
+    parts = in_arrow(texts.select("text"), "slice int, counts binary", count).repartition(SLICES, "slice")
+    out = np.zeros(BUCKETS, np.uint16)
+    for r in in_arrow(parts, "slice int, counts binary", add).collect():  # SLICES rows
+        out[r["slice"] * width : (r["slice"] + 1) * width] = np.frombuffer(r["counts"], np.uint16)
+    return out
+
+
+def fronts(rows: DataFrame, order: np.ndarray, names: list[str]) -> DataFrame:
+    """The columns named; h and h2 (hashes of the words), size (of the distinct five-word shingles), front (the first of them in the order: crowding of the rarest word, then hash), early (how many of the front are
+    early), bits; of rows with a column text (binary).
+
+    Of a pair with a similarity of 0.8 or more each has at least four fifths of its own shingles in common with the other, the smaller one eight ninths; if no shingle among the first n - ceil(4n / 5) + 1 of the one and the
+    first n - ceil(8n / 9) + 1 of the other, in one order for all, were the same, fewer would be left."""
+    import xxhash
+
+    rows = rows.select(*names, "text")
+    schema = rows.select(*names, *[F.lit(None).cast(t).alias(x) for x, t in (("h", "long"), ("h2", "long"), ("size", "int"), ("early", "int"), *[(x, "array<bigint>") for x in ("front", "bits")])]).schema
+
+    def work(batches):
+        hashes = WordHashes()
+        for b in batches:
+            texts = b.column(len(names)).to_pylist()
+            found = shingle_hashes(texts, hashes, order=order)
+            words = [b" ".join((t or b"").lower().split()) for t in texts]
+            own = np.array([[xxhash.xxh64_intdigest(x, seed) for seed in (SEED, OTHER_SEED)] for x in words], dtype=np.uint64).reshape(-1, 2).view(np.int64)
+            size = np.array([len(x) for x in found], dtype=np.int32)
+            first = np.where(size > 0, size + 1 + -4 * size // 5, 0)
+            front = [x[:k].view(np.int64) for x, k in zip(found, first.tolist(), strict=True)]
+            early = np.where(size > 0, size + 1 + -8 * size // 9, 0)
+            numbers = [pa.array(own[:, 0]), pa.array(own[:, 1]), pa.array(size), pa.array(early.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *numbers, pa.array(front, pa.list_(pa.int64())), bitmaps(found, 256)], [*names, "h", "h2", "size", "early", "front", "bits"])
+
+    return in_arrow(rows, schema, work)
+
+
 def may_match(one: Callable[[str], Column], other: Callable[[str], Column]) -> Column:
     """Whether two rows of size, held and bits, by functions that give their columns, can have a similarity of 0.8 or more, that is 4/9 of both sizes in common: what they share others have, too, and a bit in which they differ needs a shingle that only one has."""
     both = one("size") + other("size")
@@ -215,6 +331,7 @@ def may_match(one: Callable[[str], Column], other: Callable[[str], Column]) -> C
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (c, to) whose shingle sets have a similarity of 0.8 or more."""
+    sets = sets.join(sized(durable(pairs.select(F.explode(F.array("c", "to")).alias("c")).distinct())), "c", "left_semi")
     hubs = pairs.groupBy("to").agg(F.count("*").alias("n")).join(sets.select(F.col("c").alias("to"), F.col("sh").alias("_b")), "to")
     met = by_hot_key(pairs.join(sets.withColumnRenamed("sh", "_a"), "c"), hubs, "to")
     common = F.size(F.array_intersect("_a", "_b"))
@@ -328,17 +445,27 @@ def crowded_pairs(entries: DataFrame, crowded: DataFrame) -> DataFrame:
     return as_early.unionByName(as_any).groupBy("key", "i", "j").applyInArrow(compare, "c long, to long")
 
 
+def in_shared_fronts(classes: DataFrame) -> DataFrame:
+    """key, c, early, n (texts of the key): the shingles of the fronts (classes: c, front, early) that another text's front has, too, and that are early for one of them."""
+    each = classes.select("c", F.col("early").alias("_k"), F.posexplode("front").alias("_at", "key")).select("key", (2 * F.col("c") + (F.col("_at") < F.col("_k")).cast("long")).alias("x"))
+    key, early = Window.partitionBy("key"), F.col("x").bitwiseAND(1)
+    met = each.withColumn("n", F.count("*").over(key)).withColumn("_led", F.max(early).over(key)).where("n > 1 and _led = 1")
+    return met.select("key", F.shiftright("x", 1).alias("c"), (early == 1).alias("early"), "n")
+
+
 def stand_ins(classes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], most: int = 32) -> DataFrame:
-    """c, kept: for each text that goes, the similar one that stays; classes: c, f1, f2. texts_of(frame of c) gives their texts (binary)."""
-    sets = durable(shingle_sets(texts_of(durable(in_company(classes)))))
-    entries = durable(filed_by_rare_shingles(sets))
-    shared = durable(entries.groupBy("key").agg(F.count("*").alias("n"), F.bool_or("early").alias("led")).where("n > 1 and led").select("key", "n", F.col("n").alias("m")))
-    n = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    entries = durable(packed(by_hot_key(entries, shared, "key"), n))  # of keys with company only; all that follows is about those
-    ranked = durable(row_numbers(entries.groupBy("c", "size").agg((-F.sum("m")).alias("_m")), ["size", "_m", "c"], "_rank"))
+    """c, kept: for each text that goes, the similar one that stays; classes: c, and what fronts() gives, else it is worked out here. texts_of(frame of c) gives their texts (binary)."""
+    if "front" not in classes.columns:
+        texts = durable(texts_of(classes.select("c")))
+        classes = durable(fronts(texts, crowding(texts), ["c"]))
+    entries = durable(in_shared_fronts(classes).transform(lambda e: e.join(classes.select("c", "size", "bits"), "c")))
+    n = entries.count()
+    entries = packed(entries, n)
+    ranked = durable(row_numbers(entries.groupBy("c", "size").agg((-F.sum("n")).alias("_m")), ["size", "_m", "c"], "_rank"))
     named = ranked.select(F.col("_rank").alias("c"), F.col("c").alias("_c"))
-    sets = durable(packed(sets.withColumnRenamed("c", "_c").join(named, "_c").select("c", "sh", "bits", "wide"), SET_ROWS * ranked.count()))
-    entries = durable(packed(entries.withColumnRenamed("c", "_c").join(named, "_c").select("key", "c", "size", "held", "early").join(sets.select("c", "bits"), "c"), n))
+    sets = shingle_sets(texts_of(ranked.select("c")))
+    sets = durable(packed(sets.withColumnRenamed("c", "_c").join(sized(named), "_c").select("c", "sh", "wide"), SET_ROWS * ranked.count()))
+    entries = durable(packed(entries.withColumnRenamed("c", "_c").join(named, "_c").select("key", "c", "size", F.col("size").alias("held"), "early", "bits"), n))
     sets, wide, row = sets.select("c", "sh"), sets.select("c", F.col("wide").alias("bits")), F.struct("c", "size", "held", "bits")
     leads = F.min(F.when(F.col("early"), row)).alias("l")
     gone, helpful = [], True
@@ -367,18 +494,24 @@ def one_of_each(docs: DataFrame, most: int = 32) -> DataFrame:
     """The rows of docs, with all their columns, that stay when one row of each group of near copies does: of equal texts the first by doc_id (nulls last), size and hash. Repeated rows become one."""
     row = {"_none": F.col("doc_id").isNull(), "_id": F.col("doc_id").cast("long"), "_size": text_bytes(), "_tie": F.xxhash64("text")}
     key = F.struct(*[v.alias(k) for k, v in row.items()])
-    own = durable(signatures(docs.select(key.alias("key"), F.col("text").cast("binary").alias("text"))))
-    once = durable(own.groupBy("h", "f1", "f2", "key").agg(F.count("*").alias("n")))
-    classes = once.groupBy("h", "f1", "f2").agg(F.min("key").alias("least"), F.max("n").alias("copies"))
+    texts = docs.select(key.alias("key"), F.col("text").cast("binary").alias("text"))
+    own = durable(fronts(texts, crowding(texts), ["key"]))
+    once = durable(own.groupBy("h", "h2", "key").agg(F.count("*").alias("n")))
+    classes = once.groupBy("h", "h2").agg(F.min("key").alias("least"), F.max("n").alias("copies"))
     classes = durable(row_numbers(classes, ["least"], "c"))
+    filed = own.select(F.col("h").alias("_h"), F.col("h2").alias("_h2"), F.col("key").alias("least"), "size", "early", "front", "bits")
+    filed = classes.join(filed, "least").where((F.col("h") == F.col("_h")) & (F.col("h2") == F.col("_h2")))  # repeated rows have the same
+    repeated = not classes.where("copies > 1").isEmpty()
+    filed = filed.dropDuplicates(["least", "c"]) if repeated else filed
 
     def texts_of(few: DataFrame) -> DataFrame:
         wanted = durable(few.join(classes, "c").select("c", F.col("least").alias("_key")))
-        return docs.select(key.alias("_key"), F.col("text").cast("binary").alias("text")).join(sized(wanted), "_key").groupBy("c").agg(F.first("text").alias("text"))
+        found = docs.select(key.alias("_key"), F.col("text").cast("binary").alias("text")).join(sized(wanted), "_key").select("c", "text")
+        return found.groupBy("c").agg(F.first("text").alias("text")) if repeated else found
 
-    gone = durable(stand_ins(classes.select("c", "f1", "f2"), texts_of, most=most))
+    gone = durable(stand_ins(durable(filed.select("c", "size", "early", "front", "bits")), texts_of, most=most))
     stays = classes.join(gone.select("c"), "c", "left_anti").select(F.col("least").alias("key"))
     lost = once.select("key").join(stays, "key", "left_anti").distinct()
-    rows = docs if classes.where("copies > 1").isEmpty() else docs.dropDuplicates(["doc_id", "text"])
+    rows = docs.dropDuplicates(["doc_id", "text"]) if repeated else docs
     name = fresh(docs.columns, "_lost")
     return rows.join(sized(durable(lost.select(F.col("key").alias(name)))), key == F.col(name), "left_anti")

@@ -565,6 +565,29 @@ def test_no_document_of_the_tables_goes_without_a_similar_one(documents):
     assert all(len(kept.intersection(ids)) <= 1 for ids in alike.values())
 
 
+def test_every_similar_pair_shares_a_key_however_its_fingerprints_lie(spark):
+    """Fingerprints of such pairs often share no ball; a text has as many keys as its length asks for, whatever else there is."""
+    rng, rows = random.Random(12), []
+    for k in range(120):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+        other = list(words)
+        other[rng.randrange(20, 40)], other[rng.randrange(60, 80)] = "x", "y"
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+    rows += [(1000, "One two"), (1001, "one  TWO"), (1002, "one two three"), (1003, ""), (1004, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert all(similarity(rows[2 * k][1], rows[2 * k + 1][1]) >= 0.8 for k in range(120))
+    kept = {r["doc_id"] for r in simhash.one_of_each(docs).collect()}
+    assert len(kept & set(range(240))) == 120 and all(len(kept & {2 * k, 2 * k + 1}) == 1 for k in range(120)) and kept - set(range(240)) == {1000, 1002, 1003}
+    texts = docs.selectExpr("doc_id", "cast(text AS binary) AS text")
+    order = simhash.crowding(texts)
+    filed = {r["doc_id"]: r for r in simhash.fronts(texts, order, ["doc_id"]).collect()}
+    for i, t in rows:
+        n, r = len(shingled(t or "")), filed[i]
+        assert (r["size"], len(r["front"]), r["early"]) == (n, n - -(-4 * n // 5) + 1 if n else 0, n - -(-8 * n // 9) + 1 if n else 0)
+    found = simhash.shingle_hashes([b"a b c d e f", b"x a b c d e", b"a b"], simhash.WordHashes())
+    assert [len(x) for x in found] == [2, 2, 1] and len(set(found[0].tolist()) & set(found[1].tolist())) == 1
+
+
 @pytest.mark.parametrize("parts", [1, 2, 3])
 def test_keys_of_balls(spark, parts):
     rng = random.Random(parts)
