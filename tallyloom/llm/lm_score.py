@@ -17,6 +17,7 @@ rows get equal scores. Very long texts are scored in parts, with their sides. An
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from dataclasses import dataclass, replace
@@ -44,6 +45,16 @@ SCORED, PARTS, SALTS = 8_192, 16, 64
 #: Words whose logits are worked out together.
 CACHED = 1024
 ROWS, ONES = np.arange(CACHED), np.ones(CACHED, np.float32)
+#: Memory that each batch uses again, by name: to touch new pages takes longer than most of the sums that go into them.
+SCRATCH: dict[str, np.ndarray] = {}
+
+
+def scratch(name: str, *shape: int) -> np.ndarray:
+    """An array of the shape with any content, which holds until the next call by this name."""
+    n = math.prod(shape)
+    if name not in SCRATCH or SCRATCH[name].size < n:
+        SCRATCH[name] = np.empty(n, np.float32)
+    return SCRATCH[name][:n].reshape(shape)
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -186,8 +197,11 @@ class Network:
     member_bias: np.ndarray
 
     def hidden(self, sides: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        x = self.vectors[sides]
-        return np.tanh(np.einsum("nod,od->nd", x, self.places) + self.bias), x
+        """And the vectors of the sides, which hold until the next call."""
+        x = np.take(self.vectors, sides, axis=0, out=scratch("sides", *sides.shape, WIDTH), mode="clip")
+        h = np.einsum("nod,od->nd", x, self.places)
+        h += self.bias
+        return np.tanh(h, out=h), x
 
     def log_p(self, sides: np.ndarray, leaf: np.ndarray, slopes: dict[str, np.ndarray] | None = None) -> np.ndarray:
         """log P(leaf | sides); into slopes, if given, goes the gradient of its mean, with the sign of a loss."""
@@ -196,10 +210,11 @@ class Network:
         own, member = np.divmod(leaf.astype(np.uint16), np.uint16(MEMBERS))
         order = np.argsort(own, kind="stable")  # by radix: 16 bits
         own, member = own[order], member[order]
-        h1 = np.concatenate([h[order], np.ones((n, 1), np.float32)], axis=1)  # the last number meets the bias
+        h1 = scratch("h1", n, WIDTH + 1)
+        h1[:, :-1], h1[:, -1] = h[order], 1  # the last number meets the bias
         classes = np.concatenate([self.classes, self.class_bias[None]])
-        members = np.concatenate([self.members, self.member_bias[:, None]], axis=1)
-        found, of_h1 = np.empty(n, np.float32), np.empty_like(h1)
+        members = np.concatenate([self.members, self.member_bias[:, None]], axis=1, out=scratch("members", CLASSES, WIDTH + 1, MEMBERS))
+        found, of_h1 = np.empty(n, np.float32), scratch("of_h1", n, WIDTH + 1)
 
         def settle(logit: np.ndarray, at: np.ndarray) -> np.ndarray:
             """log P of the leaves at these columns; the logits become their gradient, if one is asked for."""
@@ -212,15 +227,15 @@ class Network:
                 logit[rows, at] -= 1 / n
             return picked - np.log(total)
 
-        of_classes, of_members = np.zeros_like(classes), np.zeros_like(members)
-        logits = np.empty((n, MEMBERS), np.float32)
+        of_classes, of_members = np.zeros_like(classes), None if slopes is None else np.zeros_like(members)
+        logits = scratch("logits", n, MEMBERS)
         starts = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if n else np.zeros(0, np.int64)
         runs = list(zip(starts.tolist(), [*starts[1:].tolist(), n], own[starts].tolist(), strict=True))
         for a, e, k in runs:
             np.matmul(h1[a:e], members[k], out=logits[a:e])
         for i in range(0, n, CACHED):  # few enough that their logits stay in the cache
             here, k = h1[i : i + CACHED], own[i : i + CACHED]
-            logit = here @ classes
+            logit = np.matmul(here, classes, out=scratch("logit", len(here), CLASSES))
             found[i : i + CACHED] = settle(logit, k) + settle(logits[i : i + CACHED], member[i : i + CACHED])
             if slopes is not None:
                 of_classes += here.T @ logit
@@ -229,7 +244,7 @@ class Network:
         out[order] = found
         if slopes is not None:
             for a, e, k in runs:
-                of_members[k] = h1[a:e].T @ logits[a:e]
+                np.matmul(h1[a:e].T, logits[a:e], out=of_members[k])
                 of_h1[a:e] += logits[a:e] @ members[k].T
             slopes["classes"], slopes["class_bias"] = of_classes[:-1], of_classes[-1]
             slopes["members"], slopes["member_bias"] = of_members[:, :-1], of_members[:, -1]
@@ -237,13 +252,15 @@ class Network:
             of_h[order] = of_h1[:, :-1]
             of_h *= 1 - h * h
             slopes["bias"], slopes["places"] = of_h.sum(axis=0), np.einsum("nd,nod->od", of_h, x)
-            of_x = of_h[:, None, :] * self.places
             leaf_of = sides.ravel().astype(np.uint16)
             order = np.argsort(leaf_of, kind="stable")
             leaf_of = leaf_of[order]
             starts = np.flatnonzero(np.append(True, leaf_of[1:] != leaf_of[:-1]))
             slopes["vectors"] = np.zeros_like(self.vectors)
-            slopes["vectors"][leaf_of[starts]] = np.add.reduceat(of_x.reshape(-1, WIDTH)[order], starts, axis=0)
+            word, place = np.divmod(order, 2 * REACH)
+            of_x = np.take(of_h, word, axis=0, out=scratch("of_x", len(order), WIDTH), mode="clip")
+            of_x *= np.take(self.places, place, axis=0, out=scratch("places", len(order), WIDTH), mode="clip")
+            slopes["vectors"][leaf_of[starts]] = np.add.reduceat(of_x, starts, axis=0, out=scratch("sums", len(starts), WIDTH))
         return out
 
     def flat(self) -> np.ndarray:
@@ -277,8 +294,11 @@ class Learner:
         self.net.log_p(sides, leaf, slopes)
         self.seen += len(leaf)
         for k, g in slopes.items():
-            self.squares[k] += g * g
-            getattr(self.net, k).__isub__(self.rate * g / np.sqrt(self.squares[k]))
+            square, move = np.multiply(g, g, out=scratch("square", *g.shape)), scratch("move", *g.shape)
+            self.squares[k] += square
+            np.multiply(g, self.rate, out=move)
+            move /= np.sqrt(self.squares[k], out=square)
+            getattr(self.net, k).__isub__(move)
 
 
 def targets(lists: list[np.ndarray], turn: int) -> tuple[np.ndarray, np.ndarray]:

@@ -125,6 +125,29 @@ def test_counts_are_those_of_all_words(spark):
     assert {bytes(r["word"]): r["n"] for r in lm_score.word_counts(df).collect()} == {b"a": 100, b"b0": 17, b"b1": 17, b"b2": 16}
 
 
+def test_the_network_uses_its_memory_again_without_mixing_batches():
+    g = np.random.default_rng(4)
+    batch = lambda n: (g.integers(0, lm_score.LEAVES + 1, (n, 2 * lm_score.REACH)), g.integers(0, lm_score.LEAVES, n))
+    net, few, many = lm_score.start(np.full(lm_score.LEAVES, 1 / lm_score.LEAVES)), batch(50), batch(3000)
+    slopes, later = {}, {}
+    first = net.log_p(*many, slopes)
+    held = {k: x.copy() for k, x in slopes.items()}
+    memory = {k: x.ctypes.data for k, x in lm_score.SCRATCH.items()}
+    some = net.log_p(*few, later)
+    assert memory and memory == {k: x.ctypes.data for k, x in lm_score.SCRATCH.items()}
+    assert np.array_equal(net.log_p(*many), first) and np.array_equal(net.log_p(*few), some) and all(np.array_equal(slopes[k], held[k]) for k in held)
+    sides, leaf = few
+    h = np.tanh((net.vectors[sides] * net.places).sum(axis=1) + net.bias)
+    own, member = np.divmod(leaf, lm_score.MEMBERS)
+    for n in range(50):
+        a, b = h[n] @ net.classes + net.class_bias, h[n] @ net.members[own[n]] + net.member_bias[own[n]]
+        assert abs(a[own[n]] - np.log(np.exp(a).sum()) + b[member[n]] - np.log(np.exp(b).sum()) - some[n]) < 1e-4
+    learner = lm_score.Learner(net)
+    learner.step(*few)
+    for k, slope in later.items():
+        assert np.allclose(getattr(learner.net, k), getattr(net, k) - lm_score.RATE * slope / np.sqrt(np.float32(1e-6) + slope * slope), atol=1e-6)
+
+
 # --- 2
 def test_gradients():
     net = toxicity.Network(["a"], 1)
