@@ -12,16 +12,15 @@ Entries with more than `most` members could make quadratically many pairs. Their
 itself and its 64 neighbours. Two fingerprints are within two bits just when they share such a key, and no key can have over 65 members, so
 linking each member to the smallest one of its key loses nothing and needs no pairs.
 
-one_of_each() keeps one document of each group of near copies: texts with a five-word similarity of 0.8 or more. Each distinct text (by its words in lower case) is filed under the fifth of its five-word shingles
+one_of_each() keeps one document of each group of near copies: texts with a five-word similarity of 0.8 or more. Each text (by its words in lower case) is filed under the fifth of its five-word shingles
 that comes first in one order of all shingles, so that all pairs of similarity 0.8 or more share a key, whatever the order is. The order only decides how much company keys have: shingles go by how often the corpus has
-their rarest word (counted in 1,048,576 buckets), then by hash, so what many texts share comes last. A text has as many keys as its length asks for, however large the corpus is. Texts that share a key with none stay; the others are
-compared by their shingles.
+their rarest word (counted in 1,048,576 buckets), then by hash, so what many texts share comes last. A text has as many keys as its length asks for, however large the corpus is; they are never stored, but worked out from
+the texts and sent to the place of the key once. Texts that share a key with none stay; the others are compared by their shingles.
 
-In a key only pairs count whose smaller text has the shingle early in its order. Texts are ranked by size, then by how much company their keys have, and each key names its first early text. A text that comes after
-the first one in none of its keys stays; those that are verified against it go: each dropped text is similar to the one that stays for it, without chains. So a group of k copies costs k comparisons a key, not all its
-pairs, and is never gathered. Keys are then named anew for what is left, as long as that finds a tenth of what waits and a key has over `most` early texts. What is left is compared within the keys, in tiles where they
-are crowded; only pairs that pass exact bounds (shared shingles, a bitmap of 1,024 bits) leave a tile, and of the keys that a pair has in common mostly one lists it. They are verified and settled in the order of the
-ranks: a text stays if no similar one before it does. No limit cuts the search short; in a crowd of texts that are near and yet unlike the comparisons, but not the rows, grow with its square.
+Texts stay or go in the order of their sizes, then of their least doc_ids: one stays if no similar one before it does. Those of crowded keys (over `most` early texts) go through rounds before: the first takes some 256 of them
+by a hash, each next one eight times as many. The heads of a round are compared with each other and settled; then all other texts are compared with the heads that stay, and those that are similar to one go. So each dropped
+text is similar to the one that stays for it, without chains, and of a group of k copies few pairs are ever listed: a group has few heads in an early round, and what is left of it in a late one is near to few others. Pairs are sought within the keys, in tiles where these are crowded. Only pairs that pass exact bounds (sizes, a
+bitmap of 1,024 bits) are verified, by their texts, which are read again for it. No limit cuts the search short; in a crowd of texts that are near and yet unlike the comparisons, but not the rows, grow with its square.
 
 Null and empty texts have fingerprint zero and are linked like any other. Rows with the same doc_id stay separate rows with their own
 fingerprints. An empty table gives an empty result; other columns are ignored.
@@ -240,6 +239,14 @@ def shingle_hashes(texts: list[bytes | None], hashes: WordHashes, size: int = 5,
     return out
 
 
+def text_hashes(texts: list[bytes | None]) -> np.ndarray:
+    """Two hashes of each text's words."""
+    import xxhash
+
+    words = [b" ".join((t or b"").lower().split()) for t in texts]
+    return np.array([[xxhash.xxh64_intdigest(x, seed) for seed in (SEED, OTHER_SEED)] for x in words], dtype=np.uint64).reshape(-1, 2).view(np.int64)
+
+
 def bitmaps(found: list[np.ndarray], n: int) -> pa.Array:
     """Of each set n bits, each whether an odd number of its hashes falls on it."""
     return pa.array([np.packbits(np.bincount((x & np.uint64(n - 1)).view(np.int64), minlength=n).astype(np.uint8) & 1).view(np.int64) for x in found], pa.list_(pa.int64()))
@@ -257,6 +264,22 @@ def shingle_sets(texts: DataFrame, size: int = 5) -> DataFrame:
     return in_arrow(texts.select("c", "text"), "c long, sh array<bigint>, bits array<bigint>, wide array<bigint>", work)
 
 
+def signs(rows: DataFrame, names: list[str]) -> DataFrame:
+    """The columns named; h and h2 (hashes of the words), size (of the distinct five-word shingles), wide (1,024 bits, each whether an odd number of them falls on it); of rows with a column text (binary)."""
+    rows = rows.select(*names, "text")
+    schema = rows.select(*names, *[F.lit(None).cast(t).alias(x) for x, t in (("h", "long"), ("h2", "long"), ("size", "int"), ("wide", "array<bigint>"))]).schema
+
+    def work(batches):
+        hashes = WordHashes()
+        for b in batches:
+            texts = b.column(len(names)).to_pylist()
+            found, own = shingle_hashes(texts, hashes), text_hashes(texts)
+            size = pa.array([len(x) for x in found], pa.int32())
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(own[:, 0]), pa.array(own[:, 1]), size, bitmaps(found, 1024)], [*names, "h", "h2", "size", "wide"])
+
+    return in_arrow(rows, schema, work)
+
+
 #: Buckets of words, slices in which their counts are summed, and words that a task holds before it counts them.
 BUCKETS, SLICES, COUNTED = 1 << 20, 64, 1_000_000
 
@@ -294,52 +317,78 @@ def crowding(texts: DataFrame) -> np.ndarray:
     return out
 
 
-def fronts(rows: DataFrame, order: np.ndarray, names: list[str]) -> DataFrame:
+def fronts(rows: DataFrame, order: np.ndarray, names: list[str], once: bool = False) -> DataFrame:
     """The columns named; h and h2 (hashes of the words), size (of the distinct five-word shingles), front (the first of them in the order: crowding of the rarest word, then hash), early (how many of the front are
-    early), bits; of rows with a column text (binary).
+    early); of rows with a column text (binary); once: without copies of what the task has just had.
 
     Of a pair with a similarity of 0.8 or more each has at least four fifths of its own shingles in common with the other, the smaller one eight ninths; if no shingle among the first n - ceil(4n / 5) + 1 of the one and the
     first n - ceil(8n / 9) + 1 of the other, in one order for all, were the same, fewer would be left."""
-    import xxhash
-
     rows = rows.select(*names, "text")
-    schema = rows.select(*names, *[F.lit(None).cast(t).alias(x) for x, t in (("h", "long"), ("h2", "long"), ("size", "int"), ("early", "int"), *[(x, "array<bigint>") for x in ("front", "bits")])]).schema
+    schema = rows.select(*names, *[F.lit(None).cast(t).alias(x) for x, t in (("h", "long"), ("h2", "long"), ("size", "int"), ("early", "int"), ("front", "array<bigint>"))]).schema
 
     def work(batches):
-        hashes = WordHashes()
+        hashes, seen = WordHashes(), set()
         for b in batches:
             texts = b.column(len(names)).to_pylist()
+            own = text_hashes(texts)
+            if once:
+                new = []
+                for i, x in enumerate(map(tuple, own.tolist())):
+                    if x not in seen:
+                        seen.add(x)
+                        new.append(i)
+                b, texts, own = b.take(pa.array(new, pa.int64())), [texts[i] for i in new], own[new]
+                if len(seen) > KEPT_WORDS:
+                    seen.clear()
             found = shingle_hashes(texts, hashes, order=order)
-            words = [b" ".join((t or b"").lower().split()) for t in texts]
-            own = np.array([[xxhash.xxh64_intdigest(x, seed) for seed in (SEED, OTHER_SEED)] for x in words], dtype=np.uint64).reshape(-1, 2).view(np.int64)
             size = np.array([len(x) for x in found], dtype=np.int32)
             first = np.where(size > 0, size + 1 + -4 * size // 5, 0)
             front = [x[:k].view(np.int64) for x, k in zip(found, first.tolist(), strict=True)]
             early = np.where(size > 0, size + 1 + -8 * size // 9, 0)
             numbers = [pa.array(own[:, 0]), pa.array(own[:, 1]), pa.array(size), pa.array(early.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *numbers, pa.array(front, pa.list_(pa.int64())), bitmaps(found, 256)], [*names, "h", "h2", "size", "early", "front", "bits"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *numbers, pa.array(front, pa.list_(pa.int64()))], [*names, "h", "h2", "size", "early", "front"])
 
     return in_arrow(rows, schema, work)
 
 
-def may_match(one: Callable[[str], Column], other: Callable[[str], Column]) -> Column:
-    """Whether two rows of size, held and bits, by functions that give their columns, can have a similarity of 0.8 or more, that is 4/9 of both sizes in common: what they share others have, too, and a bit in which they differ needs a shingle that only one has."""
-    both = one("size") + other("size")
-    apart = reduce(Column.__add__, [F.bit_count(one("bits")[i].bitwiseXOR(other("bits")[i])) for i in range(4)])
-    return (9 * F.least(one("held"), other("held")) >= 4 * both) & (9 * apart <= both)
+def bounded(pairs: DataFrame, cards: DataFrame) -> DataFrame:
+    """The pairs (c, to) that can have a similarity of 0.8 or more by the sizes and bitmaps of the cards (c, size, wide): a bit in which they differ needs a shingle that only one has."""
+    hubs = pairs.groupBy("to").agg(F.count("*").alias("n")).join(cards.select(F.col("c").alias("to"), F.col("size").alias("_m"), F.col("wide").alias("_b")), "to")
+    met = by_hot_key(pairs.join(cards.select("c", F.col("size").alias("_n"), F.col("wide").alias("_a")), "c"), hubs, "to")
+    apart = reduce(Column.__add__, [F.bit_count(F.col("_a")[i].bitwiseXOR(F.col("_b")[i])) for i in range(16)])
+    return met.where((5 * F.least("_n", "_m") >= 4 * F.greatest("_n", "_m")) & (9 * apart <= F.col("_n") + F.col("_m"))).select("c", "to")
+
+
+#: Texts that are compared with another one in one group.
+SPREAD = 32
+
+
+def verified(pairs: DataFrame, texts_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The pairs (c, to) whose texts have a similarity of 0.8 or more; texts_of(frame of c) gives the texts (binary).
 
+    Each text goes to the other one of its pairs; one that has many pairs goes to several groups instead, so that no task gets all of them."""
+    n = pairs.count()
+    hubs = pairs.groupBy("to").agg(F.ceil(F.count("*") / SPREAD).cast("int").alias("_parts"))
+    each = pairs.join(hubs, "to").select("c", "to", F.pmod(F.xxhash64("c"), F.col("_parts")).cast("int").alias("part"))
+    sends = durable(packed(each.unionByName(hubs.select(F.col("to").alias("c"), "to", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("part"))), 2 * n))
+    if sends.isEmpty():
+        return sends.select("c", "to")
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (c, to) whose shingle sets have a similarity of 0.8 or more."""
-    sets = sets.join(sized(durable(pairs.select(F.explode(F.array("c", "to")).alias("c")).distinct())), "c", "left_semi")
-    hubs = pairs.groupBy("to").agg(F.count("*").alias("n")).join(sets.select(F.col("c").alias("to"), F.col("sh").alias("_b")), "to")
-    met = by_hot_key(pairs.join(sets.withColumnRenamed("sh", "_a"), "c"), hubs, "to")
-    common = F.size(F.array_intersect("_a", "_b"))
-    return met.where(5 * common >= 4 * (F.size("_a") + F.size("_b") - common)).select("c", "to")
+    def compare(group: pa.Table) -> pa.Table:
+        c, to = group.column("c").to_pylist(), group.column("to")[0].as_py()
+        found = shingle_hashes(group.column("text").to_pylist(), WordHashes())
+        hub, like = found[c.index(to)], []
+        for i, own in zip(c, found, strict=True):
+            common = len(np.intersect1d(own, hub, assume_unique=True))
+            if i != to and 5 * common >= 4 * (len(own) + len(hub) - common):
+                like.append(i)
+        return pa.table({"c": pa.array(like, pa.int64()), "to": pa.array([to] * len(like), pa.int64())})
 
+    return texts_of(sends.select("c").distinct()).join(sized(sends), "c").groupBy("to", "part").applyInArrow(compare, "c long, to long")
 
-#: Rows of narrow frames, of numbers and short bitmaps, that make up a part at least, and how many of them a text's shingles count for.
-PACKED, SET_ROWS = 20_000, 20
+
+#: Rows of narrow frames, of numbers and short bitmaps, that make up a part at least.
+PACKED = 20_000
 
 
 def packed(rows: DataFrame, n: int) -> DataFrame:
@@ -408,19 +457,22 @@ TILE_EARLY, TILE_ALL = 512, 8192
 SEEN = 64
 
 
-def crowded_pairs(entries: DataFrame, crowded: DataFrame) -> DataFrame:
+def crowded_pairs(entries: DataFrame, crowded: DataFrame, partners: DataFrame | None = None) -> DataFrame:
     """c, to of the pairs of entries (key, c, size, held, bits, early) that may match, to being early and less, within crowded keys (key, k, n: their early and all members), tile by tile; only such pairs leave a tile.
+    With partners, to is any of the entries and c one of the partners (k, n: how many a key has of these and of those).
 
     A pair that has several keys in common leaves by the least of them, and by a later one only if the SEEN least keys of the two texts don't show it."""
-    met = by_hot_key(entries.select("key", "c", "size", "held", "bits", "early"), crowded.withColumn("_n", F.col("n")), "key")
-    least = lambda of: F.slice(F.sort_array(F.collect_list(of)), 1, SEEN)
-    own_keys = met.groupBy("c").agg(least(F.col("key")).alias("all_keys"), least(F.when(F.col("early"), F.col("key"))).alias("led_keys"))
-    met = met.join(own_keys, "c")
+    between = partners is not None
+
+    def met(rows: DataFrame) -> DataFrame:
+        rows = by_hot_key(rows.select("key", "c", "size", "held", "bits"), crowded.withColumn("_n", F.col("n")), "key")
+        return rows.join(rows.groupBy("c").agg(F.slice(F.sort_array(F.collect_list("key")), 1, SEEN).alias("seen")), "c")
+
     rows, columns = F.ceil(F.col("k") / TILE_EARLY).cast("int"), F.ceil(F.col("_n") / TILE_ALL).cast("int")
     own = lambda n: F.array(F.pmod(F.xxhash64("c"), n).cast("int"))
     every = lambda n: F.sequence(F.lit(0), n - 1)
-    as_early = met.where("early").select("key", "c", "size", "held", "bits", F.col("led_keys").alias("seen"), F.lit(True).alias("lead"), F.explode(own(rows)).alias("i"), columns.alias("_m")).withColumn("j", F.explode(every(F.col("_m")))).drop("_m")
-    as_any = met.select("key", "c", "size", "held", "bits", F.col("all_keys").alias("seen"), F.lit(False).alias("lead"), F.explode(every(rows)).alias("i"), columns.alias("_m")).withColumn("j", F.explode(own(F.col("_m")))).drop("_m")
+    as_lead = met(entries if between else entries.where("early")).select("key", "c", "size", "held", "bits", "seen", F.lit(True).alias("lead"), F.explode(own(rows)).alias("i"), columns.alias("_m")).withColumn("j", F.explode(every(F.col("_m")))).drop("_m")
+    as_any = met(partners if between else entries).select("key", "c", "size", "held", "bits", "seen", F.lit(False).alias("lead"), F.explode(every(rows)).alias("i"), columns.alias("_m")).withColumn("j", F.explode(own(F.col("_m")))).drop("_m")
 
     def compare(tile: pa.Table) -> pa.Table:
         key, c, size, held = (tile.column(x).to_numpy() for x in ("key", "c", "size", "held"))
@@ -431,7 +483,7 @@ def crowded_pairs(entries: DataFrame, crowded: DataFrame) -> DataFrame:
             earlier[i, : len(keys)] = keys
         rest, out = np.flatnonzero(~lead), [np.zeros((2, 0), np.int64)]
         for i in np.flatnonzero(lead):
-            at = rest[c[rest] > c[i]]
+            at = rest if between else rest[c[rest] > c[i]]
             both = size[i] + size[at]
             enough = 9 * np.minimum(held[i], held[at]) >= 4 * both
             at, both = at[enough], both[enough]
@@ -442,52 +494,87 @@ def crowded_pairs(entries: DataFrame, crowded: DataFrame) -> DataFrame:
         found = np.concatenate(out, axis=1)
         return pa.table({"c": pa.array(found[0], pa.int64()), "to": pa.array(found[1], pa.int64())})
 
-    return as_early.unionByName(as_any).groupBy("key", "i", "j").applyInArrow(compare, "c long, to long")
+    return as_lead.unionByName(as_any).groupBy("key", "i", "j").applyInArrow(compare, "c long, to long")
+
+
+def in_shared_fronts(filed: DataFrame) -> DataFrame:
+    """key, c, early: the shingles of the fronts (filed: c of 63 bits, front, early; copies have one c) that another text's front has, too, and that are early for one of them, once each."""
+    each = filed.select("c", F.col("early").alias("_k"), F.posexplode("front").alias("_at", "key")).select("key", (2 * F.col("c") + (F.col("_at") < F.col("_k")).cast("long")).alias("x"))
+    key, c, early = Window.partitionBy("key"), F.shiftright("x", 1), F.col("x").bitwiseAND(1)
+    met = each.withColumn("_first", F.min(c).over(key)).withColumn("_last", F.max(c).over(key)).withColumn("_led", F.max(early).over(key))
+    return met.where("_first < _last and _led = 1").select("key", "x").distinct().select("key", c.alias("c"), (early == 1).alias("early"))
+
+
+def tiled(entries: DataFrame, crowded: DataFrame, cards: DataFrame) -> DataFrame:
+    """The entries of crowded keys as crowded_pairs() reads them."""
+    return entries.join(sized(crowded.select("key")), "key", "left_semi").join(cards.select("c", F.col("wide").alias("bits")), "c").withColumn("held", F.col("size"))
+
+
+def met_within(entries: DataFrame, cards: DataFrame, most: int) -> DataFrame:
+    """c, to of the pairs of entries (key, c, size, early; c in order of size) that share a key that is early for to, the lesser one, and may match."""
+    counts = durable(entries.groupBy("key").agg(F.count_if("early").alias("k"), F.count("*").alias("n")).where("k > 0 and n > 1"))
+    crowded = counts.where(F.col("k") > most)
+    led = entries.where("early").join(counts.where(F.col("k") <= most).select("key", "n"), "key").groupBy("key").agg(F.collect_list(F.struct("c", "size")).alias("g"), F.first("n").alias("n"))
+    near = F.filter("g", lambda l: (l["c"] < F.col("c")) & (5 * l["size"] >= 4 * F.col("size")))
+    pairs = by_hot_key(entries, durable(led), "key").select("c", F.explode(near).alias("_l")).select("c", F.col("_l.c").alias("to")).distinct()
+    if crowded.isEmpty():
+        return pairs
+    return pairs.unionByName(crowded_pairs(tiled(entries, crowded, cards), crowded)).distinct()
+
+
+def met_between(heads: DataFrame, entries: DataFrame, out: DataFrame, cards: DataFrame, most: int) -> DataFrame:
+    """c, to of the pairs of one of the entries, c, but for those of out, and one of the heads, to (all: key, c, size, early), that share a key that is early for one of them and may match."""
+    keys = durable(heads.groupBy("key").agg(F.count("*").alias("k")).transform(packed, heads.count()))
+    met = durable(entries.join(sized(keys.select("key")), "key", "left_semi").join(sized(out), "c", "left_anti"))
+    counts = durable(keys.join(met.groupBy("key").agg(F.count("*").alias("n")), "key"))
+    crowded = counts.where(F.col("k") > most)
+    led = heads.join(counts.where(F.col("k") <= most).select("key", "n"), "key").groupBy("key").agg(F.collect_list(F.struct("c", "size", "early")).alias("g"), F.first("n").alias("n"))
+    near = F.filter("g", lambda l: (l["early"] | F.col("early")) & (5 * F.least(l["size"], F.col("size")) >= 4 * F.greatest(l["size"], F.col("size"))))
+    pairs = by_hot_key(met, durable(led), "key").select("c", F.explode(near).alias("_l")).select("c", F.col("_l.c").alias("to")).distinct()
+    if crowded.isEmpty():
+        return pairs
+    return pairs.unionByName(crowded_pairs(tiled(heads, crowded, cards), crowded, tiled(met, crowded, cards))).distinct()
+
+
+#: Texts that the first round takes, and how many times as many each next one does.
+FIRST, MORE = 256, 8
+
+
+def resolved(entries: DataFrame, cards: DataFrame, texts_of: Callable[[DataFrame], DataFrame], most: int) -> DataFrame:
+    """c, kept: for each text that goes, the similar one that stays; entries: key, c, size, early; cards: c (numbers in order of size), size, wide, once for each text. texts_of(frame of c) gives their texts (binary)."""
+    similar = lambda pairs: durable(verified(durable(bounded(durable(pairs), cards)), texts_of))
+    crowded = entries.groupBy("key").agg(F.count_if("early").alias("k")).where(F.col("k") > most).select("key")
+    crowd = durable(entries.join(sized(durable(crowded)), "key", "left_semi").select("c").distinct())
+    n, heads, gone, out = crowd.count(), FIRST, [], crowd.where("false")  # out: heads so far, and what has gone
+    crowd = packed(crowd, n)
+    while 2 * heads < n:
+        chosen = durable(crowd.where(F.pmod(F.xxhash64("c"), F.lit(1 << 30)) < (heads << 30) // n).join(sized(out), "c", "left_anti"))
+        own = durable(packed(entries.join(sized(chosen), "c", "left_semi"), n))
+        gone.append(settled(similar(met_within(own, cards, most))))
+        out = durable(packed(out.unionByName(chosen), n))
+        stay = durable(packed(own.join(sized(gone[-1].select("c")), "c", "left_anti"), n))
+        found = similar(met_between(stay, entries, out, cards, most))
+        gone.append(durable(packed(found.groupBy("c").agg(F.min("to").alias("kept")), n)))
+        out = durable(packed(out.unionByName(gone[-1].select("c")), n))  # the heads have met all others; what is similar to one that stays has gone
+        heads *= MORE
+    rest = durable(entries.join(sized(out), "c", "left_anti"))
+    return reduce(DataFrame.unionByName, [*gone, settled(similar(met_within(rest, cards, most)))])
 
 
-def in_shared_fronts(classes: DataFrame) -> DataFrame:
-    """key, c, early, n (texts of the key): the shingles of the fronts (classes: c, front, early) that another text's front has, too, and that are early for one of them."""
-    each = classes.select("c", F.col("early").alias("_k"), F.posexplode("front").alias("_at", "key")).select("key", (2 * F.col("c") + (F.col("_at") < F.col("_k")).cast("long")).alias("x"))
-    key, early = Window.partitionBy("key"), F.col("x").bitwiseAND(1)
-    met = each.withColumn("n", F.count("*").over(key)).withColumn("_led", F.max(early).over(key)).where("n > 1 and _led = 1")
-    return met.select("key", F.shiftright("x", 1).alias("c"), (early == 1).alias("early"), "n")
+def stand_ins(classes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], most: int = 32) -> DataFrame:
+    """c, kept: for each text that goes, the similar one that stays; classes: c. texts_of(frame of c) gives their texts (binary)."""
+    texts = durable(texts_of(classes.select("c")))
+    entries = durable(in_shared_fronts(fronts(texts, crowding(texts), ["c"])))
+    cards = durable(row_numbers(signs(texts, ["c"]).select(F.col("c").alias("own"), "size", "wide"), ["size", "own"], "c"))
+    named = lambda c, own: cards.select(F.col("c").alias(c), F.col("own").alias(own))
+    entries = durable(entries.withColumnRenamed("c", "own").join(cards.select("own", "c", "size"), "own").drop("own"))
 
+    def texts_here(few: DataFrame) -> DataFrame:
+        found = texts_of(few.join(named("c", "own"), "c").select(F.col("own").alias("c")))
+        return found.withColumnRenamed("c", "own").join(named("c", "own"), "own").select("c", "text")
 
-def stand_ins(classes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], most: int = 32) -> DataFrame:
-    """c, kept: for each text that goes, the similar one that stays; classes: c, and what fronts() gives, else it is worked out here. texts_of(frame of c) gives their texts (binary)."""
-    if "front" not in classes.columns:
-        texts = durable(texts_of(classes.select("c")))
-        classes = durable(fronts(texts, crowding(texts), ["c"]))
-    entries = durable(in_shared_fronts(classes).transform(lambda e: e.join(classes.select("c", "size", "bits"), "c")))
-    n = entries.count()
-    entries = packed(entries, n)
-    ranked = durable(row_numbers(entries.groupBy("c", "size").agg((-F.sum("n")).alias("_m")), ["size", "_m", "c"], "_rank"))
-    named = ranked.select(F.col("_rank").alias("c"), F.col("c").alias("_c"))
-    sets = shingle_sets(texts_of(ranked.select("c")))
-    sets = durable(packed(sets.withColumnRenamed("c", "_c").join(sized(named), "_c").select("c", "sh", "wide"), SET_ROWS * ranked.count()))
-    entries = durable(packed(entries.withColumnRenamed("c", "_c").join(named, "_c").select("key", "c", "size", F.col("size").alias("held"), "early", "bits"), n))
-    sets, wide, row = sets.select("c", "sh"), sets.select("c", F.col("wide").alias("bits")), F.struct("c", "size", "held", "bits")
-    leads = F.min(F.when(F.col("early"), row)).alias("l")
-    gone, helpful = [], True
-    while True:
-        first = entries.groupBy("key").agg(leads, F.max("c").alias("_last"), F.count_if("early").alias("k"), F.count("*").alias("n"))
-        first = durable(packed(first.where(F.col("_last") > F.col("l.c")).drop("_last"), n))  # a text before all early ones has no pair by this key
-        crowded = first.where(F.col("k") > most)
-        if gone and (not helpful or crowded.isEmpty()):
-            break
-        cand = durable(packed(by_hot_key(entries, first, "key").where(F.col("c") > F.col("l.c")).groupBy("c", F.col("l.c").alias("to")).agg(F.bool_or(may_match(F.col, lambda x: F.col("l")[x])).alias("near")), n))
-        waiting = durable(packed(cand.select("c").distinct(), n))
-        found = durable(verified(cand.where("near").join(waiting.withColumnRenamed("c", "to"), "to", "left_anti").select("c", "to"), sets).groupBy("c").agg(F.min("to").alias("kept")).transform(packed, n))
-        gone.append(found)
-        entries = durable(packed(entries.join(waiting, "c", "left_semi").join(found, "c", "left_anti"), n))
-        helpful = 10 * found.count() >= waiting.count()  # else the keys hold unlike texts, which are compared
-    few = first.where(F.col("k") <= most).select("key", "n")
-    led = entries.where("early").join(few, "key").groupBy("key").agg(F.collect_list(row).alias("g"), F.first("n").alias("n"))
-    quiet = by_hot_key(entries, led, "key").select("c", "size", "held", "bits", F.explode(F.filter("g", lambda l: (l["c"] < F.col("c")) & may_match(F.col, lambda x: l[x]))).alias("l")).select("c", F.col("l.c").alias("to"))
-    pairs = durable(quiet.unionByName(crowded_pairs(entries.drop("bits").join(wide, "c"), crowded.select("key", "k", "n"))).distinct())
-    gone = reduce(DataFrame.unionByName, [*gone, settled(verified(packed(pairs, pairs.count()), sets))])
-    number = lambda a, b: named.select(F.col("c").alias(a), F.col("_c").alias(b))
-    return gone.join(number("c", "_own"), "c").join(number("kept", "_kept"), "kept").select(F.col("_own").alias("c"), F.col("_kept").alias("kept"))
+    gone = resolved(entries, cards, texts_here, most)
+    return gone.join(named("c", "_own"), "c").join(named("kept", "_kept"), "kept").select(F.col("_own").alias("c"), F.col("_kept").alias("kept"))
 
 
 def one_of_each(docs: DataFrame, most: int = 32) -> DataFrame:
@@ -495,22 +582,25 @@ def one_of_each(docs: DataFrame, most: int = 32) -> DataFrame:
     row = {"_none": F.col("doc_id").isNull(), "_id": F.col("doc_id").cast("long"), "_size": text_bytes(), "_tie": F.xxhash64("text")}
     key = F.struct(*[v.alias(k) for k, v in row.items()])
     texts = docs.select(key.alias("key"), F.col("text").cast("binary").alias("text"))
-    own = durable(fronts(texts, crowding(texts), ["key"]))
+    own = durable(signs(texts, ["key"]))
     once = durable(own.groupBy("h", "h2", "key").agg(F.count("*").alias("n")))
-    classes = once.groupBy("h", "h2").agg(F.min("key").alias("least"), F.max("n").alias("copies"))
-    classes = durable(row_numbers(classes, ["least"], "c"))
-    filed = own.select(F.col("h").alias("_h"), F.col("h2").alias("_h2"), F.col("key").alias("least"), "size", "early", "front", "bits")
-    filed = classes.join(filed, "least").where((F.col("h") == F.col("_h")) & (F.col("h2") == F.col("_h2")))  # repeated rows have the same
+    classes = durable(once.groupBy("h", "h2").agg(F.min("key").alias("least"), F.max("n").alias("copies")))
     repeated = not classes.where("copies > 1").isEmpty()
-    filed = filed.dropDuplicates(["least", "c"]) if repeated else filed
+    # copies are filed under one number; that two other texts have the same one, too, costs a comparison
+    number = F.shiftright("h", 1)
+    entries = durable(in_shared_fronts(fronts(texts, crowding(texts), [], once=True).select(number.alias("c"), "early", "front")))
+    shared = classes.withColumn("_c", number).join(sized(durable(entries.select(F.col("c").alias("_c")).distinct())), "_c", "left_semi").select(F.col("h").alias("_h"), F.col("h2").alias("_h2"), F.col("least").alias("key"))
+    cards = own.join(sized(durable(shared)), "key").where((F.col("h") == F.col("_h")) & (F.col("h2") == F.col("_h2"))).select("key", "h", "h2", "size", "wide")  # repeated rows have the same
+    cards = durable(row_numbers(cards.dropDuplicates(["key", "h", "h2"]) if repeated else cards, ["size", "key", "h", "h2"], "c"))
+    entries = durable(entries.withColumnRenamed("c", "_c").join(sized(cards.select(number.alias("_c"), "c", "size")), "_c").drop("_c"))
 
     def texts_of(few: DataFrame) -> DataFrame:
-        wanted = durable(few.join(classes, "c").select("c", F.col("least").alias("_key")))
+        wanted = durable(few.join(cards, "c").select("c", F.col("key").alias("_key")))
         found = docs.select(key.alias("_key"), F.col("text").cast("binary").alias("text")).join(sized(wanted), "_key").select("c", "text")
         return found.groupBy("c").agg(F.first("text").alias("text")) if repeated else found
 
-    gone = durable(stand_ins(durable(filed.select("c", "size", "early", "front", "bits")), texts_of, most=most))
-    stays = classes.join(gone.select("c"), "c", "left_anti").select(F.col("least").alias("key"))
+    gone = resolved(entries, cards, texts_of, most).join(cards, "c").select("key")
+    stays = classes.select(F.col("least").alias("key")).join(gone, "key", "left_anti")
     lost = once.select("key").join(stays, "key", "left_anti").distinct()
     rows = docs.dropDuplicates(["doc_id", "text"]) if repeated else docs
     name = fresh(docs.columns, "_lost")
